@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chunk_bpe, licenses, packing, simple8b
+from . import chunk_bpe, language_id, licenses, packing, quality, simple8b, toxicity
 from .runtime import table
 
 
@@ -10,6 +10,11 @@ def op1_license_scan(spark, sf_dir):
     return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
 
 
+def op3_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return language_id.predictions(language_id.identify(docs, language_id.learn(docs)))
+
+
 def op4_packing(spark, sf_dir):
     return packing.digest(packing.pack(table(spark, sf_dir, "documents")))
 
@@ -22,6 +27,18 @@ def op6_chunk_bpe(spark, sf_dir):
     return chunk_bpe.digest(chunk_bpe.encode_and_decode(table(spark, sf_dir, "documents")))
 
 
+def op7_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.predictions(toxicity.score(docs, model))
+
+
+def op10_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.selections(quality.score(docs, model))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
