@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chunk_bpe, language_id, licenses, packing, quality, simple8b, toxicity
+from . import chunk_bpe, embedding_dedup, language_id, licenses, packing, quality, simple8b, toxicity
 from .runtime import table
 
 
@@ -10,6 +10,10 @@ def op1_license_scan(spark, sf_dir):
     return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
 
 
+def op2_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return language_id.predictions(language_id.identify(docs, language_id.learn(docs)))
