@@ -2,13 +2,16 @@
 
 The tokenizer file drops white space and never lets a token cross it, so the ids of a text are
 the ids of its blank-separated words in order. Distinct words are encoded by the tokenizers
-library once per Python worker and remembered in a bounded memo; texts that spell an added
-token are given to the library as a whole.
+library once per Python worker and remembered in a bounded memo. Plain words (lower-case Latin
+letters in composed form, then ASCII marks) can't be changed by the normaliser nor cut otherwise
+by the splitter, so their letters go straight to the library's BPE model; all others, and texts
+that spell an added token, go through its whole chain.
 """
 
 from __future__ import annotations
 
 import os
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -18,6 +21,18 @@ MEMO_WORDS = 600_000
 #: ASCII capitals to lower case and ASCII white space to a blank: what the normaliser does too.
 _FOLD = bytes(32 if 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ADDED_MARK = b"<|"
+#: Marks that may end a plain word.
+_MARKS = b".,;:!?#$%&*|()-"
+
+
+def _byte_characters() -> dict[int, int]:
+    """The byte-level alphabet: printable Latin-1 stands for itself, other bytes follow from 256 on."""
+    kept = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (b for b in range(256) if b not in kept)
+    return {b: b for b in kept} | {b: 256 + i for i, b in enumerate(others)}
+
+
+_BYTE_CHARACTERS = _byte_characters()
 
 
 def default_path() -> str:
@@ -34,8 +49,10 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
         self.memo_words, self.memo = memo_words, {b"": b""}
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self._coded = [i.to_bytes(4, "little") for i in range(size)]
         self._tokens = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
 
     def _library(self, text: str) -> bytes:
@@ -43,19 +60,42 @@ class WordEncoder:
 
     def learn(self, words: set[bytes]) -> None:
         """Put every word of ``words`` into the memo."""
-        missing = [w for w in words if w not in self.memo]
+        missing = words.difference(self.memo)
         if len(self.memo) + len(missing) > self.memo_words:
             self.memo = {b"": b""}
-            missing = [w for w in words if w]
-        for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            counts = [len(e) for e in found]
-            flat = np.array([i for e in found for i in e.ids], dtype="<u4").tobytes()
-            place = 0
-            for word, n in zip(part, counts):
-                self.memo[word] = flat[place : place + 4 * n]
-                place += 4 * n
+            missing = words - {b""}
+        memo, hard = self.memo, []
+        for word in missing:
+            letters = word.rstrip(_MARKS)
+            ids = memo.get(letters) if letters else None
+            if ids is None:
+                ids = self._plain(letters)
+                if ids is None:
+                    hard.append(word)
+                    continue
+            if len(letters) != len(word):
+                marks = word[len(letters) :]
+                if marks not in memo:
+                    memo[marks] = self._library(marks.decode())
+                ids += memo[marks]
+            memo[word] = ids
+        for at in range(0, len(hard), 4096):
+            part = hard[at : at + 4096]
+            for word, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
+                memo[word] = b"".join([self._coded[i] for i in e.ids])
+
+    def _plain(self, letters: bytes) -> bytes | None:
+        """Ids of lower-case letters by the BPE model alone; None if the whole chain is needed."""
+        if letters.isalpha():
+            text = letters.decode()
+        else:
+            if not letters or letters.isascii():
+                return None
+            text = letters.decode("utf-8", "replace")
+            if not text.isalpha() or max(text) >= "\u0180" or not text.islower() or not unicodedata.is_normalized("NFC", text):
+                return None
+            text = letters.decode("latin-1").translate(_BYTE_CHARACTERS)
+        return b"".join([self._coded[t.id] for t in self.model.tokenize(text)])
 
     @staticmethod
     def words(raw: bytes) -> list[bytes]:
