@@ -368,13 +368,11 @@ def _across(members: DataFrame) -> DataFrame:
     return meetings.mapInArrow(compare, "a long, b long").distinct()
 
 
-def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, component_id (smallest doc_id of the group), kept, n_copies (rows of equal text) of every row."""
-    spark = prepare(documents.sparkSession)
-    work = Workspace(spark, "minhash")
-    raw = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), raw.alias("raw"))
-    docs = rows.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("raw").alias("t1"), F.xxhash64(F.lit(1), "raw").alias("t2"), "raw")
+def _grouped(documents: DataFrame, similarity: float) -> DataFrame:
+    """doc_id, t1, t2 (hashes of the text), component_id, kept and n_copies of every row with a doc_id."""
+    work = Workspace(prepare(documents.sparkSession), "minhash")
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), _raw().alias("raw")).where("doc_id IS NOT NULL")
+    docs = docs.select("doc_id", *_text_key("raw"), "raw")
     total = docs.count()
     weights = heavy_shingles(docs, total)
     signed = work.write(_signed(docs, weights), "signed")
@@ -392,13 +390,37 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> Dat
     mixed = work.write(mixed.select("bucket"), "mixed")
     rest = placed.join(mixed, "bucket").join(classes.select("node", "samples"), "node")
     across = work.write(_across(rest.select("bucket", "node", "comp", "samples")), "across")
-    across = work.write(across.join(pairs, (across.a == pairs.a) & (across.b == pairs.b), "left_anti"), "across")
+    across = work.write(across.join(pairs, ["a", "b"], "left_anti"), "across")
     more = _verified(work, docs, classes, across, weights, similarity)
     roots = components(work, links.union(more)).select(F.col("id").alias("node"), "root")
     named = work.write(classes.select("t1", "t2", "node", "rep", "n_copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
-    smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = work.write(named.join(smallest, "root").select("t1", "t2", "n_copies", "component_id"), "groups")
+    chosen = named.groupBy("root").agg(F.min(F.struct("rep", "t1", "t2")).alias("chosen"))
+    named = named.join(chosen, "root").select("t1", "t2", "n_copies", "rep", F.col("chosen.rep").alias("component_id"), (F.struct("rep", "t1", "t2") == F.col("chosen")).alias("first"))
+    named = work.write(named, "groups")
     found = signed.select("doc_id", "t1", "t2").join(named, ["t1", "t2"])
-    known = found.select("doc_id", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), "n_copies")
-    lone = rows.where("doc_id IS NULL").select("doc_id", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"), F.lit(1).cast("long").alias("n_copies"))
-    return known.union(lone)
+    return found.select("doc_id", "t1", "t2", "component_id", (F.col("first") & (F.col("doc_id") == F.col("rep"))).alias("kept"), "n_copies")
+
+
+def _raw():
+    return F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+
+
+def _text_key(raw) -> list:
+    return [F.xxhash64(raw).alias("t1"), F.xxhash64(F.lit(1), raw).alias("t2")]
+
+
+def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, component_id (smallest doc_id of the group), kept, n_copies (rows of equal text) of every row."""
+    known = _grouped(documents, similarity).drop("t1", "t2")
+    lone = documents.where(F.col("doc_id").cast("long").isNull())
+    return known.union(lone.select(F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(True), F.lit(1).cast("long")))
+
+
+def deduplicate(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``documents``, with all their columns, of which one of each group stays; rows without a doc_id all stay."""
+    kept = _grouped(documents, similarity).where("kept").select(F.col("doc_id").alias("_k0"), F.col("t1").alias("_k1"), F.col("t2").alias("_k2")).distinct()
+    t1, t2 = _text_key(_raw())
+    keys = ["_k0", "_k1", "_k2"]
+    keyed = documents.withColumns({"_k0": F.col("doc_id").cast("long"), "_k1": t1, "_k2": t2})
+    known = keyed.where("_k0 IS NOT NULL").join(kept, keys, "left_semi").dropDuplicates(keys)
+    return known.union(keyed.where("_k0 IS NULL")).drop(*keys)
