@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .linkage import blocked, components, local_roots
+from .linkage import blocked, components, expand_pairs, local_roots, run_ends, whole_runs
 from .runtime import Workspace, prepare
 
 COSINE = 0.9
@@ -105,26 +105,14 @@ def _matrix(column, dimension: int) -> np.ndarray:
 
 def _meet(hasher: CrossPolytope, least: float, rows: dict[str, np.ndarray], vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(smaller row, larger row) of the links whose first meeting is here; rows come in runs of one meeting."""
-    n = len(vectors)
-    change = np.ones(n + 1, dtype=bool)
-    change[1:-1] = (rows["bucket"][1:] != rows["bucket"][:-1]) | (rows["i"][1:] != rows["i"][:-1]) | (rows["j"][1:] != rows["j"][:-1])
-    edges = np.flatnonzero(change)
-    ends = np.repeat(edges[1:], np.diff(edges))
-    partners = ends - 1 - np.arange(n)
-    total = np.cumsum(partners)
     found_a, found_b = [], []
-    at = 0
-    while at < n:
-        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS, side="right")))
-        count = partners[at:to]
-        left = np.repeat(np.arange(at, to), count)
-        right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(count) - count, count)
+    ends = run_ends(rows["bucket"], rows["i"], rows["j"])
+    for left, right in expand_pairs(np.arange(1, len(vectors) + 1), ends, PAIRS):
         able = (rows["base"][left] | rows["base"][right]) & ((rows["i"][left] == rows["j"][left]) | (rows["own"][left] != rows["own"][right])) & (rows["node"][left] != rows["node"][right])
         left, right = left[able], right[able]
         near = np.einsum("ij,ij->i", vectors[left], vectors[right]) >= least
         found_a.append(left[near])
         found_b.append(right[near])
-        at = to
     a, b = np.concatenate(found_a), np.concatenate(found_b)
     swap = rows["node"][a] > rows["node"][b]
     a, b = np.where(swap, b, a), np.where(swap, a, b)
@@ -202,37 +190,19 @@ def _links(classes: DataFrame, dimension: int, n: int, cosine: float) -> DataFra
     meetings = meetings.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def flush(upto: pa.Table) -> Iterator[pa.RecordBatch]:
-            names = ("bucket", "i", "j", "own", "base", "node", "n")
-            rows = {k: upto.column(k).to_numpy() for k in names}
-            a, b = _meet(hasher, cosine, rows, _matrix(upto.column("unit").to_pylist(), dimension))
-            if len(a):
-                x, y = rows["node"][a], rows["node"][b]
-                nodes, flat = np.unique(np.concatenate((x, y)), return_inverse=True)
-                sums = np.bincount(flat, weights=np.concatenate((rows["n"][b], rows["n"][a]))).astype(np.int64)
-                node, root = local_roots(x, y)
-                node, root = node[node != root], root[node != root]
-                count, none = len(nodes), len(node)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((nodes, node))), pa.array(np.concatenate((np.zeros(count, np.int64), root)), mask=np.arange(count + none) < count), pa.array(np.concatenate((sums, np.zeros(none, np.int64))), mask=np.arange(count + none) >= count)], names=["a", "b", "links"])
-
-        size = 0
-        for batch in batches:
-            held.append(batch)
-            size += batch.num_rows
-            if size >= 16_384:
-                whole = pa.Table.from_batches(held).combine_chunks()
-                keys = [whole.column(k).to_numpy() for k in ("bucket", "i", "j")]
-                same = np.ones(size, dtype=bool)
-                for key in keys:
-                    same &= key == key[-1]
-                open_run = size - int(same.sum())  # the last meeting may go on
-                if open_run:
-                    yield from flush(whole.slice(0, open_run))
-                held = whole.slice(open_run).to_batches()
-                size -= open_run
-        if size:
-            yield from flush(pa.Table.from_batches(held).combine_chunks())
+        for met in whole_runs(batches, ("bucket", "i", "j")):
+            rows = {k: met.column(k).to_numpy() for k in ("bucket", "i", "j", "own", "base", "node", "n")}
+            a, b = _meet(hasher, cosine, rows, _matrix(met.column("unit").to_pylist(), dimension))
+            if not len(a):
+                continue
+            x, y = rows["node"][a], rows["node"][b]
+            nodes, flat = np.unique(np.concatenate((x, y)), return_inverse=True)
+            sums = np.bincount(flat, weights=np.concatenate((rows["n"][b], rows["n"][a]))).astype(np.int64)
+            node, root = local_roots(x, y)
+            node, root = node[node != root], root[node != root]
+            is_sum = np.arange(len(nodes) + len(node)) < len(nodes)
+            ends = np.concatenate((np.zeros(len(nodes), np.int64), root))
+            counts = np.concatenate((sums, np.zeros(len(node), np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((nodes, node))), pa.array(ends, mask=is_sum), pa.array(counts, mask=~is_sum)], names=["a", "b", "links"])
 
     return meetings.mapInArrow(compare, "a long, b long, links long")

@@ -113,25 +113,92 @@ def blocked(members: DataFrame, key: str = "bucket", block: int = BLOCK) -> Data
     return placed.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other", "_blocks")
 
 
-def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Stretches of rows with equal ``keys`` in batches that are sorted by them."""
+def whole_runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], rows: int = 16_384) -> Iterator[pa.Table]:
+    """The rows of sorted batches in tables of about ``rows`` that don't cut a run of equal ``keys``."""
     held: list[pa.RecordBatch] = []
-    last = None
+    size = 0
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
-        change = np.zeros(batch.num_rows, dtype=bool)
-        for column in columns:
-            change[1:] |= column[1:] != column[:-1]
-        change[0] = last is not None and any(c[0] != v for c, v in zip(columns, last))
-        cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
-        for at, (low, high) in enumerate(zip(cuts, cuts[1:])):
-            if at and held:
-                yield pa.Table.from_batches(held)
-                held = []
-            if high > low:
-                held.append(batch.slice(low, high - low))
-        last = [c[-1] for c in columns]
-    if held:
-        yield pa.Table.from_batches(held)
+        held.append(batch)
+        size += batch.num_rows
+        if size >= rows:
+            table = pa.Table.from_batches(held).combine_chunks()
+            same = np.ones(size, dtype=bool)
+            for key in keys:
+                column = table.column(key).to_numpy()
+                same &= column == column[-1]
+            done = size - int(same.sum())  # the last run may go on
+            if done:
+                yield table.slice(0, done)
+            held, size = table.slice(done).to_batches(), size - done
+    if size:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def run_ends(*columns: np.ndarray) -> np.ndarray:
+    """For each row the end of its run of equal values in all ``columns``."""
+    differs = np.zeros(len(columns[0]), dtype=bool)
+    for column in columns:
+        differs[1:] |= column[1:] != column[:-1]
+    edges = np.concatenate(([0], np.flatnonzero(differs), [len(differs)]))
+    return np.repeat(edges[1:], np.diff(edges))
+
+
+def expand_pairs(first: np.ndarray, ends: np.ndarray, pairs: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(left, right) for every row and all rows from its ``first`` to its end, about ``pairs`` at once."""
+    partners = ends - first
+    total, at, n = np.cumsum(partners), 0, len(partners)
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + pairs, side="right")))
+        count = partners[at:to]
+        left = np.repeat(np.arange(at, to), count)
+        yield left, first[left] + np.arange(len(left)) - np.repeat(np.cumsum(count) - count, count)
+        at = to
+
+
+#: Members of a bucket that meet at once when only pairs across components count, and pairs looked at together.
+MEET_AT_ONCE, PAIRS = 4096, 50_000
+
+
+def across_components(members: DataFrame, decode, close, block: int = MEET_AT_ONCE, pairs: int = PAIRS) -> DataFrame:
+    """Distinct pairs (a, b) of members (bucket, node, comp, payload) of one bucket, of different components, that ``close`` lets pass.
+
+    ``decode`` turns a list of payloads into what ``close(decoded, left rows, right rows)`` tells pairs from.
+    """
+    meetings = blocked(members.withColumn("salt", F.col("node")), block=block).drop("salt")
+    meetings = meetings.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "comp")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_runs(batches, ("bucket", "i", "j")):
+            bucket, i, j, own, node, comp = (rows.column(k).to_numpy() for k in ("bucket", "i", "j", "own", "node", "comp"))
+            later = run_ends(bucket, i, j, comp)  # rows of later components in the meeting start here
+            decoded = None
+            for left, right in expand_pairs(later, run_ends(bucket, i, j), pairs):
+                able = (i[left] == j[left]) | (own[left] != own[right])
+                left, right = left[able], right[able]
+                if not len(left):
+                    continue
+                if decoded is None:
+                    decoded = decode(rows.column("payload").to_pylist())
+                near = close(decoded, left, right)
+                x, y = node[left[near]], node[right[near]]
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    return meetings.mapInArrow(compare, _EDGE).distinct()
+
+
+def bucket_pivots(work: Workspace, buckets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members (bucket, node) of buckets with company, distinct pairs (a, b) of each bucket's smallest node a and the others), both written."""
+    crowded = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("pivot")).where("size > 1")
+    crowded = work.write(crowded.select("bucket", "pivot"), "crowded")
+    members = work.write(buckets.join(crowded, "bucket"), "members")
+    pairs = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    return members.select("bucket", "node"), work.write(pairs, "pairs")
+
+
+def mixed_members(work: Workspace, members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members (bucket, node, comp) of the buckets that hold more than one component of ``roots`` (id, root)."""
+    first = roots.select(F.col("id").alias("node"), F.col("root").alias("comp"))
+    placed = work.write(members.join(first, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "placed")
+    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+    return placed.join(work.write(mixed.select("bucket"), "mixed"), "bucket")

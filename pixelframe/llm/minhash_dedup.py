@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .licenses import _WORDS
-from .linkage import blocked, components
+from .linkage import across_components, bucket_pivots, components, mixed_members
 from .runtime import Rows, Workspace, prepare
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -42,9 +42,8 @@ SAMPLES = BANDS * ROWS
 HEAVY = 1e-3
 #: Share of equal samples below which a pair across components isn't compared exactly: over five standard deviations under SIMILARITY.
 LEAST_EQUAL = 0.5
-#: Shingles counted at once by a task, and members of a bucket that meet at once.
-COUNT_AT_ONCE, MEET_AT_ONCE = 2_000_000, 4096
-PAIRS = 50_000
+#: Shingles that a task counts at once.
+COUNT_AT_ONCE = 2_000_000
 SEED = 77
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -312,60 +311,12 @@ def _verified(work: Workspace, docs: DataFrame, classes: DataFrame, pairs: DataF
     return found
 
 
-def _across(members: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of members (bucket, node, comp, samples) of one bucket but different components."""
-    meetings = blocked(members.withColumn("salt", F.col("node")), block=MEET_AT_ONCE).drop("salt")
-    meetings = meetings.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "comp")
-    least = LEAST_EQUAL * SAMPLES
+def _prints(blobs: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), dtype="<u2").reshape(-1, SAMPLES)
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
-
-        def flush(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            column = {k: rows.column(k).to_numpy() for k in ("bucket", "i", "j", "own", "node", "comp")}
-            prints = np.frombuffer(b"".join(rows.column("samples").to_pylist()), dtype="<u2").reshape(-1, SAMPLES)
-            n = len(prints)
-            differs = np.zeros((2, n), dtype=bool)
-            for k in ("bucket", "i", "j"):
-                differs[0, 1:] |= column[k][1:] != column[k][:-1]
-            differs[1, 1:] = differs[0, 1:] | (column["comp"][1:] != column["comp"][:-1])
-            ends = []
-            for d in differs:
-                edges = np.concatenate(([0], np.flatnonzero(d), [n]))
-                ends.append(np.repeat(edges[1:], np.diff(edges)))
-            partners = ends[0] - ends[1]  # those of later components in the meeting
-            total, at = np.cumsum(partners), 0
-            while at < n:
-                to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS, side="right")))
-                count = partners[at:to]
-                left = np.repeat(np.arange(at, to), count)
-                right = ends[1][left] + np.arange(len(left)) - np.repeat(np.cumsum(count) - count, count)
-                able = (column["i"][left] == column["j"][left]) | (column["own"][left] != column["own"][right])
-                left, right = left[able], right[able]
-                near = (prints[left] == prints[right]).sum(axis=1) >= least
-                x, y = column["node"][left[near]], column["node"][right[near]]
-                if len(x):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
-                at = to
-
-        for batch in batches:
-            held.append(batch)
-            size += batch.num_rows
-            if size >= 16_384:
-                whole = pa.Table.from_batches(held).combine_chunks()
-                same = np.ones(size, dtype=bool)
-                for k in ("bucket", "i", "j"):
-                    key = whole.column(k).to_numpy()
-                    same &= key == key[-1]
-                done = size - int(same.sum())
-                if done:
-                    yield from flush(whole.slice(0, done))
-                held, size = whole.slice(done).to_batches(), size - done
-        if size:
-            yield from flush(pa.Table.from_batches(held).combine_chunks())
 
-    return meetings.mapInArrow(compare, "a long, b long").distinct()
+def _close(prints: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return (prints[left] == prints[right]).sum(axis=1) >= LEAST_EQUAL * SAMPLES
 
 
 def _grouped(documents: DataFrame, similarity: float) -> DataFrame:
@@ -379,17 +330,10 @@ def _grouped(documents: DataFrame, similarity: float) -> DataFrame:
     grouped = signed.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first("bands").alias("bands"), F.first("samples").alias("samples"))
     classes = work.write(grouped.withColumn("node", F.xxhash64("t1", "t2")), "classes")
     buckets = classes.select(F.explode("bands").alias("bucket"), "node")
-    crowded = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("pivot")).where("size > 1")
-    crowded = work.write(crowded.select("bucket", "pivot"), "crowded")
-    members = work.write(buckets.join(crowded, "bucket"), "members")
-    pairs = work.write(members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    members, pairs = bucket_pivots(work, buckets)
     links = _verified(work, docs, classes, pairs, weights, similarity)
-    first = components(work, links).select(F.col("id").alias("node"), F.col("root").alias("comp"))
-    placed = work.write(members.select("bucket", "node").join(first, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "placed")
-    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-    mixed = work.write(mixed.select("bucket"), "mixed")
-    rest = placed.join(mixed, "bucket").join(classes.select("node", "samples"), "node")
-    across = work.write(_across(rest.select("bucket", "node", "comp", "samples")), "across")
+    rest = mixed_members(work, members, components(work, links)).join(classes.select("node", "samples"), "node")
+    across = work.write(across_components(rest.select("bucket", "node", "comp", F.col("samples").alias("payload")), _prints, _close), "across")
     across = work.write(across.join(pairs, ["a", "b"], "left_anti"), "across")
     more = _verified(work, docs, classes, across, weights, similarity)
     roots = components(work, links.union(more)).select(F.col("id").alias("node"), "root")
