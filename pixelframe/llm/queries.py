@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chunk_bpe, embedding_dedup, language_id, licenses, minhash_dedup, packing, quality, simple8b, toxicity
+from . import chunk_bpe, embedding_dedup, image_copies, language_id, licenses, minhash_dedup, packing, quality, simple8b, toxicity
 from .runtime import table
 
 
@@ -37,6 +37,10 @@ def op7_toxicity(spark, sf_dir):
     return toxicity.predictions(toxicity.score(docs, model))
 
 
+def op8_image_copies(spark, sf_dir):
+    return image_copies.copies(image_copies.rendered_embeddings(table(spark, sf_dir, "embeddings")))
+
+
 def op9_minhash_dedup(spark, sf_dir):
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
