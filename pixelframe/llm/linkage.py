@@ -19,6 +19,13 @@ from .runtime import Workspace
 BLOCK = 256
 
 
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit."""
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+    return x ^ (x >> np.uint64(33))
+
+
 def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(node, smallest node it is linked to) within the links given, by pointer jumping."""
     nodes, flat = np.unique(np.concatenate((a, b)), return_inverse=True)
@@ -156,22 +163,24 @@ def expand_pairs(first: np.ndarray, ends: np.ndarray, pairs: int) -> Iterator[tu
 
 
 #: Members of a bucket that meet at once when only pairs across components count, and pairs looked at together.
-MEET_AT_ONCE, PAIRS = 4096, 50_000
+MEET_AT_ONCE, PAIRS = 2048, 50_000
 
 
-def across_components(members: DataFrame, decode, close, block: int = MEET_AT_ONCE, pairs: int = PAIRS) -> DataFrame:
-    """Distinct pairs (a, b) of members (bucket, node, comp, payload) of one bucket, of different components, that ``close`` lets pass.
+def across_components(members: DataFrame, decode, linked, block: int = MEET_AT_ONCE, pairs: int = PAIRS) -> DataFrame:
+    """Links (a, b) between members (bucket, node, comp, payload) of one bucket but different components.
 
-    ``decode`` turns a list of payloads into what ``close(decoded, left rows, right rows)`` tells pairs from.
+    ``decode`` turns a list of payloads into what ``linked(decoded, buckets, left rows, right rows)`` tells
+    links from; rows of the same left side come together. A meeting hands over a spanning forest of its
+    links, so that the output doesn't grow with the pairs.
     """
     meetings = blocked(members.withColumn("salt", F.col("node")), block=block).drop("salt")
     meetings = meetings.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "comp")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in whole_runs(batches, ("bucket", "i", "j")):
+        for rows in whole_runs(batches, ("bucket", "i", "j"), MEET_AT_ONCE):
             bucket, i, j, own, node, comp = (rows.column(k).to_numpy() for k in ("bucket", "i", "j", "own", "node", "comp"))
             later = run_ends(bucket, i, j, comp)  # rows of later components in the meeting start here
-            decoded = None
+            decoded, found = None, []
             for left, right in expand_pairs(later, run_ends(bucket, i, j), pairs):
                 able = (i[left] == j[left]) | (own[left] != own[right])
                 left, right = left[able], right[able]
@@ -179,12 +188,30 @@ def across_components(members: DataFrame, decode, close, block: int = MEET_AT_ON
                     continue
                 if decoded is None:
                     decoded = decode(rows.column("payload").to_pylist())
-                near = close(decoded, left, right)
-                x, y = node[left[near]], node[right[near]]
+                near = linked(decoded, bucket, left, right)
+                found.append((node[left[near]], node[right[near]]))
+            if found and sum(len(x) for x, _ in found):
+                a, b = local_roots(*(np.concatenate(side) for side in zip(*found)))
+                yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], names=["a", "b"])
+
+    return meetings.mapInArrow(compare, _EDGE)
+
+
+def pairs_across(members: DataFrame, block: int = MEET_AT_ONCE, pairs: int = PAIRS) -> DataFrame:
+    """All pairs (a < b) of members (bucket, node, comp) of one bucket but different components, once for each bucket they share."""
+    meetings = blocked(members.withColumn("salt", F.col("node")), block=block).drop("salt")
+    meetings = meetings.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "comp")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_runs(batches, ("bucket", "i", "j")):
+            bucket, i, j, own, node, comp = (rows.column(k).to_numpy() for k in ("bucket", "i", "j", "own", "node", "comp"))
+            for left, right in expand_pairs(run_ends(bucket, i, j, comp), run_ends(bucket, i, j), pairs):
+                able = (i[left] == j[left]) | (own[left] != own[right])
+                x, y = node[left[able]], node[right[able]]
                 if len(x):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
-    return meetings.mapInArrow(compare, _EDGE).distinct()
+    return meetings.mapInArrow(meet, _EDGE)
 
 
 def bucket_pivots(work: Workspace, buckets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -192,8 +219,8 @@ def bucket_pivots(work: Workspace, buckets: DataFrame) -> tuple[DataFrame, DataF
     crowded = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("pivot")).where("size > 1")
     crowded = work.write(crowded.select("bucket", "pivot"), "crowded")
     members = work.write(buckets.join(crowded, "bucket"), "members")
-    pairs = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    return members.select("bucket", "node"), work.write(pairs, "pairs")
+    pairs = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    return members.select("bucket", "node"), work.write(pairs.distinct(), "pairs")
 
 
 def mixed_members(work: Workspace, members: DataFrame, roots: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .licenses import _WORDS
-from .linkage import across_components, bucket_pivots, components, mixed_members
+from .linkage import across_components, bucket_pivots, components, mix, mixed_members
 from .runtime import Rows, Workspace, prepare
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -61,13 +61,6 @@ def _powers() -> tuple[np.ndarray, np.ndarray]:
 _UP, _DOWN = _powers()
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers that spreads every bit."""
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
-    return x ^ (x >> np.uint64(33))
-
-
 def word_hashes(raw: bytes) -> np.ndarray:
     """A hash of each word of a text, from differences of a running polynomial of its bytes."""
     text, found, at = raw.translate(_WORDS), [], 0
@@ -263,7 +256,8 @@ def _signed(docs: DataFrame, weights: Weights) -> DataFrame:
                     hashes, counts = shingles(raw)
                     if len(hashes):
                         names = sampler(hashes, weigh(hashes, counts))
-                        found = (bands(names).tolist(), (names & np.uint64(0xFFFF)).astype("<u2").tobytes())
+                        own = bands(names)
+                        found = (own.tolist(), own.astype("<i8").tobytes() + (names & np.uint64(0xFFFF)).astype("<u2").tobytes())
                     else:
                         found = ([], b"")
                     if len(memo) >= REMEMBERED:
@@ -278,10 +272,9 @@ def _signed(docs: DataFrame, weights: Weights) -> DataFrame:
     return docs.mapInArrow(sign, _SIGNED_DDL)
 
 
-def _verified(work: Workspace, docs: DataFrame, classes: DataFrame, pairs: DataFrame, weights: Weights, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (a, b: classes' nodes) whose texts are similar enough, as written."""
+def _profiles(docs: DataFrame, classes: DataFrame, nodes: DataFrame, weights: Weights) -> DataFrame:
+    """(node, profile) of the classes of ``nodes``: whole texts as weighted shingles."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = classes.select("node", F.col("rep").alias("doc_id"), "t1", "t2").join(nodes, "node")
     texts = docs.join(wanted, ["doc_id", "t1", "t2"]).dropDuplicates(["doc_id", "t1", "t2"]).select("node", "raw")
 
@@ -297,26 +290,55 @@ def _verified(work: Workspace, docs: DataFrame, classes: DataFrame, pairs: DataF
         if rows:
             yield rows.batch()
 
-    profiles = work.write(texts.mapInArrow(profile, "node long, profile binary"), "profiles")
-    left = profiles.select(F.col("node").alias("a"), F.col("profile").alias("pa"))
-    right = profiles.select(F.col("node").alias("b"), F.col("profile").alias("pb"))
+    return texts.mapInArrow(profile, "node long, profile binary")
+
+
+def _verified(pairs: DataFrame, profiles: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose texts are similar enough."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = [weighted_jaccard(_unpack(x), _unpack(y)) >= similarity for x, y in zip(batch.column("pa").to_pylist(), batch.column("pb").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    found = work.write(pairs.join(left, "a").join(right, "b").select("a", "b", "pa", "pb").mapInArrow(compare, "a long, b long"), "links")
-    work.drop(profiles)
-    return found
+    sides = pairs.join(profiles.toDF("a", "pa"), "a").join(profiles.toDF("b", "pb"), "b")
+    return sides.select("a", "b", "pa", "pb").mapInArrow(compare, "a long, b long")
 
 
-def _prints(blobs: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), dtype="<u2").reshape(-1, SAMPLES)
+class _Met:
+    """Members of meetings: samples, buckets and profiles, the latter as numbers in a common vocabulary."""
 
+    def __init__(self, payloads: list[bytes]):
+        fixed = 8 * BANDS + 2 * SAMPLES
+        self.bands = np.frombuffer(b"".join(p[: 8 * BANDS] for p in payloads), dtype="<i8").reshape(-1, BANDS)
+        self.prints = np.frombuffer(b"".join(p[8 * BANDS : fixed] for p in payloads), dtype="<u2").reshape(-1, SAMPLES)
+        self.profiles = [_unpack(p[fixed:]) for p in payloads]
+        self.sizes = np.array([len(h) for h, _ in self.profiles])
+        self.total = np.array([w.sum() for _, w in self.profiles])
 
-def _close(prints: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return (prints[left] == prints[right]).sum(axis=1) >= LEAST_EQUAL * SAMPLES
+    def similarities(self, left: int, right: np.ndarray) -> np.ndarray:
+        """Weighted Jaccard similarity of one member to others."""
+        hashes, weights = self.profiles[left]
+        own = np.concatenate([self.profiles[r][0] for r in right])
+        place = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+        both = np.where(hashes[place] == own, np.minimum(weights[place], np.concatenate([self.profiles[r][1] for r in right])), 0.0)
+        starts = np.concatenate(([0], np.cumsum(self.sizes[right])[:-1]))
+        common = np.add.reduceat(both, starts)
+        return common / (self.total[left] + self.total[right] - common)
+
+
+def _linked(similarity: float):
+    def linked(met: _Met, buckets: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        near = (met.prints[left] == met.prints[right]).sum(axis=1) >= LEAST_EQUAL * SAMPLES
+        at = np.flatnonzero(near)
+        first = (met.bands[left[at]] == met.bands[right[at]]).argmax(axis=1)
+        at = at[met.bands[left[at], first] == buckets[left[at]]]  # a pair is compared in its first bucket only
+        out = np.zeros(len(left), dtype=bool)
+        for run in np.split(at, np.flatnonzero(np.diff(left[at])) + 1) if len(at) else ():
+            out[run] = met.similarities(left[run[0]], right[run]) >= similarity
+        return out
+
+    return linked
 
 
 def _grouped(documents: DataFrame, similarity: float) -> DataFrame:
@@ -331,11 +353,12 @@ def _grouped(documents: DataFrame, similarity: float) -> DataFrame:
     classes = work.write(grouped.withColumn("node", F.xxhash64("t1", "t2")), "classes")
     buckets = classes.select(F.explode("bands").alias("bucket"), "node")
     members, pairs = bucket_pivots(work, buckets)
-    links = _verified(work, docs, classes, pairs, weights, similarity)
-    rest = mixed_members(work, members, components(work, links)).join(classes.select("node", "samples"), "node")
-    across = work.write(across_components(rest.select("bucket", "node", "comp", F.col("samples").alias("payload")), _prints, _close), "across")
-    across = work.write(across.join(pairs, ["a", "b"], "left_anti"), "across")
-    more = _verified(work, docs, classes, across, weights, similarity)
+    profiles = work.write(_profiles(docs, classes, members.select("node").distinct(), weights), "profiles")
+    links = work.write(_verified(pairs, profiles, similarity), "links")
+    rest = mixed_members(work, members, components(work, links)).join(profiles, "node").join(classes.select("node", "samples"), "node")
+    payload = F.concat("samples", "profile")
+    more = work.write(across_components(rest.select("bucket", "node", "comp", payload.alias("payload")), _Met, _linked(similarity)), "more")
+    work.drop(profiles)
     roots = components(work, links.union(more)).select(F.col("id").alias("node"), "root")
     named = work.write(classes.select("t1", "t2", "node", "rep", "n_copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
     chosen = named.groupBy("root").agg(F.min(F.struct("rep", "t1", "t2")).alias("chosen"))
@@ -367,4 +390,4 @@ def deduplicate(documents: DataFrame, similarity: float = SIMILARITY) -> DataFra
     keys = ["_k0", "_k1", "_k2"]
     keyed = documents.withColumns({"_k0": F.col("doc_id").cast("long"), "_k1": t1, "_k2": t2})
     known = keyed.where("_k0 IS NOT NULL").join(kept, keys, "left_semi").dropDuplicates(keys)
-    return known.union(keyed.where("_k0 IS NULL")).drop(*keys)
+    return known.unionByName(keyed.where("_k0 IS NULL")).drop(*keys).select(*documents.columns)
