@@ -17,9 +17,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from .hashed_text import DIMENSIONS, LinearScorer, proximal, sigmoid, training_sample
 from .runtime import Rows, held_out, identified_texts, prepare, raw_rows
@@ -96,9 +98,6 @@ def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
 
 def scorer(spark, model: OrdinalModel):
     """The tail probability as a column function of a text column, for filters that keep all columns."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
     shared = spark.sparkContext.broadcast(OrdinalModel(model.weights.astype(np.float32), model.thresholds, model.grades))
 
     @pandas_udf("double")

@@ -17,9 +17,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from .hashed_text import DIMENSIONS, LinearScorer, Offset, proximal, sigmoid, training_sample, word_features
 from .runtime import Rows, held_out, identified_texts, prepare, raw_rows
@@ -101,9 +103,6 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
 
 def scorer(spark, model: tuple[np.ndarray, float]):
     """A column function of a text column, for filters that keep all columns."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
     shared = spark.sparkContext.broadcast((model[0].astype(np.float32), model[1]))
 
     @pandas_udf("double")
