@@ -73,14 +73,10 @@ class ChunkEncoder:
         missing = [c for c in chunks if c not in self.memo]
         if len(self.memo) + len(missing) > self.memo_chunks:
             self.memo, missing = {}, list(chunks)
-        split = [c.split(b" ") for c in missing]
         self.encoded += len(missing)
-        inner = set()
-        for words in split:
-            inner.update(words[1:-1])
-        self.words.learn(inner)
-        find = self.words.memo.__getitem__
-        for chunk, words in zip(missing, split):
+        find = self.words.find()
+        for chunk in missing:
+            words = chunk.split(b" ")
             self.memo[chunk] = (chunk, None, None) if len(words) == 1 else (words[0], b"".join(map(find, words[1:-1])), words[-1])
 
     def encode(self, raws: list[bytes]) -> list[bytes]:
@@ -108,14 +104,11 @@ class ChunkEncoder:
         wanted = set().union(*(c for c in cut if c is not None))
         self.reused += sum(len(c) for c in cut if c is not None) - len(wanted)
         self._learn(wanted)
-        plans, joins = [], set()
-        for chunks in cut:
-            plans.append(None if chunks is None else self._plan(chunks, joins))
-        self.words.learn(joins)
-        find = self.words.memo.__getitem__
+        plans = [None if chunks is None else self._plan(chunks) for chunks in cut]
+        find = self.words.find()
         return [self.words._library(raw.decode("utf-8", "replace")) if plan is None else b"".join([find(x) if word else x for word, x in plan]) for raw, plan in zip(raws, plans)]
 
-    def _plan(self, chunks: list[bytes], joins: set[bytes]) -> list[tuple[bool, bytes]]:
+    def _plan(self, chunks: list[bytes]) -> list[tuple[bool, bytes]]:
         """Parts of a text's ids: (True, a join to be encoded again) and (False, ids that are known)."""
         plan, open_word, find = [], b"", self.memo.__getitem__
         for head, ids, tail in map(find, chunks):
@@ -123,12 +116,10 @@ class ChunkEncoder:
             if ids is None:
                 continue  # no blank in this chunk: the window grows on
             if open_word:
-                joins.add(open_word)
                 plan.append((True, open_word))
             plan.append((False, ids))
             open_word = tail
         if open_word:
-            joins.add(open_word)
             plan.append((True, open_word))
         return plan
 

@@ -44,6 +44,8 @@ _LOW60 = np.uint64((1 << 60) - 1)
 
 
 def _bit_lengths(values: np.ndarray) -> np.ndarray:
+    if values.max() < 1 << 16:
+        return _BITS16[values.astype(np.int64)]
     bits, rest = np.zeros(len(values), dtype=np.uint8), values
     for step in range(4):
         part = _BITS16[(rest & np.uint64(0xFFFF)).astype(np.int64)]
@@ -71,8 +73,9 @@ def encode_block(values: np.ndarray) -> tuple[np.ndarray, int]:
         whole = windows[power]
         return whole if power == count else np.maximum(whole[: n - count + 1], whole[count - power :])
 
+    narrow = np.cumsum(np.bincount(bits, minlength=65))  # values of at most so many bits
     for count, width in reversed(SELECTORS):
-        if 1 < count <= n:
+        if 1 < count <= n and narrow[width] >= count:
             fits = window(count) <= width
             best[: n - count + 1][fits] = count
     counts, starts, at = best.tolist(), [], 0

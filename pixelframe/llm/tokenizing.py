@@ -16,8 +16,8 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Entries of a worker's word memo; beyond it the memo starts anew.
-MEMO_WORDS = 600_000
+#: Entries of a worker's word memo; beyond it a new generation begins, and words of the one before move over as they come up.
+MEMO_WORDS = 250_000
 #: ASCII capitals to lower case and ASCII white space to a blank: what the normaliser does too.
 _FOLD = bytes(32 if 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ADDED_MARK = b"<|"
@@ -41,6 +41,18 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class _Memo(dict):
+    """Ids by word; a word that isn't known yet is encoded when it is asked for."""
+
+    def __init__(self, make):
+        super().__init__({b"": b""})
+        self.make = make
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self[word] = self.make(word)
+        return ids
+
+
 class WordEncoder:
     def __init__(self, path: str, memo_words: int = MEMO_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -49,8 +61,8 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.model = self.tokenizer.model
-        self.memo_words, self.memo = memo_words, {b"": b""}
+        self.tokenize = self.tokenizer.model.tokenize
+        self.memo_words, self.memo, self.older = memo_words, _Memo(self._word), {}
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self._coded = [i.to_bytes(4, "little") for i in range(size)]
         self._tokens = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
@@ -58,44 +70,39 @@ class WordEncoder:
     def _library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def learn(self, words: set[bytes]) -> None:
-        """Put every word of ``words`` into the memo."""
-        missing = words.difference(self.memo)
-        if len(self.memo) + len(missing) > self.memo_words:
-            self.memo = {b"": b""}
-            missing = words - {b""}
-        memo, hard = self.memo, []
-        for word in missing:
-            letters = word.rstrip(_MARKS)
-            ids = memo.get(letters) if letters else None
-            if ids is None:
-                ids = self._plain(letters)
-                if ids is None:
-                    hard.append(word)
-                    continue
-            if len(letters) != len(word):
-                marks = word[len(letters) :]
-                if marks not in memo:
-                    memo[marks] = self._library(marks.decode())
-                ids += memo[marks]
-            memo[word] = ids
-        for at in range(0, len(hard), 4096):
-            part = hard[at : at + 4096]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                memo[word] = b"".join([self._coded[i] for i in e.ids])
-
-    def _plain(self, letters: bytes) -> bytes | None:
-        """Ids of lower-case letters by the BPE model alone; None if the whole chain is needed."""
-        if letters.isalpha():
+    def find(self):
+        """The ids of a word, as a function; good for a few thousand texts, then ask again."""
+        if len(self.memo) > self.memo_words:
+            self.older, self.memo = self.memo, _Memo(self._word)
+        return self.memo.__getitem__
+
+    def _word(self, word: bytes) -> bytes:
+        ids = self.older.get(word)
+        if ids is not None:
+            return ids
+        letters = word.rstrip(_MARKS)
+        if len(letters) != len(word):
+            # The letters of a plain word, then its marks, which are a word of their own.
+            if letters and self._is_plain(letters):
+                return self.memo[letters] + self.memo[word[len(letters) :]]
+            return self._library(word.decode("utf-8", "replace"))
+        if letters.isalpha():  # ASCII
             text = letters.decode()
-        else:
-            if not letters or letters.isascii():
-                return None
-            text = letters.decode("utf-8", "replace")
-            if not text.isalpha() or max(text) >= "\u0180" or not text.islower() or not unicodedata.is_normalized("NFC", text):
-                return None
+        elif self._is_plain(letters):
             text = letters.decode("latin-1").translate(_BYTE_CHARACTERS)
-        return b"".join([self._coded[t.id] for t in self.model.tokenize(text)])
+        else:
+            return self._library(word.decode("utf-8", "replace"))
+        coded = self._coded
+        return b"".join([coded[t.id] for t in self.tokenize(text)])
+
+    @staticmethod
+    def _is_plain(letters: bytes) -> bool:
+        if letters.isalpha():
+            return True
+        if letters.isascii():
+            return False
+        text = letters.decode("utf-8", "replace")
+        return text.isalpha() and max(text) < "\u0180" and text.islower() and unicodedata.is_normalized("NFC", text)
 
     @staticmethod
     def words(raw: bytes) -> list[bytes]:
@@ -103,18 +110,11 @@ class WordEncoder:
 
     def encode(self, raws: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [None if _ADDED_MARK in raw else self.words(raw) for raw in raws]
-        out, at = [], 0
-        while at < len(split):  # a group of texts whose words certainly fit the memo
-            end, total = at, 0
-            while end < len(split) and (end == at or total < self.memo_words // 4):
-                total += len(split[end] or ())
-                end += 1
-            self.learn(set().union(*(w for w in split[at:end] if w is not None)))
-            find = self.memo.__getitem__
-            for raw, words in zip(raws[at:end], split[at:end]):
-                out.append(self._library(raw.decode("utf-8", "replace")) if words is None else b"".join(map(find, words)))
-            at = end
+        out = []
+        for at, raw in enumerate(raws):
+            if at % 64 == 0:
+                find = self.find()
+            out.append(self._library(raw.decode("utf-8", "replace")) if _ADDED_MARK in raw else b"".join(map(find, self.words(raw))))
         return out
 
     def decode(self, ids: np.ndarray) -> str:
