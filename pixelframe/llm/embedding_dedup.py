@@ -154,6 +154,7 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
         joined = work.write(joined.withColumn("links", F.coalesce("links", F.lit(0))), "classes")
         smallest = joined.groupBy("root").agg(F.min("rep").alias("component"))
         linked = work.write(joined.join(smallest, "root").select("h1", "h2", "n", "links", "component"), "linked")
+        work.keep_only(linked)
     out = keyed.select("vec_id", "h1", "h2").join(linked, ["h1", "h2"], "left")
     component = F.coalesce("component", "vec_id")
     return out.select(

@@ -364,6 +364,7 @@ def _grouped(documents: DataFrame, similarity: float) -> DataFrame:
     chosen = named.groupBy("root").agg(F.min(F.struct("rep", "t1", "t2")).alias("chosen"))
     named = named.join(chosen, "root").select("t1", "t2", "n_copies", "rep", F.col("chosen.rep").alias("component_id"), (F.struct("rep", "t1", "t2") == F.col("chosen")).alias("first"))
     named = work.write(named, "groups")
+    work.keep_only(signed, named)
     found = signed.select("doc_id", "t1", "t2").join(named, ["t1", "t2"])
     return found.select("doc_id", "t1", "t2", "component_id", (F.col("first") & (F.col("doc_id") == F.col("rep"))).alias("kept"), "n_copies")
 

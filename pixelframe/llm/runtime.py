@@ -58,6 +58,7 @@ class Workspace:
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._count = 0
+        self._written: list[DataFrame] = []
 
     def new_path(self, label: str) -> str:
         self._count += 1
@@ -69,6 +70,7 @@ class Workspace:
         frame.write.mode("overwrite").option("compression", "zstd").parquet(path)
         read = self.spark.read.schema(frame.schema).parquet(path)
         read._pixelframe_path = path
+        self._written.append(read)
         return read
 
     def drop(self, *frames: DataFrame) -> None:
@@ -77,6 +79,11 @@ class Workspace:
         for frame in frames:
             path = jvm.org.apache.hadoop.fs.Path(frame._pixelframe_path)
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            self._written = [kept for kept in self._written if kept is not frame]
+
+    def keep_only(self, *frames: DataFrame) -> None:
+        """Delete every table but those that the result still reads."""
+        self.drop(*(f for f in self._written if not any(f is kept for kept in frames)))
 
 
 def held_out(doc_id: str = "doc_id"):
