@@ -51,6 +51,18 @@ def contiguous(rows: DataFrame, keys: list[str], number: str) -> DataFrame:
     return rows.groupBy(*keys).agg(((F.min(number) == 1) & (F.max(number) == F.count(F.lit(1))) & (F.count_distinct(number) == F.count(F.lit(1)))).alias("contiguous"))
 
 
+def quality_series(rows: DataFrame, keys: list[str], order: str, psnr: str, size: str, least: float, spread: float) -> DataFrame:
+    """Per series of rising quality settings: whether every PSNR reaches ``least``, none falls, their range is at least ``spread`` and sizes strictly rise."""
+    window = Window.partitionBy(*keys).orderBy(order)
+    steps = rows.withColumns({"_p": F.lag(psnr).over(window), "_s": F.lag(size).over(window)})
+    return steps.groupBy(*keys).agg(
+        F.bool_and(F.col(psnr) >= least).alias("reaches"),
+        F.bool_and(F.coalesce(F.col(psnr) >= F.col("_p"), F.lit(True))).alias("never_falls"),
+        (F.max(psnr) - F.min(psnr) >= spread).alias("spreads"),
+        F.bool_and(F.coalesce(F.col(size) > F.col("_s"), F.lit(True))).alias("grows"),
+    )
+
+
 def equal_tables(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows (with multiplicity) that only one of two tables of one schema holds."""
     a = left.exceptAll(right).withColumn("side", F.lit("left"))

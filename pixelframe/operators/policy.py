@@ -30,6 +30,18 @@ def exposure(rows: DataFrame, keys: list[str], order: str, offset: str, total: s
     return per.select(*keys, "generation_count", half_up(F.col("_area") * F.lit(1_000_000), F.col("_channels") * F.col("_seen")).alias("exposure_mse_micro"), ppm(F.col("_gap"), F.col("_total")).alias("maximum_gap_ppm"))
 
 
+def summary(per_series: DataFrame, keys: list[str], last_psnr: str) -> DataFrame:
+    """Per policy over its series: mean and worst exposure, largest gap, lowest last quality, mean number of previews in millionths."""
+    n = F.count(F.lit(1))
+    return per_series.groupBy(*keys).agg(
+        half_up(F.sum("exposure_mse_micro"), n).alias("mean_exposure_micro"),
+        F.max("exposure_mse_micro").alias("worst_exposure_micro"),
+        F.max("maximum_gap_ppm").alias("maximum_gap_ppm"),
+        F.min(last_psnr).alias("minimum_last_psnr"),
+        half_up(F.sum("generation_count") * 1_000_000, n).alias("mean_generations_micro"),
+    )
+
+
 def emitted(policies: DataFrame, scans: DataFrame, scan: str, final: str) -> DataFrame:
     """Scans at which a policy emits: those of its thresholds that come before the final scan. Policies are a bounded enumeration."""
     return scans.crossJoin(F.broadcast(policies)).where(F.array_contains("thresholds", F.col(scan)) & (F.col(scan) < F.col(final)))

@@ -332,6 +332,21 @@ def exposure_weighted_mean(spark, sf_dir):
     return policy.exposure(rows, ["user_id"], "off", "off", "total", "se", "channels")
 
 
+@query(f"""SELECT policy, (CAST(sum(x) AS BIGINT) + count(*) // 2) // count(*) AS mean_exposure_micro, max(x) AS worst_exposure_micro, max(g) AS maximum_gap_ppm, min(q) AS minimum_last_psnr, (CAST(sum(n) AS BIGINT) * 1000000 + count(*) // 2) // count(*) AS mean_generations_micro FROM (
+  SELECT user_id % 4 AS policy, CAST(count(*) AS BIGINT) AS n, CAST((sum(se * span) * 1000000 + max(channels) * sum(span) // 2) // (max(channels) * sum(span)) AS BIGINT) AS x, CAST(least(1000000, max(span) * 1000000 // max(total)) AS BIGINT) AS g, CAST(count(*) * 7 % 100 AS BIGINT) AS q
+  FROM (SELECT *, coalesce(lead(off) OVER (PARTITION BY user_id ORDER BY off), total) - off AS span FROM {_SERIES}) GROUP BY user_id) GROUP BY policy""")
+def policy_summary(spark, sf_dir):
+    rows = exposure_weighted_mean(spark, sf_dir).withColumns({"policy": F.col("user_id") % 4, "last": F.col("generation_count") * 7 % 100})
+    return policy.summary(rows, ["policy"], "last")
+
+
+@query(f"""SELECT k, bool_and(cents >= 200000) AS reaches, bool_and(coalesce(cents >= p, true)) AS never_falls, max(cents) - min(cents) >= 4000000 AS spreads, bool_and(coalesce(line > s, true)) AS grows FROM (
+  SELECT *, lag(cents) OVER w AS p, lag(line) OVER w AS s FROM (SELECT l_orderkey % 500 AS k, line, max(cents) AS cents FROM {_LINES} GROUP BY ALL) WINDOW w AS (PARTITION BY k ORDER BY line)) GROUP BY k""")
+def quality_series(spark, sf_dir):
+    rows = _lines(spark, sf_dir).groupBy((F.col("l_orderkey") % 500).alias("k"), "line").agg(F.max("cents").alias("cents"))
+    return joins.quality_series(rows, ["k"], "line", "cents", "line", 200_000, 4_000_000)
+
+
 @query("SELECT [1, a, b, c] AS thresholds FROM range(2, 10) x(a), range(2, 10) y(b), range(2, 10) z(c) WHERE a < b AND b < c")
 def policy_enumeration(spark, sf_dir):
     return policy.enumerate_policies(spark).select(F.transform("thresholds", lambda x: x.cast("long")).alias("thresholds"))

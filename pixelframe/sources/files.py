@@ -28,6 +28,16 @@ def image_files(spark: SparkSession, path: str, cap: int | None = None, pattern:
     return files.select("path", "length", "content")
 
 
+def decoded_files(spark: SparkSession, path: str) -> DataFrame:
+    """Pixels of JPEG, PNG and GIF files by Spark's image source: path, width, height, channels, pixels (rows of BGR or BGRA) and failure.
+
+    The source takes files that a container walk refuses, so probe first and join on the path.
+    """
+    rows = spark.read.format("image").option("dropInvalid", "false").load(path).select("image.*")
+    bad = F.col("width") <= 0
+    return rows.select(F.col("origin").alias("path"), "width", "height", F.col("nChannels").alias("channels"), F.when(~bad, F.col("data")).alias("pixels"), F.when(bad, F.lit("decodeFailed")).alias("failure"))
+
+
 def oversized(spark: SparkSession, path: str, cap: int) -> DataFrame:
     """Files beyond the cap with their failure; content isn't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
