@@ -9,11 +9,11 @@ documents are counted for the candidates. Their number is bounded by the mean nu
 document over HEAVY, whatever the number of documents.
 
 Improved consistent weighted sampling draws SAMPLES samples (shingle, step) whose chance to agree is the
-weighted Jaccard similarity; gamma and uniform variates come from a hash of the shingle through
+weighted Jaccard similarity, so that common passages hardly ever make buckets; gamma and uniform variates come from a hash of the shingle through
 quantile tables. Samples are banded into buckets. In each bucket all members are first
 compared to one pivot; buckets that still hold several components then compare all pairs across
 components, in blocks, with a look at the samples before the exact comparison. Every link is verified
-by weighted Jaccard similarity of the whole texts. Equal texts are one class.
+by weighted Jaccard similarity of the whole texts, with the idf damped. Equal texts are one class.
 
 Null and empty texts and texts without words link with nothing but equal texts (null counts as
 empty). Rows with a null doc_id are no part of any group: their component is null and they are kept.
@@ -40,8 +40,12 @@ BANDS, ROWS = 12, 4
 SAMPLES = BANDS * ROWS
 #: Share of documents from which on a shingle's document frequency is told exactly.
 HEAVY = 1e-3
-#: Share of equal samples below which a pair across components isn't compared exactly: over five standard deviations under SIMILARITY.
-LEAST_EQUAL = 0.5
+#: Power of the idf in the weights that links are verified by. A large group of near copies makes its own shingles frequent;
+#: at full strength its members' few rare shingles would outweigh all that they share.
+DAMPING = 0.125
+#: Share of equal samples below which a pair across components isn't compared exactly. Links between members of a large group may
+#: agree in 0.6 of their full-strength weights; this is more than three standard deviations below.
+LEAST_EQUAL = 0.35
 #: Shingles that a task counts at once.
 COUNT_AT_ONCE = 2_000_000
 SEED = 77
@@ -102,7 +106,12 @@ class Weights:
         self.idf = np.log1p(np.minimum(documents / np.maximum(frequency, 1), 1 / HEAVY))
         self.other = math.log1p(1 / HEAVY)
 
+    def damped(self, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The weights that links are verified by."""
+        return counts * (self(hashes, np.ones(len(hashes))) ** DAMPING)
+
     def __call__(self, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The weights that samples are drawn by."""
         idf = np.full(len(hashes), self.other)
         if len(self.heavy) and len(hashes):
             place = np.minimum(np.searchsorted(self.heavy, hashes), len(self.heavy) - 1)
@@ -283,7 +292,7 @@ def _profiles(docs: DataFrame, classes: DataFrame, nodes: DataFrame, weights: We
         for batch in batches:
             for node, raw in zip(batch.column("node").to_pylist(), batch.column("raw").to_pylist()):
                 hashes, counts = shingles(raw)
-                blob = _profile(hashes, shared.value(hashes, counts))
+                blob = _profile(hashes, shared.value.damped(hashes, counts))
                 rows.add(node, blob, size=len(blob))
                 if rows.full:
                     yield rows.batch()

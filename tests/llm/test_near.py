@@ -95,7 +95,7 @@ def text_groups(docs):
             counts[h] = counts.get(h, 0) + 1
     heavy = sorted(h for h, n in counts.items() if n >= minhash_dedup.HEAVY * len(docs))
     weigh = minhash_dedup.Weights(np.array(heavy, dtype=np.uint64), np.array([counts[h] for h in heavy], dtype=float), len(docs))
-    weighted = {i: (h, weigh(h, c)) for i, (h, c) in profiles.items()}
+    weighted = {i: (h, weigh.damped(h, c)) for i, (h, c) in profiles.items()}
     ids = sorted(weighted)
     links = [(a, b) for x, a in enumerate(ids) for b in ids[x + 1 :] if minhash_dedup.weighted_jaccard(weighted[a], weighted[b]) >= minhash_dedup.SIMILARITY]
     texts = {}
