@@ -18,6 +18,8 @@ import numpy as np
 
 #: Entries of a worker's word memo; beyond it a new generation begins, and words of the one before move over as they come up.
 MEMO_WORDS = 250_000
+#: Longer words, in bytes, are encoded each time, so that entries stay small.
+MEMO_WORD_BYTES = 256
 #: ASCII capitals to lower case and ASCII white space to a blank: what the normaliser does too.
 _FOLD = bytes(32 if 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ADDED_MARK = b"<|"
@@ -49,7 +51,9 @@ class _Memo(dict):
         self.make = make
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = self[word] = self.make(word)
+        ids = self.make(word)
+        if len(word) <= MEMO_WORD_BYTES:
+            self[word] = ids
         return ids
 
 
