@@ -22,8 +22,8 @@ DIMENSIONS = 1 << 18
 PREFIXES = (3, 4, 5, 6, 8)
 #: Steps of the ladder of shares: 1/2, 1/4, ... of all tokens.
 SHARE_STEPS = 7
-#: Entries of a worker's memo.
-MEMO_WORDS = 400_000
+#: Entries of a worker's memo, and the bytes of a word up to which it is remembered.
+MEMO_WORDS, MEMO_WORD_BYTES = 100_000, 256
 
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _SHAPE = bytes(ord("A") if 65 <= c <= 90 else ord("a") if c >= 128 or 97 <= c <= 122 else ord("0") if 48 <= c <= 57 else c for c in range(256))
@@ -62,18 +62,22 @@ class Featurizer:
         for shape, n in counts.items():
             short = self.collapsed.get(shape)
             if short is None:
-                short = self.collapsed[shape] = _collapsed(shape)
+                short = _collapsed(shape)
+                if len(shape) <= MEMO_WORD_BYTES:
+                    self.collapsed[shape] = short
             shapes[short] += n
         return [_number(b"s%d" % k, shape) for shape, n in shapes.items() for k in range(1, SHARE_STEPS + 1) if n and n << k >= total]
 
     def __call__(self, raw: bytes) -> np.ndarray:
         found: list[int] = []
-        if len(self.memo) > MEMO_WORDS:
+        if len(self.memo) > MEMO_WORDS // 4:  # entries hold all of a word's features
             self.memo = {}
         for word in self.words(raw):
             features = self.memo.get(word)
             if features is None:
-                features = self.memo[word] = word_features(word)
+                features = word_features(word)
+                if len(word) <= MEMO_WORD_BYTES:
+                    self.memo[word] = features
             found += features
         if self.shapes:
             found += self.shares(raw)
@@ -93,7 +97,9 @@ class LinearScorer:
         for word in self.features.words(raw):
             numbers = self.memo.get(word)
             if numbers is None:
-                numbers = self.memo[word] = tuple(i for i in word_features(word) if self.weights[i])
+                numbers = tuple(i for i in word_features(word) if self.weights[i])
+                if len(word) <= MEMO_WORD_BYTES:
+                    self.memo[word] = numbers
             if numbers:
                 live.update(numbers)
         if self.features.shapes:
@@ -106,17 +112,27 @@ class Sparse:
 
     def __init__(self, rows: list[np.ndarray], values: list[np.ndarray] | None = None):
         self.sizes = np.array([len(r) for r in rows], dtype=np.int64)
-        self.index = np.concatenate(rows).astype(np.int64) if rows else np.empty(0, dtype=np.int64)
-        self.row = np.repeat(np.arange(len(rows)), self.sizes)
+        self.index, at = np.empty(int(self.sizes.sum()), dtype=np.int64), 0
+        for row in rows:
+            self.index[at : at + len(row)] = row
+            at += len(row)
         self.values = None if values is None else np.concatenate(values)
-        self.n = len(rows)
+        self.n, self.filled = len(rows), self.sizes > 0
+        self.starts = (np.cumsum(self.sizes) - self.sizes)[self.filled]
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        part = w[self.index] if self.values is None else w[self.index] * self.values
-        return np.bincount(self.row, weights=part, minlength=self.n)
+        part = w[self.index]
+        if self.values is not None:
+            part *= self.values
+        out = np.zeros(self.n)
+        if len(self.starts):
+            out[self.filled] = np.add.reduceat(part, self.starts)
+        return out
 
     def transposed_dot(self, g: np.ndarray, size: int) -> np.ndarray:
-        part = g[self.row] if self.values is None else g[self.row] * self.values
+        part = np.repeat(g, self.sizes)
+        if self.values is not None:
+            part *= self.values
         return np.bincount(self.index, weights=part, minlength=size)
 
 
@@ -141,7 +157,10 @@ def proximal(rows: list[np.ndarray], weight: np.ndarray, slope, l1: float, steps
     difference rows (numbers, values) whose mean squared score is penalised by ``pair_weight``.
     Features of fewer than three rows get no weight, unless a pair needs them.
     """
-    known = np.bincount(np.concatenate(rows), minlength=DIMENSIONS) >= 3
+    seen = np.zeros(DIMENSIONS, dtype=np.int64)
+    for row in rows:
+        seen[row] += 1  # a row holds a feature once
+    known = seen >= 3
     for index, _ in pairs:
         known[index] = True
     live = np.flatnonzero(known)
@@ -149,7 +168,7 @@ def proximal(rows: list[np.ndarray], weight: np.ndarray, slope, l1: float, steps
     if not len(live):
         slope(np.zeros(len(rows)))
         return weights
-    at = np.full(DIMENSIONS, -1, dtype=np.int64)
+    at = np.full(DIMENSIONS, -1, dtype=np.int32)
     at[live] = np.arange(len(live))
     x = Sparse([at[f[known[f]]] for f in rows])
     d = Sparse([at[i] for i, _ in pairs], [v for _, v in pairs]) if pairs else None
