@@ -199,7 +199,7 @@ def heavy_shingles(docs: DataFrame, total: int) -> Weights:
             value.sort()
             first = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))
             count = np.diff(np.append(first, len(value)))
-            kept = count >= max(2, math.ceil(least * seen)) if total * HEAVY > 1 else count >= 1
+            kept = count >= max(2, math.ceil(least * seen)) if total * HEAVY >= 1 else count >= 1
             return pa.RecordBatch.from_arrays([pa.array(value[first][kept].view(np.int64)), pa.array(count[kept])], names=["shingle", "n"])
 
         for batch in batches:
@@ -232,7 +232,7 @@ def heavy_shingles(docs: DataFrame, total: int) -> Weights:
         if kept.any():
             yield pa.RecordBatch.from_arrays([pa.array(wanted[kept].view(np.int64)), pa.array(sums[kept])], names=["shingle", "n"])
 
-    counted = docs.select("raw").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= HEAVY * total).collect()
+    counted = docs.select("raw").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") > HEAVY * total).collect()  # at HEAVY the weight is the largest anyway
     pairs = sorted((int(np.int64(r["shingle"]).view(np.uint64)), r["n"]) for r in counted)
     return Weights(np.array([s for s, _ in pairs], dtype=np.uint64), np.array([n for _, n in pairs], dtype=np.float64), total)
 
