@@ -9,7 +9,7 @@ documents are counted for the candidates. Their number is bounded by the mean nu
 document over HEAVY, whatever the number of documents.
 
 Improved consistent weighted sampling draws SAMPLES samples (shingle, step) whose chance to agree is the
-weighted Jaccard similarity, so that common passages hardly ever make buckets; gamma and uniform variates come from a hash of the shingle through
+weighted Jaccard similarity that links are verified by; gamma and uniform variates come from a hash of the shingle through
 quantile tables. Samples are banded into buckets. In each bucket all members are first
 compared to one pivot; buckets that still hold several components then compare all pairs across
 components, in blocks, with a look at the samples before the exact comparison. Every link is verified
@@ -43,8 +43,7 @@ HEAVY = 1e-3
 #: Power of the idf in the weights that links are verified by. A large group of near copies makes its own shingles frequent;
 #: at full strength its members' few rare shingles would outweigh all that they share.
 DAMPING = 0.125
-#: Share of equal samples below which a pair across components isn't compared exactly. Links between members of a large group may
-#: agree in 0.6 of their full-strength weights; this is more than three standard deviations below.
+#: Share of equal samples below which a pair across components isn't compared exactly: over seven standard deviations under SIMILARITY.
 LEAST_EQUAL = 0.35
 #: Shingles that a task counts at once.
 COUNT_AT_ONCE = 2_000_000
@@ -107,11 +106,11 @@ class Weights:
         self.other = math.log1p(1 / HEAVY)
 
     def damped(self, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """The weights that links are verified by."""
+        """The weights that samples are drawn and links verified by."""
         return counts * (self(hashes, np.ones(len(hashes))) ** DAMPING)
 
     def __call__(self, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """The weights that samples are drawn by."""
+        """The weights at full strength."""
         idf = np.full(len(hashes), self.other)
         if len(self.heavy) and len(hashes):
             place = np.minimum(np.searchsorted(self.heavy, hashes), len(self.heavy) - 1)
@@ -264,7 +263,7 @@ def _signed(docs: DataFrame, weights: Weights) -> DataFrame:
                 if found is None:
                     hashes, counts = shingles(raw)
                     if len(hashes):
-                        names = sampler(hashes, weigh(hashes, counts))
+                        names = sampler(hashes, weigh.damped(hashes, counts))
                         own = bands(names)
                         found = (own.tolist(), own.astype("<i8").tobytes() + (names & np.uint64(0xFFFF)).astype("<u2").tobytes())
                     else:

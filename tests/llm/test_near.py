@@ -131,6 +131,18 @@ def test_texts_by_brute_force(spark, docs, rows):
     assert left == sorted([*{*expected.values()}, None, None], key=str)
 
 
+def test_pairs_that_share_mostly_a_common_passage(spark, docs):
+    passage = [f"p{k}" for k in range(79)]
+    texts = [(2 * k + side, " ".join(passage + [f"s{k}x{j}" for j in range(5)] + [f"o{k}x{side}x{j}" for j in range(8)])) for k in range(60) for side in (0, 1)]
+    texts += [(1000 + k, " ".join(f"f{k}x{j}" for j in range(30))) for k in range(240)]
+    expected = text_groups(texts)
+    assert sum(expected[2 * k + 1] == 2 * k for k in range(60)) == 60
+    frame = spark.createDataFrame([(i, t, None, None, None, 0.0, "") for i, t in texts], docs.schema)
+    found = {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(frame).collect()}
+    assert sum(found[2 * k + 1] == 2 * k for k in range(60)) == 60
+    assert found == expected
+
+
 def test_texts_of_nothing(empty):
     assert minhash_dedup.near_duplicates(empty).count() == 0 and minhash_dedup.deduplicate(empty).count() == 0
 
