@@ -494,7 +494,7 @@ def network_arrivals(spark, sf_dir):
 
 @query()
 def container_probe(spark, sf_dir):
-    """Every page as an image file: PNG pictures of its text's bytes, some spoiled; probed and admitted."""
+    """Every page as an image file: PNG pictures of all its text's bytes, some spoiled; probed and admitted."""
     from ..operators.probe import probe
 
     return probe(_page_images(spark, sf_dir))
@@ -535,11 +535,17 @@ def simulation_matrix(spark, sf_dir):
 
 
 def _page_images(spark, sf_dir) -> DataFrame:
+    """Pages as pictures of all bytes of their texts, 48 pixels wide and as high as needed (wider above the dimension limit), blanks at the end."""
+    highest = DecodeLimits().dimension
+
     def pictures(ids: pd.Series, html: pd.Series) -> pd.Series:
         out = []
         for page, text in zip(ids, html):
-            data = np.frombuffer((text or " ").encode()[:48 * 16 * 3].ljust(48 * 16 * 3), dtype=np.uint8)
-            blob = encode_png(data.reshape(16, 48, 3), ((b"sRGB", b"\0"), (b"tEXt", b"Title\0" + str(page).encode())))
+            data = (text or " ").encode()
+            width = 48 * max(1, -(-len(data) // (48 * 3 * highest)))
+            height = max(16, -(-len(data) // (width * 3)))
+            raster = np.frombuffer(data.ljust(width * height * 3), dtype=np.uint8).reshape(height, width, 3)
+            blob = encode_png(raster, ((b"sRGB", b"\0"), (b"tEXt", b"Title\0" + str(page).encode())))
             out.append(blob[:-1] if page % 10 == 9 else blob)
         return pd.Series(out, dtype=object)
 

@@ -6,7 +6,8 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from pixelframe.plans.queries import ORACLE_SQL, QUERIES
+from pixelframe.functions.pixels import decode
+from pixelframe.plans.queries import ORACLE_SQL, QUERIES, _page_images
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -50,6 +51,15 @@ def test_runs(name, spark, sf_dir):
     assert QUERIES[name](spark, sf_dir).count() > 0
 
 
+def test_page_images_hold_every_byte(spark, tmp_path):
+    texts = [None, "", "short", "x" * 2304, "x" * 2304 + "y", "é" * 9000 + "end", "z" * 3_000_000 + "end"]
+    spark.createDataFrame([(10 * i, t) for i, t in enumerate(texts)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    made = {r["page_id"]: decode(bytes(r["content"])) for r in _page_images(spark, str(tmp_path)).collect()}
+    assert {i: p.tobytes().rstrip(b" ") for i, p in made.items()} == {10 * i: (t or "").encode() for i, t in enumerate(texts)}
+    decoded = QUERIES["decode_and_encode"](spark, str(tmp_path)).collect()
+    assert len(decoded) == len(texts) and all(r["failure"] is None for r in decoded)
+
+
 def test_entry(spark):
     import __spark_entry__
 
