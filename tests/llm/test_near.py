@@ -193,6 +193,29 @@ def test_edited_and_cropped_pictures(spark):
     assert image_copies.copies(frame.where("false")).count() == 0
 
 
+def test_crops_and_rescales_of_large_pictures(spark):
+    rows, expected = [], {}
+    for k in range(2):
+        image = picture(100 + k, 700, 900)
+        versions = [image, image[35:665, 45:855], image[101:451, 203:653], image[201:411, 303:573], resized(image, 630, 490), resized(image, 225, 175)]
+        for v, version in enumerate(versions):
+            rows.append((10 * k + v, encode_png(np.ascontiguousarray(version))))
+            expected[10 * k + v] = 10 * k
+    found = image_copies.copies(spark.createDataFrame(rows, "image_id long, image binary").repartition(3)).collect()
+    assert {r["image_id"]: r["component_id"] for r in found} == expected
+
+
+def test_long_matches_in_parts(monkeypatch):
+    image = picture(3)
+    a, b = image_copies.features(image), image_copies.features(image[12:140, 20:180])
+    whole = image_copies.agreeing(a, b)
+    monkeypatch.setattr(image_copies, "CELLS", 300)
+    monkeypatch.setattr(image_copies, "STRIP", 40)
+    again = image_copies.features(image)
+    assert np.array_equal(a[0], again[0]) and np.array_equal(a[1], again[1])
+    assert image_copies.agreeing(a, b) == whole >= image_copies.AGREE
+
+
 def test_rendered_vectors(spark):
     frame = spark.createDataFrame([(1, [0.5, -1.0, 2.0, 0.1]), (2, None), (3, [float("nan")])], "vec_id long, embedding array<float>")
     found = {r["image_id"]: r["image"] for r in image_copies.rendered_embeddings(frame).collect()}
