@@ -7,7 +7,8 @@ come from swapping the second largest coordinate in. Vectors that meet, at least
 probe, are compared by cosine in double precision.
 
 ``k`` grows with the logarithm of the number of vectors, so that buckets keep their mean size, and
-the number of tables follows from k and MISS. Equal vectors are one class with a multiplicity.
+the number of tables follows from MISS and from how often a table finds a pair at the threshold, which
+a short simulation tells for the vectors' length and k. Equal vectors are one class with a multiplicity.
 Large buckets are dealt out in pairs of blocks. A pair that meets more than once counts at its first
 meeting, which both vectors' hashes tell; a block hands over sums of links by vector and a spanning
 forest, never its pairs.
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,21 +37,13 @@ from .runtime import Workspace, prepare
 COSINE = 0.9
 #: Aimed mean bucket size, and the share of pairs at the threshold that all tables may miss.
 BUCKET, MISS = 8, 0.001
-#: Chance that a vector's probes hold the vertex of one at cosine 0.9 (64 dimensions, two probes).
-VERTEX_RECALL = 0.66
+#: Pairs at the threshold, and tables they are looked for in, by which a table's share of found pairs is told.
+TRIED, TRIED_TABLES = 1_000, 4
 SEED = 20_240_229
 #: Pairs compared at once.
 PAIRS = 50_000
 
 
-def tables_for(n: int, dimension: int) -> tuple[int, int]:
-    """(k, number of tables) for ``n`` vectors."""
-    vertices = 2 * (1 << max(0, dimension - 1).bit_length())
-    k = max(1, math.ceil(math.log(max(2.0, n / BUCKET)) / math.log(vertices)))
-    found = 1 - (1 - VERTEX_RECALL**k) ** 2
-    return k, math.ceil(math.log(MISS) / math.log(1 - found))
-
-
 def hadamard(x: np.ndarray) -> np.ndarray:
     """Fast Hadamard transform of rows whose length is a power of two, scaled to keep lengths."""
     n, h = x.shape[1], 1
@@ -99,6 +93,29 @@ def first_meeting(codes_a: np.ndarray, codes_b: np.ndarray) -> np.ndarray:
     return np.minimum(np.where(in_a, 2 * order, big), np.where(in_b, 2 * order + 1, big)).min(axis=1)
 
 
+@cache
+def table_recall(dimension: int, k: int, cosine: float, seed: int = SEED) -> tuple[float, float]:
+    """(share, standard error) of random pairs at ``cosine`` that one table of ``k`` vertices finds."""
+    random = np.random.default_rng([seed, dimension, k])
+    a, b = random.normal(size=(2, TRIED, dimension))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b = cosine * a + math.sqrt(max(0.0, 1 - cosine * cosine)) * b / np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-300)
+    hasher = CrossPolytope(dimension, k, TRIED_TABLES, seed + 1)
+    codes_a, codes_b = hasher.codes(a), hasher.codes(b)
+    found = float(((codes_b == codes_a[:, :, :1]).any(axis=2) | (codes_a == codes_b[:, :, :1]).any(axis=2)).mean())
+    return found, math.sqrt(found * (1 - found) / (TRIED * TRIED_TABLES))
+
+
+def tables_for(n: int, dimension: int, cosine: float = COSINE) -> tuple[int, int]:
+    """(k, number of tables) for ``n`` vectors; a table is taken to find two standard errors less than simulated."""
+    vertices = 2 * (1 << max(0, dimension - 1).bit_length())
+    k = max(1, math.ceil(math.log(max(2.0, n / BUCKET)) / math.log(vertices)))
+    found, error = table_recall(dimension, k, cosine)
+    found = min(1 - MISS, max(1 / (TRIED * TRIED_TABLES), found - 2 * error))
+    return k, math.ceil(math.log(MISS) / math.log(1 - found) - 1e-9)
+
+
 def _matrix(column, dimension: int) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype="<f8").reshape(-1, dimension)
 
@@ -167,7 +184,7 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
 
 def _links(classes: DataFrame, dimension: int, n: int, cosine: float) -> DataFrame:
     """(a, null, links) sums by class and (a, b, null) links of a spanning forest; one task gives a class several times."""
-    hasher = CrossPolytope(dimension, *tables_for(n, dimension))
+    hasher = CrossPolytope(dimension, *tables_for(n, dimension, cosine))
     schema = pa.schema([("bucket", pa.int64()), ("base", pa.bool_()), ("node", pa.int64()), ("n", pa.int64()), ("unit", pa.binary())])
 
     def deal(batches: Iterator[pa.RecordBatch], units: bool = True) -> Iterator[pa.RecordBatch]:

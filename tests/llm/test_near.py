@@ -85,6 +85,20 @@ def test_vectors_repeated_null_and_none(spark):
     assert embedding_dedup.near_duplicates(frame.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("dimension", [64, 256])
+def test_tables_miss_few_vectors(dimension):
+    k, tables = embedding_dedup.tables_for(1_000_000, dimension)
+    rng = np.random.default_rng(9)
+    a, b = rng.normal(size=(2, 1500, dimension))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b = 0.9 * a + np.sqrt(0.19) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    hasher = embedding_dedup.CrossPolytope(dimension, k, 4, seed=1)
+    x, y = hasher.codes(a), hasher.codes(b)
+    found = ((y == x[:, :, :1]).any(axis=2) | (x == y[:, :, :1]).any(axis=2)).mean()
+    assert (1 - found) ** tables <= 1.5 * embedding_dedup.MISS
+
+
 def text_groups(docs):
     weigh = None
     profiles = {}
