@@ -5,17 +5,21 @@ non-ASCII characters. Base labels need a phrase's words to stand consecutively.
 allow ``edits`` character edits in the blank-joined words: by the pigeonhole principle one of
 ``edits + 1`` pieces of a notice must occur exactly, so an automaton over all pieces finds the
 places worth a look, and the regex library's bounded-error matching verifies the edits there and
-gives the span.
+gives the span. Each seed is looked at in a window of its own, so the work grows with the seeds and
+not with how they crowd. Of overlapping matches of a notice the one with the fewest edits, then the
+first, is reported; what it leaves free of a window is searched again, so every match overlaps a
+reported span.
 
 Null texts count as empty: no words, no labels, score 0. Repeated rows are scanned once each, null
-doc_ids stay null, other columns are ignored, an empty table gives no rows. Overlapping candidate
-windows of a notice are searched as one, so a very long text is searched once at most per notice.
+doc_ids stay null, other columns are ignored, an empty table gives no rows. Very long texts are
+scanned whole, in time that grows with their length.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -50,6 +54,9 @@ NOTICES = (
 #: ASCII capitals to lower case; ASCII that is neither a digit nor a letter to a blank.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
+#: Window texts that a scanner remembers, with the match in each.
+REMEMBERED = 50_000
+
 _SPAN = pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int32()), ("text", pa.string())])
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("base_starts", pa.list_(pa.int64())), ("base_labels", pa.list_(pa.string())), ("spans", pa.list_(_SPAN))])
 _DDL = "doc_id long, n_words long, base_starts array<long>, base_labels array<string>, spans array<struct<label: string, start: long, end: long, edits: int, text: string>>"
@@ -69,10 +76,12 @@ class Scanner:
         self.phrases = [(b" " + p.encode() + b" ", label) for p, label in phrases]
         self.notices = notices
         self.patterns = [regex.compile(rf"(?b)(?:{regex.escape(n.text, literal_spaces=True)}){{e<={n.edits}}}") for n in notices]
-        seeds: dict[str, list[tuple[int, int]]] = {}
+        self.seen: dict[tuple[int, str], tuple[int, int, int] | None] = {}
+        seeds: dict[str, list[tuple[int, int, int]]] = {}
         for number, notice in enumerate(notices):
             for place, piece in pieces(notice.text, notice.edits + 1):
-                seeds.setdefault(piece, []).append((number, place))
+                before, after = place + notice.edits, len(notice.text) - place + notice.edits
+                seeds.setdefault(piece, []).append((number, before, after))
         self.automaton = ahocorasick.Automaton()
         for piece, uses in seeds.items():
             self.automaton.add_word(piece, (len(piece), uses))
@@ -82,32 +91,52 @@ class Scanner:
         """Word places of all phrases in ``joined``, the blank-joined words with a blank at both ends."""
         starts, labels = [], set()
         for phrase, label in self.phrases:
-            at = joined.find(phrase)
+            at, last, words = joined.find(phrase), 0, 0
             while at >= 0:
-                starts.append(joined.count(b" ", 0, at))
+                words, last = words + joined.count(b" ", last, at), at
+                starts.append(words)
                 labels.add(label)
                 at = joined.find(phrase, at + 1)
         return starts, labels
 
     def fuzzy(self, text: str) -> list[tuple[str, int, int, int, str]]:
         """(label, start, end, edits, matched text) of every notice in the blank-joined words."""
-        windows: dict[int, list[list[int]]] = {}
+        windows: dict[int, set[tuple[int, int]]] = {}
         for last, (length, uses) in self.automaton.iter(text):
-            for number, place in uses:
-                notice = self.notices[number]
-                begin = last + 1 - length - place
-                low, high = max(0, begin - notice.edits), min(len(text), begin + len(notice.text) + 2 * notice.edits)
-                own = windows.setdefault(number, [])
-                if own and low <= own[-1][1]:
-                    own[-1] = [min(own[-1][0], low), max(own[-1][1], high)]
-                else:
-                    own.append([low, high])
-        found = []
-        for number, own in sorted(windows.items()):
-            for low, high in own:
-                for match in self.patterns[number].finditer(text, low, high):
-                    found.append((self.notices[number].label, match.start(), match.end(), sum(match.fuzzy_counts), match.group()))
-        return found
+            begin = last + 1 - length
+            for number, before, after in uses:
+                windows.setdefault(number, set()).add((max(0, begin - before), min(len(text), begin + after)))
+        return [(self.notices[number].label, start, end, edits, text[start:end]) for number, own in sorted(windows.items()) for start, end, edits in self._spans(number, text, own)]
+
+    def _best(self, number: int, text: str, low: int, high: int) -> tuple[int, int, int, int, int] | None:
+        """(edits, start, end, low, high) of the best match in a window."""
+        window = text[low:high]
+        if (number, window) not in self.seen:
+            if len(self.seen) >= REMEMBERED:
+                self.seen = {}
+            match = self.patterns[number].search(window)
+            self.seen[number, window] = match and (sum(match.fuzzy_counts), match.start(), match.end())
+        found = self.seen[number, window]
+        return found and (found[0], low + found[1], low + found[2], low, high)
+
+    def _spans(self, number: int, text: str, windows: set[tuple[int, int]]) -> list[tuple[int, int, int]]:
+        """Spans (start, end, edits) in ascending order; none overlap."""
+        notice = self.notices[number]
+        shortest, longest = len(notice.text) - notice.edits, len(notice.text) + notice.edits
+        waiting = [found for low, high in windows if (found := self._best(number, text, low, high))]
+        heapify(waiting)
+        cells: dict[int, list[tuple[int, int, int]]] = {}  # spans by start // longest
+        while waiting:
+            edits, start, end, low, high = heappop(waiting)
+            near = [s for cell in range(low // longest - 1, high // longest + 1) for s in cells.get(cell, ()) if s[0] < high and s[1] > low]
+            if not any(s[0] < end and s[1] > start for s in near):
+                cells.setdefault(start // longest, []).append((start, end, edits))
+                continue
+            edges = [low, *(edge for s in sorted(near) for edge in s[:2]), high]
+            for a, b in zip(edges[::2], edges[1::2]):  # what the spans leave free
+                if b - a >= shortest and (found := self._best(number, text, a, b)):
+                    heappush(waiting, found)
+        return sorted(s for cell in cells.values() for s in cell)
 
 
 _scanners: dict[tuple, Scanner] = {}

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -62,6 +63,62 @@ def test_every_bounded_edit_is_found():
             assert exhaustive and any(s[0] == notice.label for s in scanner.fuzzy(text))
 
 
+def exhaustive_matches(notice, text):
+    """(start, end, edits) of every substring within the notice's edits."""
+    for start in range(len(text) + 1):
+        row = list(range(len(notice.text) + 1))
+        for end in range(start, min(len(text), start + len(notice.text) + notice.edits) + 1):
+            if end > start:
+                new = [end - start]
+                for k, c in enumerate(notice.text, 1):
+                    new.append(min(row[k] + 1, new[k - 1] + 1, row[k - 1] + (c != text[end - 1])))
+                row = new
+            if row[-1] <= notice.edits:
+                yield start, end, row[-1]
+
+
+def test_crowded_edited_notices_by_exhaustive_search():
+    """Spans don't overlap, tell their true edits, and every match overlaps one that is no worse."""
+    rng, scanner = random.Random(6), licenses.Scanner()
+    texts = ["under te mit license under the mit license", "mozila public license x mozilla public license"]
+    for _ in range(40):
+        parts = []
+        for _ in range(rng.randint(1, 5)):
+            part = list(rng.choice(licenses.NOTICES).text)
+            for _ in range(rng.randint(0, 4)):
+                at = rng.randrange(len(part))
+                part[at : at + 1] = rng.choice(["", "q", part[at] + "q"])
+            parts.append("".join(part))
+        texts.append(" ".join(rng.choice(["", " "]).join(parts).split()))
+    for text in texts:
+        found = {}
+        for label, start, end, edits, matched in scanner.fuzzy(text):
+            assert matched == text[start:end]
+            found.setdefault(label, set()).add((start, end, edits))
+        for notice in licenses.NOTICES:
+            own = found.get(notice.label, set())
+            true = {(start, end): edits for start, end, edits in exhaustive_matches(notice, text)}
+            mine = sorted(s for s in own if true.get(s[:2]) == s[2])
+            if sum(n.label == notice.label for n in licenses.NOTICES) == 1:
+                assert len(mine) == len(own) and all(a[1] <= b[0] for a, b in zip(mine, mine[1:]))
+            for (start, end), edits in true.items():
+                assert any(s[0] < end and s[1] > start and s[2] <= edits for s in mine)
+
+
+@pytest.mark.parametrize("unit", ["under te mit license ", "license ", "under the mit license ", "gnu publik "])
+def test_long_texts_of_notices_take_linear_time(unit):
+    scanner, took = licenses.Scanner(), []
+    for size in (200_000, 800_000):
+        text = unit * (size // len(unit))
+        began = time.perf_counter()
+        spans = scanner.fuzzy(text.strip())
+        starts, _ = scanner.base(b" " + text.encode())
+        took.append(time.perf_counter() - began)
+    repeats = len(text) // len(unit)
+    assert len(spans) == (repeats if "mit license" in unit else 0) and len(starts) == (repeats if unit.startswith("under the") else 0)
+    assert took[1] < 12 * took[0] + 1
+
+
 def test_scan_of_nothing(empty):
     assert licenses.digest(licenses.scan(empty)).count() == 0
 
