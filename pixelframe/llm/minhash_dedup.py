@@ -6,15 +6,16 @@ df being the number of documents with the shingle; so exact counts are needed on
 at least HEAVY of all documents. Those are found in two passes: every task gives the shingles that
 are frequent among its own documents, which by the pigeonhole principle misses none, and then all
 documents are counted for the candidates. Their number is bounded by the mean number of shingles of a
-document over HEAVY, whatever the number of documents.
+document over half of HEAVY, whatever the number of documents.
 
 Improved consistent weighted sampling draws SAMPLES samples (shingle, step) whose chance to agree is the
 weighted Jaccard similarity that links are verified by; gamma and uniform variates come from a hash of the shingle through
 quantile tables. Samples are banded into buckets. In each bucket all members are first
 compared to one pivot; buckets that still hold several components then compare all pairs across
-components, in blocks, with a look at the samples before the exact comparison. Every link is verified
+components, in blocks, each in the first bucket that it shares. Every link is verified
 by weighted Jaccard similarity of the whole texts, with the idf damped. Equal texts are one class.
 
+Very long texts are read whole, shingled and sampled piece by piece; what meets is bounded in bytes.
 Null and empty texts and texts without words link with nothing but equal texts (null counts as
 empty). Rows with a null doc_id are no part of any group: their component is null and they are kept.
 Rows that repeat doc_id and text share a row's result. An empty table gives no rows; other columns are
@@ -24,6 +25,7 @@ ignored.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .licenses import _WORDS
-from .linkage import across_components, bucket_pivots, components, mix, mixed_members
+from .linkage import across_components, bucket_pivots, components, least_by_root, mix, mixed_members
 from .runtime import Rows, Workspace, prepare
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -43,10 +45,8 @@ HEAVY = 1e-3
 #: Power of the idf in the weights that links are verified by. A large group of near copies makes its own shingles frequent;
 #: at full strength its members' few rare shingles would outweigh all that they share.
 DAMPING = 0.125
-#: Share of equal samples below which a pair across components isn't compared exactly: over seven standard deviations under SIMILARITY.
-LEAST_EQUAL = 0.35
-#: Shingles that a task counts at once.
-COUNT_AT_ONCE = 2_000_000
+#: Shingles that a task sorts at once and distinct ones that it holds, and bytes of text that a counting task reads.
+COUNT_AT_ONCE, TASK_BYTES = 2_000_000, 256 << 20
 SEED = 77
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -103,7 +103,7 @@ class Weights:
     def __init__(self, heavy: np.ndarray, frequency: np.ndarray, documents: int):
         self.heavy = heavy
         self.idf = np.log1p(np.minimum(documents / np.maximum(frequency, 1), 1 / HEAVY))
-        self.other = math.log1p(1 / HEAVY)
+        self.other = math.log1p(min(documents, 1 / HEAVY))
 
     def damped(self, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """The weights that samples are drawn and links verified by."""
@@ -179,51 +179,75 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     place = np.searchsorted(b[0], a[0])
     hit = place < len(b[0])
     hit[hit] = b[0][place[hit]] == a[0][hit]
-    both = np.minimum(a[1][hit], b[1][place[hit]]).sum()
-    total = a[1].sum() + b[1].sum() - both
+    both = np.minimum(a[1][hit], b[1][place[hit]]).sum(dtype=np.float64)
+    total = a[1].sum(dtype=np.float64) + b[1].sum(dtype=np.float64) - both
     return float(both / total) if total > 0 else 0.0
 
 
-def heavy_shingles(docs: DataFrame, total: int) -> Weights:
-    """Exact document frequencies of all shingles in at least HEAVY of the ``total`` documents."""
+def _merged(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(values, kind="stable")
+    values, counts = values[order], counts[order]
+    first = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+    return values[first], np.add.reduceat(counts, first)
+
+
+def _numbers(frame: DataFrame, name: str) -> np.ndarray:
+    return frame.toArrow().column(name).to_numpy()
+
+
+def heavy_shingles(docs: DataFrame, total: int, size: int) -> Weights:
+    """Exact document frequencies of all shingles in more than HEAVY of the ``total`` documents (of ``size`` bytes) and in two at least.
+
+    A task counts its documents' shingles. Among 4 / least documents or more those in a smaller share than ``least`` are
+    left out; of all documents that loses less than ``least``, so what is in HEAVY of all still shows. A task that
+    has to hand over earlier, as it holds too many, leaves nothing out.
+    """
     least = HEAVY / 2
-    tasks = max(1, int(least * total / 4))
+    tasks = max(1, int(least * total / 4), size // TASK_BYTES)
     raw = docs.select("raw").coalesce(tasks) if tasks < docs.rdd.getNumPartitions() else docs.select("raw")
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, seen = [], 0, 0
-
-        def flush() -> pa.RecordBatch:
-            value = np.concatenate(held)
-            value.sort()
-            first = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))
-            count = np.diff(np.append(first, len(value)))
-            kept = count >= max(2, math.ceil(least * seen)) if total * HEAVY >= 1 else count >= 1
-            return pa.RecordBatch.from_arrays([pa.array(value[first][kept].view(np.int64)), pa.array(count[kept])], names=["shingle", "n"])
+        values, counts = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+        pending, waiting, seen = [], 0, 0
+
+        def merge() -> None:
+            nonlocal values, counts, pending, waiting
+            if pending:
+                values, counts = _merged(np.concatenate([values, *pending]), np.concatenate((counts, np.ones(waiting, dtype=np.int64))))
+                pending, waiting = [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal values, counts, seen
+            kept = np.flatnonzero(counts >= (math.ceil(least * seen) if least * seen >= 4 else 1))
+            for at in range(0, len(kept), 1 << 17):
+                part = kept[at : at + (1 << 17)]
+                yield pa.RecordBatch.from_arrays([pa.array(values[part].view(np.int64)), pa.array(counts[part])], names=["shingle", "n"])
+            values, counts, seen = values[:0], counts[:0], 0
 
         for batch in batches:
-            for text in batch.column("raw").to_pylist():
-                found = shingles(text)[0]
-                held.append(found)
-                size, seen = size + len(found), seen + 1
-            if size > 4 * COUNT_AT_ONCE and seen * least >= 4:
-                yield flush()
-                held, size, seen = [], 0, 0
-        if size:
-            yield flush()
-
-    told = raw.mapInArrow(frequent, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= 0.75 * least * total)
-    candidates = np.sort(np.array([r["shingle"] for r in told.select("shingle").collect()], dtype=np.int64).view(np.uint64))
+            for text in batch.column("raw"):
+                found = shingles(text.as_py())[0]
+                pending.append(found)
+                waiting, seen = waiting + len(found), seen + 1
+                if waiting >= COUNT_AT_ONCE:
+                    merge()
+                    if len(values) >= COUNT_AT_ONCE:
+                        yield from flush()
+        merge()
+        yield from flush()
+
+    told = raw.mapInArrow(frequent, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2, least * total))
+    candidates = np.sort(_numbers(told.select("shingle"), "shingle").view(np.uint64))
     if not len(candidates):
         return Weights(candidates, np.empty(0), total)
-    shared = docs.sparkSession.sparkContext.broadcast(candidates)  # at most mean shingles of a document over 0.375 HEAVY
+    shared = docs.sparkSession.sparkContext.broadcast(candidates)  # at most mean shingles of a document over half of HEAVY
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = shared.value
         sums = np.zeros(len(wanted), dtype=np.int64)
         for batch in batches:
-            for text in batch.column("raw").to_pylist():
-                found = shingles(text)[0]
+            for text in batch.column("raw"):
+                found = shingles(text.as_py())[0]
                 if len(found):
                     place = np.minimum(np.searchsorted(wanted, found), len(wanted) - 1)
                     sums[place[wanted[place] == found]] += 1
@@ -231,9 +255,11 @@ def heavy_shingles(docs: DataFrame, total: int) -> Weights:
         if kept.any():
             yield pa.RecordBatch.from_arrays([pa.array(wanted[kept].view(np.int64)), pa.array(sums[kept])], names=["shingle", "n"])
 
-    counted = docs.select("raw").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") > HEAVY * total).collect()  # at HEAVY the weight is the largest anyway
-    pairs = sorted((int(np.int64(r["shingle"]).view(np.uint64)), r["n"]) for r in counted)
-    return Weights(np.array([s for s, _ in pairs], dtype=np.uint64), np.array([n for _, n in pairs], dtype=np.float64), total)
+    counted = docs.select("raw").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    found = counted.where(F.col("n") > max(1, HEAVY * total)).toArrow()  # below that the weight is the largest anyway
+    shingle, n = found.column("shingle").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(shingle)
+    return Weights(shingle[order], n[order].astype(np.float64), total)
 
 
 def _profile(hashes: np.ndarray, weights: np.ndarray) -> bytes:
@@ -242,11 +268,11 @@ def _profile(hashes: np.ndarray, weights: np.ndarray) -> bytes:
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     n = len(blob) // 12
-    return np.frombuffer(blob, dtype="<u8", count=n), np.frombuffer(blob, dtype="<f4", count=n, offset=8 * n).astype(np.float64)
+    return np.frombuffer(blob, dtype="<u8", count=n), np.frombuffer(blob, dtype="<f4", count=n, offset=8 * n)
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("bands", pa.list_(pa.int64())), ("samples", pa.binary())])
-_SIGNED_DDL = "doc_id long, t1 long, t2 long, bands array<long>, samples binary"
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("bands", pa.list_(pa.int64())), ("packed", pa.binary())])
+_SIGNED_DDL = "doc_id long, t1 long, t2 long, bands array<long>, packed binary"
 #: Signatures that a worker remembers, so that many copies of a text are sampled once.
 REMEMBERED = 20_000
 
@@ -265,7 +291,7 @@ def _signed(docs: DataFrame, weights: Weights) -> DataFrame:
                     if len(hashes):
                         names = sampler(hashes, weigh.damped(hashes, counts))
                         own = bands(names)
-                        found = (own.tolist(), own.astype("<i8").tobytes() + (names & np.uint64(0xFFFF)).astype("<u2").tobytes())
+                        found = (own.tolist(), own.astype("<i8").tobytes())
                     else:
                         found = ([], b"")
                     if len(memo) >= REMEMBERED:
@@ -314,15 +340,14 @@ def _verified(pairs: DataFrame, profiles: DataFrame, similarity: float) -> DataF
 
 
 class _Met:
-    """Members of meetings: samples, buckets and profiles, the latter as numbers in a common vocabulary."""
+    """Members of meetings: buckets and profiles."""
 
     def __init__(self, payloads: list[bytes]):
-        fixed = 8 * BANDS + 2 * SAMPLES
-        self.bands = np.frombuffer(b"".join(p[: 8 * BANDS] for p in payloads), dtype="<i8").reshape(-1, BANDS)
-        self.prints = np.frombuffer(b"".join(p[8 * BANDS : fixed] for p in payloads), dtype="<u2").reshape(-1, SAMPLES)
-        self.profiles = [_unpack(p[fixed:]) for p in payloads]
+        fixed = 8 * BANDS
+        self.bands = np.frombuffer(b"".join(p[:fixed] for p in payloads), dtype="<i8").reshape(-1, BANDS)
+        self.profiles = [_unpack(memoryview(p)[fixed:]) for p in payloads]
         self.sizes = np.array([len(h) for h, _ in self.profiles])
-        self.total = np.array([w.sum() for _, w in self.profiles])
+        self.total = np.array([w.sum(dtype=np.float64) for _, w in self.profiles])
 
     def similarities(self, left: int, right: np.ndarray) -> np.ndarray:
         """Weighted Jaccard similarity of one member to others."""
@@ -331,14 +356,14 @@ class _Met:
         place = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
         both = np.where(hashes[place] == own, np.minimum(weights[place], np.concatenate([self.profiles[r][1] for r in right])), 0.0)
         starts = np.concatenate(([0], np.cumsum(self.sizes[right])[:-1]))
-        common = np.add.reduceat(both, starts)
+        common = np.add.reduceat(both, starts, dtype=np.float64)
         return common / (self.total[left] + self.total[right] - common)
 
 
 def _linked(similarity: float):
     def linked(met: _Met, buckets: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        near = (met.prints[left] == met.prints[right]).sum(axis=1) >= LEAST_EQUAL * SAMPLES
-        at = np.flatnonzero(near)
+        # What two texts have in common weighs no more than the lighter one.
+        at = np.flatnonzero(np.minimum(met.total[left], met.total[right]) >= similarity * (1 - 1e-6) * np.maximum(met.total[left], met.total[right]))
         first = (met.bands[left[at]] == met.bands[right[at]]).argmax(axis=1)
         at = at[met.bands[left[at], first] == buckets[left[at]]]  # a pair is compared in its first bucket only
         out = np.zeros(len(left), dtype=bool)
@@ -354,23 +379,23 @@ def _grouped(documents: DataFrame, similarity: float) -> DataFrame:
     work = Workspace(prepare(documents.sparkSession), "minhash")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), _raw().alias("raw")).where("doc_id IS NOT NULL")
     docs = docs.select("doc_id", *_text_key("raw"), "raw")
-    total = docs.count()
-    weights = heavy_shingles(docs, total)
+    total, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("raw")), F.lit(0))).first()
+    weights = heavy_shingles(docs, total, size)
     signed = work.write(_signed(docs, weights), "signed")
-    grouped = signed.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first("bands").alias("bands"), F.first("samples").alias("samples"))
-    classes = work.write(grouped.withColumn("node", F.xxhash64("t1", "t2")), "classes")
+    grouped = signed.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first("bands").alias("bands"), F.first("packed").alias("packed"))
+    classes = work.write(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")  # written once, so a class keeps its number
     buckets = classes.select(F.explode("bands").alias("bucket"), "node")
     members, pairs = bucket_pivots(work, buckets)
     profiles = work.write(_profiles(docs, classes, members.select("node").distinct(), weights), "profiles")
     links = work.write(_verified(pairs, profiles, similarity), "links")
-    rest = mixed_members(work, members, components(work, links)).join(profiles, "node").join(classes.select("node", "samples"), "node")
-    payload = F.concat("samples", "profile")
+    rest = mixed_members(work, members, components(work, links)).join(profiles, "node").join(classes.select("node", "packed"), "node")
+    payload = F.concat("packed", "profile")
     more = work.write(across_components(rest.select("bucket", "node", "comp", payload.alias("payload")), _Met, _linked(similarity)), "more")
     work.drop(profiles)
     roots = components(work, links.union(more)).select(F.col("id").alias("node"), "root")
     named = work.write(classes.select("t1", "t2", "node", "rep", "n_copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
-    chosen = named.groupBy("root").agg(F.min(F.struct("rep", "t1", "t2")).alias("chosen"))
-    named = named.join(chosen, "root").select("t1", "t2", "n_copies", "rep", F.col("chosen.rep").alias("component_id"), (F.struct("rep", "t1", "t2") == F.col("chosen")).alias("first"))
+    own = F.struct("rep", "t1", "t2")
+    named = least_by_root(work, named, own, "chosen").select("t1", "t2", "n_copies", "rep", F.col("chosen.rep").alias("component_id"), (own == F.col("chosen")).alias("first"))
     named = work.write(named, "groups")
     work.keep_only(signed, named)
     found = signed.select("doc_id", "t1", "t2").join(named, ["t1", "t2"])
@@ -394,9 +419,9 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> Dat
 
 def deduplicate(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``documents``, with all their columns, of which one of each group stays; rows without a doc_id all stay."""
-    kept = _grouped(documents, similarity).where("kept").select(F.col("doc_id").alias("_k0"), F.col("t1").alias("_k1"), F.col("t2").alias("_k2")).distinct()
-    t1, t2 = _text_key(_raw())
-    keys = ["_k0", "_k1", "_k2"]
-    keyed = documents.withColumns({"_k0": F.col("doc_id").cast("long"), "_k1": t1, "_k2": t2})
-    known = keyed.where("_k0 IS NOT NULL").join(kept, keys, "left_semi").dropDuplicates(keys)
-    return known.unionByName(keyed.where("_k0 IS NULL")).drop(*keys).select(*documents.columns)
+    fresh = [f"_{uuid.uuid4().hex}" for _ in range(3)]  # no column of any input
+    own = dict(zip(fresh, (F.col("doc_id").cast("long"), *_text_key(_raw()))))
+    kept = _grouped(documents, similarity).where("kept").select(*(F.col(c).alias(k) for c, k in zip(("doc_id", "t1", "t2"), fresh))).distinct()
+    keyed = documents.withColumns(own)
+    known = keyed.where(F.col(fresh[0]).isNotNull()).join(kept, fresh, "left_semi").dropDuplicates(fresh)
+    return known.unionByName(keyed.where(F.col(fresh[0]).isNull())).drop(*fresh)
