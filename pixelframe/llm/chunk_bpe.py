@@ -2,13 +2,16 @@
 
 Texts are cut where a rolling hash of the last eight bytes meets a mask, so equal passages of
 different documents yield equal chunks. A chunk is encoded once per Python worker and remembered
-(bounded memo). A chunk edge may lie inside a word: the tokens of the unfinished words at both
-sides of a join are dropped and the join is encoded again over a window that grows, over whole
-chunks if need be, until it starts and ends at a blank; tokens never cross blanks, so from there
-on both neighbours agree exactly with the encoding of the whole text.
+(bounded memo). A chunk edge may lie inside a word: the ids of the unfinished words at both
+sides of a join are dropped and a window around the join is encoded again by the library, from a finished word of the
+one chunk to a finished word of the other. The join is repaired once the window's first and last ids are
+exactly those that the two chunks have for these words; until then the window grows, over the whole text if need be. The tokenizer's tokens
+never cross blanks, so agreement over a whole word at each side settles all ids of the window. Files
+of tokenizers for which that isn't known, and texts that may spell an added token, go to the library whole.
 
 Null texts count as empty (no ids, decoded text empty). Repeated rows are encoded once each, null
-doc_ids stay null, other columns are ignored, an empty table gives no rows.
+doc_ids stay null, other columns are ignored, an empty table gives no rows. Very long texts are encoded whole, in time
+that grows with their length; a stretch without blanks is one window.
 """
 
 from __future__ import annotations
@@ -21,12 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import Rows, identified_texts, prepare, raw_rows
-from .tokenizing import _ADDED_MARK, _FOLD, WordEncoder, default_path, encoder
+from .tokenizing import _FOLD, WordEncoder, default_path, encoder
 
 #: Mean chunk length is two to this power; a longer stretch without a cut is cut at MAX_CHUNK.
-CHUNK_BITS, MAX_CHUNK = 7, 2048
+CHUNK_BITS, MAX_CHUNK = 8, 2048
 #: Entries of a worker's chunk memo; beyond it the memo starts anew.
-MEMO_CHUNKS = 150_000
+MEMO_CHUNKS = 75_000
 _WINDOW = 8
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -64,12 +67,14 @@ def _character_start(data: np.ndarray, at: int, n: int) -> int:
 
 
 class ChunkEncoder:
+    """``reused``, ``encoded``: chunks met again and for the first time; ``grown``: windows that didn't agree at once."""
+
     def __init__(self, words: WordEncoder, memo_chunks: int = MEMO_CHUNKS):
         self.words, self.memo_chunks, self.memo = words, memo_chunks, {}
-        self.reused = self.encoded = 0
+        self.reused = self.encoded = self.grown = 0
 
     def _learn(self, chunks: set[bytes]) -> None:
-        """Encode chunks: (unfinished word at the start, ids in between, unfinished word at the end); no blank: (chunk, None, None)."""
+        """Encode chunks: (unfinished word at the start, ids of the finished words, unfinished word at the end); no finished word: (chunk, None, b"")."""
         missing = [c for c in chunks if c not in self.memo]
         if len(self.memo) + len(missing) > self.memo_chunks:
             self.memo, missing = {}, list(chunks)
@@ -77,7 +82,7 @@ class ChunkEncoder:
         find = self.words.find()
         for chunk in missing:
             words = chunk.split(b" ")
-            self.memo[chunk] = (chunk, None, None) if len(words) == 1 else (words[0], b"".join(map(find, words[1:-1])), words[-1])
+            self.memo[chunk] = (words[0], b"".join(map(find, words[1:-1])), words[-1]) if any(words[1:-1]) else (chunk, None, b"")
 
     def encode(self, raws: list[bytes]) -> list[bytes]:
         out: list[bytes] = []
@@ -93,7 +98,7 @@ class ChunkEncoder:
     def _group(self, raws: list[bytes]) -> list[bytes]:
         cut: list[list[bytes] | None] = []
         for raw in raws:
-            if _ADDED_MARK in raw:
+            if self.words.whole(raw):
                 cut.append(None)
                 continue
             folded, start, chunks = raw.translate(_FOLD), 0, []
@@ -105,23 +110,62 @@ class ChunkEncoder:
         self.reused += sum(len(c) for c in cut if c is not None) - len(wanted)
         self._learn(wanted)
         plans = [None if chunks is None else self._plan(chunks) for chunks in cut]
-        find = self.words.find()
-        return [self.words._library(raw.decode("utf-8", "replace")) if plan is None else b"".join([find(x) if word else x for word, x in plan]) for raw, plan in zip(raws, plans)]
-
-    def _plan(self, chunks: list[bytes]) -> list[tuple[bool, bytes]]:
-        """Parts of a text's ids: (True, a join to be encoded again) and (False, ids that are known)."""
-        plan, open_word, find = [], b"", self.memo.__getitem__
-        for head, ids, tail in map(find, chunks):
-            open_word += head
-            if ids is None:
-                continue  # no blank in this chunk: the window grows on
-            if open_word:
-                plan.append((True, open_word))
-            plan.append((False, ids))
-            open_word = tail
-        if open_word:
-            plan.append((True, open_word))
-        return plan
+        repaired = self._repaired([plan for plan in plans if plan is not None])
+        return [self.words.library_batch([raw])[0] if plan is None else next(repaired) for raw, plan in zip(raws, plans)]
+
+    def _plan(self, chunks: list[bytes]) -> tuple[list[bytes], list[bytes]]:
+        """(joins, chunks with finished words): a join lies before, between and behind the chunks."""
+        joins, known, open_parts, find = [], [], [], self.memo.__getitem__
+        for chunk in chunks:
+            head, ids, tail = find(chunk)
+            open_parts.append(head)
+            if ids is not None:
+                joins.append(b"".join(open_parts))
+                known.append(chunk)
+                open_parts = [tail]
+        joins.append(b"".join(open_parts))
+        return joins, known
+
+    def _edge(self, chunk: bytes | None, count: int, last: bool) -> tuple[bytes, bytes, bool]:
+        """(text, ids) of a chunk's first or last ``count`` finished words, and whether these are all; nothing at a text's edge."""
+        if chunk is None:
+            return b"", b"", True
+        words = [w for w in chunk.split(b" ")[1:-1] if w]
+        own = words[-count:] if last else words[:count]
+        return b" ".join(own), b"".join(map(self.words.find(), own)), count >= len(words)
+
+    def _repaired(self, plans: list[tuple[list[bytes], list[bytes]]]):
+        """The ids of each text: joins are encoded in windows, all of one size together, until they agree with their chunks."""
+        fixed: dict[tuple[int, int], bytes] = {}
+        whole: dict[int, bytes] = {}
+        open_joins = [(i, k) for i, (joins, _) in enumerate(plans) for k, join in enumerate(joins) if join]
+        count = 1
+        while open_joins:
+            windows, edges = [], []
+            for i, k in open_joins:
+                joins, known = plans[i]
+                left, right = self._edge(known[k - 1] if k else None, count, True), self._edge(known[k] if k < len(known) else None, count, False)
+                windows.append(b" ".join((left[0], joins[k], right[0])))
+                edges.append((left, right))
+            still = []
+            for place, window, (left, right) in zip(open_joins, self.words.library_batch(windows), edges):
+                if len(window) >= len(left[1]) + len(right[1]) and window.startswith(left[1]) and window.endswith(right[1]):
+                    fixed[place] = window[len(left[1]) : len(window) - len(right[1])]
+                elif left[2] and right[2]:  # both chunks are in the window: the text itself is the next
+                    joins, known = plans[place[0]]
+                    parts = [joins[0]]
+                    for chunk, join in zip(known, joins[1:]):
+                        parts += [b" ".join(chunk.split(b" ")[1:-1]), join]
+                    whole[place[0]] = self.words.library_batch([b" ".join(parts)])[0]
+                else:
+                    still.append(place)
+            self.grown += len(still) + len(whole)
+            open_joins, count = [p for p in still if p[0] not in whole], 4 * count
+        for i, (joins, known) in enumerate(plans):
+            parts = [fixed.get((i, 0), b"")]
+            for k, chunk in enumerate(known, 1):
+                parts += [self.memo[chunk][1], fixed.get((i, k), b"")]
+            yield whole.get(i) or b"".join(parts)
 
 
 _encoders: dict[str, ChunkEncoder] = {}

@@ -1,7 +1,7 @@
 """Exact encoding of whole texts with a word-end BPE tokenizer file, one distinct word at a time.
 
-The tokenizer file drops white space and never lets a token cross it, so the ids of a text are
-the ids of its blank-separated words in order. Distinct words are encoded by the tokenizers
+The tokenizer files that this is for (KNOWN) drop white space and never let a token cross it, so the ids of a text are
+the ids of its blank-separated words in order. With any other file whole texts go to the library. Distinct words are encoded by the tokenizers
 library once per Python worker and remembered in a bounded memo. Plain words (lower-case Latin
 letters in composed form, then ASCII marks) can't be changed by the normaliser nor cut otherwise
 by the splitter, so their letters go straight to the library's BPE model; all others, and texts
@@ -10,12 +10,22 @@ that spell an added token, go through its whole chain.
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
 from functools import lru_cache
 
 import numpy as np
 
+# The steps around the model that a file must have for words to be encoded on their own.
+KNOWN = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+    "decoder": None,
+}
 #: Entries of a worker's word memo; beyond it a new generation begins, and words of the one before move over as they come up.
 MEMO_WORDS = 250_000
 #: Longer words, in bytes, are encoded each time, so that entries stay small.
@@ -43,6 +53,26 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@lru_cache(maxsize=4)
+def _tokenizer(path: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_file(path)
+    found.no_truncation()
+    found.no_padding()
+    return found
+
+
+@lru_cache(maxsize=8)
+def words_stand_alone(path: str) -> bool:
+    """Whether a file's steps are such that words may be encoded on their own."""
+    with open(path, encoding="utf-8") as f:
+        steps = json.load(f)
+    marked = all(t["content"].encode().startswith(_ADDED_MARK) and not t["normalized"] for t in steps["added_tokens"])
+    return marked and all(steps[name] == value for name, value in KNOWN.items()) and steps["model"]["type"] == "BPE" and not steps["model"]["dropout"]
+
+
 class _Memo(dict):
     """Ids by word; a word that isn't known yet is encoded when it is asked for."""
 
@@ -59,13 +89,9 @@ class _Memo(dict):
 
 class WordEncoder:
     def __init__(self, path: str, memo_words: int = MEMO_WORDS):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.tokenizer = _tokenizer(path)
         self.tokenize = self.tokenizer.model.tokenize
+        self.by_word = words_stand_alone(path)
         self.memo_words, self.memo, self.older = memo_words, _Memo(self._word), {}
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self._coded = [i.to_bytes(4, "little") for i in range(size)]
@@ -74,6 +100,14 @@ class WordEncoder:
     def _library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def library_batch(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of UTF-8 texts by the library's whole chain."""
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+
+    def whole(self, raw: bytes) -> bool:
+        """Whether a text must go to the library whole: it may spell an added token, or words can't be told apart."""
+        return not self.by_word or _ADDED_MARK in raw
+
     def find(self):
         """The ids of a word, as a function; good for a few thousand texts, then ask again."""
         if len(self.memo) > self.memo_words:
@@ -118,11 +152,13 @@ class WordEncoder:
         for at, raw in enumerate(raws):
             if at % 64 == 0:
                 find = self.find()
-            out.append(self._library(raw.decode("utf-8", "replace")) if _ADDED_MARK in raw else b"".join(map(find, self.words(raw))))
+            out.append(self._library(raw.decode("utf-8", "replace")) if self.whole(raw) else b"".join(map(find, self.words(raw))))
         return out
 
     def decode(self, ids: np.ndarray) -> str:
-        """As the library decodes without a decoder: token strings joined by blanks."""
+        """As the library decodes; without a decoder that is token strings joined by blanks."""
+        if not self.by_word:
+            return self.tokenizer.decode(ids.tolist(), skip_special_tokens=False)
         return " ".join(map(self._tokens.__getitem__, ids.tolist()))
 
 

@@ -1,6 +1,7 @@
 """Encoding, chunk reuse, packing and Simple-8b shards against the tokenizers library and exact round trips."""
 
 import hashlib
+import time
 import zlib
 from collections import Counter
 
@@ -38,7 +39,7 @@ def test_word_encoder_is_the_library(library, texts):
 
 
 def test_chunks_are_content_defined():
-    text = ("shared passage of many words " * 40).encode() + "é".encode() * 700
+    text = " ".join(f"w{k * k % 977}" for k in range(4000)).encode() + "é".encode() * 700
     cuts = chunk_bpe.cut_points(text)
     assert cuts[-1] == len(text) and cuts == sorted(set(cuts))
     for cut in cuts:
@@ -54,6 +55,50 @@ def test_chunks_are_content_defined():
     assert first > 50 and coder.encoded - first < 0.1 * first  # all but the edges are reused
 
 
+class Late(WordEncoder):
+    """Its library's windows inside a text are wrong up to a length, as if tokens reached across them."""
+
+    def library_batch(self, texts):
+        return [(b"\7\0\0\0" if len(t) < 60 and not any(x.startswith(t) for x in self.texts) else b"") + i for t, i in zip(texts, super().library_batch(texts))]
+
+
+def test_joins_grow_until_both_sides_agree():
+    rng = np.random.default_rng(1)
+    texts = [" ".join("".join(chr(97 + c) for c in rng.integers(0, 26, int(rng.integers(1, 9)))) for _ in range(900)).encode() for _ in range(4)]
+    plain, late = WordEncoder(default_path()), chunk_bpe.ChunkEncoder(Late(default_path()))
+    late.words.texts = texts
+    assert late.encode(texts) == plain.library_batch(texts) and late.grown > 20
+    straight = chunk_bpe.ChunkEncoder(plain)
+    assert straight.encode(texts) == plain.library_batch(texts) and straight.grown == 0
+
+
+@pytest.mark.parametrize("unit", ["x", "日本語テキスト", "é1", "ab12 "])
+def test_very_long_texts_take_linear_time(unit):
+    coder, took = chunk_bpe.ChunkEncoder(WordEncoder(default_path())), []
+    for size in (250_000, 1_000_000):
+        text = unit * (size // len(unit))
+        began = time.perf_counter()
+        found = coder.encode([text.encode()])
+        took.append(time.perf_counter() - began)
+    assert found == coder.words.library_batch([text.encode()])
+    assert took[1] < 12 * took[0] + 1
+
+
+def test_other_tokenizers_give_the_library_s_ids(docs, rows):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    other = Tokenizer.from_file(path)
+    expected = {i: np.array(other.encode(t or "", add_special_tokens=False).ids, dtype="<u4") for i, t, *_ in rows if i is not None and i != 300}
+    assert not WordEncoder(path).by_word
+    chosen = docs.where("doc_id IS NOT NULL AND doc_id <> 300")
+    for row in chunk_bpe.encode_and_decode(chosen, path).collect():
+        assert row["ids"] == expected[row["doc_id"]].tobytes() and row["decoded"] == other.decode(expected[row["doc_id"]].tolist(), skip_special_tokens=False)
+    for row in simple8b.round_trip(chosen, path).collect():
+        assert row["ids"] == np.append(expected[row["doc_id"]], 2).astype("<u4").tobytes()
+
+
 def test_op6_equals_library(docs, ids, library):
     found = Counter(tuple(r) for r in chunk_bpe.digest(chunk_bpe.encode_and_decode(docs)).collect())
     expected = Counter((i, len(v), hashlib.sha256(v.tobytes()).hexdigest(), hashlib.sha256(library.decode(v.tolist(), skip_special_tokens=False).encode()).hexdigest()) for i, v in ids)
