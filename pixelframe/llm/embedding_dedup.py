@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .linkage import blocked, components, expand_pairs, local_roots, run_ends, whole_runs
+from .linkage import block_counts, blocked, components, expand_pairs, least_by_root, local_roots, run_ends, whole_runs
 from .runtime import Workspace, prepare
 
 COSINE = 0.9
@@ -155,11 +155,11 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
     keyed = rows.select("vec_id", "embedding", F.coalesce(F.expr(plain), F.lit(False)).alias("plain"))
     keyed = keyed.select("vec_id", "embedding", "plain", F.when(F.col("plain"), F.xxhash64("embedding")).alias("h1"), F.when(F.col("plain"), F.xxhash64(F.lit(1), "embedding")).alias("h2"))
     grouped = keyed.where("plain").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("embedding").alias("embedding"))
-    classes = work.write(grouped.select("h1", "h2", F.xxhash64("h1", "h2").alias("node"), "rep", "n", "embedding"), "classes")
+    classes = work.write(grouped.select("h1", "h2", F.monotonically_increasing_id().alias("node"), "rep", "n", "embedding"), "classes")  # written once, so a class keeps its number
     sizes = {r["d"]: r["count"] for r in classes.groupBy(F.size("embedding").alias("d")).count().collect()}  # one row for each vector length
     links = None
     for dimension, n in sorted(sizes.items()):
-        own = _links(classes.where(F.size("embedding") == dimension), dimension, n, cosine)
+        own = _links(work, classes.where(F.size("embedding") == dimension), dimension, n, cosine)
         links = own if links is None else links.union(own)
     if links is None:
         linked = classes.select("h1", "h2", "n", F.lit(0).cast("long").alias("links"), F.col("rep").alias("component"))
@@ -169,8 +169,7 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
         roots = components(work, links.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("id", "node")
         joined = classes.drop("embedding").join(roots, "node", "left").join(sums, "node", "left").withColumn("root", F.coalesce("root", "node"))
         joined = work.write(joined.withColumn("links", F.coalesce("links", F.lit(0))), "classes")
-        smallest = joined.groupBy("root").agg(F.min("rep").alias("component"))
-        linked = work.write(joined.join(smallest, "root").select("h1", "h2", "n", "links", "component"), "linked")
+        linked = work.write(least_by_root(work, joined, F.col("rep"), "component").select("h1", "h2", "n", "links", "component"), "linked")
         work.keep_only(linked)
     out = keyed.select("vec_id", "h1", "h2").join(linked, ["h1", "h2"], "left")
     component = F.coalesce("component", "vec_id")
@@ -182,7 +181,7 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
     )
 
 
-def _links(classes: DataFrame, dimension: int, n: int, cosine: float) -> DataFrame:
+def _links(work: Workspace, classes: DataFrame, dimension: int, n: int, cosine: float) -> DataFrame:
     """(a, null, links) sums by class and (a, b, null) links of a spanning forest; one task gives a class several times."""
     hasher = CrossPolytope(dimension, *tables_for(n, dimension, cosine))
     schema = pa.schema([("bucket", pa.int64()), ("base", pa.bool_()), ("node", pa.int64()), ("n", pa.int64()), ("unit", pa.binary())])
@@ -204,7 +203,7 @@ def _links(classes: DataFrame, dimension: int, n: int, cosine: float) -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(codes.ravel()[part]), pa.array(base[part]), batch.column("node").take(pa.array(row[part])), batch.column("n").take(pa.array(row[part])), raw.take(pa.array(row[part]))], schema=schema)
 
     dealt = classes.select("node", "n", "embedding").mapInArrow(deal, "bucket long, base boolean, node long, n long, unit binary")
-    meetings = blocked(dealt.withColumn("salt", F.col("node"))).drop("salt")
+    meetings = blocked(dealt.withColumn("salt", F.col("node")).join(work.write(block_counts(dealt.select("bucket")), "blocks"), "bucket", "left"))
     meetings = meetings.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,8 +19,6 @@ from .runtime import Workspace
 BLOCK = 256
 #: Bytes of payload of such a block, and of the meetings that a task holds at once.
 BLOCK_BYTES = 16 << 20
-#: Rows of a key from which on a join doesn't bring them to one task.
-HOT = 1000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -111,34 +109,21 @@ def components(work: Workspace, edges: DataFrame) -> DataFrame:
     return assigned
 
 
-def joined(work: Workspace, rows: DataFrame, lookup: DataFrame, key: str, spread: str, size: str = "size") -> DataFrame:
-    """``rows`` with the columns of ``lookup``: one row a ``key``, with the number of its rows as ``size``; rows without one go.
-
-    Rows of a key with more than HOT rows stay where they are (their keys, at most one for HOT rows, are
-    a table that Spark broadcasts if it is small) and are dealt by ``spread`` where the others are joined.
-    """
-    told = F.struct(*(c for c in lookup.columns if c not in (key, size)))
-    hot = work.write(lookup.where(F.col(size) > HOT).select(key, told.alias("_hot")).repartition(4), "hot")
-    cold = lookup.where(F.col(size) <= HOT).select(F.col(key).alias("_key"), told.alias("_cold"))
-    place = F.when(F.col("_hot").isNull(), F.col(key)).otherwise(F.xxhash64(spread))
-    both = rows.join(hot, key, "left").withColumn("_key", place).join(cold, "_key", "left").withColumn("_told", F.coalesce("_hot", "_cold"))
-    return both.where(F.col("_told").isNotNull()).select(*rows.columns, "_told.*")
+def block_counts(members: DataFrame, key: str = "bucket", block: int = BLOCK) -> DataFrame:
+    """(``key``, blocks) of the keys with more than ``block`` members; written by the caller, it is joined without bringing a key to one task."""
+    return members.groupBy(key).count().where(F.col("count") > block).select(key, F.ceil(F.col("count") / block).cast("int").alias("blocks"))
 
 
-def blocked(members: DataFrame, key: str = "bucket", block: int = BLOCK, payload: str | None = None) -> DataFrame:
-    """Members (``key``, ``salt``: any spreading number, ...) as they meet: columns i, j, own are added.
+def blocked(members: DataFrame) -> DataFrame:
+    """Members (bucket, ``salt``: any spreading number, ``blocks``: a number for the bucket, ...) as they meet: columns i, j, own are added.
 
-    A bucket of up to ``block`` members (and BLOCK_BYTES of ``payload``) is one meeting (0, 0). A larger one is dealt by salt into
-    blocks of about that size, and every unordered pair of blocks is a meeting of its own, so no
+    A bucket of one block (or null) is one meeting (0, 0). A larger one is dealt by salt into
+    its blocks, and every unordered pair of blocks is a meeting of its own, so no
     task needs a whole bucket. ``own`` tells which block a row is of.
     """
-    blocks = F.count(F.lit(1)) / block
-    if payload:
-        blocks = F.greatest(blocks, F.sum(F.octet_length(payload)) / BLOCK_BYTES)
-    counts = members.groupBy(key).agg(F.ceil(blocks).cast("int").alias("_blocks")).where("_blocks > 1")
-    placed = members.join(counts, key, "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
-    placed = placed.withColumn("own", F.pmod(F.xxhash64("salt"), F.col("_blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    return placed.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other", "_blocks")
+    blocks = F.coalesce("blocks", F.lit(1))
+    placed = members.withColumns({"own": F.pmod(F.xxhash64("salt"), blocks).cast("int"), "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
+    return placed.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other", "blocks", "salt")
 
 
 def whole_runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], rows: int = 16_384) -> Iterator[pa.Table]:
@@ -187,14 +172,14 @@ def expand_pairs(first: np.ndarray, ends: np.ndarray, pairs: int) -> Iterator[tu
 MEET_AT_ONCE, PAIRS = 2048, 50_000
 
 
-def across_components(members: DataFrame, decode, linked, block: int = MEET_AT_ONCE, pairs: int = PAIRS) -> DataFrame:
-    """Links (a, b) between members (bucket, node, comp, payload) of one bucket but different components.
+def across_components(members: DataFrame, decode, linked, pairs: int = PAIRS) -> DataFrame:
+    """Links (a, b) between members (bucket, node, comp, blocks, payload) of one bucket but different components.
 
     ``decode`` turns a list of payloads into what ``linked(decoded, buckets, left rows, right rows)`` tells
     links from; rows of the same left side come together. A meeting hands over a spanning forest of its
     links, so that the output doesn't grow with the pairs.
     """
-    meetings = blocked(members.withColumn("salt", F.col("node")), block=block, payload="payload").drop("salt")
+    meetings = blocked(members.withColumn("salt", F.col("node")))
     meetings = meetings.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "comp")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,9 +203,9 @@ def across_components(members: DataFrame, decode, linked, block: int = MEET_AT_O
     return meetings.mapInArrow(compare, _EDGE)
 
 
-def pairs_across(members: DataFrame, block: int = MEET_AT_ONCE, pairs: int = PAIRS) -> DataFrame:
-    """All pairs (a < b) of members (bucket, node, comp) of one bucket but different components, once for each bucket they share."""
-    meetings = blocked(members.withColumn("salt", F.col("node")), block=block).drop("salt")
+def pairs_across(members: DataFrame, pairs: int = PAIRS) -> DataFrame:
+    """All pairs (a < b) of members (bucket, node, comp, blocks) of one bucket but different components, once for each bucket they share."""
+    meetings = blocked(members.withColumn("salt", F.col("node")))
     meetings = meetings.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "comp")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,24 +220,31 @@ def pairs_across(members: DataFrame, block: int = MEET_AT_ONCE, pairs: int = PAI
     return meetings.mapInArrow(meet, _EDGE)
 
 
+# What a join looks up by a key that many rows share is written first: Spark then broadcasts it if it is small, and
+# else can split the rows of such a key over tasks, which it can't behind an aggregate in the same stage.
+
+
 def bucket_pivots(work: Workspace, buckets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members (bucket, node) of buckets with company, distinct pairs (a, b) of each bucket's smallest node a and the others), both written."""
+    """(members (bucket, node, bytes) of buckets with company, distinct pairs (a, b) of each bucket's smallest node a and the others), both written."""
     crowded = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("pivot")).where("size > 1")
-    crowded = work.write(crowded, "crowded")
-    members = work.write(joined(work, buckets, crowded, "bucket", "node"), "members")
+    crowded = work.write(crowded.select("bucket", "pivot"), "crowded")
+    members = work.write(buckets.join(crowded, "bucket"), "members")
     pairs = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-    return members.select("bucket", "node"), work.write(pairs.distinct(), "pairs")
+    return members.drop("pivot"), work.write(pairs.distinct(), "pairs")
+
 
+def mixed_members(work: Workspace, members: DataFrame, roots: DataFrame, block: int = MEET_AT_ONCE) -> DataFrame:
+    """Members (bucket, node, bytes, comp, blocks) of the buckets that hold more than one component of ``roots`` (id, root).
 
-def mixed_members(work: Workspace, members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members (bucket, node, comp) of the buckets that hold more than one component of ``roots`` (id, root)."""
+    ``blocks`` tells into how many blocks a bucket is dealt: of about ``block`` members and BLOCK_BYTES of their ``bytes``.
+    """
     first = roots.select(F.col("id").alias("node"), F.col("root").alias("comp"))
     placed = work.write(members.join(first, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "placed")
-    mixed = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-    return joined(work, placed, work.write(mixed.select("bucket", "size", "low"), "mixed"), "bucket", "node").drop("low")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("bytes") / BLOCK_BYTES)).cast("int")
+    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), blocks.alias("blocks")).where("low <> high")
+    return placed.join(work.write(mixed.select("bucket", "blocks"), "mixed"), "bucket")
 
 
 def least_by_root(work: Workspace, classes: DataFrame, least, name: str) -> DataFrame:
-    """``classes`` (root, node, ...) with the smallest of ``least`` among their root's rows as ``name``."""
-    smallest = classes.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.min(least).alias(name))
-    return joined(work, classes, work.write(smallest, "smallest"), "root", "node")
+    """``classes`` (root, ...) with the smallest of ``least`` among their root's rows as ``name``."""
+    return classes.join(work.write(classes.groupBy("root").agg(F.min(least).alias(name)), "smallest"), "root")

@@ -45,8 +45,8 @@ HEAVY = 1e-3
 #: Power of the idf in the weights that links are verified by. A large group of near copies makes its own shingles frequent;
 #: at full strength its members' few rare shingles would outweigh all that they share.
 DAMPING = 0.125
-#: Shingles that a task sorts at once and distinct ones that it holds, and bytes of text that a counting task reads.
-COUNT_AT_ONCE, TASK_BYTES = 2_000_000, 256 << 20
+#: Shingles that a counting task counts at once, that it holds at most, and bytes of text that it reads.
+COUNT_AT_ONCE, HELD, TASK_BYTES = 2_000_000, 12_000_000, 256 << 20
 SEED = 77
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -184,13 +184,6 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return float(both / total) if total > 0 else 0.0
 
 
-def _merged(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(values, kind="stable")
-    values, counts = values[order], counts[order]
-    first = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
-    return values[first], np.add.reduceat(counts, first)
-
-
 def _numbers(frame: DataFrame, name: str) -> np.ndarray:
     return frame.toArrow().column(name).to_numpy()
 
@@ -207,33 +200,28 @@ def heavy_shingles(docs: DataFrame, total: int, size: int) -> Weights:
     raw = docs.select("raw").coalesce(tasks) if tasks < docs.rdd.getNumPartitions() else docs.select("raw")
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, counts = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
-        pending, waiting, seen = [], 0, 0
-
-        def merge() -> None:
-            nonlocal values, counts, pending, waiting
-            if pending:
-                values, counts = _merged(np.concatenate([values, *pending]), np.concatenate((counts, np.ones(waiting, dtype=np.int64))))
-                pending, waiting = [], 0
+        held, size, seen = [], 0, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal values, counts, seen
-            kept = np.flatnonzero(counts >= (math.ceil(least * seen) if least * seen >= 4 else 1))
+            nonlocal held, size, seen
+            value = np.concatenate(held) if held else np.empty(0, dtype=np.uint64)
+            held = []
+            value.sort()
+            first = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1]))) if size else np.empty(0, dtype=np.int64)
+            count = np.diff(np.append(first, size))
+            kept = np.flatnonzero(count >= (math.ceil(least * seen) if least * seen >= 4 else 1))
             for at in range(0, len(kept), 1 << 17):
                 part = kept[at : at + (1 << 17)]
-                yield pa.RecordBatch.from_arrays([pa.array(values[part].view(np.int64)), pa.array(counts[part])], names=["shingle", "n"])
-            values, counts, seen = values[:0], counts[:0], 0
+                yield pa.RecordBatch.from_arrays([pa.array(value[first[part]].view(np.int64)), pa.array(count[part])], names=["shingle", "n"])
+            size = seen = 0
 
         for batch in batches:
             for text in batch.column("raw"):
                 found = shingles(text.as_py())[0]
-                pending.append(found)
-                waiting, seen = waiting + len(found), seen + 1
-                if waiting >= COUNT_AT_ONCE:
-                    merge()
-                    if len(values) >= COUNT_AT_ONCE:
-                        yield from flush()
-        merge()
+                held.append(found)
+                size, seen = size + len(found), seen + 1
+                if size >= HELD or size >= COUNT_AT_ONCE and least * seen >= 16:
+                    yield from flush()
         yield from flush()
 
     told = raw.mapInArrow(frequent, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2, least * total))
@@ -271,8 +259,8 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(blob, dtype="<u8", count=n), np.frombuffer(blob, dtype="<f4", count=n, offset=8 * n)
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("bands", pa.list_(pa.int64())), ("packed", pa.binary())])
-_SIGNED_DDL = "doc_id long, t1 long, t2 long, bands array<long>, packed binary"
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("bands", pa.list_(pa.int64())), ("packed", pa.binary()), ("bytes", pa.int64())])
+_SIGNED_DDL = "doc_id long, t1 long, t2 long, bands array<long>, packed binary, bytes long"
 #: Signatures that a worker remembers, so that many copies of a text are sampled once.
 REMEMBERED = 20_000
 
@@ -282,7 +270,7 @@ def _signed(docs: DataFrame, weights: Weights) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler, weigh, rows = Sampler(), shared.value, Rows(_SIGNED)
-        memo: dict[tuple[int, int], tuple[list[int], bytes]] = {}
+        memo: dict[tuple[int, int], tuple[list[int], bytes, int]] = {}
         for batch in batches:
             for doc_id, t1, t2, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "t1", "t2", "raw"))):
                 found = memo.get((t1, t2))
@@ -291,9 +279,9 @@ def _signed(docs: DataFrame, weights: Weights) -> DataFrame:
                     if len(hashes):
                         names = sampler(hashes, weigh.damped(hashes, counts))
                         own = bands(names)
-                        found = (own.tolist(), own.astype("<i8").tobytes())
+                        found = (own.tolist(), own.astype("<i8").tobytes(), 8 * BANDS + 12 * len(hashes))
                     else:
-                        found = ([], b"")
+                        found = ([], b"", 0)
                     if len(memo) >= REMEMBERED:
                         memo = {}
                     memo[t1, t2] = found
@@ -382,15 +370,15 @@ def _grouped(documents: DataFrame, similarity: float) -> DataFrame:
     total, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("raw")), F.lit(0))).first()
     weights = heavy_shingles(docs, total, size)
     signed = work.write(_signed(docs, weights), "signed")
-    grouped = signed.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first("bands").alias("bands"), F.first("packed").alias("packed"))
+    grouped = signed.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first("bands").alias("bands"), F.first("packed").alias("packed"), F.first("bytes").alias("bytes"))
     classes = work.write(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")  # written once, so a class keeps its number
-    buckets = classes.select(F.explode("bands").alias("bucket"), "node")
+    buckets = classes.select(F.explode("bands").alias("bucket"), "node", "bytes")
     members, pairs = bucket_pivots(work, buckets)
     profiles = work.write(_profiles(docs, classes, members.select("node").distinct(), weights), "profiles")
     links = work.write(_verified(pairs, profiles, similarity), "links")
     rest = mixed_members(work, members, components(work, links)).join(profiles, "node").join(classes.select("node", "packed"), "node")
     payload = F.concat("packed", "profile")
-    more = work.write(across_components(rest.select("bucket", "node", "comp", payload.alias("payload")), _Met, _linked(similarity)), "more")
+    more = work.write(across_components(rest.select("bucket", "node", "comp", "blocks", payload.alias("payload")), _Met, _linked(similarity)), "more")
     work.drop(profiles)
     roots = components(work, links.union(more)).select(F.col("id").alias("node"), "root")
     named = work.write(classes.select("t1", "t2", "node", "rep", "n_copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "named")

@@ -7,7 +7,7 @@ import pytest
 
 from pixelframe.functions.pixels import encode_png, resized
 from pixelframe.llm import embedding_dedup, image_copies, minhash_dedup
-from pixelframe.llm.linkage import blocked, components
+from pixelframe.llm.linkage import block_counts, blocked, components
 from pixelframe.llm.runtime import Workspace
 from tests.llm.conftest import words
 
@@ -39,7 +39,7 @@ def test_components(spark, shape):
 
 def test_blocks_let_every_pair_meet_once(spark):
     members = spark.createDataFrame([(1, i, i) for i in range(50)] + [(2, 99, 99)], "bucket long, node long, salt long")
-    met = blocked(members, block=8).collect()
+    met = blocked(members.join(block_counts(members, block=8), "bucket", "left")).collect()
     groups = {}
     for r in met:
         groups.setdefault((r["bucket"], r["i"], r["j"]), []).append(r)
