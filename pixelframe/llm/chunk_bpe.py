@@ -145,7 +145,7 @@ class ChunkEncoder:
             for i, k in open_joins:
                 joins, known = plans[i]
                 left, right = self._edge(known[k - 1] if k else None, count, True), self._edge(known[k] if k < len(known) else None, count, False)
-                windows.append(b" ".join((left[0], joins[k], right[0])))
+                windows.append(b" ".join(filter(None, (left[0], joins[k], right[0]))))
                 edges.append((left, right))
             still = []
             for place, window, (left, right) in zip(open_joins, self.words.library_batch(windows), edges):
