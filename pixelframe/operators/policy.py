@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import half_up, ppm
+from ..shipping import ship
+from .statistics import running_counts
 
 
 def enumerate_policies(spark: SparkSession, low: int = 2, high: int = 9) -> DataFrame:
@@ -47,59 +49,76 @@ def emitted(policies: DataFrame, scans: DataFrame, scan: str, final: str) -> Dat
     return scans.crossJoin(F.broadcast(policies)).where(F.array_contains("thresholds", F.col(scan)) & (F.col(scan) < F.col(final)))
 
 
-def _order(minimize: list[str], maximize: list[str]) -> list[tuple[str, int]]:
-    return [*((c, 1) for c in minimize), *((c, -1) for c in maximize)]
+def _ranks(frame: pd.DataFrame, measures: list[tuple[str, int]]) -> np.ndarray:
+    """Dense ranks of the measures, lower is better: exact for any ordered type."""
+    return np.column_stack([np.unique(frame[c].to_numpy(), return_inverse=True)[1] * s for c, s in measures])
 
 
 def _skyline(values: np.ndarray) -> np.ndarray:
-    """Rows that no other row dominates (no worse anywhere, better somewhere); lower is better."""
+    """Rows that no other row dominates (no worse anywhere, better somewhere); lower is better.
+
+    In lexicographic order only rows that come before can dominate one; they are looked at in blocks.
+    """
     order = np.lexsort(values.T[::-1])
-    kept = np.empty((0, values.shape[1]))
-    chosen = []
-    for i in order:
-        row = values[i]
-        if len(kept) and bool(((kept <= row).all(axis=1) & (kept < row).any(axis=1)).any()):
-            continue
-        chosen.append(i)
-        kept = np.vstack((kept, row))
-    return np.sort(np.array(chosen, dtype=np.int64))
+    kept = np.empty(len(values), dtype=np.int64)
+    n = 0
+    for at in range(0, len(order), 256):
+        block = order[at : at + 256]
+        alive = np.ones(len(block), dtype=bool)
+        for low in range(0, n, 4096):
+            known = values[kept[low : min(n, low + 4096)], None]
+            alive &= ~((known <= values[block]).all(axis=2) & (known < values[block]).any(axis=2)).any(axis=0)
+        own = values[block]
+        alive &= ~((own[:, None] <= own).all(axis=2) & (own[:, None] < own).any(axis=2)).any(axis=0)
+        found = block[alive]
+        kept[n : n + len(found)] = found
+        n += len(found)
+    return np.sort(kept[:n])
 
 
 def pareto_frontier(rows: DataFrame, minimize: list[str], maximize: list[str]) -> DataFrame:
     """Rows that no row dominates; equal rows don't dominate each other. Rows with a null measure are out.
 
-    Each task keeps its own frontier and frontiers meet four at a time, so that nothing but frontier
-    rows is moved and no pair of all rows is formed.
+    Every task of the scan keeps its own frontier; these are dealt out anew to ever fewer tasks, so nothing but
+    frontier rows is moved and no pair of all rows is formed. The last task holds the frontier itself.
     """
-    measures = _order(minimize, maximize)
+    measures = [*((c, 1) for c in minimize), *((c, -1) for c in maximize)]
+    schema = rows.schema
 
     def own(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
+        held, waiting, size = None, [], 0
+
+        def merged():
+            both = pd.concat(waiting if held is None else [held, *waiting], ignore_index=True)
+            return both.iloc[_skyline(_ranks(both, measures))].reset_index(drop=True)
+
         for frame in frames:
-            both = frame if held is None else pd.concat((held, frame), ignore_index=True)
-            values = np.column_stack([both[c].to_numpy(dtype=np.float64) * s for c, s in measures])
-            held = both.iloc[_skyline(values)].reset_index(drop=True)
-        if held is not None:
+            waiting.append(frame)
+            size += len(frame)
+            if size >= 50_000:
+                held, waiting, size = merged(), [], 0
+        if waiting:
+            held = merged()
+        if held is not None and len(held):
             yield held
 
-    found = rows.dropna(subset=[c for c, _ in measures]).mapInPandas(own, rows.schema)
-    parts = found.rdd.getNumPartitions()
-    while parts > 1:
-        parts = (parts + 3) // 4
-        found = found.coalesce(parts).mapInPandas(own, rows.schema)
+    spark = ship(rows.sparkSession)
+    found = rows.dropna(subset=[c for c, _ in measures]).mapInPandas(own, schema)
+    tasks = spark.sparkContext.defaultParallelism
+    while tasks > 1:
+        tasks = (tasks + 3) // 4
+        found = found.repartition(tasks).mapInPandas(own, schema)
     return found
 
 
 def strict_rank(rows: DataFrame, value: str, descending: bool = False, name: str = "rank") -> DataFrame:
     """1 + the number of rows that are strictly better, by joining each distinct value's rank.
 
-    Values are counted first, so the only ordered window runs over distinct values.
+    Values are counted first; distinct values are ordered in ranges, each in a task of its own.
     """
     counts = rows.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    order = F.col(value).desc() if descending else F.col(value).asc()
-    before = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.select(value, (F.coalesce(F.sum("_n").over(before), F.lit(0)) + 1).alias(name))
-    return rows.join(ranked, value)
+    ranked = running_counts(counts, [], value, "_n", descending)
+    return rows.join(ranked.select(value, (F.col("_upto") - F.col("_n") + 1).alias(name)), value)
 
 
 def leaders(rows: DataFrame, key: str, metrics: dict[str, bool]) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..contracts import DecodeLimits, EncodeCapabilities, EncodeLimits
 from ..functions import containers, pixels
+from ..shipping import ship
 from .admission import first_failure, probe_failure
 
 _PROBE = pa.schema([
@@ -49,9 +50,10 @@ def probe_bytes(content: bytes | None, limits: DecodeLimits) -> dict:
 
 
 def probe(images: DataFrame, content: str = "content", limits: DecodeLimits | None = None) -> DataFrame:
-    """``images`` with ``probe`` columns and ``failure``: the container's own failure, else the first limit it breaks."""
+    """``images`` with ``probe`` columns and ``failure``: the container's own failure, else the first limit it breaks. Columns of these names are replaced."""
     limits = limits or DecodeLimits()
-    others = [f for f in images.schema.fields if f.name != content]
+    ship(images.sparkSession)
+    others = [f for f in images.schema.fields if f.name != content and f.name not in (*_PROBE.names, "failure")]
     names = [f.name for f in others]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,6 +73,7 @@ def container_parts(images: DataFrame, key: list[str], content: str = "content")
     """One row for each chunk, segment or block up to the first corruption: kind, offset, payload_length, is_metadata; corrupt on the last row if the walk failed."""
     schema = pa.schema([("kind", pa.string()), ("offset", pa.int64()), ("payload_length", pa.int64()), ("is_metadata", pa.bool_()), ("failure", pa.string())])
     fields = [images.schema[k] for k in key]
+    ship(images.sparkSession)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,6 +98,7 @@ def container_parts(images: DataFrame, key: list[str], content: str = "content")
 
 def scan_boundaries(images: DataFrame, key: str, content: str = "content") -> DataFrame:
     """One row for each scan of a JPEG and each prefix worth decoding around its end; corrupt images have none."""
+    ship(images.sparkSession)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [key, "scan", "entropy_start", "entropy_end", "terminating_marker", "offset", "labels"]
@@ -147,6 +151,7 @@ def decode(images: DataFrame, key: str, target: tuple[int, int], mode: str = "fi
 def encode(rasters: DataFrame, key: str, background: tuple[int, int, int] | None = None, limits: EncodeLimits | None = None, have: EncodeCapabilities | None = None) -> DataFrame:
     """key, content (PNG) and failure of decoded rows (width, height, channels, pixels); alpha is kept, or laid over ``background``."""
     limits, have = limits or EncodeLimits(), have or EncodeCapabilities()
+    ship(rasters.sparkSession)
     kind = rasters.schema[key].dataType.simpleString()
     admitted = first_failure(
         (F.lit("png" in have.formats and "png" in limits.formats), "formatNotAllowed"),

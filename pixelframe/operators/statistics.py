@@ -2,22 +2,52 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import half_up, truncated
+from ..functions.numeric import truncated
+
+
+#: Ranges that a group's distinct values are cut into, and how many values a range should have at least.
+RANGES, RANGE_ROWS = 256, 4096
+
+
+def running_counts(counted: DataFrame, groups: list[str], value: str, count: str, descending: bool = False) -> DataFrame:
+    """``counted`` (one row for each value of a group) with _upto, the sum of ``count`` up to the value, and _all, the group's sum.
+
+    No task orders a whole group: quantiles, which needn't be exact, cut a large group's values into ranges,
+    sums by range give what stands before each, and windows run inside ranges.
+    """
+    n = F.least(F.lit(RANGES), F.floor(F.count(F.lit(1)) / RANGE_ROWS)).cast("int")
+    quantiles = F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 4 * RANGES)
+    cuts = counted.groupBy(*groups).agg(n.alias("_ranges"), quantiles.alias("_q")).select(*groups, F.when(F.col("_ranges") > 1, F.array_distinct("_q")).alias("_cuts"))
+    known = [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(groups)]
+    cuts = cuts.select(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)), "_cuts").where("_cuts IS NOT NULL")
+    # A row for each group of more than RANGE_ROWS values.
+    placed = counted.join(cuts, reduce(and_, known) if known else F.lit(True), "left").drop(*(f"_g{i}" for i in range(len(groups))))
+    below = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
+    placed = placed.withColumn("_range", F.coalesce(-below if descending else below, F.lit(0))).drop("_cuts")
+    sums = placed.groupBy(*groups, "_range").agg(F.sum(count).alias("_sum"))
+    own = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
+    before = F.coalesce(F.sum("_sum").over(own.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)), F.col("_range").alias("_r"), before.alias("_before"), F.sum("_sum").over(own).alias("_all"))
+    order = F.col(value).desc() if descending else F.col(value)
+    upto = Window.partitionBy(*groups, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = placed.join(sums, reduce(and_, [*known, F.col("_range") == F.col("_r")]))
+    return joined.select(*counted.columns, (F.sum(count).over(upto) + F.col("_before")).alias("_upto"), "_all")
 
 
 def nearest_rank(rows: DataFrame, groups: list[str], value: str, names: dict[str, tuple[int, int]]) -> DataFrame:
     """Nearest-rank percentiles (numerator, denominator) per group, exactly.
 
-    Equal values are counted before they are sorted, so what is shuffled and windowed is a row for
-    each distinct value of a group; the window spills.
+    Equal values are counted before they are ordered, so what is shuffled is a row for
+    each distinct value of a group; a large group's values are ordered in ranges.
     """
     counted = rows.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_n"))
-    own = Window.partitionBy(*groups)
-    upto = own.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = counted.withColumns({"_upto": F.sum("_n").over(upto), "_all": F.sum("_n").over(own)})
+    placed = running_counts(counted, groups, value, "_n")
 
     def rank(numerator: int, denominator: int) -> Column:
         wanted = F.greatest(F.lit(1).cast("long"), truncated(F.col("_all") * numerator + (denominator - 1), denominator))
@@ -79,7 +109,3 @@ def intervals_meet(rows: DataFrame, groups: list[str], upper: str, width: int) -
     """Intersection of the half-open intervals (upper - width, upper]: its bounds, and whether it holds a point."""
     out = rows.groupBy(*groups).agg((F.max(upper) - width).alias("lower"), F.min(upper).alias("upper"))
     return out.withColumn("meets", F.col("lower") < F.col("upper"))
-
-
-def mean_half_up(total, count) -> Column:
-    return half_up(total, count)

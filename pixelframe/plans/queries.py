@@ -34,7 +34,7 @@ def _micros(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with whole-number times: t (microseconds), service (of the value) and bytes."""
     events = table(spark, sf_dir, "events")
     cents = F.floor(F.col("value") * 100 + 0.5).cast("long")
-    return events.select("event_id", "user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), cents.alias("cents"), (cents * 100_000).alias("service"))
+    return events.select("event_id", "user_id", "event_type", F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', cast(ts AS timestamp_ntz))").alias("t"), cents.alias("cents"), (cents * 100_000).alias("service"))
 
 
 _EVENTS = "(SELECT event_id, user_id, event_type, epoch_us(ts) AS t, CAST(floor(value * 100 + 0.5) AS BIGINT) AS cents, CAST(floor(value * 100 + 0.5) AS BIGINT) * 100000 AS service FROM events)"

@@ -13,7 +13,6 @@ MANIFEST_CASES = "id string, file string, kind string, byteCount long, sha256 st
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -76,9 +75,10 @@ def verified(files: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def source_tree(spark: SparkSession, root: str, excluded: tuple[str, ...] = (".git", ".build", "__pycache__")) -> DataFrame:
-    """path, byte_count, sha256 and executable of a tree's files; links are refused. The listing runs on the driver, as links and modes show only there."""
-    import hashlib
+    """path, byte_count, sha256 and executable of a tree's files; links are refused.
 
+    The driver lists names, links and modes, which show only there; executors read and hash the files.
+    """
     rows = []
     for folder, names, files in os.walk(root):
         names[:] = sorted(n for n in names if n not in excluded)
@@ -86,9 +86,14 @@ def source_tree(spark: SparkSession, root: str, excluded: tuple[str, ...] = (".g
             path = Path(folder, name)
             if path.is_symlink():
                 raise ValueError(f"symbolic link: {path}")
-            data = path.read_bytes()
-            rows.append((path.relative_to(root).as_posix(), len(data), hashlib.sha256(data).hexdigest(), os.access(path, os.X_OK)))
-    return spark.createDataFrame(rows, "path string, byte_count long, sha256 string, executable boolean")
+            rows.append((path.relative_to(root).as_posix(), os.access(path, os.X_OK)))
+    listed = spark.createDataFrame(rows, "path string, executable boolean")
+    if not rows:
+        return listed.select("path", F.lit(0).cast("long").alias("byte_count"), F.lit("").alias("sha256"), "executable")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    base = "file:" + Path(root).resolve().as_posix() + "/"
+    hashed = files.select(F.replace(F.regexp_replace("path", "^file:/+", "file:/"), F.lit(base), F.lit("")).alias("path"), F.col("length").alias("byte_count"), F.sha2("content", 256).alias("sha256"))
+    return listed.join(hashed, "path").select("path", "byte_count", "sha256", "executable")
 
 
 def symbols(spark: SparkSession, path: str) -> DataFrame:
@@ -114,7 +119,7 @@ def write_report(rows: DataFrame, path: str) -> None:
 
 
 def write_artifacts(images: DataFrame, folder: str, name: str = "file", content: str = "content") -> None:
-    """Each row's bytes as a file of a folder that driver and executors share; a file appears whole or not at all."""
+    """Each row's bytes as a file of a folder that driver and executors share; a file appears whole or not at all. Names that leave the folder are refused."""
     target = folder.removeprefix("file://")
 
     def put(rows) -> None:
@@ -122,6 +127,8 @@ def write_artifacts(images: DataFrame, folder: str, name: str = "file", content:
         for row in rows:
             if row[content] is None:
                 continue
+            if row[name] in ("", ".", "..") or os.path.basename(row[name]) != row[name]:
+                raise ValueError(f"not a file name: {row[name]!r}")
             part = os.path.join(target, f".{row[name]}.{os.getpid()}")
             with open(part, "wb") as f:
                 f.write(row[content])

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.containers import Corrupt, inspect
+from ..shipping import ship
 
 #: Completed scans at which a preview is due.
 THRESHOLDS = (1, 2, 4, 8)
@@ -35,7 +36,7 @@ class MarkerReader:
     def __init__(self, at: int = 0, in_scan: bool = False, frame: str = "", completed: int = 0, ended: bool = False):
         self.at, self.in_scan, self.frame, self.completed, self.ended = at, in_scan, frame, completed, ended
 
-    def _marker(self, data: bytes) -> tuple[int, int, int] | None:
+    def _marker(self, data: bytes | bytearray) -> tuple[int, int, int] | None:
         """(first FF, value, offset behind) of the next marker, or None until its value has come."""
         start = data.find(b"\xff", self.at)
         if start < 0:
@@ -49,7 +50,7 @@ class MarkerReader:
             return None
         return start, data[end], end + 1
 
-    def read(self, data: bytes) -> None:
+    def read(self, data: bytes | bytearray) -> None:
         if self.at == 0:
             if len(data) < 2:
                 return
@@ -107,7 +108,7 @@ class Session:
             raise Corrupt("encodedBytesExceeded")
         self.data += chunk
         self.received = len(self.data)
-        self.reader.read(bytes(self.data))
+        self.reader.read(self.data)
         if self.reader.frame == "baseline":
             raise Corrupt("progressiveDecodingUnsupported")
         if self.reader.frame != "progressive" or self.reader.ended:
@@ -133,7 +134,7 @@ class Session:
     def finish_if_complete(self) -> int | None:
         """As :meth:`finish` once the end marker has come; before that nothing changes."""
         self._open()
-        self.reader.read(bytes(self.data))
+        self.reader.read(self.data)
         return self.finish() if self.reader.ended else None
 
     def cancel(self) -> None:
@@ -173,6 +174,7 @@ def progressive_stream(events: DataFrame, maximum_bytes: int = MAXIMUM_BYTES) ->
         yield _run(key[0], session, pd.concat(list(frames), ignore_index=True))
         state.update((json.dumps(session.fields()), bytes(session.data)))
 
+    ship(events.sparkSession)
     return events.groupBy("stream_id").applyInPandasWithState(step, OUTPUT, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
@@ -182,6 +184,7 @@ def progressive_batch(events: DataFrame, maximum_bytes: int = MAXIMUM_BYTES) ->
     def whole(key: tuple[str], frame: pd.DataFrame) -> pd.DataFrame:
         return _run(key[0], Session(maximum_bytes), frame)
 
+    ship(events.sparkSession)
     return events.groupBy("stream_id").applyInPandas(whole, OUTPUT)
 
 
