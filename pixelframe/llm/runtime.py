@@ -5,14 +5,14 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pixelframe.shipping import ship
+
 #: Documents whose crc32 of the id falls in this residue class are never learnt from.
 HELD_OUT_MODULUS, HELD_OUT_REMAINDER = 4, 2
 #: Rows of one Arrow batch sent to Python, so that a batch of long texts stays small.
@@ -20,22 +20,12 @@ ARROW_ROWS = 512
 #: Bytes after which a Python operator hands over what it has produced.
 FLUSH_BYTES = 8 << 20
 
-_shipped: set[str] = set()
-
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Make the package importable on executors and bound the Arrow batches."""
-    app = spark.sparkContext.applicationId
-    if app not in _shipped:
-        root = Path(__file__).resolve().parents[2]
-        target = Path(tempfile.mkdtemp(prefix="pixelframe-")) / "pixelframe_code.zip"
-        with zipfile.ZipFile(target, "w") as archive:
-            for source in sorted((root / "pixelframe").rglob("*.py")):
-                archive.write(source, source.relative_to(root).as_posix())
-        spark.sparkContext.addPyFile(str(target))
-        _shipped.add(app)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    return spark
+    """Make the package importable on executors and bound the Arrow batches, unless the session has bounds of its own."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # Spark's default
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    return ship(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,11 +33,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set."""
+    """The folder that driver and executors share; a local one only where none is set and everything runs in one process."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + os.path.join(tempfile.gettempdir(), "pixelframe-shared")
-        spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
