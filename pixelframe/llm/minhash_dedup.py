@@ -191,9 +191,8 @@ def _numbers(frame: DataFrame, name: str) -> np.ndarray:
 def heavy_shingles(docs: DataFrame, total: int, size: int) -> Weights:
     """Exact document frequencies of all shingles in more than HEAVY of the ``total`` documents (of ``size`` bytes) and in two at least.
 
-    A task counts its documents' shingles. Among 4 / least documents or more those in a smaller share than ``least`` are
-    left out; of all documents that loses less than ``least``, so what is in HEAVY of all still shows. A task that
-    has to hand over earlier, as it holds too many, leaves nothing out.
+    A task counts its documents' shingles and leaves those out that a smaller share than ``least`` of them has (none, if
+    there are few documents); of all documents that loses less than ``least``, so what is in HEAVY of all still shows.
     """
     least = HEAVY / 2
     tasks = max(1, int(least * total / 4), size // TASK_BYTES)
@@ -209,7 +208,7 @@ def heavy_shingles(docs: DataFrame, total: int, size: int) -> Weights:
             value.sort()
             first = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1]))) if size else np.empty(0, dtype=np.int64)
             count = np.diff(np.append(first, size))
-            kept = np.flatnonzero(count >= (math.ceil(least * seen) if least * seen >= 4 else 1))
+            kept = np.flatnonzero(count >= math.ceil(least * seen))
             for at in range(0, len(kept), 1 << 17):
                 part = kept[at : at + (1 << 17)]
                 yield pa.RecordBatch.from_arrays([pa.array(value[first[part]].view(np.int64)), pa.array(count[part])], names=["shingle", "n"])
@@ -220,7 +219,7 @@ def heavy_shingles(docs: DataFrame, total: int, size: int) -> Weights:
                 found = shingles(text.as_py())[0]
                 held.append(found)
                 size, seen = size + len(found), seen + 1
-                if size >= HELD or size >= COUNT_AT_ONCE and least * seen >= 16:
+                if size >= HELD or size >= COUNT_AT_ONCE and least * seen >= 4:
                     yield from flush()
         yield from flush()
 
