@@ -69,12 +69,19 @@ def equal_tables(left: DataFrame, right: DataFrame) -> DataFrame:
     return a.unionByName(right.exceptAll(left).withColumn("side", F.lit("right")))
 
 
-def relationships(symbols: DataFrame, edges: DataFrame) -> DataFrame:
-    """Relations of public symbols (symbols: id, name, access; edges: source, target, target_fallback, kind), target by name where it is known."""
-    public = symbols.where("access IN ('public', 'open')").select("id", "name")
-    own = edges.join(public.toDF("source", "source_name"), "source")
-    named = own.join(public.toDF("target", "target_name"), "target", "left")
-    return named.select("source_name", "kind", F.coalesce("target_name", "target_fallback", "target").alias("target"))
+#: Kinds of relations that are part of an interface.
+RELATIONS = ("conformsTo", "inheritsFrom")
+
+
+def relationships(symbols: DataFrame, edges: DataFrame, kinds: tuple[str, ...] = RELATIONS) -> DataFrame:
+    """Relations of public symbols (symbols: id, name, access; edges: source, target, target_fallback, kind), of the given kinds, by source, kind and target.
+
+    The target is its fallback name, where it has one, else its identifier.
+    """
+    public = symbols.where("access IN ('public', 'open')").select(F.col("id").alias("source"), F.col("name").alias("source_name"))
+    own = edges.where(F.col("kind").isin(*kinds)).join(public, "source")
+    named = own.select("source_name", "kind", F.coalesce(F.nullif(F.col("target_fallback"), F.lit("")), F.col("target")).alias("target"))
+    return named.orderBy("source_name", "kind", "target")
 
 
 def scan_script(rows: DataFrame, key: list[str], text: str) -> DataFrame:
@@ -82,3 +89,36 @@ def scan_script(rows: DataFrame, key: list[str], text: str) -> DataFrame:
     bare = F.regexp_replace(F.col(text), r"#[^\n]*", "")
     listed = F.filter(F.transform(F.split(bare, ";"), lambda s: F.regexp_replace(s, r"^[ \t\r\n]+|[ \t\r\n]+$", "")), lambda s: s != "")
     return rows.select(*key, F.posexplode(listed).alias("place", "statement"))
+
+
+def attempts_equal(rows: DataFrame, keys: list[str], fresh: str, sequential: str) -> DataFrame:
+    """Per group, whether every row's two attempts (structs of available and digest) agree, and whether all available fresh ones have one digest."""
+    agree = F.col(f"{fresh}.available").eqNullSafe(F.col(f"{sequential}.available")) & F.col(f"{fresh}.digest").eqNullSafe(F.col(f"{sequential}.digest"))
+    shown = F.when(F.col(f"{fresh}.available"), F.col(f"{fresh}.digest"))
+    return rows.groupBy(*keys).agg(F.bool_and(agree).alias("attempts_equal"), (F.count_distinct(shown) == 1).alias("stable"), F.count(F.lit(1)).alias("checkpoints"))
+
+
+def checkpoint_findings(rows: DataFrame, keys: list[str], fresh: str, sequential: str, entropy_end: str) -> DataFrame:
+    """One row of findings over all scans (``keys``): counts of scans and checkpoints, how many scans can be drawn at their entropy's end, agree in all attempts, are stable, and how often each frame status occurs."""
+    per = attempts_equal(rows, keys, fresh, sequential).join(rows.groupBy(*keys).agg(F.bool_or(F.col(entropy_end) & F.col(f"{fresh}.available")).alias("drawn")), keys)
+    counts = per.agg(
+        F.count(F.lit(1)).alias("scan_count"), F.sum("checkpoints").alias("checkpoint_count"), F.count_if("drawn").alias("entropy_end_drawn"),
+        F.count_if("attempts_equal").alias("attempts_equal_count"), F.count_if("stable").alias("stable_count"),
+    )
+    both = rows.select(F.explode(F.array(*(F.struct(F.lit(n).alias("attempt"), F.col(f"{s}.status").cast("string").alias("status")) for n, s in (("fresh", fresh), ("sequential", sequential))))).alias("s")).select("s.*")
+    # A row for each status value, of which the format has a handful.
+    told = both.groupBy("attempt", "status").agg(F.count(F.lit(1)).alias("n")).groupBy("attempt").agg(F.array_sort(F.collect_list(F.concat_ws(":", "status", F.col("n").cast("string")))).alias("h"))
+    wide = told.agg(*(F.max(F.when(F.col("attempt") == n, F.col("h"))).alias(f"{n}_statuses") for n in ("fresh", "sequential")))
+    return counts.crossJoin(wide)
+
+
+def scan_deltas(rows: DataFrame, keys: list[str], scan: str, offset: str, psnr: str, total: str, first: int = 8) -> DataFrame:
+    """What the scan behind ``first`` adds in each series: bytes, their share of the file in parts per million, and quality."""
+    second = first + 1
+
+    def at(n: int, column: str) -> Column:
+        return F.max(F.when(F.col(scan) == n, F.col(column)))
+
+    wide = rows.where(F.col(scan).isin(first, second)).groupBy(*keys).agg(*(at(n, c).alias(f"_{c}{n}") for c in (offset, psnr) for n in (first, second)), F.max(total).alias("_total"), F.count_distinct(scan).alias("_n")).where("_n = 2")
+    added = F.col(f"_{offset}{second}") - F.col(f"_{offset}{first}")
+    return wide.select(*keys, added.alias("additional_bytes"), F.call_function("div", (added * 1_000_000).cast("long"), F.col("_total").cast("long")).alias("additional_ppm"), (F.col(f"_{psnr}{second}") - F.col(f"_{psnr}{first}")).alias("psnr_gain"))

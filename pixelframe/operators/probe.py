@@ -118,6 +118,32 @@ def scan_boundaries(images: DataFrame, key: str, content: str = "content") -> Da
     return images.select(key, F.col(content).cast("binary").alias("_content")).mapInArrow(walk, f"`{key}` {kind}, scan int, entropy_start long, entropy_end long, terminating_marker string, offset long, labels array<string>")
 
 
+def jpeg_structures(images: DataFrame, key: str, content: str = "content") -> DataFrame:
+    """Frame header, scan count and the digest of the quantisation tables of each JPEG, and whether it is progressive; corrupt images have nulls and a failure."""
+    ship(images.sparkSession)
+    schema = pa.schema([("frame_marker", pa.string()), ("sample_precision", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("component_count", pa.int32()), ("quantization_sha256", pa.string()), ("scan_count", pa.int32()), ("failure", pa.string())])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for blob in batch.column("_content").to_pylist():
+                row = dict.fromkeys(schema.names)
+                try:
+                    found = containers.jpeg_structure(blob or b"")
+                    row |= {k: found[k] for k in ("frame_marker", "sample_precision", "width", "height", "quantization_sha256")}
+                    row |= {"component_count": len(found["components"]), "scan_count": len(containers.jpeg_scans(blob))}
+                except containers.Corrupt as e:
+                    row = dict.fromkeys(schema.names) | {"failure": e.failure}
+                rows.append(row)
+            made = pa.RecordBatch.from_pylist(rows, schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(key), *made.columns], names=[key, *schema.names])
+
+    kind = images.schema[key].dataType.simpleString()
+    ddl = f"`{key}` {kind}, frame_marker string, sample_precision int, width int, height int, component_count int, quantization_sha256 string, scan_count int, failure string"
+    found = images.select(key, F.col(content).cast("binary").alias("_content")).mapInArrow(walk, ddl)
+    return found.withColumn("progressive", F.col("frame_marker") == "C2")
+
+
 def decode(images: DataFrame, key: str, target: tuple[int, int], mode: str = "fit", content: str = "content", limits: DecodeLimits | None = None) -> DataFrame:
     """key, width, height, channels, pixels (packed rows) and failure: probed, admitted, decoded, oriented, scaled to the target.
 
@@ -148,6 +174,27 @@ def decode(images: DataFrame, key: str, target: tuple[int, int], mode: str = "fi
     return probed.select(key, F.col("_copy").cast("binary").alias("_content"), "orientation", "failure").mapInArrow(run, f"`{key}` {kind}, width int, height int, channels int, pixels binary, failure string")
 
 
+def decode_pnm_files(images: DataFrame, key: str, content: str = "content") -> DataFrame:
+    """key, width, height, channels, pixels and failure of binary PGM and PPM images, as they are."""
+    ship(images.sparkSession)
+    kind = images.schema[key].dataType.simpleString()
+    names = [key, "width", "height", "channels", "pixels", "failure"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for name, blob in zip(batch.column(key).to_pylist(), batch.column("_content").to_pylist()):
+                try:
+                    made = pixels.decode_pnm(blob or b"")
+                    rows.append((name, made.shape[1], made.shape[0], made.shape[2], made.tobytes(), None))
+                except pixels.PixelError:
+                    rows.append((name, None, None, None, None, "decodeFailed"))
+            types = [batch.schema.field(key).type, pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows) if rows else [[]] * 6, types)], names=names)
+
+    return images.select(key, F.col(content).cast("binary").alias("_content")).mapInArrow(run, f"`{key}` {kind}, width int, height int, channels int, pixels binary, failure string")
+
+
 def encode(rasters: DataFrame, key: str, background: tuple[int, int, int] | None = None, limits: EncodeLimits | None = None, have: EncodeCapabilities | None = None) -> DataFrame:
     """key, content (PNG) and failure of decoded rows (width, height, channels, pixels); alpha is kept, or laid over ``background``."""
     limits, have = limits or EncodeLimits(), have or EncodeCapabilities()

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,20 +13,7 @@ from ..functions.numeric import ceiled, half_up, micro, ppm, saturated_product,
 from ..functions.pixels import encode_png
 from ..operators import admission, identity, joins, metrics, policy, queueing, statistics
 from ..sources.files import table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
+from .registry import ORACLE_SQL, QUERIES, query
 
 def _micros(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with whole-number times: t (microseconds), service (of the value) and bytes."""
@@ -254,12 +239,12 @@ def working_set_estimate(spark, sf_dir):
 
 @query("""SELECT coalesce(w.n_nationkey, h.n_nationkey) AS n_nationkey, coalesce(w.segment, h.segment) AS segment, CASE WHEN h.segment IS NULL THEN 'missing' ELSE 'unexpected' END AS status FROM
   (SELECT n_nationkey, c_mktsegment AS segment FROM nation, (SELECT DISTINCT c_mktsegment FROM customer)) w FULL JOIN
-  (SELECT DISTINCT c_nationkey AS n_nationkey, c_mktsegment AS segment FROM customer WHERE c_custkey % 3 = 0) h ON w.n_nationkey = h.n_nationkey AND w.segment = h.segment WHERE w.segment IS NULL OR h.segment IS NULL""")
+  (SELECT DISTINCT c_nationkey AS n_nationkey, c_mktsegment AS segment FROM customer) h ON w.n_nationkey = h.n_nationkey AND w.segment = h.segment WHERE w.segment IS NULL OR h.segment IS NULL""")
 def cross_product_completeness(spark, sf_dir):
     customer = table(spark, sf_dir, "customer")
     segments = customer.select(F.col("c_mktsegment").alias("segment")).distinct()
     expected = table(spark, sf_dir, "nation").select("n_nationkey").crossJoin(segments)
-    observed = customer.where("c_custkey % 3 = 0").select(F.col("c_nationkey").alias("n_nationkey"), F.col("c_mktsegment").alias("segment"))
+    observed = customer.select(F.col("c_nationkey").alias("n_nationkey"), F.col("c_mktsegment").alias("segment"))
     return joins.completeness(expected, observed, ["n_nationkey", "segment"])
 
 
@@ -320,14 +305,14 @@ def last_row_ranges(spark, sf_dir):
     return statistics.last_row_ranges(orders, ["o_orderpriority"], "o_custkey", ["o_orderdate", "o_orderkey"], ["cents"])
 
 
-_SERIES = f"(SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) * 1000 AS off, count(*) OVER (PARTITION BY user_id) * 1000 + 500 AS total, cents * 3 AS se, 12 AS channels FROM {_EVENTS} WHERE event_id % 3 = 0)"
+_SERIES = f"(SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) * 1000 AS off, count(*) OVER (PARTITION BY user_id) * 1000 + 500 AS total, cents * 3 AS se, 12 AS channels FROM {_EVENTS})"
 
 
 @query(f"""SELECT user_id, CAST(count(*) AS BIGINT) AS generation_count, CAST((sum(se * span) * 1000000 + max(channels) * sum(span) // 2) // (max(channels) * sum(span)) AS BIGINT) AS exposure_mse_micro,
   CAST(least(1000000, max(span) * 1000000 // max(total)) AS BIGINT) AS maximum_gap_ppm FROM (SELECT *, coalesce(lead(off) OVER (PARTITION BY user_id ORDER BY off), total) - off AS span FROM {_SERIES}) GROUP BY user_id""")
 def exposure_weighted_mean(spark, sf_dir):
     own = Window.partitionBy("user_id")
-    rows = _micros(spark, sf_dir).where("event_id % 3 = 0")
+    rows = _micros(spark, sf_dir)
     rows = rows.select("user_id", (F.row_number().over(own.orderBy("t", "event_id")) * 1000).cast("long").alias("off"), (F.count(F.lit(1)).over(own) * 1000 + 500).alias("total"), (F.col("cents") * 3).alias("se"), F.lit(12).cast("long").alias("channels"))
     return policy.exposure(rows, ["user_id"], "off", "off", "total", "se", "channels")
 
@@ -341,9 +326,9 @@ def policy_summary(spark, sf_dir):
 
 
 @query(f"""SELECT k, bool_and(cents >= 200000) AS reaches, bool_and(coalesce(cents >= p, true)) AS never_falls, max(cents) - min(cents) >= 4000000 AS spreads, bool_and(coalesce(line > s, true)) AS grows FROM (
-  SELECT *, lag(cents) OVER w AS p, lag(line) OVER w AS s FROM (SELECT l_orderkey % 500 AS k, line, max(cents) AS cents FROM {_LINES} GROUP BY ALL) WINDOW w AS (PARTITION BY k ORDER BY line)) GROUP BY k""")
+  SELECT *, lag(cents) OVER w AS p, lag(line) OVER w AS s FROM (SELECT l_orderkey AS k, line, max(cents) AS cents FROM {_LINES} GROUP BY ALL) WINDOW w AS (PARTITION BY k ORDER BY line)) GROUP BY k""")
 def quality_series(spark, sf_dir):
-    rows = _lines(spark, sf_dir).groupBy((F.col("l_orderkey") % 500).alias("k"), "line").agg(F.max("cents").alias("cents"))
+    rows = _lines(spark, sf_dir).groupBy(F.col("l_orderkey").alias("k"), "line").agg(F.max("cents").alias("cents"))
     return joins.quality_series(rows, ["k"], "line", "cents", "line", 200_000, 4_000_000)
 
 
@@ -372,13 +357,13 @@ def contiguous_generations(spark, sf_dir):
     return joins.contiguous(table(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_linenumber")
 
 
-_HALVES = f"(SELECT grp || '-' || line AS k, l_orderkey % 2 AS half, CAST(sum(cents) // count(*) AS BIGINT) AS mean_cents, max(cents) AS max_cents FROM {_LINES} WHERE NOT (l_orderkey % 2 = 1 AND line = 7 AND grp = 0) GROUP BY 1, 2)"
+_HALVES = f"(SELECT grp || '-' || line AS k, l_orderkey % 2 AS half, CAST(sum(cents) // count(*) AS BIGINT) AS mean_cents, max(cents) AS max_cents FROM {_LINES} GROUP BY 1, 2)"
 
 
 @query(f"""SELECT coalesce(o.k, b.k) AS k, CASE WHEN b.k IS NULL THEN 'no baseline' WHEN o.k IS NULL THEN 'not observed' WHEN o.mean_cents > greatest((b.mean_cents * 101 + 99) // 100, b.mean_cents + 100) THEN 'mean_cents over budget'
   WHEN o.max_cents > greatest((b.max_cents * 100 + 99) // 100, b.max_cents + 1000) THEN 'max_cents over budget' ELSE 'ok' END AS status FROM (SELECT * FROM {_HALVES} WHERE half = 0) o FULL JOIN (SELECT * FROM {_HALVES} WHERE half = 1) b ON o.k = b.k""")
 def budget_regression(spark, sf_dir):
-    rows = _lines(spark, sf_dir).where("NOT (l_orderkey % 2 = 1 AND line = 7 AND grp = 0)")
+    rows = _lines(spark, sf_dir)
     halves = rows.groupBy(F.concat(F.col("grp").cast("string"), F.lit("-"), F.col("line").cast("string")).alias("k"), (F.col("l_orderkey") % 2).alias("half")).agg(truncated(F.sum("cents"), F.count(F.lit(1))).alias("mean_cents"), F.max("cents").alias("max_cents"))
     baseline = halves.where("half = 1").select("k", statistics.budget("mean_cents", 101, 100).alias("mean_cents_budget"), statistics.budget("max_cents", 100, 1000).alias("max_cents_budget"))
     return statistics.regression_check(halves.where("half = 0"), baseline, "k", ["mean_cents", "max_cents"])
@@ -492,7 +477,13 @@ def network_arrivals(spark, sf_dir):
     return rows.select("doc_id", "network", "chunk_index", "arrival_ns")
 
 
-@query()
+_PAGE_SIZES = f"""(SELECT *, greatest(16, (n + width * 3 - 1) // (width * 3)) AS height FROM (SELECT *, 48 * greatest(1, (n + 48 * 3 * 16384 - 1) // (48 * 3 * 16384)) AS width
+  FROM (SELECT page_id, CASE WHEN html IS NULL OR html = '' THEN ' ' ELSE html END AS text, octet_length(encode(CASE WHEN html IS NULL OR html = '' THEN ' ' ELSE html END)) AS n FROM pages)))"""
+
+
+@query(f"""SELECT page_id, CASE WHEN ok THEN 'png' END AS format, CASE WHEN ok THEN CAST(width AS BIGINT) END AS width, CASE WHEN ok THEN CAST(height AS BIGINT) END AS height, CASE WHEN ok THEN CAST(1 AS BIGINT) END AS frame_count, CASE WHEN ok THEN 1 END AS orientation,
+  CASE WHEN ok THEN CAST(6 + length(CAST(page_id AS VARCHAR)) AS BIGINT) END AS metadata_byte_count, CAST(0 AS BIGINT) AS attachment_count, CASE WHEN ok THEN 'standardSRGB' END AS source_profile, CASE WHEN NOT ok THEN 'unsupportedOrCorruptImage' END AS failure
+  FROM (SELECT *, page_id % 10 <> 9 AS ok FROM {_PAGE_SIZES})""")
 def container_probe(spark, sf_dir):
     """Every page as an image file: PNG pictures of all its text's bytes, some spoiled; probed and admitted."""
     from ..operators.probe import probe
@@ -500,36 +491,72 @@ def container_probe(spark, sf_dir):
     return probe(_page_images(spark, sf_dir))
 
 
-@query()
-def container_parts(spark, sf_dir):
-    from ..operators.probe import container_parts as parts
+@query(f"""SELECT page_id, CASE WHEN ok THEN CAST(width AS INTEGER) END AS width, CASE WHEN ok THEN CAST(height AS INTEGER) END AS height, CASE WHEN ok THEN 3 END AS channels,
+  CASE WHEN ok THEN sha256(encode(text) || encode(repeat(' ', CAST(width * height * 3 - n AS BIGINT)))) END AS pixels_sha256, CASE WHEN ok THEN true END AS survives, CASE WHEN NOT ok THEN 'unsupportedOrCorruptImage' END AS failure
+  FROM (SELECT *, page_id % 10 <> 9 AS ok FROM {_PAGE_SIZES})""")
+def decode_and_encode(spark, sf_dir):
+    """Pages' pictures decoded whole, encoded as PNG and decoded again: sizes, digests of the pixels and whether they survive."""
+    from ..operators.probe import decode, encode
 
-    return parts(_page_images(spark, sf_dir), ["page_id"])
+    whole = (DecodeLimits().dimension,) * 2
+    first = decode(_page_images(spark, sf_dir), "page_id", whole)
+    again = decode(encode(first, "page_id"), "page_id", whole).select("page_id", F.col("pixels").alias("again"))
+    return first.join(again, "page_id").select("page_id", "width", "height", "channels", F.sha2("pixels", 256).alias("pixels_sha256"), (F.col("pixels") == F.col("again")).alias("survives"), "failure")
 
 
-@query()
-def decode_and_encode(spark, sf_dir):
-    """Pages' pictures decoded to fit 32 by 32 and encoded again: sizes and digests."""
-    from ..operators.probe import decode, encode
+@query(f"""SELECT page_id, mode, CAST(CASE WHEN mode = 'fit' THEN least(tw, 64) ELSE least(tw, 64) END AS INTEGER) AS width, CAST(least(th, 40) AS INTEGER) AS height FROM (
+  SELECT *, greatest(1, least(l, floor(width * (l::DOUBLE / greatest(width, height)) + 0.5))) AS tw, greatest(1, least(l, floor(height * (l::DOUBLE / greatest(width, height)) + 0.5))) AS th FROM (
+  SELECT *, greatest(1, least(greatest(width, height), floor(greatest(width, height) * s))) AS l FROM (
+  SELECT *, least(1.0::DOUBLE, CASE WHEN mode = 'fit' THEN least(64::DOUBLE / width, 40::DOUBLE / height) ELSE greatest(64::DOUBLE / width, 40::DOUBLE / height) END) AS s FROM {_PAGE_SIZES}, (VALUES ('fit'), ('fill')) m(mode) WHERE page_id % 10 <> 9)))""")
+def decode_to_target(spark, sf_dir):
+    """Pages' pictures decoded into 64 by 40: fit lies inside, fill is cropped."""
+    from ..operators.probe import decode
+
+    both = [decode(_page_images(spark, sf_dir), "page_id", (64, 40), mode).where("failure IS NULL").select("page_id", F.lit(mode).alias("mode"), "width", "height") for mode in ("fit", "fill")]
+    return both[0].unionByName(both[1])
+
 
-    rasters = decode(_page_images(spark, sf_dir), "page_id", (32, 32))
-    coded = encode(rasters, "page_id", (255, 255, 255))
-    return rasters.select("page_id", "width", "height", "channels").join(coded.select("page_id", F.octet_length("content").alias("byte_count"), F.sha2("content", 256).alias("sha256"), "failure"), "page_id")
+_SESSIONS = """(SELECT *, least(total, 7 * (c + 1)) AS received FROM (SELECT *, unnest(range(0, (total + 6) // 7)) AS c FROM (SELECT c_custkey AS k, c_custkey % 10 + 1 AS n, 17 + 13 * (c_custkey % 10 + 1) AS total, c_custkey % 13 = 0 AS baseline, c_custkey % 17 = 5 AS stops FROM customer)))"""
 
 
-@query()
+@query(f"""WITH s AS {_SESSIONS}, e AS (SELECT *, CASE WHEN stops AND c >= 3 THEN 'progressiveSessionCancelled' WHEN baseline AND received >= 15 THEN 'progressiveDecodingUnsupported' END AS failed,
+  CASE WHEN received < total THEN (done >= 1)::INT + (done >= 2)::INT + (done >= 4)::INT + (done >= 8)::INT ELSE 0 END AS crossed FROM (SELECT *, greatest(0, least(n, (received - 17) // 13)) AS done FROM s)),
+  g AS (SELECT *, coalesce(max(CASE WHEN failed IS NULL THEN crossed END) OVER (PARTITION BY k ORDER BY c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e),
+  d AS (SELECT *, failed IS NULL AND crossed > before AS due FROM g), n AS (SELECT *, CAST(count(*) FILTER (WHERE due) OVER (PARTITION BY k ORDER BY c) AS INTEGER) AS generation FROM d),
+  f AS (SELECT k, total, baseline, stops, max(received) FILTER (WHERE NOT (stops AND c >= 3)) AS last FROM s GROUP BY ALL)
+  SELECT CAST(k AS VARCHAR) AS stream_id, CAST(10 * c AS BIGINT) AS seq, CASE WHEN due THEN 'generation' ELSE 'failure' END AS event, CASE WHEN due THEN generation END AS generation,
+  CAST(CASE WHEN stops AND c >= 3 THEN 21 ELSE received END AS BIGINT) AS source_byte_count, failed AS failure FROM n WHERE due OR failed IS NOT NULL
+  UNION ALL SELECT CAST(k AS VARCHAR), (1::BIGINT << 40) + step, CASE WHEN step = 0 AND NOT baseline AND NOT stops THEN 'final' ELSE 'failure' END, NULL, last,
+  CASE WHEN stops THEN 'progressiveSessionCancelled' WHEN step = 1 THEN 'progressiveSessionFinished' WHEN baseline THEN 'unsupportedOrCorruptImage' END FROM f, (VALUES (0), (1)) t(step) WHERE step = 0 OR k % 19 = 3""")
 def progressive_sessions(spark, sf_dir):
-    """Synthetic progressive files, one for each customer, in chunks of 7 bytes: generations and finals."""
+    """Synthetic progressive files, one for each customer, in chunks of 7 bytes; some are cancelled, some finished twice: generations, finals and failures."""
     from ..streaming.session import progressive_batch
 
     return progressive_batch(_progressive_events(spark, sf_dir))
 
 
-@query()
+_CHUNKS = f"(SELECT stream, row_number() OVER (PARTITION BY stream ORDER BY line, bytes, append_ns) AS line, bytes, append_ns, CASE WHEN line % 2 = 1 THEN line END AS generation FROM (SELECT l_orderkey AS stream, line, cents % 30000 + 1 AS bytes, cents % 9000000 + 1 AS append_ns FROM {_LINES}))"
+_FRAME = 16_666_667
+
+
+@query(f"""WITH a AS (SELECT c.*, network, CAST(sum(CASE WHEN rn = 1 THEN delay ELSE (bytes * 8000000000 + bps - 1) // bps END) OVER w AS BIGINT) AS arrival FROM (
+  SELECT c.*, network, delay, bps, row_number() OVER (PARTITION BY stream, network ORDER BY line) AS rn FROM {_CHUNKS} c, (VALUES ('fast', 10000000, 80000000), ('slow', 20000000, 4000000)) v(network, delay, bps)) c WINDOW w AS (PARTITION BY stream, network ORDER BY line ROWS UNBOUNDED PRECEDING)),
+  s AS (SELECT *, sum(append_ns) OVER (PARTITION BY stream, network ORDER BY line ROWS UNBOUNDED PRECEDING) AS served FROM a),
+  q AS (SELECT *, CAST(served + max(arrival - (served - append_ns)) OVER (PARTITION BY stream, network ORDER BY line ROWS UNBOUNDED PRECEDING) AS BIGINT) AS ended FROM s),
+  t AS (SELECT stream, network, max(arrival) AS network_complete_ns, max(ended - append_ns - arrival) AS maximum_queue_delay_ns, CAST(sum(ended - append_ns - arrival) // count(*) AS BIGINT) AS mean_queue_delay_ns,
+  greatest(max(arrival), max(ended)) + 28000000 AS final_generated_ns, greatest(0, max(arrival) - max(ended)) AS idle_before_final_ns FROM q GROUP BY ALL),
+  k AS (SELECT stream, network, CAST(greatest(0, max(held)) AS BIGINT) AS peak_bytes FROM (SELECT *, sum(delta) OVER (PARTITION BY stream, network ORDER BY happens, kind, delta ROWS UNBOUNDED PRECEDING) AS held FROM (
+  SELECT stream, network, arrival AS happens, 0 AS kind, bytes AS delta FROM q UNION ALL SELECT stream, network, ended, 1, -bytes FROM q)) GROUP BY ALL),
+  c AS (SELECT stream, network, false AS final, generation, ended + 20000 AS accepted, line AS place FROM q WHERE generation IS NOT NULL UNION ALL SELECT stream, network, true, NULL, final_generated_ns + 20000, 1000 FROM t),
+  p AS (SELECT *, 'immediate' AS policy, accepted AS shown FROM c UNION ALL SELECT stream, network, final, generation, accepted, place, 'frame-coalesced-60hz', CASE WHEN row_number() OVER (PARTITION BY stream, network, accepted // {_FRAME} ORDER BY place DESC) = 1 THEN (accepted // {_FRAME} + 1) * {_FRAME} END FROM c)
+  SELECT stream, network, policy, min(shown) FILTER (WHERE NOT final) AS first_preview_presented_ns, max(shown) FILTER (WHERE final) AS final_presented_ns, CAST(count(*) FILTER (WHERE NOT final) AS BIGINT) AS generated_previews, CAST(count(shown) FILTER (WHERE NOT final) AS BIGINT) AS presented_previews,
+  coalesce(list(generation ORDER BY generation) FILTER (WHERE shown IS NOT NULL AND generation IS NOT NULL), []) AS presented_generations, any_value(network_complete_ns) AS network_complete_ns, any_value(maximum_queue_delay_ns) AS maximum_queue_delay_ns, any_value(mean_queue_delay_ns) AS mean_queue_delay_ns,
+  any_value(final_generated_ns) AS final_generated_ns, any_value(idle_before_final_ns) AS idle_before_final_ns, any_value(peak_bytes) AS peak_bytes FROM p JOIN t USING (stream, network) JOIN k USING (stream, network) GROUP BY stream, network, policy""")
 def simulation_matrix(spark, sf_dir):
     """Orders as streams, their lines as chunks, under two networks and both presentation policies."""
     lines = _lines(spark, sf_dir).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(F.col("line").alias("chunk_index"), (F.col("cents") % 30_000 + 1).alias("bytes"), (F.col("cents") % 9_000_000 + 1).alias("append_ns"), F.when(F.col("line") % 2 == 1, F.col("line")).cast("int").alias("generation"), F.lit(20_000).cast("long").alias("handoff_ns")))).alias("chunks"))
-    samples = lines.select(F.col("l_orderkey").alias("stream"), F.lit(1_000_000).cast("long").alias("finish_ns"), F.lit(27_000_000).cast("long").alias("final_decode_ns"), F.lit(20_000).cast("long").alias("final_handoff_ns"), "chunks")
+    numbered = F.transform("chunks", lambda c, i: c.withField("chunk_index", (i + 1).cast("long")))  # line numbers may repeat
+    samples = lines.withColumn("chunks", numbered).select(F.col("l_orderkey").alias("stream"), F.lit(1_000_000).cast("long").alias("finish_ns"), F.lit(27_000_000).cast("long").alias("final_decode_ns"), F.lit(20_000).cast("long").alias("final_handoff_ns"), "chunks")
     networks = spark.createDataFrame([("fast", 10_000_000, 80_000_000), ("slow", 20_000_000, 4_000_000)], "network string, first_delay_ns long, bits_per_second long")
     return queueing.simulate(samples, networks)
 
@@ -560,6 +587,13 @@ def _progressive_events(spark, sf_dir) -> DataFrame:
     scan = "FFDA000311A1B2FF00C3FFD0D4"
     body = F.unhex(F.concat(F.lit("FFD8"), frame, F.lit("000B080010001001011100"), F.repeat(F.lit(scan), (key % 10 + 1).cast("int")), F.lit("FFD9")))
     files = table(spark, sf_dir, "customer").select(key.cast("string").alias("stream_id"), body.alias("content"))
-    chunks = identity.chunk_contents(files, ["stream_id"], "content", 7).select("stream_id", F.col("chunk_index").alias("seq"), F.lit("chunk").alias("kind"), "chunk")
-    ends = files.select("stream_id", F.lit(1 << 40).alias("seq"), F.lit("finish").alias("kind"), F.lit(None).cast("binary").alias("chunk"))
-    return chunks.unionByName(ends)
+    chunks = identity.chunk_contents(files, ["stream_id"], "content", 7).select("stream_id", (F.col("chunk_index") * 10).alias("seq"), F.lit("chunk").alias("kind"), "chunk")
+    none, last, number = F.lit(None).cast("binary").alias("chunk"), F.lit(1 << 40), F.col("stream_id").cast("long")
+    ends = files.select("stream_id", last.alias("seq"), F.when(number % 23 == 7, F.lit("finish_if_complete")).otherwise(F.lit("finish")).alias("kind"), none)
+    twice = files.where(number % 19 == 3).select("stream_id", (last + 1).alias("seq"), F.lit("finish").alias("kind"), none)
+    early = files.where(number % 7 == 2).select("stream_id", F.lit(15).cast("long").alias("seq"), F.lit("finish_if_complete").alias("kind"), none)  # changes nothing
+    stops = files.where(number % 17 == 5).select("stream_id", F.lit(25).cast("long").alias("seq"), F.lit("cancel").alias("kind"), none)
+    return chunks.unionByName(ends).unionByName(twice).unionByName(early).unionByName(stops)
+
+
+from . import image_queries, report_queries  # noqa: E402, F401  they register their own

@@ -167,8 +167,8 @@ def test_manifest_comparison_and_sink(spark):
 
 def test_symbol_relations(spark):
     symbols = spark.createDataFrame([("1", "A", "public"), ("2", "B", "internal"), ("3", "P", "public")], "id string, name string, access string")
-    edges = spark.createDataFrame([("1", "3", None, "conformsTo"), ("1", "9", "Other.X", "conformsTo"), ("2", "3", None, "conformsTo")], "source string, target string, target_fallback string, kind string")
-    assert values(joins.relationships(symbols, edges), "source_name", "target") == [("A", "Other.X"), ("A", "P")]
+    edges = spark.createDataFrame([("1", "3", None, "conformsTo"), ("1", "9", "Other.X", "conformsTo"), ("2", "3", None, "conformsTo"), ("1", "3", None, "memberOf")], "source string, target string, target_fallback string, kind string")
+    assert values(joins.relationships(symbols, edges), "source_name", "target") == [("A", "3"), ("A", "Other.X")]
 
 
 def test_scripts(spark):
