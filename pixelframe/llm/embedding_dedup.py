@@ -9,6 +9,10 @@ probe, are compared by cosine in double precision.
 ``k`` grows with the logarithm of the number of vectors, so that buckets keep their mean size, and
 the number of tables follows from MISS and from how often a table finds a pair at the threshold, which
 a short simulation tells for the vectors' length and k. Equal vectors are one class with a multiplicity.
+
+What goes to a bucket isn't the vector but its number and a sketch: the sides of SKETCH random hyperplanes that it is on. Pairs
+whose sides differ in more places than any of a billion pairs at the threshold would (a normal bound) are passed over; the
+members of a meeting with a pair left get their vectors, once for each meeting, and are compared there.
 Large buckets are dealt out in pairs of blocks. A pair that meets more than once counts at its first
 meeting, which both vectors' hashes tell; a block hands over sums of links by vector and a spanning
 forest, never its pairs.
@@ -40,6 +44,8 @@ BUCKET, MISS = 8, 0.001
 #: Pairs at the threshold, and tables they are looked for in, by which a table's share of found pairs is told.
 TRIED, TRIED_TABLES = 1_000, 4
 SEED = 20_240_229
+#: Hyperplanes of a vector's sketch.
+SKETCH = 128
 #: Pairs compared at once.
 PAIRS = 50_000
 
@@ -84,6 +90,23 @@ class CrossPolytope:
         return out
 
 
+class Sketcher:
+    """The sides of SKETCH random hyperplanes that a vector is on, packed; how many may differ at a cosine."""
+
+    def __init__(self, dimension: int, seed: int = SEED):
+        self.planes = np.random.default_rng([seed, dimension, 1]).normal(size=(dimension, SKETCH))
+
+    def __call__(self, vectors: np.ndarray) -> np.ndarray:
+        """(vector, SKETCH / 64) words."""
+        return np.packbits(vectors @ self.planes > 0, axis=1).view("<u8")
+
+    @staticmethod
+    def most(cosine: float) -> int:
+        """Six standard deviations above the mean number of sides that differ at ``cosine``."""
+        share = math.acos(max(-1.0, min(1.0, cosine))) / math.pi
+        return min(SKETCH, math.ceil(SKETCH * share + 6 * math.sqrt(SKETCH * share * (1 - share))))
+
+
 def first_meeting(codes_a: np.ndarray, codes_b: np.ndarray) -> np.ndarray:
     """Number of a pair's first meeting (2 * table, + 1 if only in the bucket of b); a is the smaller vector."""
     in_a = (codes_b == codes_a[:, :, :1]).any(axis=2)
@@ -116,17 +139,18 @@ def tables_for(n: int, dimension: int, cosine: float = COSINE) -> tuple[int, int
     return k, math.ceil(math.log(MISS) / math.log(1 - found) - 1e-9)
 
 
-def _matrix(column, dimension: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column), dtype="<f8").reshape(-1, dimension)
+def _met(rows: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(left, right) rows that meet; rows come in runs of one meeting."""
+    ends = run_ends(rows["bucket"], rows["i"], rows["j"])
+    for left, right in expand_pairs(np.arange(1, len(ends) + 1), ends, PAIRS):
+        able = (rows["base"][left] | rows["base"][right]) & ((rows["i"][left] == rows["j"][left]) | (rows["own"][left] != rows["own"][right])) & (rows["node"][left] != rows["node"][right])
+        yield left[able], right[able]
 
 
-def _meet(hasher: CrossPolytope, least: float, rows: dict[str, np.ndarray], vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _meet(hasher: CrossPolytope, least: float, rows: dict[str, np.ndarray], vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(smaller row, larger row) of the links whose first meeting is here; rows come in runs of one meeting."""
     found_a, found_b = [], []
-    ends = run_ends(rows["bucket"], rows["i"], rows["j"])
-    for left, right in expand_pairs(np.arange(1, len(vectors) + 1), ends, PAIRS):
-        able = (rows["base"][left] | rows["base"][right]) & ((rows["i"][left] == rows["j"][left]) | (rows["own"][left] != rows["own"][right])) & (rows["node"][left] != rows["node"][right])
-        left, right = left[able], right[able]
+    for left, right in _met(rows):
         near = np.einsum("ij,ij->i", vectors[left], vectors[right]) >= least
         found_a.append(left[near])
         found_b.append(right[near])
@@ -181,35 +205,64 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
     )
 
 
+def _units(column) -> np.ndarray:
+    vectors = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten().to_numpy().reshape(len(column), -1)
+    vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+
+
+#: Rows of a meeting: its bucket and blocks, the block of the row, whether it stands there on its own account, and its class.
+_MEMBER = "bucket long, i int, j int, own int, base boolean, node long"
+_MEETING = ("bucket", "i", "j")
+
+
 def _links(work: Workspace, classes: DataFrame, dimension: int, n: int, cosine: float) -> DataFrame:
     """(a, null, links) sums by class and (a, b, null) links of a spanning forest; one task gives a class several times."""
-    hasher = CrossPolytope(dimension, *tables_for(n, dimension, cosine))
-    schema = pa.schema([("bucket", pa.int64()), ("base", pa.bool_()), ("node", pa.int64()), ("n", pa.int64()), ("unit", pa.binary())])
+    hasher, sketcher = CrossPolytope(dimension, *tables_for(n, dimension, cosine)), Sketcher(dimension)
+    most = sketcher.most(cosine)
+    words = [f"s{k}" for k in range(SKETCH // 64)]
+    schema = pa.schema([("bucket", pa.int64()), ("base", pa.bool_()), ("node", pa.int64()), *((w, pa.int64()) for w in words)])
 
-    def deal(batches: Iterator[pa.RecordBatch], units: bool = True) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            vectors = np.array(batch.column("embedding").to_pylist(), dtype=np.float64)
-            vectors /= np.abs(vectors).max(axis=1, keepdims=True)
-            vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
-            codes = hasher.codes(vectors)
+            vectors = _units(batch.column("embedding"))
+            codes, sketches = hasher.codes(vectors), sketcher(vectors).view(np.int64)
             each = codes.shape[1] * codes.shape[2]
             base = np.tile(np.arange(codes.shape[2]) == 0, len(vectors) * codes.shape[1])
-            row = np.repeat(np.arange(len(vectors)), each)
-            raw = pa.array([v.tobytes() for v in vectors], pa.binary())
-            for at in range(0, len(row), 16_384):
-                part = slice(at, at + 16_384)
-                yield pa.RecordBatch.from_arrays([pa.array(codes.ravel()[part]), pa.array(base[part]), batch.column("node").take(pa.array(row[part])), batch.column("n").take(pa.array(row[part])), raw.take(pa.array(row[part]))], schema=schema)
+            row, node = np.repeat(np.arange(len(vectors)), each), batch.column("node").to_numpy()
+            for at in range(0, len(row), 65_536):
+                part = slice(at, at + 65_536)
+                own = row[part]
+                yield pa.RecordBatch.from_arrays([pa.array(codes.ravel()[part]), pa.array(base[part]), pa.array(node[own]), *(pa.array(sketches[own, k]) for k in range(len(words)))], schema=schema)
+
+    ddl = "bucket long, base boolean, node long, " + ", ".join(f"{w} long" for w in words)
+    dealt = classes.select("node", "embedding").mapInArrow(deal, ddl)
+    crowded = work.write(block_counts(dealt.select("bucket")), "blocks")
+    meetings = blocked(dealt.withColumn("salt", F.col("node")).join(crowded, "bucket", "left"))
+    meetings = meetings.repartition(*_MEETING).sortWithinPartitions(*_MEETING)
+    left_over = pa.schema([("bucket", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("own", pa.int32()), ("base", pa.bool_()), ("node", pa.int64())])
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for met in whole_runs(batches, _MEETING):
+            rows = {k: met.column(k).to_numpy() for k in left_over.names}
+            sketches = np.stack([met.column(w).to_numpy().view(np.uint64) for w in words], axis=1)
+            wanted = np.zeros(met.num_rows, dtype=bool)
+            for left, right in _met(rows):
+                near = np.bitwise_count(sketches[left] ^ sketches[right]).sum(axis=1) <= most
+                wanted[left[near]] = wanted[right[near]] = True
+            if wanted.any():
+                yield pa.RecordBatch.from_arrays([pa.array(rows[f.name][wanted], type=f.type) for f in left_over], schema=left_over)
 
-    dealt = classes.select("node", "n", "embedding").mapInArrow(deal, "bucket long, base boolean, node long, n long, unit binary")
-    meetings = blocked(dealt.withColumn("salt", F.col("node")).join(work.write(block_counts(dealt.select("bucket")), "blocks"), "bucket", "left"))
-    meetings = meetings.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    members = work.write(meetings.mapInArrow(sift, _MEMBER), "met")
+    again = members.join(classes.select("node", "n", "embedding"), "node").select(*left_over.names, "n", "embedding")
+    again = again.repartition(*_MEETING).sortWithinPartitions(*_MEETING)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for met in whole_runs(batches, ("bucket", "i", "j")):
-            rows = {k: met.column(k).to_numpy() for k in ("bucket", "i", "j", "own", "base", "node", "n")}
-            a, b = _meet(hasher, cosine, rows, _matrix(met.column("unit").to_pylist(), dimension))
+        for met in whole_runs(batches, _MEETING):
+            rows = {k: met.column(k).to_numpy() for k in (*left_over.names, "n")}
+            a, b = _meet(hasher, cosine, rows, _units(met.column("embedding")))
             if not len(a):
                 continue
             x, y = rows["node"][a], rows["node"][b]
@@ -222,4 +275,4 @@ def _links(work: Workspace, classes: DataFrame, dimension: int, n: int, cosine:
             counts = np.concatenate((sums, np.zeros(len(node), np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((nodes, node))), pa.array(ends, mask=is_sum), pa.array(counts, mask=~is_sum)], names=["a", "b", "links"])
 
-    return meetings.mapInArrow(compare, "a long, b long, links long")
+    return again.mapInArrow(compare, "a long, b long, links long")

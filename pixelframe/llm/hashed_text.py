@@ -203,7 +203,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, rows_per_cla
 
     At most about ``rows_per_class`` rows of each label value, chosen by a hash of the id alone and
     weighted so that the classes keep their share. Whole texts are read. Rows without an id or
-    label are skipped; of several labels of a document the largest counts.
+    label are skipped; of several labels of an id the largest counts, of several texts the first in the order of bytes.
     """
     spark = prepare(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id IS NOT NULL AND label IS NOT NULL")
@@ -214,7 +214,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, rows_per_cla
     rank = F.pmod(F.xxhash64("doc_id", F.lit(label)), F.lit(1 << 20))
     limit = F.coalesce(*(F.when(F.col("label") == value, F.lit(int((1 << 20) * min(1.0, rows_per_class / n)))) for value, n in counts.items()))
     chosen = known.where(rank < limit)
-    picked = identified_texts(docs).join(F.broadcast(chosen), "doc_id")  # about rows_per_class rows a class
+    picked = identified_texts(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("raw").alias("raw"))  # about rows_per_class rows a class
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, rows = Featurizer(shapes), Rows(_SCHEMA)

@@ -4,7 +4,7 @@ A document of n ids is cut into as many full sequences of ``seq_len`` as fit and
 decomposition of the rest, longest piece first. Every piece is a sequence of its own; pieces of
 equal length share a bucket, so that batches drawn from one bucket have one shape.
 
-Null texts count as empty and give the end id alone. Repeated rows are packed once each; a null
+Very long texts are cut like any other, in as many full sequences as it takes. Null texts count as empty and give the end id alone. Repeated rows are packed once each; a null
 doc_id stays null. An empty table gives no pieces. Other columns of the input are ignored.
 """
 
@@ -58,6 +58,15 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, seq_len: int = SEQ_
     return identified_texts(docs).mapInArrow(cut, _DDL).withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
 
 
+def write_buckets(pieces: DataFrame, path: str) -> DataFrame:
+    """Write pieces with those of equal length side by side, a folder for each of the log2(seq_len) + 1 lengths, and read them back.
+
+    Every task writes its own file of each length, so no length has to fit in one task, and a reader of one folder gets sequences of one shape.
+    """
+    pieces.write.mode("overwrite").partitionBy("bucket").parquet(path)
+    return pieces.sparkSession.read.schema(pieces.schema).parquet(path)
+
+
 def digest(pieces: DataFrame) -> DataFrame:
     """The pieces with a checksum in place of their ids."""
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")

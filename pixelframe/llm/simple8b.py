@@ -13,7 +13,7 @@ escapes u32 (one per block), words u64.
 Null texts count as empty (the end id alone). Documents come in ascending doc_id order, null ids
 first; rows that share a doc_id come in order of their text's bytes, so repeated rows are kept and
 stand side by side. An empty table writes no shard and reads back as no rows. Other columns of the
-input are ignored.
+input are ignored. A very long text is one document of its shard, whatever its length.
 """
 
 from __future__ import annotations

@@ -207,6 +207,50 @@ def test_edited_and_cropped_pictures(spark):
     assert image_copies.copies(frame.where("false")).count() == 0
 
 
+def test_pictures_by_brute_force(spark):
+    """All pairs that share a bucket, verified one by one."""
+    versions = []
+    for k in range(9):
+        image = picture(50 + k % 6, 90, 110)
+        versions += [image, image[6:82, 8:100], np.clip(image + np.random.default_rng(k).normal(0, 3 + k, image.shape), 0, 255).astype(np.uint8)]
+    described = [image_copies.features(v) for v in versions]
+    packed = [image_copies._unpack(image_copies._pack(*d)) for d in described]
+    buckets = [set(image_copies.keys(w).tolist()) if len(w) >= image_copies.AGREE else set() for _, w in described]
+    blobs = [encode_png(np.ascontiguousarray(v)) for v in versions]
+    links = [(a, b) for a in range(len(versions)) for b in range(a + 1, len(versions)) if blobs[a] == blobs[b] or buckets[a] & buckets[b] and max(image_copies.agreeing(packed[a], packed[b]), image_copies.agreeing(packed[b], packed[a])) >= image_copies.AGREE]
+    found = {r["image_id"]: r["component_id"] for r in image_copies.copies(spark.createDataFrame(list(enumerate(blobs)), "image_id long, image binary").repartition(3)).collect()}
+    expected = roots(range(len(versions)), links)
+    assert sum(found[i] != expected[i] for i in found) <= 1  # which side of a pair is matched to which may differ
+    assert len(links) > 12
+
+
+@pytest.mark.parametrize(("dimension", "n"), [(64, 900), (384, 700), (768, 500)])
+def test_links_of_vectors_by_length(spark, dimension, n):
+    """Pairs a little above the threshold among others: at least 99 of 100 are found."""
+    rng = np.random.default_rng(dimension)
+    base = rng.normal(size=(n, dimension))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    other = rng.normal(size=(n, dimension))
+    other -= (base * other).sum(axis=1, keepdims=True) * base
+    other = 0.905 * base + np.sqrt(1 - 0.905**2) * other / np.linalg.norm(other, axis=1, keepdims=True)
+    rows = [(i, v) for i, v in enumerate(np.concatenate((base, other)).tolist())]
+    found = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).collect()
+    assert sum(r["n_links"] > 0 for r in found) >= 0.99 * 2 * n
+    assert all(r["component_id"] == r["vec_id"] % n for r in found if r["n_links"])
+
+
+def test_sketches_pass_pairs_at_the_threshold():
+    rng = np.random.default_rng(4)
+    for dimension in (3, 24, 64, 300):
+        a, b = rng.normal(size=(2, 3000, dimension))
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        b -= (a * b).sum(axis=1, keepdims=True) * a
+        b = 0.9 * a + np.sqrt(0.19) * b / np.linalg.norm(b, axis=1, keepdims=True)
+        sketcher = embedding_dedup.Sketcher(dimension)
+        differ = np.bitwise_count(sketcher(a) ^ sketcher(b)).sum(axis=1)
+        assert (differ <= sketcher.most(0.9)).all()
+
+
 def test_crops_and_rescales_of_large_pictures(spark):
     rows, expected = [], {}
     for k in range(2):

@@ -50,6 +50,30 @@ def test_stages(spark, corpus, tmp_path):
     assert corpus_pipeline.run(spark, corpus).count() == docs.count()
 
 
+def test_stages_of_odd_tables(spark, tmp_path):
+    """Empty tables, no labels, texts that are null, empty, very long or repeated, and columns whose names the stages use inside."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, node long, raw string, t1 long, component_id string, _k0 long, bucket int"
+    extra = (None, None, None, 1, "r", 2, "c", 3, 4)
+    texts = [(1, None), (2, ""), (3, "word " * 60_000), (4, "x" * 300_000), (5, "one two three four five six"), (6, "one two three four five six"), (6, "one two three four five six"), (None, "no id"), (None, None)]
+    for name, data in (("none", []), ("odd", [(i, t, *extra) for i, t in texts])):
+        folder = f"file://{tmp_path}/{name}"
+        spark.createDataFrame(data, schema).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        for stage, function in corpus_pipeline.STAGES:
+            function(spark, docs, folder).write.parquet(f"{folder}/{stage}")
+            after = spark.read.parquet(f"{folder}/{stage}")
+            if stage != "packing":
+                assert after.columns == docs.columns
+            docs = after
+        if name == "none":
+            assert docs.count() == 0 and corpus_pipeline.run(spark, folder).count() == 0
+        else:
+            kept = spark.read.parquet(f"{folder}/near_dedup").collect()
+            assert sorted((r["doc_id"] for r in kept), key=str) == sorted([1, 3, 4, 5, None, None], key=str)  # 2 equals 1: both empty
+            assert {r["doc_id"] for r in docs.collect()} == {1, 3, 4, 5, None}
+
+
 def test_registered():
     import __spark_entry__
 

@@ -4,6 +4,7 @@ import random
 import re
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -241,3 +242,137 @@ def test_ordinal_grades(spark):
 def test_repetition_is_a_feature():
     shares = hashed_text.Featurizer(True).shares
     assert set(shares(b"so so so so so so")) != set(shares(b"so on it goes for now"))
+
+
+def brute_language(text, profiles, size):
+    """The method by its definition, with counters and lists."""
+    letters = "".join(c if c.isalpha() else " " for c in (text or "").lower())
+    counts = Counter()
+    for word in letters.split():
+        padded = f" {word} "
+        for n in (1, 2, 3):
+            counts.update(padded[i : i + n] for i in range(len(padded) - n + 1) if padded[i : i + n] != " ")
+    if not counts:
+        return "und", 0.0
+    code = lambda g: [ord(c) for c in g.rjust(3, "\0")]
+    top = sorted(counts, key=lambda g: (-counts[g], code(g)))[:size]
+    places = {lang: {key: i for i, key in enumerate(grams)} for lang, grams in profiles.items()}
+
+    def number(gram):
+        value = 0
+        for c in gram:
+            value = value << 21 | ord(c)
+        return value
+
+    distance = {lang: sum(abs(i - own[number(g)]) if number(g) in own else size for i, g in enumerate(top)) for lang, own in places.items()}
+    best = min(sorted(distance), key=distance.get)
+    return best, 1 - distance[best] / (size * len(top))
+
+
+def test_language_by_brute_force(spark, rows):
+    rng = random.Random(9)
+    alphabets = {"aa": "ka to mi ru se no".split(), "bb": "ka to mi sch ung ei".split(), "cc": "ka oux tre ion \u00e7".split()}
+    data = [(i, t, lang) for i, (lang, t) in enumerate((lang, t) for lang, s in alphabets.items() for t in texts(rng, s, 25))]
+    profiles = language_id.learn(spark.createDataFrame(data, "doc_id long, text string, lang string"))
+    asked = [(i, t) for i, t, _ in data] + [(1000 + i, r[1]) for i, r in enumerate(rows)] + [(2000, "ka"), (2001, "to ka"), (2002, "xyz"), (2003, "ka\u00e7 ka\u00e7")]
+    known = language_id.Profiles(profiles)
+    for _, text in asked:
+        lang, score = brute_language(text, profiles, language_id.PROFILE)
+        assert known.predict((text or "").encode()) == (lang, pytest.approx(score, abs=1e-12))
+
+
+def test_ties_in_distance_go_to_the_smaller_name():
+    grams = [ord(c) for c in "abc"]
+    assert language_id.Profiles({"zz": grams, "yy": grams}).predict(b"abc")[0] == "yy"
+
+
+@pytest.mark.parametrize("text", ["word " * 300_000, "x" * 1_500_000])
+def test_very_long_texts(spark, text):
+    frame = spark.createDataFrame([(1, text), (2, "ka to mi")], "doc_id long, text string")
+    profiles = {"aa": [ord("k"), ord("a")], "bb": [ord("w"), ord("x")]}
+    assert {r["lang_pred"] for r in language_id.identify(frame, profiles).where("doc_id = 1").collect()} == {"bb"}
+    assert licenses.digest(licenses.scan(frame)).where("doc_id = 1").first()["n_words"] == len(text.split())
+    weights = np.zeros(hashed_text.DIMENSIONS)
+    weights[hashed_text.word_features(text.split()[0].encode())[0]] = 2.0
+    assert toxicity.score(frame, (weights, 0.0)).where("doc_id = 1").first()["score"] > 0.88
+    model = quality.OrdinalModel(weights, (0.0,), (0, 1))
+    assert quality.score(frame, model).where("doc_id = 1").first()["tail_probability"] > 0.88
+
+
+def logistic_objective(w, b, data, pairs):
+    """Weighted mean loss, l1 norm, mean squared score change; ``w`` by feature number."""
+    loss = np.mean([weight * np.logaddexp(0, -(2 * (y > 0) - 1) * (w[f].sum() + b)) for _, y, f, weight in data])
+    return loss + toxicity.L1 * np.abs(w).sum() + toxicity.COUNTERFACTUAL * np.mean([(v @ w[i]) ** 2 for i, v in pairs])
+
+
+def test_toxicity_model_against_a_reference_solver():
+    """Plain proximal gradient on dense columns, many small steps."""
+    data = sample(sentences(160, random.Random(12), 0.8))
+    pairs = [p for _, _, f, _ in data for p in toxicity.swaps(f)]
+    w, b = toxicity.fit(data)
+    seen = Counter(int(i) for _, _, f, _ in data for i in f)
+    live = sorted({i for i, n in seen.items() if n >= 3} | {int(i) for index, _ in pairs for i in index})
+    at = {i: k for k, i in enumerate(live)}
+    x, d = np.zeros((len(data), len(live))), np.zeros((len(pairs), len(live)))
+    for r, (_, _, f, _) in enumerate(data):
+        x[r, [at[int(i)] for i in f if int(i) in at]] = 1
+    for r, (index, value) in enumerate(pairs):
+        d[r, [at[int(i)] for i in index]] = value
+    y = np.array([float(label > 0) for _, label, _, _ in data])
+    own, offset = np.zeros(len(live)), 0.0
+    step = 1 / (0.25 * np.linalg.norm(x, 2) ** 2 / len(data) + 2 * toxicity.COUNTERFACTUAL * np.linalg.norm(d, 2) ** 2 / len(d))
+    for _ in range(30_000):
+        residual = (1 / (1 + np.exp(-(x @ own + offset))) - y) / len(y)
+        moved = own - step * (x.T @ residual + 2 * toxicity.COUNTERFACTUAL / len(d) * d.T @ (d @ own))
+        own, offset = np.sign(moved) * np.maximum(np.abs(moved) - step * toxicity.L1, 0), offset - 2 * residual.sum()
+    best = np.zeros(hashed_text.DIMENSIONS)
+    best[live] = own
+    start = logistic_objective(np.zeros(hashed_text.DIMENSIONS), np.log(y.mean() / (1 - y.mean())), data, pairs)
+    mine, reference = logistic_objective(w, b, data, pairs), logistic_objective(best, offset, data, pairs)
+    assert mine - reference <= 0.03 * (start - reference)
+
+
+def ordinal_objective(w, thresholds, data, grades):
+    total = 0.0
+    for _, grade, f, weight in data:
+        reach = [1.0, *(1 / (1 + np.exp(-(w[f].sum() - t))) for t in thresholds), 0.0]
+        k = grades.index(grade)
+        total -= weight * np.log(max(reach[k] - reach[k + 1], 1e-12))
+    return total / len(data) + quality.L1 * np.abs(w).sum()
+
+
+def test_ordinal_model_against_a_reference_solver():
+    rng = random.Random(14)
+    marks, featurizer = {0: "###", 1: "ok", 2: "good"}, hashed_text.Featurizer(False)
+    data = [(i, i % 3, featurizer(" ".join([*words(rng, 6), marks[i % 3] if rng.random() < 0.8 else "ok"]).encode()), 1.0) for i in range(120)]
+    model = quality.fit(data)
+    seen = Counter(int(i) for _, _, f, _ in data for i in f)
+    live = sorted(i for i, n in seen.items() if n >= 3)
+    at = {i: k for k, i in enumerate(live)}
+    x = np.zeros((len(data), len(live)))
+    for r, (_, _, f, _) in enumerate(data):
+        x[r, [at[int(i)] for i in f if int(i) in at]] = 1
+    level = np.array([grade for _, grade, _, _ in data])
+    own, cuts = np.zeros(len(live)), np.array([-0.7, 0.7])
+    step = 1 / (np.linalg.norm(x, 2) ** 2 / len(data))
+    for _ in range(20_000):
+        score = x @ own
+        upper = 1 / (1 + np.exp(-(np.append(cuts, 50.0)[level] - score)))
+        lower = 1 / (1 + np.exp(-(np.insert(cuts, 0, -50.0)[level] - score)))
+        mass = np.maximum(upper - lower, 1e-12)
+        gradient = x.T @ (1 - upper - lower) / len(level)
+        slope = [(np.where(level == k, upper * (1 - upper) / mass, 0) - np.where(level == k + 1, lower * (1 - lower) / mass, 0)).sum() / len(level) for k in (0, 1)]
+        moved = own - step * gradient
+        own, cuts = np.sign(moved) * np.maximum(np.abs(moved) - step * quality.L1, 0), cuts + np.array(slope)
+    best = np.zeros(hashed_text.DIMENSIONS)
+    best[live] = own
+    assert list(model.thresholds) == sorted(model.thresholds)
+    start, mine, reference = (ordinal_objective(v, c, data, [0, 1, 2]) for v, c in ((0 * best, (-0.7, 0.7)), (model.weights, model.thresholds), (best, cuts)))
+    assert mine - reference <= 0.03 * (start - reference)
+
+
+def test_repeated_ids_give_one_training_row(spark):
+    frame = spark.createDataFrame([(i % 5, f"text {i % 7} of many") for i in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5)] * 3, "doc_id long, toxic int")
+    found = hashed_text.training_sample(frame, labels, "toxic", 100, False)
+    assert len(found) == len({i for i, *_ in found}) <= 5

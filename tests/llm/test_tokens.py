@@ -112,6 +112,14 @@ def test_piece_lengths():
         assert sum(packing.piece_lengths(n, 64)) == n
 
 
+def test_buckets_hold_equal_lengths(spark, docs, tmp_path):
+    pieces = packing.pack(docs)
+    back = packing.write_buckets(pieces, f"file://{tmp_path}/buckets")
+    assert back.where("length <> shiftleft(1, bucket)").count() == 0
+    assert sorted(p.name for p in (tmp_path / "buckets").iterdir() if p.is_dir()) == sorted(f"bucket={r['bucket']}" for r in pieces.select("bucket").distinct().collect())
+    assert back.groupBy().sum("length").first()[0] == pieces.groupBy().sum("length").first()[0]
+
+
 def test_op4_holds_every_id_once(docs, ids):
     pieces = packing.digest(packing.pack(docs)).collect()
     assert len({p["sequence_id"] for p in pieces}) == len(pieces)
