@@ -1,4 +1,4 @@
-"""Pixel buffers: PNG and PPM codecs, geometry, compositing and error metrics, on numpy arrays (height, width, channels).
+"""Pixel buffers: PNG, GIF and PPM codecs, geometry, compositing and error metrics, on numpy arrays (height, width, channels).
 
 Undecodable content raises PixelError; the column functions built on these turn it into a failure
 value, never into an exception of a plan.
@@ -70,8 +70,25 @@ def _unfilter(rows: np.ndarray, filters: np.ndarray, step: int) -> np.ndarray:
     return out
 
 
+#: Row and column a pass starts at, and its steps, of an interlaced PNG.
+_PASSES = ((0, 0, 8, 8), (0, 4, 8, 8), (4, 0, 8, 4), (0, 2, 4, 4), (2, 0, 4, 2), (0, 1, 2, 2), (1, 0, 2, 1))
+
+
+def _samples(flat: np.ndarray, width: int, height: int, channels: int, depth: int) -> np.ndarray:
+    """Samples of filtered rows as they were written, 16-bit ones by their upper byte."""
+    stride = (width * channels * depth + 7) // 8
+    lines = flat.reshape(height, stride + 1)
+    rows = _unfilter(lines[:, 1:], lines[:, 0], max(1, channels * depth // 8))
+    if depth == 16:
+        rows = rows[:, ::2]
+    elif depth < 8:
+        bits = np.unpackbits(rows, axis=1).reshape(height, -1, depth)
+        rows = (bits * (1 << np.arange(depth - 1, -1, -1))).sum(axis=2).astype(np.uint8)[:, : width * channels]
+    return rows.reshape(height, width, channels)
+
+
 def decode_png(content: bytes) -> np.ndarray:
-    """8-bit, non-interlaced PNG to an array of 1 to 4 channels."""
+    """PNG of any depth and interlacing to an 8-bit array of 1 to 4 channels."""
     if not content.startswith(PNG_MAGIC):
         raise PixelError("not a PNG")
     head = palette = transparency = None
@@ -79,7 +96,7 @@ def decode_png(content: bytes) -> np.ndarray:
     for kind, payload in png_chunks(content):
         if kind == b"IHDR" and len(payload) == 13:
             head = struct.unpack(">IIBBBBB", payload)
-        elif kind == b"PLTE":
+        elif kind == b"PLTE" and len(payload) % 3 == 0:
             palette = np.frombuffer(payload, dtype=np.uint8).reshape(-1, 3)
         elif kind == b"tRNS":
             transparency = payload
@@ -88,21 +105,24 @@ def decode_png(content: bytes) -> np.ndarray:
     if head is None:
         raise PixelError("no header")
     width, height, depth, colour, _, _, interlace = head
-    if depth != 8 or colour not in _CHANNELS or interlace or not width or not height:
+    if colour not in _CHANNELS or depth not in (8, 16, *((1, 2, 4) if colour in (0, 3) else ())) or (colour, depth) == (3, 16) or interlace > 1 or not width or not height:
         raise PixelError("unsupported layout")
     channels = _CHANNELS[colour]
-    stride = width * channels + 1
-    if stride * height > MAXIMUM_DECODED:
+    parts = [(-(-(height - y) // dy), -(-(width - x) // dx), y, x, dy, dx) for y, x, dy, dx in (_PASSES if interlace else ((0, 0, 1, 1),)) if y < height and x < width]
+    sizes = [h * ((w * channels * depth + 7) // 8 + 1) for h, w, *_ in parts]
+    if sum(sizes) > MAXIMUM_DECODED:
         raise PixelError("too large")
-    unpacker = zlib.decompressobj()
     try:
-        flat = unpacker.decompress(b"".join(data), stride * height)
+        flat = zlib.decompressobj().decompress(b"".join(data), sum(sizes))
     except zlib.error as e:
         raise PixelError(str(e)) from e
-    if len(flat) != stride * height:
+    if len(flat) != sum(sizes):
         raise PixelError("short pixel data")
-    lines = np.frombuffer(flat, dtype=np.uint8).reshape(height, stride)
-    pixels = _unfilter(lines[:, 1:], lines[:, 0], channels).reshape(height, width, channels)
+    whole, at = np.frombuffer(flat, dtype=np.uint8), 0
+    pixels = np.zeros((height, width, channels), dtype=np.uint8)
+    for (h, w, y, x, dy, dx), size in zip(parts, sizes):
+        pixels[y::dy, x::dx] = _samples(whole[at : at + size], w, h, channels, depth)
+        at += size
     if colour == 3:
         if palette is None or int(pixels.max()) >= len(palette):
             raise PixelError("bad palette")
@@ -112,6 +132,8 @@ def decode_png(content: bytes) -> np.ndarray:
             alpha = np.full(len(palette), 255, dtype=np.uint8)
             alpha[: len(transparency)] = np.frombuffer(transparency, dtype=np.uint8)[: len(palette)]
             pixels = np.concatenate((pixels, alpha[index][:, :, None]), axis=2)
+    elif depth < 8:
+        pixels = pixels * np.uint8(255 // ((1 << depth) - 1))
     return pixels
 
 
@@ -163,9 +185,107 @@ def encode_pnm(pixels: np.ndarray) -> bytes:
     return b"P%d\n%d %d\n255\n" % (6 if channels == 3 else 5, width, height) + np.ascontiguousarray(pixels, dtype=np.uint8).tobytes()
 
 
+def decode_gif(content: bytes) -> np.ndarray:
+    """The first frame of a GIF on its logical screen: RGB, or RGBA where pixels are transparent or outside the frame."""
+    if content[:6] not in (b"GIF87a", b"GIF89a") or len(content) < 13:
+        raise PixelError("not a GIF")
+    width, height, flags = *struct.unpack_from("<HH", content, 6), content[10]
+    if not width or not height or width * height * 4 > MAXIMUM_DECODED:
+        raise PixelError("unsupported size")
+    at, clear = 13, None
+
+    def table(flags: int, at: int) -> tuple[np.ndarray | None, int]:
+        if not flags & 0x80:
+            return None, at
+        size = 3 << (flags & 7) + 1
+        if at + size > len(content):
+            raise PixelError("short colour table")
+        return np.frombuffer(content, dtype=np.uint8, count=size, offset=at).reshape(-1, 3), at + size
+
+    def blocks(at: int) -> tuple[bytes, int]:
+        parts = []
+        while at < len(content) and content[at]:
+            parts.append(content[at + 1 : at + 1 + content[at]])
+            at += 1 + content[at]
+        return b"".join(parts), at + 1
+
+    shared, at = table(flags, at)
+    while at < len(content):
+        kind = content[at]
+        if kind == 0x21 and at + 2 < len(content):
+            body, end = blocks(at + 2)
+            if content[at + 1] == 0xF9 and len(body) >= 4 and body[0] & 1:
+                clear = body[3]
+            at = end
+        elif kind == 0x2C and at + 10 <= len(content):
+            left, top, w, h, own = struct.unpack_from("<HHHHB", content, at + 1)
+            colours, at = table(own, at + 10)
+            colours = shared if colours is None else colours
+            if colours is None or not w or not h or left + w > width or top + h > height or at >= len(content):
+                raise PixelError("unsupported frame")
+            coded, _ = blocks(at + 1)
+            index = _lzw(coded, content[at], w * h).reshape(h, w)
+            if own & 0x40:  # rows come in four passes
+                order = np.concatenate([np.arange(s, h, d) for s, d in ((0, 8), (4, 8), (2, 4), (1, 2))])
+                index = index[np.argsort(order, kind="stable")]
+            if int(index.max()) >= len(colours):
+                raise PixelError("bad colour")
+            if clear is None and (w, h) == (width, height):
+                return colours[index]
+            out = np.zeros((height, width, 4), dtype=np.uint8)
+            frame = np.concatenate((colours[index], np.where(index == (-1 if clear is None else clear), 0, 255).astype(np.uint8)[:, :, None]), axis=2)
+            out[top : top + h, left : left + w] = frame
+            return out
+        else:
+            break
+    raise PixelError("no frame")
+
+
+def _lzw(data: bytes, least: int, wanted: int) -> np.ndarray:
+    if not 2 <= least <= 8:
+        raise PixelError("bad code size")
+    clear, end = 1 << least, (1 << least) + 1
+    known = [bytes([i]) for i in range(clear)] + [b"", b""]
+    out, size, previous, held, count, got = [], least + 1, b"", 0, 0, 0
+    for byte in data:
+        held |= byte << count
+        count += 8
+        while count >= size:
+            code, held, count = held & ((1 << size) - 1), held >> size, count - size
+            if code == clear:
+                del known[end + 1 :]
+                size, previous = least + 1, b""
+                continue
+            if code == end or got >= wanted:
+                break
+            if code < len(known):
+                entry = known[code]
+            elif code == len(known) and previous:
+                entry = previous + previous[:1]
+            else:
+                raise PixelError("bad code")
+            out.append(entry)
+            got += len(entry)
+            if previous and len(known) < 4096:
+                known.append(previous + entry[:1])
+                if len(known) == 1 << size and size < 12:
+                    size += 1
+            previous = entry
+    flat = b"".join(out)[:wanted]
+    if len(flat) != wanted:
+        raise PixelError("short pixel data")
+    return np.frombuffer(flat, dtype=np.uint8).astype(np.int64)
+
+
 def decode(content: bytes) -> np.ndarray:
     if content.startswith(PNG_MAGIC):
         return decode_png(content)
+    if content.startswith(b"\xff\xd8"):
+        from . import jpeg
+
+        return jpeg.decode(content)
+    if content.startswith(b"GIF8"):
+        return decode_gif(content)
     return decode_pnm(content)
 
 

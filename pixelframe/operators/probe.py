@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..contracts import DecodeLimits, EncodeCapabilities, EncodeLimits
-from ..functions import containers, pixels
+from ..functions import containers, jpeg, pixels
 from ..shipping import ship
 from .admission import first_failure, probe_failure
 
@@ -144,11 +144,82 @@ def jpeg_structures(images: DataFrame, key: str, content: str = "content") -> Da
     return found.withColumn("progressive", F.col("frame_marker") == "C2")
 
 
+def prefix_decodes(images: DataFrame, key: str, content: str = "content") -> DataFrame:
+    """One row for each prefix worth decoding around the end of each scan of a JPEG: key, scan, offset, labels, available, pixels_sha256, is_final (equal to the whole file's pixels) and mse_micro against them.
+
+    Each prefix is decoded on its own, as if the file ended there. Corrupt images, and those that don't decode, have no rows.
+    """
+    import hashlib
+
+    ship(images.sparkSession)
+    kind = images.schema[key].dataType.simpleString()
+    names = [key, "scan", "offset", "labels", "available", "pixels_sha256", "is_final", "mse_micro"]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for name, blob in zip(batch.column(key).to_pylist(), batch.column("_content").to_pylist()):
+                try:
+                    scans, whole = containers.jpeg_scans(blob or b""), jpeg.decode(blob or b"")
+                except (containers.Corrupt, pixels.PixelError):
+                    continue
+                for scan in scans:
+                    for offset, labels in containers.checkpoints(scan, len(blob)):
+                        made, _, _ = jpeg.decode_prefix(blob[:offset])
+                        if made is None:
+                            rows.append((name, scan.scan, offset, labels, False, None, False, None))
+                            continue
+                        error = pixels.error_metrics(whole.tobytes(), made.tobytes())["mean_squared_error_micro"]
+                        rows.append((name, scan.scan, offset, labels, True, hashlib.sha256(made.tobytes()).hexdigest(), error == 0, error))
+            types = [batch.schema.field(key).type, pa.int32(), pa.int64(), pa.list_(pa.string()), pa.bool_(), pa.string(), pa.bool_(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows) if rows else [[]] * 8, types)], names=names)
+
+    return images.select(key, F.col(content).cast("binary").alias("_content")).mapInArrow(walk, f"`{key}` {kind}, scan int, offset long, labels array<string>, available boolean, pixels_sha256 string, is_final boolean, mse_micro long")
+
+
+def previews(images: DataFrame, key: str, thresholds: tuple[int, ...] = (1, 2, 4, 8), content: str = "content") -> DataFrame:
+    """The pictures that a progressive session shows: one row for each threshold of completed scans before the last (generation, scan), and the final one (generation null), with width, height, pixels and failure.
+
+    A preview that can't be drawn isn't shown; a file that isn't a whole progressive JPEG gives one row with its failure.
+    """
+    ship(images.sparkSession)
+    kind = images.schema[key].dataType.simpleString()
+    names = [key, "generation", "scan", "width", "height", "pixels", "failure"]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for name, blob in zip(batch.column(key).to_pylist(), batch.column("_content").to_pylist()):
+                try:
+                    scans, progressive = containers.jpeg_scans(blob or b""), containers.jpeg_structure(blob or b"")["frame_marker"] == "C2"
+                    whole = jpeg.decode(blob)
+                except containers.Corrupt as e:
+                    rows.append((name, None, None, None, None, None, e.failure))
+                    continue
+                except pixels.PixelError:
+                    rows.append((name, None, None, None, None, None, "decodeFailed"))
+                    continue
+                if not progressive:
+                    rows.append((name, None, None, None, None, None, "progressiveDecodingUnsupported"))
+                    continue
+                generation = 0
+                for scan in scans[:-1]:
+                    if scan.scan in thresholds:
+                        made, _, _ = jpeg.decode_prefix(blob[: scan.entropy_end])
+                        if made is not None:
+                            generation += 1
+                            rows.append((name, generation, scan.scan, made.shape[1], made.shape[0], made.tobytes(), None))
+                rows.append((name, None, len(scans), whole.shape[1], whole.shape[0], whole.tobytes(), None))
+            types = [batch.schema.field(key).type, pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows) if rows else [[]] * 7, types)], names=names)
+
+    return images.select(key, F.col(content).cast("binary").alias("_content")).mapInArrow(walk, f"`{key}` {kind}, generation int, scan int, width int, height int, pixels binary, failure string")
+
+
 def decode(images: DataFrame, key: str, target: tuple[int, int], mode: str = "fit", content: str = "content", limits: DecodeLimits | None = None) -> DataFrame:
     """key, width, height, channels, pixels (packed rows) and failure: probed, admitted, decoded, oriented, scaled to the target.
 
-    PNG (8-bit, not interlaced) and PNM are decoded here; other layouts and formats fail with decodeFailed, for which
-    Spark's own ``image`` source is the way to pixels.
+    PNG, JPEG (baseline and progressive), a GIF's first frame and PNM are decoded; what can't be gives decodeFailed.
     """
     limits = limits or DecodeLimits()
     kind = images.schema[key].dataType.simpleString()
@@ -195,13 +266,19 @@ def decode_pnm_files(images: DataFrame, key: str, content: str = "content") -> D
     return images.select(key, F.col(content).cast("binary").alias("_content")).mapInArrow(run, f"`{key}` {kind}, width int, height int, channels int, pixels binary, failure string")
 
 
-def encode(rasters: DataFrame, key: str, background: tuple[int, int, int] | None = None, limits: EncodeLimits | None = None, have: EncodeCapabilities | None = None) -> DataFrame:
-    """key, content (PNG) and failure of decoded rows (width, height, channels, pixels); alpha is kept, or laid over ``background``."""
+def encode(rasters: DataFrame, key: str, background: tuple[int, int, int] | None = None, limits: EncodeLimits | None = None, have: EncodeCapabilities | None = None, format: str = "png", quality: float = 0.9, progressive: bool = False) -> DataFrame:
+    """key, content (PNG, or JPEG of a quality) and failure of decoded rows (width, height, channels, pixels); alpha is kept in a PNG, or laid over ``background``.
+
+    A JPEG of pixels with alpha needs a background, else the row fails with unsupported:alphaPreservation.
+    """
+    if not 0 <= quality <= 1:
+        raise ValueError("quality must be 0 to 1")
     limits, have = limits or EncodeLimits(), have or EncodeCapabilities()
     ship(rasters.sparkSession)
     kind = rasters.schema[key].dataType.simpleString()
     admitted = first_failure(
-        (F.lit("png" in have.formats and "png" in limits.formats), "formatNotAllowed"),
+        (F.lit(format in have.formats and format in limits.formats), "formatNotAllowed"),
+        (F.lit(format == "png" or background is not None) | F.col("channels").isin(1, 3), "unsupported:alphaPreservation"),
         ((F.least("width", "height") > 0) & (F.greatest("width", "height") <= limits.dimension), "dimensionLimitExceeded"),
         (F.col("width").cast("long") * F.col("height") <= limits.pixel_count, "pixelLimitExceeded"),
     )
@@ -218,7 +295,8 @@ def encode(rasters: DataFrame, key: str, background: tuple[int, int, int] | None
                         failure = "encodeFailed"
                     else:
                         raster = np.frombuffer(data, dtype=np.uint8).reshape(height, width, channels)
-                        blob = pixels.encode_png(pixels.flattened(raster, background) if background else raster)
+                        raster = pixels.flattened(raster, background) if background else raster
+                        blob = pixels.encode_png(raster) if format == "png" else jpeg.encode(raster, quality, jpeg.PROGRESSIVE if progressive else None)
                         if len(blob) > limits.encoded_bytes:
                             blob, failure = None, "encodedBytesExceeded"
                 names.append(name)

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from ..contracts import DecodeLimits
 from ..functions import builders as b
+from ..functions import jpeg
 from ..operators import prepared
 from ..operators.probe import container_parts as parts
-from ..operators.probe import jpeg_structures, probe, scan_boundaries
+from ..operators.probe import decode, encode, jpeg_structures, prefix_decodes, previews, probe, scan_boundaries
+from ..shipping import ship
 from ..sources.files import table
 from .registry import query
 
@@ -128,6 +133,59 @@ def binary_reads(spark, sf_dir):
     return rows.select("p_partkey", word.alias("word"), b.read_big_endian(c, 2, 2).alias("half"), low.alias("last"), b.has_prefix_at(c, 1, b"\1").alias("starts"), b.read_big_endian(c, 2, 4).alias("beyond"), low.bitwiseAND(127).alias("masked"), F.shiftright(word, 16).alias("shifted"))
 
 
+#: Pictures of flat cells, one for each part: cells across and down, and the value of a cell.
+_CELLS = """(SELECT p_partkey AS k, 8 * (p_partkey % 3 + 1) AS w, 8 * (p_size % 3 + 1) AS h FROM part)"""
+
+
+def _cells_sha(value: str) -> str:
+    return f"sha256(unhex(list_aggregate(list_transform(range(w * h), lambda i: printf('%02x', CAST({value} AS INTEGER))), 'string_agg', '')))"
+
+
+_CELL = "((k * 7 + i % w // 8 * 13 + i // w // 8 * 29) % 256)"
+#: Scans that send the means of cells with four bits left out, then one after another.
+_MEANS = ((None, 0, 0, 0, 4), (None, 0, 0, 4, 3), (None, 0, 0, 3, 2), (None, 0, 0, 2, 1), (None, 0, 0, 1, 0))
+
+
+def _cell_files(spark, sf_dir, script=None) -> DataFrame:
+    """Grey JPEG files of flat cells at quality 1, which keep every value."""
+    ship(spark)
+
+    def made(keys: pd.Series, sizes: pd.Series) -> pd.Series:
+        out = []
+        for k, size in zip(keys, sizes):
+            y, x = np.mgrid[: 8 * (size % 3 + 1), : 8 * (k % 3 + 1)]
+            out.append(jpeg.encode(((k * 7 + x // 8 * 13 + y // 8 * 29) % 256).astype(np.uint8)[:, :, None], 1.0, script))
+        return pd.Series(out, dtype=object)
+
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), pandas_udf(made, "binary")("p_partkey", "p_size").alias("content"))
+
+
+@query(f"""SELECT k, mode, CAST(w AS INTEGER) AS width, CAST(h AS INTEGER) AS height, 1 AS channels, {_cells_sha(_CELL)} AS pixels_sha256, true AS survives FROM {_CELLS}, (VALUES ('baseline'), ('progressive')) m(mode)""")
+def jpeg_round_trip(spark, sf_dir):
+    """Baseline and progressive JPEG decoded, encoded and decoded again without loss."""
+    whole = (DecodeLimits().dimension,) * 2
+    out = []
+    for mode, script in (("baseline", None), ("progressive", jpeg.PROGRESSIVE)):
+        first = decode(_cell_files(spark, sf_dir, script), "k", whole)
+        again = decode(encode(first, "k", format="jpeg", quality=1.0, progressive=script is not None), "k", whole).select("k", F.col("pixels").alias("again"))
+        out.append(first.join(again, "k").select("k", F.lit(mode).alias("mode"), "width", "height", "channels", F.sha2("pixels", 256).alias("pixels_sha256"), (F.col("pixels") == F.col("again")).alias("survives")))
+    return out[0].unionByName(out[1])
+
+
+@query(f"""WITH c AS (SELECT *, {_cells_sha(_CELL)} AS whole, {_cells_sha(f'{_CELL} - {_CELL} % 2')} AS half, len(list_filter(range(w * h), lambda i: {_CELL} % 2 = 1)) AS odd FROM {_CELLS}), l AS (SELECT *, unnest(range(1, 6)) AS scan FROM c),
+  p AS (SELECT *, unnest(CASE WHEN scan < 5 THEN [['entropy-end-before-marker'], ['terminating-marker-code-end'], ['immediate-following-segment-end', 'next-scan-entropy-start']] ELSE [['entropy-end-before-marker'], ['immediate-following-segment-end', 'next-scan-entropy-start', 'terminating-marker-code-end']] END) AS labels FROM l)
+  SELECT k, CAST(scan AS INTEGER) AS scan, labels, true AS available, CASE WHEN scan = 1 THEN half ELSE whole END AS pixels_sha256, scan > 1 OR odd = 0 AS is_final, CASE WHEN scan = 1 THEN CAST(odd * 1000000 // (w * h) AS BIGINT) ELSE 0 END AS mse_micro FROM p""")
+def prefix_decode(spark, sf_dir):
+    """Every prefix around the ends of scans, decoded on its own: the first scan leaves the last bit of each value out."""
+    return prefix_decodes(_cell_files(spark, sf_dir, _MEANS), "k").drop("offset")
+
+
+@query(f"""SELECT k, CAST(g AS INTEGER) AS generation, CAST(scan AS INTEGER) AS scan, CAST(w AS INTEGER) AS width, CAST(h AS INTEGER) AS height, CASE WHEN scan = 1 THEN {_cells_sha(f'{_CELL} - {_CELL} % 2')} ELSE {_cells_sha(_CELL)} END AS pixels_sha256, CAST(NULL AS VARCHAR) AS failure FROM {_CELLS}, (VALUES (1, 1), (2, 2), (3, 4), (NULL, 5)) v(g, scan)""")
+def session_previews(spark, sf_dir):
+    """What a progressive session draws: previews at 1, 2 and 4 scans, then the final picture."""
+    return previews(_cell_files(spark, sf_dir, _MEANS), "k").withColumn("pixels_sha256", F.sha2("pixels", 256)).drop("pixels")
+
+
 _COLOURS = ("sRGB", "Display P3", "Generic Gray Gamma 2.2", None)
 
 
