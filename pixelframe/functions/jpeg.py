@@ -487,26 +487,29 @@ PROGRESSIVE = ((None, 0, 0, 0, 1), (0, 1, 5, 0, 2), (2, 1, 63, 0, 1), (1, 1, 63,
 
 
 def encode(pixels: np.ndarray, quality: float = 0.9, script=None, extra: bytes = b"") -> bytes:
-    """Baseline JPEG, or progressive by a ``script`` of scans, of one or three channels; ``extra`` segments follow the start."""
+    """Baseline JPEG, or progressive by a ``script`` of scans; ``extra`` segments follow the start. Four channels are inverted CMYK and marked so."""
     height, width, channels = pixels.shape
-    if channels not in (1, 3) or not 0 < width < 65_536 or not 0 < height < 65_536:
-        raise PixelError("JPEG takes one or three channels of up to 65,535 pixels a side")
-    planes = [pixels[:, :, 0].astype(np.float64)]
+    if channels not in (1, 3, 4) or not 0 < width < 65_536 or not 0 < height < 65_536:
+        raise PixelError("JPEG takes one, three or four channels of up to 65,535 pixels a side")
+    planes = [pixels[:, :, c].astype(np.float64) for c in range(channels)]
+    own_table = [0] * channels
     if channels == 3:
-        r, g, b = (pixels[:, :, c].astype(np.float64) for c in range(3))
+        r, g, b = planes
+        own_table = [0, 1, 1]
         planes = [0.299 * r + 0.587 * g + 0.114 * b, -0.168735892 * r - 0.331264108 * g + 0.5 * b + 128, 0.5 * r - 0.418687589 * g - 0.081312411 * b + 128]
     high, wide = -(-height // 8), -(-width // 8)
-    steps = [quantiser(quality, False), quantiser(quality, True)][: 1 if channels == 1 else 2]
+    steps = [quantiser(quality, False), quantiser(quality, True)][: 1 + max(own_table)]
     blocks = []
     for c, plane in enumerate(planes):
         padded = np.pad(plane, ((0, high * 8 - height), (0, wide * 8 - width)), mode="edge") - 128
         cells = padded.reshape(high, 8, wide, 8).swapaxes(1, 2).reshape(-1, 8, 8)
         turned = (_COSINES @ cells @ _COSINES.T).reshape(-1, 64)[:, _NATURAL]
-        blocks.append(np.round(turned / steps[min(c, 1)]).astype(np.int64).tolist())
-    out = [b"\xff\xd8", extra]
+        blocks.append(np.round(turned / steps[own_table[c]]).astype(np.int64).tolist())
+    adobe = b"\xff\xee\0\x0eAdobe\0\x64\0\0\0\0\0" if channels == 4 else b""
+    out = [b"\xff\xd8", extra, adobe]
     for i, own in enumerate(steps):
         out.append(b"\xff\xdb" + (67).to_bytes(2, "big") + bytes([i, *own.tolist()]))
-    frame = bytes([8]) + height.to_bytes(2, "big") + width.to_bytes(2, "big") + bytes([channels]) + b"".join(bytes([c + 1, 0x11, min(c, 1)]) for c in range(channels))
+    frame = bytes([8]) + height.to_bytes(2, "big") + width.to_bytes(2, "big") + bytes([channels]) + b"".join(bytes([c + 1, 0x11, own_table[c]]) for c in range(channels))
     out.append((b"\xff\xc2" if script else b"\xff\xc0") + (len(frame) + 2).to_bytes(2, "big") + frame)
     for chosen, first, last, sent, low in script or ((None, 0, 63, 0, 0),):
         own = [c for c in range(channels) if chosen is None or c == chosen]
@@ -521,11 +524,11 @@ def encode(pixels: np.ndarray, quality: float = 0.9, script=None, extra: bytes =
                         scan.raw(str(block[0] >> low & 1))
                     else:
                         size, bits = _signed((block[0] >> low) - previous[c])
-                        scan.put(min(c, 1), size, bits)
+                        scan.put(own_table[c], size, bits)
                         previous[c] = block[0] >> low
                 if last > 0:
-                    (_refined if sent else _band)(scan, 16 | min(c, 1), block, max(1, first), last, low)
+                    (_refined if sent else _band)(scan, 16 | own_table[c], block, max(1, first), last, low)
         segments, data = scan.written()
-        head = bytes([len(own)]) + b"".join(bytes([c + 1, min(c, 1) * 17]) for c in own) + bytes([first, last, sent << 4 | low])
+        head = bytes([len(own)]) + b"".join(bytes([c + 1, own_table[c] * 17]) for c in own) + bytes([first, last, sent << 4 | low])
         out += [segments, b"\xff\xda" + (len(head) + 2).to_bytes(2, "big") + head, data]
     return b"".join([*out, b"\xff\xd9"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import micro, ppm
+from ..functions.numeric import micro
 from .statistics import duration_statistics, nearest_rank
 
 
@@ -78,5 +78,7 @@ def orientation_failure(orientation: Column, metadata_policy: Column) -> Column:
     return F.when(orientation.isNotNull() & wrong, F.lit("invalidOrientation")).when(orientation.isNotNull() & (metadata_policy != "preserveRecognized"), F.lit("orientationNeedsMetadata"))
 
 
-def fraction(received: Column, total: Column) -> Column:
-    return ppm(received, total)
+def sampled_peaks(samples: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+    """Per run the first sample, the largest, and by how much that exceeds the first."""
+    out = samples.groupBy(*keys).agg(F.min_by(value, order).alias("baseline"), F.max(value).alias("peak"), F.count(F.lit(1)).alias("samples"))
+    return out.withColumn("peak_delta", F.greatest(F.lit(0).cast("long"), (F.col("peak") - F.col("baseline")).cast("long")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -172,6 +174,40 @@ def jpeg_round_trip(spark, sf_dir):
     return out[0].unionByName(out[1])
 
 
+#: Scan scripts of a corpus; all leave the same final pixels.
+_SCRIPTS = {"baseline": None, "bands": ((None, 0, 0, 0, 0), (0, 1, 5, 0, 0), (0, 6, 63, 0, 0)), "means-by-bit": (*_MEANS, (0, 1, 63, 0, 0)), "successive": jpeg.PROGRESSIVE}
+
+
+@query(f"""SELECT k, script, {_cells_sha(_CELL)} AS pixels_sha256, true AS same_as_baseline FROM {_CELLS}, (VALUES ('baseline'), ('bands'), ('means-by-bit'), ('successive')) s(script)""")
+def scan_script_corpus(spark, sf_dir):
+    """Sources by scan scripts: every script's file decodes to the same final pixels."""
+    whole = (DecodeLimits().dimension,) * 2
+    made = [decode(_cell_files(spark, sf_dir, script), "k", whole).select("k", F.lit(name).alias("script"), F.sha2("pixels", 256).alias("pixels_sha256")) for name, script in _SCRIPTS.items()]
+    base = made[0].select("k", F.col("pixels_sha256").alias("_base"))
+    return reduce(DataFrame.unionByName, made).join(base, "k").select("k", "script", "pixels_sha256", (F.col("pixels_sha256") == F.col("_base")).alias("same_as_baseline"))
+
+
+@query("""SELECT k, 3 AS channels, sha256(unhex(repeat(printf('%02x%02x%02x', CAST(floor(c * b / 255.0 + 0.5) AS INTEGER), CAST(floor(m * b / 255.0 + 0.5) AS INTEGER), CAST(floor(y * b / 255.0 + 0.5) AS INTEGER)), 64))) AS pixels_sha256, CAST(NULL AS VARCHAR) AS failure
+  FROM (SELECT p_partkey AS k, p_partkey % 256 AS c, p_partkey * 3 % 256 AS m, p_size * 5 % 256 AS y, (p_partkey + p_size) * 7 % 256 AS b FROM part)""")
+def cmyk_files(spark, sf_dir):
+    """JPEG files of four inverted ink channels, decoded to RGB."""
+    ship(spark)
+
+    def made(keys: pd.Series, sizes: pd.Series) -> pd.Series:
+        inks = [(k % 256, k * 3 % 256, s * 5 % 256, (k + s) * 7 % 256) for k, s in zip(keys, sizes)]
+        return pd.Series([jpeg.encode(np.tile(np.array(i, dtype=np.uint8), (8, 8, 1)), 1.0) for i in inks], dtype=object)
+
+    files = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), pandas_udf(made, "binary")("p_partkey", "p_size").alias("content"))
+    return decode(files, "k", (64, 64)).select("k", "channels", F.sha2("pixels", 256).alias("pixels_sha256"), "failure")
+
+
+@query(f"""SELECT k, CAST(w AS INTEGER) AS width, CAST(h AS INTEGER) AS height, {_cells_sha(_CELL)} AS pixels_sha256, true AS timed FROM {_CELLS}""")
+def instrumented_decode(spark, sf_dir):
+    """Decoding with diagnostics: the same pixels, and nanoseconds of both steps."""
+    rows = decode(_cell_files(spark, sf_dir), "k", (64, 64), diagnostics=True)
+    return rows.select("k", "width", "height", F.sha2("pixels", 256).alias("pixels_sha256"), ((F.col("decode_ns") > 0) & (F.col("render_ns") >= 0)).alias("timed"))
+
+
 @query(f"""WITH c AS (SELECT *, {_cells_sha(_CELL)} AS whole, {_cells_sha(f'{_CELL} - {_CELL} % 2')} AS half, len(list_filter(range(w * h), lambda i: {_CELL} % 2 = 1)) AS odd FROM {_CELLS}), l AS (SELECT *, unnest(range(1, 6)) AS scan FROM c),
   p AS (SELECT *, unnest(CASE WHEN scan < 5 THEN [['entropy-end-before-marker'], ['terminating-marker-code-end'], ['immediate-following-segment-end', 'next-scan-entropy-start']] ELSE [['entropy-end-before-marker'], ['immediate-following-segment-end', 'next-scan-entropy-start', 'terminating-marker-code-end']] END) AS labels FROM l)
   SELECT k, CAST(scan AS INTEGER) AS scan, labels, true AS available, CASE WHEN scan = 1 THEN half ELSE whole END AS pixels_sha256, scan > 1 OR odd = 0 AS is_final, CASE WHEN scan = 1 THEN CAST(odd * 1000000 // (w * h) AS BIGINT) ELSE 0 END AS mse_micro FROM p""")

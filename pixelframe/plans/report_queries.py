@@ -335,3 +335,15 @@ def public_symbols(spark, sf_dir):
 def conditional_sums(spark, sf_dir):
     rows = _lines(spark, sf_dir)
     return rows.groupBy("l_orderkey").agg(F.sum(F.when(F.col("line") <= 3, F.col("cents"))).alias("early"), F.count_if(F.col("line") > 3).alias("late"), truncated(F.sum("cents") * 1_000_000, F.count(F.lit(1)) * 100).alias("mean_micro"))
+
+
+@query("""SELECT user_id, min_by(v, event_id) AS baseline, max(v) AS peak, CAST(count(*) AS BIGINT) AS samples, CAST(greatest(0, max(v) - min_by(v, event_id)) AS BIGINT) AS peak_delta FROM (SELECT user_id, event_id, CAST(floor(value * 100 + 0.5) AS BIGINT) AS v FROM events) GROUP BY 1""")
+def sampled_peaks(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", F.floor(F.col("value") * 100 + 0.5).cast("long").alias("v"))
+    return reports.sampled_peaks(rows, ["user_id"], "event_id", "v")
+
+
+@query("""SELECT r_name AS "case", CAST(repetition AS INTEGER) AS repetition, 0 AS exit_code, r_name || '/' || repetition || chr(10) AS output FROM region, (VALUES (1), (2)) v(repetition)""")
+def case_runs(spark, sf_dir):
+    """A process for each case and repetition."""
+    return files.case_runs(table(spark, sf_dir, "region"), "r_name", 2, ["/bin/sh", "-c", 'echo "$0/$1"'])

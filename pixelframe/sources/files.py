@@ -9,6 +9,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 MANIFEST_CASES = "id string, file string, kind string, byteCount long, sha256 string, format string, width int, height int, expectedError string"
 
 
@@ -103,6 +105,21 @@ def symbols(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("s.accessLevel IN ('public', 'open')").select("module", F.col("s.identifier.precise").alias("id"), F.col("s.kind.identifier").alias("kind"), F.col("s.names.title").alias("name")).orderBy("module", "name", "id")
 
 
+def case_runs(cases: DataFrame, case: str, repetitions: int, argv: list[str], seconds: int = 600) -> DataFrame:
+    """Runs a command in a process of its own for each case and repetition, which it gets as its last two arguments: case, repetition, exit_code and output."""
+    import subprocess
+
+    ship(cases.sparkSession)
+    planned = cases.select(F.col(case).cast("string").alias("case"), F.explode(F.sequence(F.lit(1), F.lit(repetitions))).alias("repetition"))
+
+    def run(frames):
+        for frame in frames:
+            done = [subprocess.run([*argv, c, str(r)], capture_output=True, text=True, timeout=seconds, check=False) for c, r in zip(frame["case"], frame["repetition"])]
+            yield frame.assign(exit_code=[d.returncode for d in done], output=[d.stdout for d in done])
+
+    return planned.mapInPandas(run, "case string, repetition int, exit_code int, output string")
+
+
 def runtime_facts(spark: SparkSession) -> DataFrame:
     """One row: what a measurement's environment is told by."""
     jvm = spark.sparkContext._jvm.System

@@ -212,3 +212,94 @@ def test_determinism_and_completeness(spark):
     want = spark.createDataFrame([(1,), (2,)], "k int")
     have = spark.createDataFrame([(2,), (3,)], "k int")
     assert values(joins.completeness(want, have, ["k"]), "k", "status") == [(1, "missing"), (3, "unexpected")]
+
+
+def test_command_line(spark, sf_dir, tmp_path, capsys):
+    from pixelframe.__main__ import main
+
+    assert main(["list"]) == 0 and "nearest_rank_stats" in capsys.readouterr().out.split()
+    assert main(["nearest_rank_stats", sf_dir, "--out", f"file://{tmp_path}/out"]) == 0
+    assert spark.read.json(f"file://{tmp_path}/out").count() == 5
+    assert main(["no_such_query", sf_dir]) == 2 and main(["nearest_rank_stats"]) == 2
+
+
+def test_thumbnails_from_outside(spark, tmp_path):
+    import numpy as np
+
+    from examples.thumbnails import thumbnails
+    from pixelframe.functions import jpeg
+    from pixelframe.functions.pixels import decode, encode_png, pattern
+
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "a.png").write_bytes(encode_png(pattern(200, 90)))
+    (source / "b.jpg").write_bytes(jpeg.encode(np.full((50, 300, 3), 90, dtype=np.uint8)))
+    (source / "c.bin").write_bytes(b"nothing")
+    told = {r["path"].rsplit("/", 1)[1]: r["failure"] for r in thumbnails(spark, str(source), str(tmp_path / "out"), 64).collect()}
+    assert told == {"a.png": None, "b.jpg": None, "c.bin": "unsupportedFormat"}
+    assert decode((tmp_path / "out" / "b.jpg.png").read_bytes()).shape == (11, 64, 3)
+
+
+def test_frontier_is_merged_in_parallel(spark):
+    from pixelframe.operators import policy
+
+    rows = spark.range(0, 4000, 1, 8).selectExpr("id", "id * 7919 % 4001 AS a", "id * 104729 % 3989 AS b", "9007199254740993 + id % 2 AS c")
+    found = {r["id"] for r in policy.pareto_frontier(rows, ["a", "c"], ["b"]).collect()}
+    data = [(r["id"], (r["a"], r["c"], -r["b"])) for r in rows.collect()]
+    expected = {i for i, v in data if not any(all(x <= y for x, y in zip(w, v)) and w != v for _, w in data)}
+    assert found == expected
+    plan = policy.pareto_frontier(rows, ["a", "c"], ["b"])._jdf.queryExecution().toString()
+    assert "Coalesce" not in plan and "Repartition 1, true" in plan
+
+
+def test_large_groups_are_ranked_in_ranges(spark, monkeypatch):
+    from pixelframe.operators import policy, statistics
+
+    monkeypatch.setattr(statistics, "RANGE_ROWS", 16)
+    rows = spark.range(3000).selectExpr("id % 2 AS g", "id * id % 1777 - 300 AS v").union(spark.createDataFrame([(None, 5), (None, 7), (3, None)], "g long, v long"))
+    found = {r["g"]: (r["median"], r["p90"]) for r in statistics.nearest_rank(rows, ["g"], "v", {"median": (1, 2), "p90": (9, 10)}).collect()}
+    groups = {}
+    for r in rows.collect():
+        if r["v"] is not None:
+            groups.setdefault(r["g"], []).append(r["v"])
+    assert found == {g: (sorted(v)[max(1, (len(v) + 1) // 2) - 1], sorted(v)[max(1, (9 * len(v) + 9) // 10) - 1]) for g, v in groups.items()}
+    values = [v for g in groups.values() for v in g]
+    for descending in (False, True):
+        ranked = policy.strict_rank(rows.where("v IS NOT NULL"), "v", descending).collect()
+        assert len(ranked) == len(values)
+        assert all(r["rank"] == 1 + sum(x > r["v"] if descending else x < r["v"] for x in values) for r in ranked[::97])
+
+
+def test_code_reaches_workers_from_another_folder(tmp_path):
+    """A program that has the package on its own path only."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    program = f"""
+import sys
+sys.path.insert(0, {str(Path(__file__).resolve().parents[1])!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+from pixelframe.operators import policy
+print("rows", policy.pareto_frontier(spark.range(10), ["id"], []).count())
+"""
+    done = subprocess.run([sys.executable, "-c", program], cwd=tmp_path, capture_output=True, text=True, timeout=300, check=False)
+    assert "rows 1" in done.stdout, done.stderr[-500:]
+
+
+def test_artifact_names_stay_in_their_folder(spark, tmp_path):
+    from pixelframe.sources import files
+
+    bad = spark.createDataFrame([("../x", bytearray(b"1"))], "file string, content binary")
+    with pytest.raises(Exception, match="not a file name"):
+        files.write_artifacts(bad, str(tmp_path / "a"))
+    assert not (tmp_path / "x").exists()
+
+
+def test_store_is_bounded(spark):
+    from pixelframe.operators import prepared
+
+    events = [("s", i, "insert", f"t{i}") for i in range(6)] + [("s", 6, "take", "t0"), ("s", 7, "take", "t0"), ("s", 8, "insert", "t9"), ("s", 9, "remove", "t5")]
+    found = {r["seq"]: r["accepted"] for r in prepared.store(spark.createDataFrame(events, "store string, seq long, kind string, token string"), 4).collect()}
+    assert [found[i] for i in range(10)] == [True] * 4 + [False] * 2 + [True, False, True, False]
