@@ -23,7 +23,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +33,8 @@ END_ID = 2
 BLOCK = 16_384
 #: Values after which a shard is closed.
 SHARD_VALUES = 1_000_000
+#: Bytes of text of a task.
+TASK_BYTES = 32 << 20
 
 # Fixed values of the format: (values in a word, bits of each) by selector, from 1 on.
 SELECTORS = ((120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
@@ -175,39 +176,48 @@ _SHARD = pa.schema([("part", pa.int32()), ("ids_before", pa.int64()), ("n_ids",
 def write_corpus(docs: DataFrame, path: str, tokenizer_path: str | None = None, end_id: int = END_ID) -> None:
     """Encode ``docs`` in ascending doc_id order into shards under ``path``.
 
-    One range shuffle of the texts; each task then codes its stretch of ids in bounded shards and
-    notes how many ids of its own stretch stand before each.
+    One range shuffle of the texts; small stretches of ids share a task (TASK_BYTES, but no fewer tasks than cores). A task codes
+    each of its stretches in bounded shards and notes how many ids of that stretch stand before each.
     """
-    prepare(docs.sparkSession)
+    spark = prepare(docs.sparkSession)
     tokenizer = tokenizer_path or default_path()
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, rows = encoder(tokenizer).encode, Rows(_SHARD)
-        part, before, doc_ids, texts, size = TaskContext.get().partitionId(), 0, [], [], 0
+        part, before, doc_ids, texts, size = None, 0, [], [], 0
 
         def close() -> None:
             nonlocal before, size
-            rows.add(part, before, size, pack_shard(doc_ids, [len(t) // 4 for t in texts], np.frombuffer(b"".join(texts), dtype="<u4")), size=3 * size)
-            before += size
-            size = 0
-            doc_ids.clear()
-            texts.clear()
-
-        for ids, raws in raw_rows(batches):
-            for doc_id, coded in zip(ids, encode(raws)):
-                doc_ids.append(doc_id)
-                texts.append(with_end(coded, end_id))
-                size += len(texts[-1]) // 4
-                if size >= SHARD_VALUES:
-                    close()
+            if doc_ids:
+                rows.add(part, before, size, pack_shard(doc_ids, [len(t) // 4 for t in texts], np.frombuffer(b"".join(texts), dtype="<u4")), size=3 * size)
+                before += size
+                size = 0
+                doc_ids.clear()
+                texts.clear()
+
+        for batch in batches:
+            stretches = batch.column("part").to_pylist()
+            for ids, raws in raw_rows(iter([batch])):
+                for own, doc_id, coded in zip(stretches, ids, encode(raws)):
+                    if own != part:
+                        close()
+                        part, before = own, 0
+                    doc_ids.append(doc_id)
+                    texts.append(with_end(coded, end_id))
+                    size += len(texts[-1]) // 4
+                    if size >= SHARD_VALUES:
+                        close()
             if rows.full:
                 yield rows.batch()
-        if doc_ids:
-            close()
+        close()
         if rows:
             yield rows.batch()
 
-    ordered = identified_texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "raw")
+    texts = identified_texts(docs)
+    total = texts.agg(F.coalesce(F.sum(F.octet_length("raw")), F.lit(0))).first()[0]
+    tasks = max(spark.sparkContext.defaultParallelism, total // TASK_BYTES)
+    stretches = texts.repartitionByRange("doc_id").withColumn("part", F.spark_partition_id())
+    ordered = stretches.coalesce(tasks).sortWithinPartitions("part", "doc_id", "raw")
     ordered.mapInArrow(code, "part int, ids_before long, n_ids long, shard binary").write.mode("overwrite").option("compression", "none").parquet(path)
 
 

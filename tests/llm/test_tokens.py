@@ -160,7 +160,19 @@ def test_shards_with_escapes_and_blocks():
         simple8b.unpack_shard(b"XXXX" + blob[4:])
 
 
-def test_op5_reads_back_in_order(docs, ids, rows):
+@pytest.mark.parametrize("stretches", [None, 37])
+def test_op5_reads_back_in_order(spark, docs, ids, rows, stretches):
+    if stretches:  # many small stretches of ids, of which a task gets several
+        spark.conf.set("spark.sql.shuffle.partitions", stretches)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        in_order(docs, ids, rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def in_order(docs, ids, rows):
     found = simple8b.digest(simple8b.round_trip(docs)).orderBy("start").collect()
     order = sorted(zip(ids, rows), key=lambda x: (x[0][0] is not None, x[0][0] or 0, (x[1][1] or "").encode()))
     start = 0
