@@ -45,8 +45,8 @@ HEAVY = 1e-3
 #: Power of the idf in the weights that links are verified by. A large group of near copies makes its own shingles frequent;
 #: at full strength its members' few rare shingles would outweigh all that they share.
 DAMPING = 0.125
-#: Shingles that a counting task counts at once, that it holds at most, and bytes of text that it reads.
-COUNT_AT_ONCE, HELD, TASK_BYTES = 2_000_000, 12_000_000, 256 << 20
+#: Shingles that a counting task holds at most, and bytes of text that it reads.
+HELD, TASK_BYTES = 8_000_000, 256 << 20
 SEED = 77
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -191,37 +191,40 @@ def _numbers(frame: DataFrame, name: str) -> np.ndarray:
 def heavy_shingles(docs: DataFrame, total: int, size: int) -> Weights:
     """Exact document frequencies of all shingles in more than HEAVY of the ``total`` documents (of ``size`` bytes) and in two at least.
 
-    A task counts its documents' shingles and leaves those out that a smaller share than ``least`` of them has (none, if
-    there are few documents); of all documents that loses less than ``least``, so what is in HEAVY of all still shows.
+    A task counts its documents' shingles and leaves out what is rare among them, as long as that loses less than ``least`` of
+    its documents for any shingle; so what is in HEAVY of all documents still shows.
     """
     least = HEAVY / 2
     tasks = max(1, int(least * total / 4), size // TASK_BYTES)
     raw = docs.select("raw").coalesce(tasks) if tasks < docs.rdd.getNumPartitions() else docs.select("raw")
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, seen = [], 0, 0
+        held, size, seen, lost = [], 0, 0, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal held, size, seen
+            nonlocal held, size, lost
             value = np.concatenate(held) if held else np.empty(0, dtype=np.uint64)
             held = []
             value.sort()
             first = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1]))) if size else np.empty(0, dtype=np.int64)
             count = np.diff(np.append(first, size))
-            kept = np.flatnonzero(count >= math.ceil(least * seen))
+            rare = math.ceil(least * seen - lost) - 1  # counts up to this may go
+            lost += rare
+            kept = np.flatnonzero(count > rare)
             for at in range(0, len(kept), 1 << 17):
                 part = kept[at : at + (1 << 17)]
                 yield pa.RecordBatch.from_arrays([pa.array(value[first[part]].view(np.int64)), pa.array(count[part])], names=["shingle", "n"])
-            size = seen = 0
+            size = 0
 
         for batch in batches:
             for text in batch.column("raw"):
                 found = shingles(text.as_py())[0]
                 held.append(found)
                 size, seen = size + len(found), seen + 1
-                if size >= HELD or size >= COUNT_AT_ONCE and least * seen >= 4:
+                if size >= HELD:
                     yield from flush()
-        yield from flush()
+        if seen:
+            yield from flush()
 
     told = raw.mapInArrow(frequent, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2, least * total))
     candidates = np.sort(_numbers(told.select("shingle"), "shingle").view(np.uint64))

@@ -278,3 +278,22 @@ def test_rendered_vectors(spark):
     frame = spark.createDataFrame([(1, [0.5, -1.0, 2.0, 0.1]), (2, None), (3, [float("nan")])], "vec_id long, embedding array<float>")
     found = {r["image_id"]: r["image"] for r in image_copies.rendered_embeddings(frame).collect()}
     assert found[1].startswith(b"P5") and found[2] is None and found[3] is None
+
+
+def test_heavy_shingles_are_counted_exactly(spark, monkeypatch):
+    """However tasks hand over, what is in more than HEAVY of the documents shows with its exact count."""
+    monkeypatch.setattr(minhash_dedup, "HEAVY", 0.02)
+    rng = random.Random(17)
+    passages = [" ".join(words(rng, 8)) for _ in range(12)]
+    data = [(i, " ".join(words(rng, 10)) + " | " + passages[min(11, int(rng.expovariate(0.5)))]) for i in range(900)]
+    counts = {}
+    for _, t in data:
+        for h in minhash_dedup.shingles(t.encode())[0].tolist():
+            counts[h] = counts.get(h, 0) + 1
+    expected = {h: n for h, n in counts.items() if n > 18}
+    docs = spark.createDataFrame([(t.encode(),) for _, t in data], "raw binary").repartition(7)
+    for held in (8_000_000, 700):
+        monkeypatch.setattr(minhash_dedup, "HELD", held)
+        found = minhash_dedup.heavy_shingles(docs, 900, sum(len(t) for _, t in data))
+        assert dict(zip(found.heavy.tolist(), np.log1p(np.minimum(900 / np.array([expected[h] for h in found.heavy.tolist()]), 50)).tolist())) == pytest.approx(dict(zip(found.heavy.tolist(), found.idf.tolist())))
+        assert set(found.heavy.tolist()) == set(expected)
