@@ -15,6 +15,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -179,13 +180,24 @@ def progressive_stream(events: DataFrame, maximum_bytes: int = MAXIMUM_BYTES) ->
 
 
 def progressive_batch(events: DataFrame, maximum_bytes: int = MAXIMUM_BYTES) -> DataFrame:
-    """The same for a table of all rows; one image's chunks are one group."""
-
-    def whole(key: tuple[str], frame: pd.DataFrame) -> pd.DataFrame:
-        return _run(key[0], Session(maximum_bytes), frame)
+    """The same for a table of all rows: streams are dealt out, and a task walks each one's rows in order, holding one session at a time."""
+    schema = pa.schema([("stream_id", pa.string()), ("seq", pa.int64()), ("event", pa.string()), ("generation", pa.int32()), ("source_byte_count", pa.int64()), ("failure", pa.string())])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream, session = None, Session(maximum_bytes)
+        for batch in batches:
+            out = []
+            for own, seq, kind, chunk in zip(*(batch.column(c).to_pylist() for c in ("stream_id", "seq", "kind", "chunk"))):
+                if own != stream:
+                    stream, session = own, Session(maximum_bytes)
+                found = session.handle(kind, chunk)
+                if found:
+                    out.append((own, seq, *found))
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out) if out else [[]] * len(schema), schema)], schema=schema)
 
     ship(events.sparkSession)
-    return events.groupBy("stream_id").applyInPandas(whole, OUTPUT)
+    rows = events.select(F.col("stream_id").cast("string").alias("stream_id"), F.col("seq").cast("long").alias("seq"), "kind", F.col("chunk").cast("binary").alias("chunk"))
+    return rows.repartition("stream_id").sortWithinPartitions("stream_id", "seq").mapInArrow(walk, OUTPUT)
 
 
 def gate(scans: DataFrame, keys: list[str], order: str, completed: str) -> DataFrame:
