@@ -22,6 +22,8 @@ DIMENSIONS = 1 << 18
 PREFIXES = (3, 4, 5, 6, 8)
 #: Steps of the ladder of shares: 1/2, 1/4, ... of all tokens.
 SHARE_STEPS = 7
+#: Label values that a sample is drawn of at most; more are refused.
+MOST_CLASSES = 64
 #: Entries of a worker's memo, and the bytes of a word up to which it is remembered.
 MEMO_WORDS, MEMO_WORD_BYTES = 100_000, 256
 
@@ -208,9 +210,11 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, rows_per_cla
     spark = prepare(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id IS NOT NULL AND label IS NOT NULL")
     known = known.where(~held_out()).groupBy("doc_id").agg(F.max("label").alias("label"))
-    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().limit(MOST_CLASSES + 1).collect()}
     if not counts:
         return []
+    if len(counts) > MOST_CLASSES:
+        raise ValueError(f"more than {MOST_CLASSES} values of {label}: not a graded label")
     rank = F.pmod(F.xxhash64("doc_id", F.lit(label)), F.lit(1 << 20))
     limit = F.coalesce(*(F.when(F.col("label") == value, F.lit(int((1 << 20) * min(1.0, rows_per_class / n)))) for value, n in counts.items()))
     chosen = known.where(rank < limit)

@@ -8,7 +8,7 @@ smaller code points, ties in distance to the smaller language name.
 
 Profiles are learnt from a bounded sample (about ``rows_per_language`` documents of each language,
 ROWS_PER_LANGUAGE by default, chosen by a hash of the id) of documents that aren't held out and have
-a lang; predictions read whole texts and nothing else. Texts that are null or have no letter get
+a lang; predictions read whole texts, very long ones in pieces, and nothing else. Texts that are null or have no letter get
 ``und`` and score 0, as does everything if nothing could be learnt. Repeated rows are predicted once
 each, null doc_ids stay null and aren't held out, an empty table gives no rows.
 """

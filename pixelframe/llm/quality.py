@@ -5,7 +5,7 @@ reaching each grade: P(grade > k) = logistic(score - threshold k). Given are the
 the probability of reaching the top grades, by which documents are selected.
 
 The sample is bounded (``rows_per_class`` rows of each grade, ROWS_PER_CLASS by default) and spares
-held-out documents; scoring covers whole texts of all documents. Null and empty texts get the score
+held-out documents; scoring covers whole texts of all documents, very long ones too. Null and empty texts get the score
 of no features, like any other text. With fewer than two grades there is nothing to tell apart:
 every document is selected with probability 1. Repeated rows are scored once each, null doc_ids
 stay null, other columns are ignored, an empty table gives no rows.

@@ -43,11 +43,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Workspace:
-    """Written intermediate tables of one query: lineage is cut at files in shared storage."""
+    """Written intermediate tables of one query: lineage is cut at files in shared storage, which go when the application ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
         self._count = 0
         self._written: list[DataFrame] = []
 

@@ -216,7 +216,8 @@ def write_corpus(docs: DataFrame, path: str, tokenizer_path: str | None = None,
     texts = identified_texts(docs)
     total = texts.agg(F.coalesce(F.sum(F.octet_length("raw")), F.lit(0))).first()[0]
     tasks = max(spark.sparkContext.defaultParallelism, total // TASK_BYTES)
-    stretches = texts.repartitionByRange("doc_id").withColumn("part", F.spark_partition_id())
+    # The texts' first bytes let rows of one id, null among them, stand in several stretches, in the same order.
+    stretches = texts.repartitionByRange("doc_id", F.substring("raw", 1, 16)).withColumn("part", F.spark_partition_id())
     ordered = stretches.coalesce(tasks).sortWithinPartitions("part", "doc_id", "raw")
     ordered.mapInArrow(code, "part int, ids_before long, n_ids long, shard binary").write.mode("overwrite").option("compression", "none").parquet(path)
 

@@ -6,7 +6,7 @@ squared change of the log-odds over all such swaps is part of the objective, nex
 that leaves rare chance words without weight.
 
 The sample is bounded (``rows_per_class`` rows of each label, ROWS_PER_CLASS by default); scoring
-covers whole texts of all documents. Null and empty texts get the base rate. With no usable label
+covers whole texts of all documents, very long ones too. Null and empty texts get the base rate. With no usable label
 every score is LOW_RATE. Repeated rows are scored
 once each, null doc_ids stay null and aren't held out, other columns are ignored, an empty table
 gives no rows.

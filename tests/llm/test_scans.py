@@ -371,6 +371,13 @@ def test_ordinal_model_against_a_reference_solver():
     assert mine - reference <= 0.03 * (start - reference)
 
 
+def test_labels_that_are_no_grades_are_refused(spark):
+    frame = spark.createDataFrame([(i, "text") for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i) for i in range(200)], "doc_id long, quality int")
+    with pytest.raises(ValueError, match="not a graded label"):
+        quality.train(frame, labels)
+
+
 def test_repeated_ids_give_one_training_row(spark):
     frame = spark.createDataFrame([(i % 5, f"text {i % 7} of many") for i in range(300)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(5)] * 3, "doc_id long, toxic int")

@@ -191,3 +191,20 @@ def test_empty_tables(empty):
 def test_odd_sequence_length(docs):
     with pytest.raises(ValueError, match="power of two"):
         packing.pack(docs, seq_len=1000)
+
+
+def test_rows_without_ids_are_spread(spark):
+    """Many rows of one id share no task, and come in the order of their texts."""
+    texts = [f"text number {i * 7919 % 1000:03d} of many" for i in range(1000)]
+    frame = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = simple8b.round_trip(frame).orderBy("start").collect()
+        shards = simple8b.Workspace(spark, "t").new_path("s")
+        simple8b.write_corpus(frame, shards)
+        assert spark.read.parquet(shards).select("part").distinct().count() >= 3
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    coder = WordEncoder(default_path())
+    expected = [coder.encode([t.encode()])[0] + b"\2\0\0\0" for t in sorted(texts)]
+    assert [bytes(r["ids"]) for r in found] == expected
