@@ -42,7 +42,7 @@ BANDS, ROWS = 12, 4
 SAMPLES = BANDS * ROWS
 #: Share of documents from which on a shingle's document frequency is told exactly.
 HEAVY = 1e-3
-#: Power of the idf in the weights that links are verified by. A large group of near copies makes its own shingles frequent;
+#: Power of the idf in the weights that samples are drawn and links verified by, unless a caller gives another; 1 is plain TF-IDF. A large group of near copies makes its own shingles frequent;
 #: at full strength its members' few rare shingles would outweigh all that they share.
 DAMPING = 0.125
 #: Shingles that a counting task holds at most, and bytes of text that it reads.
@@ -100,14 +100,14 @@ def shingles(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
 class Weights:
     """Document frequencies of heavy shingles and the weights that follow."""
 
-    def __init__(self, heavy: np.ndarray, frequency: np.ndarray, documents: int):
-        self.heavy = heavy
+    def __init__(self, heavy: np.ndarray, frequency: np.ndarray, documents: int, damping: float = DAMPING):
+        self.heavy, self.damping = heavy, damping
         self.idf = np.log1p(np.minimum(documents / np.maximum(frequency, 1), 1 / HEAVY))
         self.other = math.log1p(min(documents, 1 / HEAVY))
 
     def damped(self, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """The weights that samples are drawn and links verified by."""
-        return counts * (self(hashes, np.ones(len(hashes))) ** DAMPING)
+        return counts * (self(hashes, np.ones(len(hashes))) ** self.damping)
 
     def __call__(self, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """The weights at full strength."""
@@ -188,7 +188,7 @@ def _numbers(frame: DataFrame, name: str) -> np.ndarray:
     return frame.toArrow().column(name).to_numpy()
 
 
-def heavy_shingles(docs: DataFrame, total: int, size: int) -> Weights:
+def heavy_shingles(docs: DataFrame, total: int, size: int, damping: float = DAMPING) -> Weights:
     """Exact document frequencies of all shingles in more than HEAVY of the ``total`` documents (of ``size`` bytes) and in two at least.
 
     A task counts its documents' shingles and leaves out what is rare among them, as long as that loses less than ``least`` of
@@ -229,7 +229,7 @@ def heavy_shingles(docs: DataFrame, total: int, size: int) -> Weights:
     told = raw.mapInArrow(frequent, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2, least * total))
     candidates = np.sort(_numbers(told.select("shingle"), "shingle").view(np.uint64))
     if not len(candidates):
-        return Weights(candidates, np.empty(0), total)
+        return Weights(candidates, np.empty(0), total, damping)
     shared = docs.sparkSession.sparkContext.broadcast(candidates)  # at most mean shingles of a document over half of HEAVY
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +249,7 @@ def heavy_shingles(docs: DataFrame, total: int, size: int) -> Weights:
     found = counted.where(F.col("n") > max(1, HEAVY * total)).toArrow()  # below that the weight is the largest anyway
     shingle, n = found.column("shingle").to_numpy().view(np.uint64), found.column("n").to_numpy()
     order = np.argsort(shingle)
-    return Weights(shingle[order], n[order].astype(np.float64), total)
+    return Weights(shingle[order], n[order].astype(np.float64), total, damping)
 
 
 def _profile(hashes: np.ndarray, weights: np.ndarray) -> bytes:
@@ -364,13 +364,13 @@ def _linked(similarity: float):
     return linked
 
 
-def _grouped(documents: DataFrame, similarity: float) -> DataFrame:
+def _grouped(documents: DataFrame, similarity: float, damping: float) -> DataFrame:
     """doc_id, t1, t2 (hashes of the text), component_id, kept and n_copies of every row with a doc_id."""
     work = Workspace(prepare(documents.sparkSession), "minhash")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), _raw().alias("raw")).where("doc_id IS NOT NULL")
     docs = docs.select("doc_id", *_text_key("raw"), "raw")
     total, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("raw")), F.lit(0))).first()
-    weights = heavy_shingles(docs, total, size)
+    weights = heavy_shingles(docs, total, size, damping)
     signed = work.write(_signed(docs, weights), "signed")
     grouped = signed.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first("bands").alias("bands"), F.first("packed").alias("packed"), F.first("bytes").alias("bytes"))
     classes = work.write(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")  # written once, so a class keeps its number
@@ -400,18 +400,18 @@ def _text_key(raw) -> list:
     return [F.xxhash64(raw).alias("t1"), F.xxhash64(F.lit(1), raw).alias("t2")]
 
 
-def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, component_id (smallest doc_id of the group), kept, n_copies (rows of equal text) of every row."""
-    known = _grouped(documents, similarity).drop("t1", "t2")
+def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, damping: float = DAMPING) -> DataFrame:
+    """doc_id, component_id (smallest doc_id of the group), kept, n_copies (rows of equal text) of every row; ``damping`` 1 is plain TF-IDF."""
+    known = _grouped(documents, similarity, damping).drop("t1", "t2")
     lone = documents.where(F.col("doc_id").cast("long").isNull())
     return known.union(lone.select(F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(True), F.lit(1).cast("long")))
 
 
-def deduplicate(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def deduplicate(documents: DataFrame, similarity: float = SIMILARITY, damping: float = DAMPING) -> DataFrame:
     """The rows of ``documents``, with all their columns, of which one of each group stays; rows without a doc_id all stay."""
     fresh = [f"_{uuid.uuid4().hex}" for _ in range(3)]  # no column of any input
     own = dict(zip(fresh, (F.col("doc_id").cast("long"), *_text_key(_raw()))))
-    kept = _grouped(documents, similarity).where("kept").select(*(F.col(c).alias(k) for c, k in zip(("doc_id", "t1", "t2"), fresh))).distinct()
+    kept = _grouped(documents, similarity, damping).where("kept").select(*(F.col(c).alias(k) for c, k in zip(("doc_id", "t1", "t2"), fresh))).distinct()
     keyed = documents.withColumns(own)
     known = keyed.where(F.col(fresh[0]).isNotNull()).join(kept, fresh, "left_semi").dropDuplicates(fresh)
     return known.unionByName(keyed.where(F.col(fresh[0]).isNull())).drop(*fresh)

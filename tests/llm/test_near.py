@@ -99,7 +99,7 @@ def test_tables_miss_few_vectors(dimension):
     assert (1 - found) ** tables <= 1.5 * embedding_dedup.MISS
 
 
-def text_groups(docs):
+def text_groups(docs, damping=minhash_dedup.DAMPING):
     weigh = None
     profiles = {}
     counts = {}
@@ -108,7 +108,7 @@ def text_groups(docs):
         for h in profiles[i][0].tolist():
             counts[h] = counts.get(h, 0) + 1
     heavy = sorted(h for h, n in counts.items() if n >= minhash_dedup.HEAVY * len(docs))
-    weigh = minhash_dedup.Weights(np.array(heavy, dtype=np.uint64), np.array([counts[h] for h in heavy], dtype=float), len(docs))
+    weigh = minhash_dedup.Weights(np.array(heavy, dtype=np.uint64), np.array([counts[h] for h in heavy], dtype=float), len(docs), damping)
     weighted = {i: (h, weigh.damped(h, c)) for i, (h, c) in profiles.items()}
     ids = sorted(weighted)
     links = [(a, b) for x, a in enumerate(ids) for b in ids[x + 1 :] if minhash_dedup.weighted_jaccard(weighted[a], weighted[b]) >= minhash_dedup.SIMILARITY]
@@ -157,6 +157,22 @@ def test_pairs_that_share_mostly_a_common_passage(spark, docs):
     assert found == expected
 
 
+def test_full_strength_by_brute_force(spark, docs):
+    """Plain TF-IDF: equal bodies with different boilerplate that a third of all texts hold are linked, which damped weights leave apart."""
+    rng = random.Random(23)
+    boilerplate = [" ".join(f"b{k}x{j}" for j in range(24)) for k in range(3)]
+    texts = []
+    for k in range(100):
+        body = " ".join(words(rng, 110))
+        texts += [(3 * k, body + " " + boilerplate[k % 3]), (3 * k + 1, body + " " + boilerplate[(k + 1) % 3]), (3 * k + 2, " ".join(words(rng, 60)) + " " + boilerplate[(k + 2) % 3])]
+    frame = spark.createDataFrame([(i, t, None, None, None, 0.0, "") for i, t in texts], docs.schema)
+    found = {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(frame, damping=1.0).collect()}
+    assert found == text_groups(texts, 1.0)
+    assert sum(found[3 * k + 1] == 3 * k for k in range(100)) == 100
+    damped = {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(frame).collect()}
+    assert damped == text_groups(texts) and all(i == c for i, c in damped.items())
+
+
 def test_texts_of_nothing(empty):
     assert minhash_dedup.near_duplicates(empty).count() == 0 and minhash_dedup.deduplicate(empty).count() == 0
 
