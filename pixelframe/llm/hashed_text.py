@@ -110,32 +110,47 @@ class LinearScorer:
 
 
 class Sparse:
-    """Rows of feature numbers with weight 1 (or given values), for training."""
+    """Rows of feature numbers with weight 1 (or given values), for training; products go through AT_ONCE entries at a time."""
+
+    AT_ONCE = 1 << 19
 
     def __init__(self, rows: list[np.ndarray], values: list[np.ndarray] | None = None):
         self.sizes = np.array([len(r) for r in rows], dtype=np.int64)
-        self.index, at = np.empty(int(self.sizes.sum()), dtype=np.int64), 0
+        self.index, at = np.empty(int(self.sizes.sum()), dtype=np.int32), 0
         for row in rows:
             self.index[at : at + len(row)] = row
             at += len(row)
         self.values = None if values is None else np.concatenate(values)
-        self.n, self.filled = len(rows), self.sizes > 0
-        self.starts = (np.cumsum(self.sizes) - self.sizes)[self.filled]
+        self.n, self.ends = len(rows), np.cumsum(self.sizes)
+
+    def _parts(self):
+        """(rows, entries) as slices."""
+        row = 0
+        while row < self.n:
+            at = int(self.ends[row] - self.sizes[row])
+            to = max(row + 1, int(np.searchsorted(self.ends, at + self.AT_ONCE, side="right")))
+            yield slice(row, to), slice(at, int(self.ends[to - 1]))
+            row = to
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        part = w[self.index]
-        if self.values is not None:
-            part *= self.values
         out = np.zeros(self.n)
-        if len(self.starts):
-            out[self.filled] = np.add.reduceat(part, self.starts)
+        for rows, entries in self._parts():
+            part = w[self.index[entries]]
+            if self.values is not None:
+                part *= self.values[entries]
+            filled = np.flatnonzero(self.sizes[rows])
+            if len(filled):
+                out[rows][filled] = np.add.reduceat(part, (self.ends[rows] - self.sizes[rows])[filled] - entries.start)
         return out
 
     def transposed_dot(self, g: np.ndarray, size: int) -> np.ndarray:
-        part = np.repeat(g, self.sizes)
-        if self.values is not None:
-            part *= self.values
-        return np.bincount(self.index, weights=part, minlength=size)
+        out = np.zeros(size)
+        for rows, entries in self._parts():
+            part = np.repeat(g[rows], self.sizes[rows])
+            if self.values is not None:
+                part *= self.values[entries]
+            out += np.bincount(self.index[entries], weights=part, minlength=size)
+        return out
 
 
 def sigmoid(x):
@@ -232,8 +247,10 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, rows_per_cla
             yield rows.batch()
 
     of = {r["doc_id"]: r["label"] for r in chosen.collect()}
-    found = picked.select("doc_id", "raw").mapInArrow(run, "doc_id long, features binary").collect()
-    sampled = Counter(of[r["doc_id"]] for r in found)
+    found = picked.select("doc_id", "raw").mapInArrow(run, "doc_id long, features binary").toArrow()
+    ids = found.column("doc_id").to_pylist()
+    sampled = Counter(of[i] for i in ids)
     scale = {value: counts[value] / n for value, n in sampled.items()}
-    mean = sum(scale[of[r["doc_id"]]] for r in found) / max(1, len(found))
-    return sorted(((r["doc_id"], of[r["doc_id"]], np.frombuffer(r["features"], dtype="<i4"), scale[of[r["doc_id"]]] / mean) for r in found), key=lambda x: (x[0], x[1], len(x[2])))
+    mean = sum(scale[of[i]] for i in ids) / max(1, len(ids))
+    rows = ((i, of[i], np.frombuffer(f.as_py(), dtype="<i4"), scale[of[i]] / mean) for i, f in zip(ids, found.column("features")))
+    return sorted(rows, key=lambda x: (x[0], x[1], len(x[2])))
