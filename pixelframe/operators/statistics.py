@@ -25,11 +25,14 @@ def running_counts(counted: DataFrame, groups: list[str], value: str, count: str
     quantiles = F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 4 * RANGES)
     cuts = counted.groupBy(*groups).agg(n.alias("_ranges"), quantiles.alias("_q")).select(*groups, F.when(F.col("_ranges") > 1, F.array_distinct("_q")).alias("_cuts"))
     known = [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(groups)]
-    cuts = cuts.select(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)), "_cuts").where("_cuts IS NOT NULL")
+    cuts = cuts.select(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)), "_cuts", F.filter("_cuts", lambda _, i: i % 16 == 15).alias("_coarse")).where("_cuts IS NOT NULL")
     # A row for each group of more than RANGE_ROWS values.
     placed = counted.join(cuts, reduce(and_, known) if known else F.lit(True), "left").drop(*(f"_g{i}" for i in range(len(groups))))
-    below = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
-    placed = placed.withColumn("_range", F.coalesce(-below if descending else below, F.lit(0))).drop("_cuts")
+    # Two steps: every sixteenth cut, then those in between.
+    coarse = F.size(F.filter("_coarse", lambda c: c < F.col(value)))
+    placed = placed.withColumn("_at", coarse * 16)
+    below = F.col("_at") + F.size(F.filter(F.slice("_cuts", F.col("_at") + 1, F.lit(16)), lambda c: c < F.col(value)))
+    placed = placed.withColumn("_range", F.coalesce(-below if descending else below, F.lit(0))).drop("_cuts", "_coarse", "_at")
     sums = placed.groupBy(*groups, "_range").agg(F.sum(count).alias("_sum"))
     own = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
     before = F.coalesce(F.sum("_sum").over(own.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
