@@ -1,9 +1,12 @@
 """Near-duplicate operators and components against brute force."""
 
 import random
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pixelframe.functions.pixels import encode_png, resized
 from pixelframe.llm import embedding_dedup, image_copies, minhash_dedup
@@ -292,6 +295,43 @@ def test_long_matches_in_parts(monkeypatch):
     assert image_copies.agreeing(a, b) == whole >= image_copies.AGREE
 
 
+def test_pictures_are_written_once(spark, monkeypatch):
+    """Of all tables only one holds descriptors, and shuffles go when a later step needs them no more."""
+    sizes, held, write = {}, [], Workspace.write
+
+    def measured(self, frame, label):
+        out = write(self, frame, label)
+        sizes[out._pixelframe_path] = sum(f.stat().st_size for f in Path(out._pixelframe_path.removeprefix("file://")).glob("*.parquet"))
+        return out
+
+    class Counted(Workspace):
+        def release(self):
+            super().release()
+            held.append(self)
+
+    monkeypatch.setattr(Workspace, "write", measured)
+    monkeypatch.setattr(image_copies, "Workspace", Counted)
+    rows = [(i, encode_png(picture(200 + i, 70, 80))) for i in range(30)]
+    assert image_copies.copies(spark.createDataFrame(rows, "image_id long, image binary").repartition(2)).count() == 30
+    described = next(n for path, n in sizes.items() if path.endswith("-described"))
+    classes = next(n for path, n in sizes.items() if path.endswith("-classes"))
+    assert classes < described / 10 and len(held) >= 3
+
+
+def test_shuffles_of_written_tables_go(spark):
+    work, cleaned = Workspace(spark, "t"), []
+    tracker = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    before = tracker.shuffleStatuses().size()
+    written = work.write(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "t")
+    for _ in range(50):
+        work.release()
+        cleaned.append(tracker.shuffleStatuses().size())
+        if cleaned[-1] <= before:
+            break
+        time.sleep(0.2)
+    assert cleaned[-1] <= before and written.count() == 7
+
+
 def test_rendered_vectors(spark):
     frame = spark.createDataFrame([(1, [0.5, -1.0, 2.0, 0.1]), (2, None), (3, [float("nan")])], "vec_id long, embedding array<float>")
     found = {r["image_id"]: r["image"] for r in image_copies.rendered_embeddings(frame).collect()}
