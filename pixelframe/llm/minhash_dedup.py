@@ -1,12 +1,13 @@
 """Near-duplicate documents by improved consistent weighted sampling over TF-IDF shingles.
 
 A text is read as words (as in the license scan) and weighted shingles of five words: a text of
-fewer words is one shingle. The weight is the count in the text times ln(1 + min(N / df, 1 / HEAVY)),
-df being the number of documents with the shingle; so exact counts are needed only for shingles of
-at least HEAVY of all documents. Those are found in two passes: every task gives the shingles that
+fewer words is one shingle. The weight is the count in the text times ln(1 + N / df),
+df being the number of documents with the shingle, which is counted exactly for every shingle. Those in
+more than HEAVY of all documents are found in two passes: every task gives the shingles that
 are frequent among its own documents, which by the pigeonhole principle misses none, and then all
 documents are counted for the candidates. Their number is bounded by the mean number of shingles of a
-document over half of HEAVY, whatever the number of documents.
+document over half of HEAVY, whatever the number of documents. All others meet by ranges of their hash: texts
+are cut into blocks, a block sends its shingles of each range to that range's task, and they come back with their counts.
 
 Improved consistent weighted sampling draws SAMPLES samples (shingle, step) whose chance to agree is the
 weighted Jaccard similarity that links are verified by; gamma and uniform variates come from a hash of the shingle through
@@ -30,23 +31,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .licenses import _WORDS
-from .linkage import across_components, bucket_pivots, components, least_by_root, mix, mixed_members
+from .linkage import across_components, bucket_pivots, components, least_by_root, mix, mixed_members, run_ends, whole_runs
 from .runtime import Rows, Workspace, prepare
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 12, 4
 SAMPLES = BANDS * ROWS
-#: Share of documents from which on a shingle's document frequency is told exactly.
+#: Share of documents from which on a shingle's document frequency is broadcast; rarer shingles meet to be counted.
 HEAVY = 1e-3
 #: Power of the idf in the weights that samples are drawn and links verified by, unless a caller gives another; 1 is plain TF-IDF. A large group of near copies makes its own shingles frequent;
 #: at full strength its members' few rare shingles would outweigh all that they share.
 DAMPING = 0.125
 #: Shingles that a counting task holds at most, and bytes of text that it reads.
 HELD, TASK_BYTES = 8_000_000, 256 << 20
+#: Shingles and rows that a block of texts holds at least when it is handed over, and bytes of text whose shingles a range of hashes holds on average.
+BLOCK_SHINGLES, BLOCK_ROWS, RANGE_BYTES = 1_000_000, 1 << 16, 16 << 20
 SEED = 77
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -97,26 +101,31 @@ def shingles(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return value[first], np.diff(np.append(first, len(value)))
 
 
+def weigh(counts: np.ndarray, frequency: np.ndarray, documents: int, damping: float) -> np.ndarray:
+    """The weights that samples are drawn and links verified by, of shingles' counts in a text and document frequencies."""
+    return counts * np.log1p(documents / frequency) ** damping
+
+
 class Weights:
-    """Document frequencies of heavy shingles and the weights that follow."""
+    """Document frequencies of heavy shingles and the weights that follow; shingles beside them count as those of one document."""
 
     def __init__(self, heavy: np.ndarray, frequency: np.ndarray, documents: int, damping: float = DAMPING):
-        self.heavy, self.damping = heavy, damping
-        self.idf = np.log1p(np.minimum(documents / np.maximum(frequency, 1), 1 / HEAVY))
-        self.other = math.log1p(min(documents, 1 / HEAVY))
+        self.heavy, self.frequency, self.documents, self.damping = heavy, np.maximum(frequency, 1), documents, damping
+        self.idf = np.log1p(documents / self.frequency)
 
-    def damped(self, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """The weights that samples are drawn and links verified by."""
-        return counts * (self(hashes, np.ones(len(hashes))) ** self.damping)
+    def known(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which are heavy, document frequencies of these)."""
+        if not len(self.heavy) or not len(hashes):
+            return np.zeros(len(hashes), dtype=bool), np.empty(0)
+        place = np.minimum(np.searchsorted(self.heavy, hashes), len(self.heavy) - 1)
+        hit = self.heavy[place] == hashes
+        return hit, self.frequency[place[hit]]
 
-    def __call__(self, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """The weights at full strength."""
-        idf = np.full(len(hashes), self.other)
-        if len(self.heavy) and len(hashes):
-            place = np.minimum(np.searchsorted(self.heavy, hashes), len(self.heavy) - 1)
-            hit = self.heavy[place] == hashes
-            idf[hit] = self.idf[place[hit]]
-        return counts * idf
+    def damped(self, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        frequency = np.ones(len(hashes))
+        hit, found = self.known(hashes)
+        frequency[hit] = found
+        return weigh(counts, frequency, self.documents, self.damping)
 
 
 def _gamma_quantiles() -> np.ndarray:
@@ -246,7 +255,7 @@ def heavy_shingles(docs: DataFrame, total: int, size: int, damping: float = DAMP
             yield pa.RecordBatch.from_arrays([pa.array(wanted[kept].view(np.int64)), pa.array(sums[kept])], names=["shingle", "n"])
 
     counted = docs.select("raw").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    found = counted.where(F.col("n") > max(1, HEAVY * total)).toArrow()  # below that the weight is the largest anyway
+    found = counted.where(F.col("n") > max(1, HEAVY * total)).toArrow()  # all others are counted by ranges
     shingle, n = found.column("shingle").to_numpy().view(np.uint64), found.column("n").to_numpy()
     order = np.argsort(shingle)
     return Weights(shingle[order], n[order].astype(np.float64), total, damping)
@@ -261,53 +270,166 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(blob, dtype="<u8", count=n), np.frombuffer(blob, dtype="<f4", count=n, offset=8 * n)
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("bands", pa.list_(pa.int64())), ("packed", pa.binary()), ("bytes", pa.int64())])
-_SIGNED_DDL = "doc_id long, t1 long, t2 long, bands array<long>, packed binary, bytes long"
+def _squeeze(values: np.ndarray) -> bytes:
+    """Numbers by byte planes, each compressed alone: most planes of counts and of differences of sorted hashes hold little."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T
+    packed = [pa.compress(plane.tobytes(), codec="zstd", asbytes=True) if plane.any() else b"" for plane in planes] if len(values) else []
+    return b"".join(len(p).to_bytes(4, "little") + p for p in packed)
+
+
+def _widen(blob: bytes, n: int, kind: str) -> np.ndarray:
+    planes, at = np.zeros((n, np.dtype(kind).itemsize), dtype=np.uint8), 0
+    for k in range(planes.shape[1] if n else 0):
+        size = int.from_bytes(blob[at : at + 4], "little")
+        if size:
+            planes[:, k] = np.frombuffer(pa.decompress(blob[at + 4 : at + 4 + size], n, codec="zstd"), dtype=np.uint8)
+        at += 4 + size
+    return planes.view(kind).ravel()
+
+
+#: Some shingles of a block, ascending: of the range ``part``, or those whose frequency is known, which come with the block's rows (doc_id, t1, t2, number of the text) as ``part`` -1.
+_PIECES = pa.schema([("block", pa.int64()), ("part", pa.int64()), ("n", pa.int64()), ("hashes", pa.binary()), ("texts", pa.binary()), ("counts", pa.binary()), ("times", pa.binary()), ("frequency", pa.binary()), ("rows", pa.int64()), ("owners", pa.binary())])
+_PIECES_DDL = "block long, part long, n long, hashes binary, texts binary, counts binary, times binary, frequency binary, rows long, owners binary"
+
+
+def _pieces(docs: DataFrame, weights: Weights, size: int) -> DataFrame:
+    """The shingles of all texts in blocks, cut by range of hash."""
+    shared, parts = docs.sparkSession.sparkContext.broadcast(weights), 1 + size // RANGE_BYTES
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, out, number = shared.value, Rows(_PIECES), 0
+        texts: dict[tuple[int, int], int] = {}  # equal texts of a block are one
+        held, times, owners, size = [], [], [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            block = TaskContext.get().partitionId() << 32 | number
+            hashes, counts = (np.concatenate(side) for side in zip(*held))
+            text = np.repeat(np.arange(len(held), dtype="<u4"), [len(h) for h, _ in held])
+            order = np.argsort(hashes)
+            hashes, counts, text = hashes[order], counts[order].astype("<u4"), text[order]
+            heavy, frequency = weights.known(hashes)
+            own = _squeeze(np.array(owners, dtype="<i8").ravel())
+            out.add(block, -1, len(frequency), _squeeze(np.diff(hashes[heavy], prepend=np.uint64(0))), _squeeze(text[heavy]), _squeeze(counts[heavy]), b"", _squeeze(frequency.astype("<u4")), len(owners), own, size=100 + len(own) + 8 * len(frequency))
+            hashes, counts, text = hashes[~heavy], counts[~heavy], text[~heavy]
+            time = np.array(times, dtype="<u4")[text]
+            ends = np.searchsorted((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64))
+            for part in np.flatnonzero(np.diff(ends)).tolist():
+                at = slice(ends[part], ends[part + 1])
+                out.add(block, part, int(ends[part + 1] - ends[part]), _squeeze(np.diff(hashes[at], prepend=np.uint64(0))), _squeeze(text[at]), _squeeze(counts[at]), _squeeze(time[at]), b"", 0, b"", size=100 + 8 * int(ends[part + 1] - ends[part]))
+                if out.full:
+                    yield out.batch()
+            if out:
+                yield out.batch()
+
+        for batch in batches:
+            for doc_id, t1, t2, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "t1", "t2", "raw"))):
+                at = texts.setdefault((t1, t2), len(texts))
+                if at == len(held):
+                    held.append(shingles(raw))
+                    times.append(0)
+                    size += len(held[-1][0])
+                times[at] += 1
+                owners.append((doc_id, t1, t2, at))
+                if size >= BLOCK_SHINGLES or len(owners) >= BLOCK_ROWS:
+                    yield from flush()
+                    number += 1
+                    texts, held, times, owners, size = {}, [], [], [], 0
+        if owners:
+            yield from flush()
+
+    return docs.mapInArrow(cut, _PIECES_DDL)
+
+
+def _hashes(table: pa.Table) -> np.ndarray:
+    return np.concatenate([np.cumsum(_widen(h, n, "<u8"), dtype=np.uint64) for h, n in zip(table.column("hashes").to_pylist(), table.column("n").to_pylist())])
+
+
+def _numbers_of(table: pa.Table, name: str) -> np.ndarray:
+    return np.concatenate([_widen(blob, n, "<u4") for blob, n in zip(table.column(name).to_pylist(), table.column("n").to_pylist())])
+
+
+def _with_frequencies(pieces: DataFrame) -> DataFrame:
+    """``pieces`` with the document frequency of every shingle."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_runs(batches, ("part",)):
+            known = table.column("part").to_numpy() < 0
+            yield from table.filter(pa.array(known)).to_batches()
+            table = table.filter(pa.array(~known))
+            if not table.num_rows:
+                continue
+            hashes, times = _hashes(table), _numbers_of(table, "times")
+            order = np.argsort(hashes)
+            ordered = hashes[order]
+            first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+            frequency = np.empty(len(hashes), dtype="<u4")
+            frequency[order] = np.repeat(np.add.reduceat(times[order], first, dtype=np.int64), np.diff(np.append(first, len(hashes))))
+            ends = np.cumsum(table.column("n").to_numpy())
+            blobs = [_squeeze(part) for part in np.split(frequency, ends[:-1])]
+            table = table.set_column(table.column_names.index("frequency"), "frequency", pa.array(blobs, pa.binary()))
+            yield from table.set_column(table.column_names.index("times"), "times", pa.array([b""] * len(blobs), pa.binary())).to_batches()
+
+    # What is known already goes anywhere: by its block.
+    spread = F.when(F.col("part") < 0, -1 - F.col("block")).otherwise(F.col("part"))
+    return pieces.withColumn("part", spread).repartition("part").sortWithinPartitions("part").mapInArrow(count, _PIECES_DDL)
+
+
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("bands", pa.list_(pa.int64())), ("packed", pa.binary()), ("bytes", pa.int64()), ("frequency", pa.binary())])
+_SIGNED_DDL = "doc_id long, t1 long, t2 long, bands array<long>, packed binary, bytes long, frequency binary"
 #: Signatures that a worker remembers, so that many copies of a text are sampled once.
 REMEMBERED = 20_000
 
 
-def _signed(docs: DataFrame, weights: Weights) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
+def _signed(docs: DataFrame, weights: Weights, size: int) -> DataFrame:
+    """Buckets of every row's text, and the document frequencies of its shingles (ascending)."""
+    documents, damping = weights.documents, weights.damping
+    pieces = _with_frequencies(_pieces(docs, weights, size)).repartition("block").sortWithinPartitions("block", "part")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler, weigh, rows = Sampler(), shared.value, Rows(_SIGNED)
-        memo: dict[tuple[int, int], tuple[list[int], bytes, int]] = {}
-        for batch in batches:
-            for doc_id, t1, t2, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "t1", "t2", "raw"))):
-                found = memo.get((t1, t2))
-                if found is None:
-                    hashes, counts = shingles(raw)
-                    if len(hashes):
-                        names = sampler(hashes, weigh.damped(hashes, counts))
-                        own = bands(names)
-                        found = (own.tolist(), own.astype("<i8").tobytes(), 8 * BANDS + 12 * len(hashes))
-                    else:
-                        found = ([], b"", 0)
-                    if len(memo) >= REMEMBERED:
-                        memo = {}
-                    memo[t1, t2] = found
-                rows.add(doc_id, t1, t2, *found, size=256)
-            if rows.full:
-                yield rows.batch()
+        sampler, rows = Sampler(), Rows(_SIGNED)
+        memo: dict[tuple[int, int], tuple[list[int], bytes, int, bytes]] = {}
+        for run in whole_runs(batches, ("block",)):
+            start = 0
+            for end in np.unique(run_ends(run.column("block").to_numpy())).tolist():
+                block, start = run.slice(start, end - start), end
+                text, hashes = _numbers_of(block, "texts"), _hashes(block)
+                counts, frequency = _numbers_of(block, "counts"), _numbers_of(block, "frequency")
+                order = np.lexsort((hashes, text))
+                text, hashes, counts, frequency = text[order], hashes[order], counts[order], frequency[order]
+                owners = [_widen(blob, 4 * n, "<i8").reshape(-1, 4) for blob, n in zip(block.column("owners").to_pylist(), block.column("rows").to_pylist()) if n]
+                for doc_id, t1, t2, number in np.concatenate(owners).tolist():
+                    found = memo.get((t1, t2))
+                    if found is None:
+                        own = slice(*np.searchsorted(text, (number, number + 1)))
+                        if own.start < own.stop:
+                            names = bands(sampler(hashes[own], weigh(counts[own], frequency[own], documents, damping)))
+                            found = (names.tolist(), names.astype("<i8").tobytes(), 8 * BANDS + 12 * (own.stop - own.start), _squeeze(frequency[own]))
+                        else:
+                            found = ([], b"", 0, b"")
+                        if len(memo) >= REMEMBERED:
+                            memo = {}
+                        memo[t1, t2] = found
+                    rows.add(doc_id, t1, t2, *found, size=256 + len(found[3]))
+                    if rows.full:
+                        yield rows.batch()
         if rows:
             yield rows.batch()
 
-    return docs.mapInArrow(sign, _SIGNED_DDL)
+    return pieces.mapInArrow(sign, _SIGNED_DDL)
 
 
 def _profiles(docs: DataFrame, classes: DataFrame, nodes: DataFrame, weights: Weights) -> DataFrame:
     """(node, profile) of the classes of ``nodes``: whole texts as weighted shingles."""
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
-    wanted = classes.select("node", F.col("rep").alias("doc_id"), "t1", "t2").join(nodes, "node")
-    texts = docs.join(wanted, ["doc_id", "t1", "t2"]).dropDuplicates(["doc_id", "t1", "t2"]).select("node", "raw")
+    documents, damping = weights.documents, weights.damping
+    wanted = classes.select("node", F.col("rep").alias("doc_id"), "t1", "t2", "frequency").join(nodes, "node")
+    texts = docs.join(wanted, ["doc_id", "t1", "t2"]).dropDuplicates(["doc_id", "t1", "t2"]).select("node", "raw", "frequency")
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = Rows(pa.schema([("node", pa.int64()), ("profile", pa.binary())]))
         for batch in batches:
-            for node, raw in zip(batch.column("node").to_pylist(), batch.column("raw").to_pylist()):
+            for node, raw, frequency in zip(*(batch.column(c).to_pylist() for c in ("node", "raw", "frequency"))):
                 hashes, counts = shingles(raw)
-                blob = _profile(hashes, shared.value.damped(hashes, counts))
+                blob = _profile(hashes, weigh(counts, _widen(frequency, len(hashes), "<u4"), documents, damping))
                 rows.add(node, blob, size=len(blob))
                 if rows.full:
                     yield rows.batch()
@@ -371,8 +493,9 @@ def _grouped(documents: DataFrame, similarity: float, damping: float) -> DataFra
     docs = docs.select("doc_id", *_text_key("raw"), "raw")
     total, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("raw")), F.lit(0))).first()
     weights = heavy_shingles(docs, total, size, damping)
-    signed = work.write(_signed(docs, weights), "signed")
-    grouped = signed.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first("bands").alias("bands"), F.first("packed").alias("packed"), F.first("bytes").alias("bytes"))
+    signed = work.write(_signed(docs, weights, size), "signed")
+    work.release()  # every shingle was shuffled twice
+    grouped = signed.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first("bands").alias("bands"), F.first("packed").alias("packed"), F.first("bytes").alias("bytes"), F.first("frequency").alias("frequency"))
     classes = work.write(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")  # written once, so a class keeps its number
     buckets = classes.select(F.explode("bands").alias("bucket"), "node", "bytes")
     members, pairs = bucket_pivots(work, buckets)

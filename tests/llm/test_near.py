@@ -355,3 +355,45 @@ def test_heavy_shingles_are_counted_exactly(spark, monkeypatch):
         found = minhash_dedup.heavy_shingles(docs, 900, sum(len(t) for _, t in data))
         assert dict(zip(found.heavy.tolist(), np.log1p(np.minimum(900 / np.array([expected[h] for h in found.heavy.tolist()]), 50)).tolist())) == pytest.approx(dict(zip(found.heavy.tolist(), found.idf.tolist())))
         assert set(found.heavy.tolist()) == set(expected)
+
+
+def test_every_shingle_is_counted(spark, monkeypatch):
+    """Exact document frequencies of rare shingles too, however blocks and ranges are cut; copies and repeated rows count."""
+    monkeypatch.setattr(minhash_dedup, "HEAVY", 0.05)
+    rng = random.Random(31)
+    passages = [" ".join(words(rng, 9)) for _ in range(40)]
+    data = [(i, " ".join(words(rng, 12)) + " | " + passages[min(39, int(rng.expovariate(0.1)))]) for i in range(400)] + [(1000 + i, passages[i % 3]) for i in range(9)] + [(2000, ""), (2001, "one two"), (2001, "one two")]
+    counts = {}
+    for _, t in data:
+        for h in minhash_dedup.shingles(t.encode())[0].tolist():
+            counts[h] = counts.get(h, 0) + 1
+    docs = spark.createDataFrame([(i, t.encode()) for i, t in data], "doc_id long, raw binary").repartition(3)
+    docs = docs.select("doc_id", *minhash_dedup._text_key("raw"), "raw")
+    for block, size in ((1_000_000, 1 << 24), (300, 5_000)):
+        monkeypatch.setattr(minhash_dedup, "BLOCK_SHINGLES", block)
+        monkeypatch.setattr(minhash_dedup, "RANGE_BYTES", size)
+        total = sum(len(t) for _, t in data)
+        weights = minhash_dedup.heavy_shingles(docs, len(data), total)
+        assert 0 < len(weights.heavy) < len([h for h, n in counts.items() if n > 1])
+        found = minhash_dedup._signed(docs, weights, total).collect()
+        assert sorted(r["doc_id"] for r in found) == sorted(i for i, _ in data)
+        texts = dict(data)
+        for r in found:
+            hashes = minhash_dedup.shingles(texts[r["doc_id"]].encode())[0]
+            assert minhash_dedup._widen(r["frequency"], len(hashes), "<u4").tolist() == [counts[h] for h in hashes.tolist()]
+
+
+def test_links_by_frequencies_of_rare_shingles(spark, docs, monkeypatch):
+    """With one weight for all shingles of at most HEAVY of the texts, the first pairs would be linked and the others not."""
+    tails = [" ".join(f"t{k}x{j}" for j in range(14)) for k in range(5)]
+    texts = []
+    for k in range(30):
+        shared, body = " ".join(f"s{k}x{j}" for j in range(45)), " ".join(f"b{k}x{j}" for j in range(104))
+        texts += [(10 * k + side, shared + " " + " ".join(f"o{k}x{side}x{j}" for j in range(5))) for side in (0, 1)]
+        texts += [(10 * k + 2 + side, body + " " + tails[(k + side) % 5]) for side in (0, 1)]
+    texts += [(1000 + k, " ".join(f"f{k}x{j}" for j in range(30))) for k in range(280)]
+    expected = text_groups(texts, 1.0)
+    assert all(expected[10 * k + 1] == 10 * k + 1 and expected[10 * k + 3] == 10 * k + 2 for k in range(30))
+    monkeypatch.setattr(minhash_dedup, "HEAVY", 0.05)
+    frame = spark.createDataFrame([(i, t, None, None, None, 0.0, "") for i, t in texts], docs.schema)
+    assert {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(frame, damping=1.0).collect()} == expected
