@@ -396,11 +396,13 @@ def _signed(docs: DataFrame, weights: Weights, size: int) -> DataFrame:
                 counts, frequency = _numbers_of(block, "counts"), _numbers_of(block, "frequency")
                 order = np.lexsort((hashes, text))
                 text, hashes, counts, frequency = text[order], hashes[order], counts[order], frequency[order]
-                owners = [_widen(blob, 4 * n, "<i8").reshape(-1, 4) for blob, n in zip(block.column("owners").to_pylist(), block.column("rows").to_pylist()) if n]
-                for doc_id, t1, t2, number in np.concatenate(owners).tolist():
+                owners = np.concatenate([_widen(blob, 4 * n, "<i8").reshape(-1, 4) for blob, n in zip(block.column("owners").to_pylist(), block.column("rows").to_pylist()) if n])
+                # All at once and in the type of ``text``: a search by another type converts the whole block.
+                ends = np.searchsorted(text, np.arange(owners[:, 3].max() + 2, dtype=text.dtype)).tolist()
+                for doc_id, t1, t2, number in owners.tolist():
                     found = memo.get((t1, t2))
                     if found is None:
-                        own = slice(*np.searchsorted(text, (number, number + 1)))
+                        own = slice(ends[number], ends[number + 1])
                         if own.start < own.stop:
                             names = bands(sampler(hashes[own], weigh(counts[own], frequency[own], documents, damping)))
                             found = (names.tolist(), names.astype("<i8").tobytes(), 8 * BANDS + 12 * (own.stop - own.start), _squeeze(frequency[own]))

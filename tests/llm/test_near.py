@@ -1,5 +1,6 @@
 """Near-duplicate operators and components against brute force."""
 
+import math
 import random
 import time
 from pathlib import Path
@@ -383,6 +384,23 @@ def test_every_shingle_is_counted(spark, monkeypatch):
             assert minhash_dedup._widen(r["frequency"], len(hashes), "<u4").tolist() == [counts[h] for h in hashes.tolist()]
 
 
+def test_signing_takes_no_longer_in_large_blocks(spark, monkeypatch):
+    """Each text of a block is found without reading the whole block."""
+    rng = np.random.default_rng(6)
+    data = [(i, " ".join(map(str, rng.integers(0, 1 << 40, 129).tolist())).encode()) for i in range(8_000)]
+    docs = spark.createDataFrame(data, "doc_id long, raw binary").coalesce(1).select("doc_id", *minhash_dedup._text_key("raw"), "raw").cache()
+    weights = minhash_dedup.Weights(np.empty(0, dtype=np.uint64), np.empty(0), docs.count())
+    seconds = {}
+    for block in (20_000, 2_000_000) * 2:
+        monkeypatch.setattr(minhash_dedup, "BLOCK_SHINGLES", block)
+        start = time.perf_counter()
+        signed = minhash_dedup._signed(docs, weights, 1 << 24).select(F.count("*"), F.sum("bytes")).first()
+        seconds[block] = min(time.perf_counter() - start, seconds.get(block, math.inf))
+        assert tuple(signed) == (8_000, 8_000 * (8 * minhash_dedup.BANDS + 12 * 125))
+    docs.unpersist()
+    assert seconds[2_000_000] < 2 * seconds[20_000], seconds
+
+
 def test_links_by_frequencies_of_rare_shingles(spark, docs, monkeypatch):
     """With one weight for all shingles of at most HEAVY of the texts, the first pairs would be linked and the others not."""
     tails = [" ".join(f"t{k}x{j}" for j in range(14)) for k in range(5)]
