@@ -3,7 +3,8 @@
 The library's BPE works on characters, so each byte gets a character of its own and a text's bytes are spelled with these
 inside the library. A rank file says which byte strings are tokens and which comes first; every split of a token into two
 tokens becomes a merge, in the order of ranks, and a match that is a token is taken whole, so that the library merges
-just what the ranks merge. Decoding looks up each id's characters, turns them back into bytes and joins these before they
+just what the ranks merge. Distinct matches of the pattern are given to the library's model once and remembered in a bounded memo; texts with
+characters that Python's Unicode tables don't know, which the pattern may class otherwise in the library, go through its whole chain. Decoding looks up each id's characters, turns them back into bytes and joins these before they
 are read as UTF-8: a token may hold part of a character.
 
 Spans are told from the tokens' lengths: they cover the text's bytes without gaps, and a byte's place in the text tells
@@ -20,20 +21,21 @@ import base64
 import codecs
 import os
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import Rows, identified_texts, prepare, raw_rows
+from .tokenizing import MEMO_WORDS, _Memo
 
-#: Bytes of text that the library encodes at once, and of a stretch of a longer text.
-AT_ONCE_BYTES = 1 << 19
-#: Distinct matches whose ids the library remembers in a worker.
-REMEMBERED = 100_000
+#: Bytes of a stretch of a longer text.
+STRETCH_BYTES = 1 << 19
 _CUT = re.compile(rb"[A-Za-z](?= [A-Za-z])")
 _ENCODED = "doc_id long, n_tokens long, n_split long, ids array<int>"
 _SPANS = ", byte_ends array<int>, char_starts array<int>, char_ends array<int>"
@@ -82,46 +84,62 @@ class ByteCodec:
         spelled = ["".join(map(self.spelling.__getitem__, t)) for t in self.tokens]
         ids = {s: i for i, s in enumerate(spelled)}
         merges = [(s[:k], s[k:]) for s in spelled for k in range(1, len(s)) if s[:k] in ids and s[k:] in ids]
-        self.library = Tokenizer(models.BPE(vocab=ids, merges=merges, ignore_merges=True, cache_capacity=REMEMBERED))
+        self.library = Tokenizer(models.BPE(vocab=ids, merges=merges, ignore_merges=True))
         self.library.pre_tokenizer = pre_tokenizers.Sequence([
             pre_tokenizers.Split(Regex(pattern), "isolated"),
             pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False),
         ])
-        self.cuts = pattern == default_pattern()
+        self.tokenize = self.library.model.tokenize
+        self.matches = regex.compile(pattern).findall
+        self.standard = pattern == default_pattern()
+        self.alphabet = dict(enumerate(self.spelling))
+        self.whole = {t: i.to_bytes(4, "little") for i, t in enumerate(self.tokens)}
+        self.memo, self.older, self.known = _Memo(self._match), {}, set()
         #: Each token's bytes, by way of the library's own spelling of it.
         self.bytes = [bytes(map(self.byte_of.__getitem__, self.library.id_to_token(i))) for i in range(len(self.tokens))]
 
     def stretches(self, raw: bytes) -> Iterator[bytes]:
         at = 0
-        while self.cuts and len(raw) - at > AT_ONCE_BYTES:
-            cut = _CUT.search(raw, at + AT_ONCE_BYTES)
+        while self.standard and len(raw) - at > STRETCH_BYTES:
+            cut = _CUT.search(raw, at + STRETCH_BYTES)
             if not cut:
                 break
             yield raw[at : cut.end()]
             at = cut.end()
         yield raw[at:] if at else raw
 
+    def _match(self, match: str) -> bytes:
+        """Ids of one match; of bytes that are a token its own."""
+        ids = self.older.get(match)
+        if ids is None:
+            raw = match.encode()
+            ids = self.whole.get(raw) or b"".join([t.id.to_bytes(4, "little") for t in self.tokenize(raw.decode("latin-1").translate(self.alphabet))])
+        return ids
+
+    def _ordinary(self, text: str) -> bool:
+        """Whether the pattern is the standard one and finds the same matches here as in the library."""
+        if not self.standard:
+            return False
+        if not text.isascii() and not self.known.issuperset(own := set(text)):
+            self.known |= {c for c in own if unicodedata.category(c) != "Cn"}
+            return self.known.issuperset(own)
+        return True
+
+    def _ids(self, raw: bytes) -> bytes:
+        text = raw.decode("utf-8", "replace")
+        if self._ordinary(text):
+            return b"".join(map(self.memo.__getitem__, self.matches(text)))
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<i4").tobytes()
+
     def encode(self, raws: list[bytes]) -> Iterator[np.ndarray]:
         """Ids of each UTF-8 text, in order."""
-        waiting, sizes, size = [], [], 0
         for raw in raws:
-            parts = list(self.stretches(raw))
-            waiting += parts
-            sizes.append(len(parts))
-            size += len(raw)
-            if size >= AT_ONCE_BYTES:
-                yield from self._flush(waiting, sizes)
-                waiting, sizes, size = [], [], 0
-        yield from self._flush(waiting, sizes)
-
-    def _flush(self, parts: list[bytes], sizes: list[int]) -> Iterator[np.ndarray]:
-        if sum(sizes) > 2 * len(sizes):  # long texts: one stretch at a time
-            found = (self.library.encode_batch_fast([p.decode("utf-8", "replace")], add_special_tokens=False)[0] for p in parts)
-        else:
-            found = iter(self.library.encode_batch_fast([p.decode("utf-8", "replace") for p in parts], add_special_tokens=False))
-        for n in sizes:
-            own = [np.array(next(found).ids, dtype=np.int32) for _ in range(n)]
-            yield own[0] if n == 1 else np.concatenate(own)
+            parts = []
+            for stretch in self.stretches(raw):
+                if len(self.memo) > MEMO_WORDS:
+                    self.older, self.memo = self.memo, _Memo(self._match)
+                parts.append(self._ids(stretch))
+            yield np.frombuffer(b"".join(parts), dtype="<i4")
 
     def ends(self, ids: np.ndarray) -> np.ndarray:
         """The byte after each token."""

@@ -132,6 +132,26 @@ def test_every_token_is_itself_or_its_merges(codec, ranked):
     assert [i.tolist() for i in codec.encode([t.encode() for t in texts])] == [ranked.encode_ordinary(t) for t in texts]
 
 
+def test_both_patterns_find_the_same_matches(codec, ranked):
+    """Over all characters: what the memo is asked for is what the library would split; unknown characters leave it to the library."""
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    told = [f"a {c}a1{c}{c} b\n" for c in points]
+    ordinary = [t for t in told if codec._ordinary(t)]
+    assert len(ordinary) > 280_000
+    for k in range(0, len(ordinary), 20_000):
+        text = "".join(ordinary[k : k + 20_000])
+        assert codec.matches(text) == [m for m, _ in codec.library.pre_tokenizer[0].pre_tokenize_str(text)]
+    unknown = [t for t in told if not codec._ordinary(t)]
+    assert [i.tolist() for i in codec.encode([t.encode() for t in unknown[::97]])] == [ranked.encode_ordinary(t) for t in unknown[::97]]
+
+
+def test_memo_is_bounded(codec, ranked, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "MEMO_WORDS", 50)
+    texts = [" ".join(f"v{k}x{j}" for j in range(30)) for k in range(20)] * 2
+    assert [i.tolist() for i in codec.encode([t.encode() for t in texts])] == [ranked.encode_ordinary(t) for t in texts]
+    assert len(codec.memo) < 200
+
+
 def test_bytes_of_documents(spark, docs, rows, ranked):
     long = "Ein langer Text, 日本語 und emoji 🙂 again; don't  stop\n\n" * 40_000 + "q" * 5_000
     frame = docs.union(spark.createDataFrame([(700, long, "de", "s", 0, 0.0, "x")], docs.schema))
