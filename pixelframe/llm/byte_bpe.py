@@ -27,6 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -97,6 +98,8 @@ class ByteCodec:
         self.memo, self.older, self.known = _Memo(self._match), {}, set()
         #: Each token's bytes, by way of the library's own spelling of it.
         self.bytes = [bytes(map(self.byte_of.__getitem__, self.library.id_to_token(i))) for i in range(len(self.tokens))]
+        self.blob = np.frombuffer(b"".join(self.bytes), dtype=np.uint8)
+        self.places = np.cumsum(self.lengths) - self.lengths
 
     def stretches(self, raw: bytes) -> Iterator[bytes]:
         at = 0
@@ -145,8 +148,13 @@ class ByteCodec:
         """The byte after each token."""
         return np.cumsum(self.lengths[ids])
 
-    def decode(self, ids) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, ids))
+    def decode(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of all tokens in a row, as numbers."""
+        if len(ids) and not 0 <= ids.min() <= ids.max() < len(self.bytes):
+            raise ValueError("an id is no token of the rank file")
+        lengths = self.lengths[ids]
+        ends = np.cumsum(lengths)
+        return self.blob[np.repeat(self.places[ids] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
 
     def pieces(self, ids) -> list[str]:
         """Each token's text; a character that several tokens share goes to the one that completes it, what never is one becomes U+FFFD."""
@@ -193,36 +201,44 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
 def decode(encoded: DataFrame, path: str | None = None, pattern: str | None = None, pieces: bool = False) -> DataFrame:
     """``encoded`` with raw (the decoded bytes) and decoded (these as text, bytes that are no text as U+FFFD), with ``pieces`` also each token's text.
 
-    Null ids give null. An id that the ranks don't have raises an error.
+    Null ids give null. A null among the ids, or an id that the ranks don't have, raises an error.
     """
     path, pattern = path or default_path(), pattern or default_pattern()
     kept = [c for c in encoded.columns if c not in ("raw", "decoded", "pieces")]
-    added = ", raw binary, decoded string" + ", pieces array<string>" * pieces
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema if f.name in kept) + added
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema if f.name in kept) + ", raw binary" + ", pieces array<string>" * pieces
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
-            at = 0
-            while at < batch.num_rows:
-                raws, size, ids = [], 0, batch.column("ids")
-                begin = at
-                while at < batch.num_rows and size < (8 << 20):
-                    one = ids[at].values.to_pylist() if ids[at].is_valid else None
-                    if one and (min(one) < 0 or max(one) >= len(own.bytes)):
-                        raise ValueError("an id is no token of the rank file")
-                    raws.append(None if one is None else own.decode(one))
-                    size, at = size + len(raws[-1] or b"") + 16, at + 1
-                part = batch.slice(begin, at - begin)
-                texts = [None if r is None else r.decode("utf-8", "replace") for r in raws]
-                columns = [*(part.column(c) for c in kept), pa.array(raws, pa.binary()), pa.array(texts, pa.string())]
+            sizes = np.diff(batch.column("ids").offsets.to_numpy())
+            for part in parts(batch, np.cumsum(8 * sizes.astype(np.int64)) + 8 * np.arange(len(sizes))):
+                ids = part.column("ids")
+                values = ids.flatten()
+                if values.null_count:
+                    raise ValueError("an id is null")
+                values = values.to_numpy()
+                counts = np.where(ids.is_valid(), ids.value_lengths().fill_null(0), 0)
+                ends = np.concatenate([[0], np.cumsum(own.lengths[values])])[np.concatenate([[0], np.cumsum(counts)])] if len(values) else np.zeros(part.num_rows + 1, dtype=np.int64)
+                raw = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(own.decode(values))])
+                raw = pc.if_else(ids.is_valid(), raw.cast(pa.binary()), pa.scalar(None, pa.binary()))
+                columns = [*(part.column(c) for c in kept), raw]
                 if pieces:
-                    columns.append(pa.array([None if i is None else own.pieces(i) for i in part.column("ids").to_pylist()], pa.list_(pa.string())))
-                yield pa.RecordBatch.from_arrays(columns, names=[*kept, "raw", "decoded", *["pieces"] * pieces])
+                    columns.append(pa.array([None if i is None else own.pieces(i) for i in ids.to_pylist()], pa.list_(pa.string())))
+                yield pa.RecordBatch.from_arrays(columns, names=[*kept, "raw", *["pieces"] * pieces])
 
-    return encoded.mapInArrow(run, ddl)
+    return encoded.mapInArrow(run, ddl).withColumn("decoded", F.expr("make_valid_utf8(cast(raw AS string))"))
+
+
+def parts(batch: pa.RecordBatch, ends: np.ndarray, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about ``most`` bytes, given the bytes up to the end of each row; a row is never cut."""
+    at = 0
+    while at < batch.num_rows:
+        begun = ends[at - 1] if at else 0
+        until = max(at + 1, int(np.searchsorted(ends, begun + most)))
+        yield batch.slice(at, until - at)
+        at = until
 
 
 def digest(decoded: DataFrame) -> DataFrame:
-    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary")
     return decoded.select("doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("raw", 256).alias("decoded_sha256"), "n_split")
