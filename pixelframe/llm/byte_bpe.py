@@ -33,8 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import Rows, identified_texts, prepare, raw_rows
-from .tokenizing import MEMO_WORDS, _Memo
+from .tokenizing import _Memo
 
+#: Distinct matches of a worker's memo; beyond it a new generation begins, and matches of the one before move over as they come up.
+MEMO_WORDS = 100_000
 #: Bytes of a stretch of a longer text.
 STRETCH_BYTES = 1 << 19
 _CUT = re.compile(rb"[A-Za-z](?= [A-Za-z])")
@@ -217,9 +219,10 @@ def decode(encoded: DataFrame, path: str | None = None, pattern: str | None = No
                 if values.null_count:
                     raise ValueError("an id is null")
                 values = values.to_numpy()
+                data = own.decode(values)
                 counts = np.where(ids.is_valid(), ids.value_lengths().fill_null(0), 0)
                 ends = np.concatenate([[0], np.cumsum(own.lengths[values])])[np.concatenate([[0], np.cumsum(counts)])] if len(values) else np.zeros(part.num_rows + 1, dtype=np.int64)
-                raw = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(own.decode(values))])
+                raw = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)])
                 raw = pc.if_else(ids.is_valid(), raw.cast(pa.binary()), pa.scalar(None, pa.binary()))
                 columns = [*(part.column(c) for c in kept), raw]
                 if pieces:
