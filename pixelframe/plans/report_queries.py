@@ -304,7 +304,7 @@ def source_tree(spark, sf_dir):
     path = _scratch(spark, "tree")
     rows = table(spark, sf_dir, "nation").select(F.concat("n_name", F.lit(".txt")).alias("file"), F.concat("n_name", F.lit(" "), F.col("n_regionkey").cast("string")).cast("binary").alias("content"))
     files.write_artifacts(rows, path)
-    return files.source_tree(spark, path.removeprefix("file://"))
+    return files.source_tree(spark, path)
 
 
 @query("""SELECT n_name AS file, CASE n_nationkey % 4 WHEN 1 THEN 'size' WHEN 2 THEN 'content' WHEN 3 THEN 'missing' END AS failure FROM nation""")
@@ -316,7 +316,7 @@ def verified_files(spark, sf_dir):
     nation = table(spark, sf_dir, "nation")
     files.write_artifacts(nation.where(key != 3).select(name.alias("file"), other.cast("binary").alias("content")), path)
     manifest = nation.select(name.alias("file"), F.octet_length(name).cast("long").alias("byteCount"), F.sha2(name.cast("binary"), 256).alias("sha256"))
-    return files.verified(files.image_files(spark, path), manifest).select("file", "failure")
+    return files.verified(files.image_files(spark, path), manifest, path).select("file", "failure")
 
 
 @query("""SELECT 'm' || n_regionkey AS module, 'id-' || n_nationkey AS id, 'struct' AS kind, n_name AS name FROM nation WHERE n_nationkey % 3 < 2""")

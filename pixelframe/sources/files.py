@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import os
 import platform
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from . import artifacts, trees
 
 MANIFEST_CASES = "id string, file string, kind string, byteCount long, sha256 string, format string, width int, height int, expectedError string"
 
@@ -59,43 +58,42 @@ def manifest_cases(spark: SparkSession, path: str) -> DataFrame:
     return json_reports(spark, path, f"schemaVersion int, cases array<struct<{', '.join(c.replace(' ', ': ', 1) for c in MANIFEST_CASES.split(', '))}>>").select("schemaVersion", F.explode("cases").alias("c")).select("schemaVersion", "c.*")
 
 
-def contained(path: Column, root: str) -> Column:
-    """Whether a path, its dot segments resolved, lies under ``root``."""
-    parts = F.filter(F.split(path, "/"), lambda p: (p != "") & (p != "."))
+def plain_path(path: Column) -> Column:
+    """A path without scheme and authority, its dot segments resolved."""
+    parts = F.filter(F.split(F.regexp_replace(path, "^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", ""), "/"), lambda p: (p != "") & (p != "."))
     start = F.array().cast("array<string>")
     resolved = F.aggregate(parts, start, lambda done, p: F.when(p == "..", F.slice(done, 1, F.greatest(F.lit(0), F.size(done) - 1))).otherwise(F.concat(done, F.array(p))))
-    return F.concat(F.lit("/"), F.array_join(resolved, "/")).startswith(root.rstrip("/") + "/")
+    return F.concat(F.lit("/"), F.array_join(resolved, "/"))
 
 
-def verified(files: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Manifest rows (file, byteCount, sha256) with the content of files (path ends with file) whose size and digest agree; failure tells why not."""
-    named = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    both = manifest.join(named, "file", "left")
-    size, digest = F.octet_length("content") == F.col("byteCount"), F.sha2("content", 256) == F.col("sha256")
-    failure = F.when(F.col("content").isNull(), "missing").when(~size, "size").when(~digest, "content")
-    return both.withColumn("failure", failure)
+def relative(path: Column, root: str) -> Column:
+    """A path's place below ``root``, null where it lies elsewhere."""
+    plain, start = plain_path(path), F.concat(F.regexp_replace(plain_path(F.lit(root)), "/$", ""), F.lit("/"))
+    return F.when(F.startswith(plain, start) & (F.length(plain) > F.length(start)), F.substr(plain, F.length(start) + 1))
 
 
-def source_tree(spark: SparkSession, root: str, excluded: tuple[str, ...] = (".git", ".build", "__pycache__")) -> DataFrame:
-    """path, byte_count, sha256 and executable of a tree's files; links are refused.
+def contained(path: Column, root: str) -> Column:
+    """Whether a path, its dot segments resolved, lies under ``root``."""
+    return relative(path, root).isNotNull()
 
-    The driver lists names, links and modes, which show only there; executors read and hash the files.
+
+def verified(files: DataFrame, manifest: DataFrame, root: str) -> DataFrame:
+    """Manifest rows (file, byteCount, sha256) with the content of that file below ``root``.
+
+    failure: ``outside`` for a name that leaves the root, ``missing``, ``size`` or ``content``. Files and names are joined by their place below the root.
     """
-    rows = []
-    for folder, names, files in os.walk(root):
-        names[:] = sorted(n for n in names if n not in excluded)
-        for name in sorted(files):
-            path = Path(folder, name)
-            if path.is_symlink():
-                raise ValueError(f"symbolic link: {path}")
-            rows.append((path.relative_to(root).as_posix(), os.access(path, os.X_OK)))
-    listed = spark.createDataFrame(rows, "path string, executable boolean")
-    if not rows:
-        return listed.select("path", F.lit(0).cast("long").alias("byte_count"), F.lit("").alias("sha256"), "executable")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = "file:" + Path(root).resolve().as_posix() + "/"
-    hashed = files.select(F.replace(F.regexp_replace("path", "^file:/+", "file:/"), F.lit(base), F.lit("")).alias("path"), F.col("length").alias("byte_count"), F.sha2("content", 256).alias("sha256"))
-    return listed.join(hashed, "path").select("path", "byte_count", "sha256", "executable")
+    named = files.select(relative(F.col("path"), root).alias("_place"), "content").where("_place IS NOT NULL")
+    absolute = F.startswith("file", F.lit("/"))
+    placed = manifest.withColumn("_place", F.when(~absolute, relative(F.concat(F.lit(root.rstrip("/") + "/"), F.col("file")), root)))
+    both = placed.join(named, "_place", "left")
+    size, digest = F.octet_length("content") == F.col("byteCount"), F.sha2("content", 256) == F.col("sha256")
+    failure = F.when(F.col("_place").isNull(), "outside").when(F.col("content").isNull(), "missing").when(~F.coalesce(size, F.lit(False)), "size").when(~F.coalesce(digest, F.lit(False)), "content")
+    return both.withColumn("failure", failure).drop("_place")
+
+
+def source_tree(spark: SparkSession, root: str, excluded: tuple[str, ...] = (".git", ".build", "__pycache__")) -> DataFrame:
+    """path, byte_count, sha256 and executable of a tree's files, links refused; rules of coverage are in :mod:`trees`."""
+    return trees.identity(spark, root, trees.Coverage(excluded_anywhere=excluded))
 
 
 def symbols(spark: SparkSession, path: str) -> DataFrame:
@@ -136,19 +134,5 @@ def write_report(rows: DataFrame, path: str) -> None:
 
 
 def write_artifacts(images: DataFrame, folder: str, name: str = "file", content: str = "content") -> None:
-    """Each row's bytes as a file of a folder that driver and executors share; a file appears whole or not at all. Names that leave the folder are refused."""
-    target = folder.removeprefix("file://")
-
-    def put(rows) -> None:
-        os.makedirs(target, exist_ok=True)
-        for row in rows:
-            if row[content] is None:
-                continue
-            if row[name] in ("", ".", "..") or os.path.basename(row[name]) != row[name]:
-                raise ValueError(f"not a file name: {row[name]!r}")
-            part = os.path.join(target, f".{row[name]}.{os.getpid()}")
-            with open(part, "wb") as f:
-                f.write(row[content])
-            os.replace(part, os.path.join(target, row[name]))
-
-    images.select(name, content).foreachPartition(put)
+    """Each row's bytes as a file of a new folder, all or none, wherever Spark and pyarrow can write; names that leave the folder are refused."""
+    artifacts.write(images, folder, name, content)

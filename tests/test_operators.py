@@ -189,7 +189,7 @@ def test_sources(spark, tmp_path):
     with pytest.raises(ValueError, match="symbolic link"):
         files.source_tree(spark, str(tmp_path / "img"))
     manifest = spark.createDataFrame([("a.ppm", 59, "0" * 64), ("none", 1, "0" * 64)], "file string, byteCount long, sha256 string")
-    assert dict(values(files.verified(files.image_files(spark, folder), manifest), "file", "failure"))["none"] == "missing"
+    assert dict(values(files.verified(files.image_files(spark, folder), manifest, folder), "file", "failure"))["none"] == "missing"
     reports = tmp_path / "reports"
     reports.mkdir()
     (reports / "r.json").write_text('{\n "schemaVersion": 1,\n "caseID": "c", "extra": 2}')
