@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ceiled
+from . import scans
 
 
 def manifest(rows: DataFrame, path: Column, content: Column) -> DataFrame:
@@ -70,8 +71,7 @@ def set_equality(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def running_bytes(rows: DataFrame, key: str, order: str, size: str) -> DataFrame:
-    window = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("running_bytes", F.sum(size).over(window))
+    return scans.running_sum(rows, [key], [order], size, "running_bytes")
 
 
 def bounded_writes(rows: DataFrame, key: str, order: str, size: str, cap: int) -> DataFrame:

@@ -1,6 +1,7 @@
 """Chunk arrivals, a single server's queue, buffered bytes, frame coalescing and cancellation, as windows.
 
-All windows are partitioned by stream; a stream is one image's chunks.
+Streams are told by their keys. Running sums and the queue are scanned in segments (:mod:`scans`), so a stream may have any number of rows; frames are windows
+by stream and deadline.
 """
 
 from __future__ import annotations
@@ -9,42 +10,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ceiled, truncated
+from . import scans
 
 #: Nanoseconds of a frame at 60 Hz.
 FRAME_NS = 16_666_667
 
 
-def _upto(keys: list[str], order: list[str]):
-    return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-
-def arrivals(chunks: DataFrame, keys: list[str], order: list[str], size: str, first_delay, bits_per_second) -> DataFrame:
+def arrivals(chunks: DataFrame, keys: list[str], order: list[str], size: str, first_delay, bits_per_second, longest: int | None = scans.SEGMENT_ROWS) -> DataFrame:
     """arrival_ns: the first chunk comes after the delay, each other one takes its transfer time from the one before."""
     transfer = ceiled(F.col(size) * F.lit(8_000_000_000), bits_per_second)
-    first = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) == 1
-    stepped = chunks.withColumn("_step", F.when(first, first_delay).otherwise(transfer))
-    return stepped.withColumn("arrival_ns", F.sum("_step").over(_upto(keys, order))).drop("_step")
+    summed = scans.running_sum(chunks.withColumn("_step", transfer), keys, order, "_step", "arrival_ns", longest)
+    first = chunks.groupBy(*(F.col(k).alias(f"_r_{k}") for k in keys)).agg(F.min_by(first_delay - transfer, F.struct(*order)).alias("_shift"))
+    on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    return summed.join(first, on).withColumn("arrival_ns", F.col("arrival_ns") + F.col("_shift")).drop("_step", "_shift", *(f"_r_{k}" for k in keys))
 
 
-def single_server(rows: DataFrame, keys: list[str], order: list[str], arrival: str, service: str) -> DataFrame:
-    """start_ns, end_ns and queue_delay_ns of a first-come queue.
-
-    end = served + max over the rows so far of (arrival - served before), where served is the running service
-    time: the recursion end = max(arrival, end before) + service, unrolled.
-    """
-    window = _upto(keys, order)
-    served = rows.withColumn("_served", F.sum(service).over(window))
-    idle = F.max(F.col(arrival) - (F.col("_served") - F.col(service))).over(window)
-    ended = served.withColumn("end_ns", F.col("_served") + idle)
+def single_server(rows: DataFrame, keys: list[str], order: list[str], arrival: str, service: str, longest: int | None = scans.SEGMENT_ROWS) -> DataFrame:
+    """start_ns, end_ns and queue_delay_ns of a first-come queue: end = max(arrival, end before) + service."""
+    ended = scans.queue_ends(rows, keys, order, arrival, service, "end_ns", longest)
     started = ended.withColumn("start_ns", F.col("end_ns") - F.col(service))
-    return started.withColumn("queue_delay_ns", F.col("start_ns") - F.col(arrival)).drop("_served")
+    return started.withColumn("queue_delay_ns", F.col("start_ns") - F.col(arrival))
 
 
-def buffered_peak(rows: DataFrame, keys: list[str], arrival: str, end: str, size: str) -> DataFrame:
+def buffered_peak(rows: DataFrame, keys: list[str], arrival: str, end: str, size: str, longest: int | None = scans.SEGMENT_ROWS) -> DataFrame:
     """Most bytes that have arrived and aren't decoded yet; at one time arrivals come first."""
-    events = rows.select(*keys, F.explode(F.array(F.struct(F.col(arrival).alias("t"), F.lit(0).alias("kind"), F.col(size).alias("delta")), F.struct(F.col(end).alias("t"), F.lit(1).alias("kind"), (-F.col(size)).alias("delta")))).alias("e")).select(*keys, "e.*")
-    running = events.withColumn("held", F.sum("delta").over(_upto(keys, ["t", "kind", "delta"])))
-    return running.groupBy(*keys).agg(F.greatest(F.lit(0).cast("long"), F.max("held")).alias("peak_bytes"))
+    events = rows.select(*keys, F.inline(F.array(F.struct(F.col(arrival).alias("t"), F.lit(0).alias("kind"), F.col(size).alias("delta")), F.struct(F.col(end).alias("t"), F.lit(1).alias("kind"), (-F.col(size)).alias("delta")))))
+    highest = scans.highest_sum(events, keys, ["t", "kind", "delta"], "delta", "_peak", longest)
+    return highest.select(*keys, F.greatest(F.lit(0).cast("long"), F.col("_peak")).alias("peak_bytes"))
 
 
 def deadline(accepted: Column, frame_ns: int = FRAME_NS) -> Column:
@@ -90,7 +82,7 @@ def simulate(samples: DataFrame, networks: DataFrame, frame_ns: int = FRAME_NS)
     keys = ["stream", "network"]
     rows = samples.crossJoin(F.broadcast(networks)).select(*keys, "finish_ns", "final_decode_ns", "final_handoff_ns", "first_delay_ns", "bits_per_second", F.explode("chunks").alias("c"))
     rows = rows.select(*keys, "finish_ns", "final_decode_ns", "final_handoff_ns", "first_delay_ns", "bits_per_second", "c.*")
-    queue = single_server(arrivals(rows, keys, ["chunk_index"], "bytes", F.col("first_delay_ns"), F.col("bits_per_second")), keys, ["chunk_index"], "arrival_ns", "append_ns")
+    queue = single_server(arrivals(rows, keys, ["chunk_index"], "bytes", F.col("first_delay_ns"), F.col("bits_per_second"), None), keys, ["chunk_index"], "arrival_ns", "append_ns", None)  # a stream is one row's array
     totals = queue.groupBy(*keys).agg(
         F.max("arrival_ns").alias("network_complete_ns"),
         F.max("queue_delay_ns").alias("maximum_queue_delay_ns"),
@@ -99,7 +91,7 @@ def simulate(samples: DataFrame, networks: DataFrame, frame_ns: int = FRAME_NS)
         F.first("final_handoff_ns").alias("_handoff"),
         F.greatest(F.lit(0), F.max("arrival_ns") - F.max("end_ns")).alias("idle_before_final_ns"),
     )
-    peak = buffered_peak(queue, keys, "arrival_ns", "end_ns", "bytes")
+    peak = buffered_peak(queue, keys, "arrival_ns", "end_ns", "bytes", None)
     previews = queue.where("generation IS NOT NULL").select(*keys, F.lit("preview").alias("kind"), "generation", (F.col("end_ns") + F.col("handoff_ns")).alias("accepted_ns"), F.col("chunk_index").alias("place"))
     finals = totals.select(*keys, F.lit("final").alias("kind"), F.lit(None).cast("int").alias("generation"), (F.col("final_generated_ns") + F.col("_handoff")).alias("accepted_ns"), F.lit(1 << 40).alias("place"))
     candidates = previews.unionByName(finals)

@@ -14,7 +14,6 @@ A tree is one that driver and executors mount, since links and modes show nowher
 from __future__ import annotations
 
 import os
-import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -23,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import held
 from ..shipping import ship
 from .artifacts import copy_files, local_path, read_stable, resolved
 
@@ -51,17 +51,6 @@ class Coverage:
         return None if self.included is None or parts[0] in self.included else "unboundTopLevel"
 
 
-def _held(frame: DataFrame) -> DataFrame:
-    """``frame`` written to the folder that driver and executors share."""
-    context = frame.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        folder = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or "file://" + os.path.join(tempfile.gettempdir(), "pixelframe-shared"))
-    return frame.checkpoint()
-
-
 def listing(spark: SparkSession, root: str, coverage: Coverage = Coverage()) -> DataFrame:
     """path and failure of every file of a tree, and of every entry that breaks a rule."""
     ship(spark)
@@ -96,7 +85,7 @@ def listing(spark: SparkSession, root: str, coverage: Coverage = Coverage()) ->
 
     level, levels = spark.createDataFrame([("",)], "path string"), []
     while True:
-        found = _held(level.mapInArrow(scan, "path string, folder boolean, failure string"))
+        found = held(level.mapInArrow(scan, "path string, folder boolean, failure string"))
         levels.append(found.where("NOT folder").select("path", "failure"))
         level = found.where("folder").select("path")
         if level.isEmpty():
@@ -106,7 +95,7 @@ def listing(spark: SparkSession, root: str, coverage: Coverage = Coverage()) ->
 
 def snapshot(spark: SparkSession, root: str, coverage: Coverage = Coverage()) -> DataFrame:
     """path, byte_count, sha256, executable and failure of a tree's entries; files are dealt over tasks and read in blocks."""
-    listed = _held(listing(spark, root, coverage))
+    listed = held(listing(spark, root, coverage))
     top = local_path(resolved(spark, root))
     schema = pa.schema([("path", pa.string()), ("byte_count", pa.int64()), ("sha256", pa.string()), ("executable", pa.bool_()), ("failure", pa.string())])
 
@@ -129,7 +118,7 @@ def _first_failure(frame: DataFrame) -> str | None:
 
 def identity(spark: SparkSession, root: str, coverage: Coverage = Coverage()) -> DataFrame:
     """The snapshot of a tree that breaks no rule, written; the first entry that does raises an error."""
-    found = _held(snapshot(spark, root, coverage))
+    found = held(snapshot(spark, root, coverage))
     if failure := _first_failure(found):
         raise ValueError(failure)
     return found.drop("failure")
@@ -163,7 +152,7 @@ def verified_copy(known: DataFrame, root: str, destination: str, coverage: Cover
     source, target = local_path(resolved(spark, root)), resolved(spark, destination)
     if target.startswith("file:") and f"{os.path.realpath(local_path(target))}/".startswith(f"{os.path.realpath(source)}/"):
         raise ValueError("the copy must lie outside of the tree")
-    known = _held(known.select("path", "byte_count", "sha256", "executable"))
+    known = held(known.select("path", "byte_count", "sha256", "executable"))
     if failure := _first_failure(differences(known, spark, root, coverage)):
         raise ValueError(failure)
     copy_files(known, root, destination)
