@@ -9,6 +9,13 @@ from tests.test_containers import FRAME, SCAN, jpeg, segment
 BODY = jpeg(FRAME, *[SCAN] * 10)
 
 
+@pytest.fixture(autouse=True)
+def _batches_end(request):
+    """Timers ask for batches without rows, which a run over what is available would repeat without end."""
+    if "spark" in request.fixturenames:
+        request.getfixturevalue("spark").conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+
+
 def generations(body: bytes, size: int) -> list[tuple[int, int]]:
     session, out = Session(), []
     for at in range(0, len(body), size):
@@ -100,3 +107,63 @@ def test_stream_equals_batch(spark, tmp_path):
     streamed = sorted(map(str, spark.read.schema("stream_id string, seq long, event string, generation int, source_byte_count long, failure string").parquet(str(tmp_path / "out")).collect()))
     assert streamed == batch
     assert any("progressiveSessionCancelled" in r for r in batch) and any("'final'" in r for r in batch)
+
+
+SCHEMA = "stream_id string, seq long, kind string, chunk binary"
+
+
+def fed(spark, tmp_path, batch, **limits):
+    """One run of the stream over rows that are new in its folder; gives all output so far."""
+    source, marks, out = str(tmp_path / "in"), str(tmp_path / "marks"), str(tmp_path / "out")
+    spark.createDataFrame(batch, SCHEMA).coalesce(1).write.mode("append").parquet(source)
+    stream = progressive_stream(spark.readStream.schema(SCHEMA).parquet(source), **limits)
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).outputMode("append").trigger(availableNow=True).start().awaitTermination(120)
+    return spark.read.parquet(out).collect()
+
+
+def kept(spark, tmp_path, name, **options):
+    reader = spark.read.format("statestore").option("stateVarName", name)
+    for k, v in options.items():
+        reader = reader.option(k, v)
+    return reader.load(str(tmp_path / "marks"))
+
+
+def test_state_grows_by_new_bytes_and_ends(spark, tmp_path):
+    parts = [BODY[i : i + 50] for i in range(0, len(BODY), 50)]
+    for i, part in enumerate(parts[:3]):
+        fed(spark, tmp_path, [("a", i, "chunk", part), ("b", i, "chunk", part)])
+        held = [bytes(r["list_element"]["data"]) for r in kept(spark, tmp_path, "chunks").where("key.stream_id = 'a'").collect()]
+        assert held == parts[: i + 1]  # each batch has added its own chunk
+        value = kept(spark, tmp_path, "session").where("key.stream_id = 'a'").first()["value"]
+        assert len(value["tail"]) < 30 and len(value["fields"]) < 250
+    fed(spark, tmp_path, [("a", 9, "cancel", None), *(("b", 3 + i, "chunk", p) for i, p in enumerate(parts[3:])), ("b", 99, "finish", None)])
+    assert kept(spark, tmp_path, "chunks").count() == 0 and kept(spark, tmp_path, "session").count() == 2
+    found = fed(spark, tmp_path, [("a", 10, "chunk", b"x"), ("b", 100, "finish", None)])
+    assert {(r["stream_id"], r["failure"]) for r in found if r["failure"]} == {("a", "progressiveSessionCancelled"), ("b", "progressiveSessionFinished")}
+    assert [r["source_byte_count"] for r in found if r["event"] == "final"] == [len(BODY)]
+
+
+def test_idle_sessions_and_fences_go(spark, tmp_path):
+    limits = {"idle_ms": 1, "fence_ms": 10**9}
+    fed(spark, tmp_path, [("idle", 0, "chunk", BODY[:60])], **limits)
+    fed(spark, tmp_path, [("other", 0, "chunk", BODY[:60])], **limits)  # by now the first is overdue
+    assert kept(spark, tmp_path, "chunks").where("key.stream_id = 'idle'").count() == 0
+    found = fed(spark, tmp_path, [("idle", 1, "chunk", BODY[60:])], **limits)
+    assert [(r["seq"], r["failure"]) for r in found if r["stream_id"] == "idle" and r["failure"]] == [(1, "progressiveSessionCancelled")]
+
+
+def test_fences_expire(spark, tmp_path):
+    limits = {"idle_ms": 10**9, "fence_ms": 1}
+    fed(spark, tmp_path, [("a", 0, "cancel", None)], **limits)
+    fed(spark, tmp_path, [("b", 0, "chunk", BODY[:10])], **limits)
+    assert [r["key"]["stream_id"] for r in kept(spark, tmp_path, "session").collect()] == ["b"]
+    found = fed(spark, tmp_path, [("a", 1, "chunk", BODY), ("a", 2, "finish", None)], **limits)
+    assert [(r["event"], r["source_byte_count"]) for r in found if r["event"] == "final"] == [("final", len(BODY))]
+
+
+def test_tails_are_short():
+    session, longest = Session(), 0
+    for at in range(0, len(BODY), 3):
+        session.append(BODY[at : at + 3])
+        longest = max(longest, len(session.tail))
+    assert longest < 30 and b"".join(session.fresh) == BODY
