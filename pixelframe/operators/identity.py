@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import hashing
 from ..functions.numeric import ceiled
+from ..shared import held
+from ..shipping import ship
 from . import scans
 
 
@@ -27,16 +33,40 @@ def compared(expected: DataFrame, found: DataFrame) -> DataFrame:
     return both.select("path", status.alias("status")).where(F.col("status").isNotNull())
 
 
-def canonical_digest(files: DataFrame, identity: str, version: int = 1) -> DataFrame:
-    """SHA-256 of the compact JSON of all entries in path order: one row.
+def canonical_digest(files: DataFrame, identity: str, version: int = 1, coverage: dict | None = None) -> DataFrame:
+    """SHA-256 of the compact JSON of all entries in path order: one row, file_count and identity_sha256.
 
-    The flat canonical form needs all entries of a tree in one row; a tree's listing is bounded by what
-    a manifest lists (``files``: path, byte_count, sha256, executable), not by file contents.
+    Range partitions of ``files`` (path, byte_count, sha256, executable) spell their entries in parallel as blocks of text, written to the shared folder; the hash's
+    state then goes from partition to partition in order, each hashed where it is read. A task holds a block, the driver a state of 112 bytes.
     """
-    entry = F.struct(F.col("byte_count").alias("byteCount"), "executable", "path", "sha256")
-    listed = files.agg(F.sort_array(F.collect_list(F.struct("path", entry.alias("e")))).alias("l"), F.count(F.lit(1)).alias("file_count"))
-    envelope = F.struct(F.transform("l", lambda x: x["e"]).alias("files"), F.lit(identity).alias("identityID"), F.lit(version).alias("schemaVersion"))
-    return listed.select("file_count", F.sha2(F.to_json(envelope).cast("binary"), 256).alias("identity_sha256"))
+    spark = ship(files.sparkSession)
+    ends = json.dumps(identity, ensure_ascii=False), json.dumps({"coverage": coverage}, ensure_ascii=False, sort_keys=True, separators=(",", ":"))[:-1] + "," if coverage is not None else "{"
+
+    def spell(batches):
+        for batch in batches:
+            rows = batch.to_pylist()
+            texts = [json.dumps({"byteCount": r["byte_count"], "executable": r["executable"], "path": r["path"], "sha256": r["sha256"]}, ensure_ascii=False, sort_keys=True, separators=(",", ":")) for r in rows]
+            yield pa.RecordBatch.from_pydict({"block": ["".join("," + t for t in texts).encode()], "n": [len(rows)]}) if rows else pa.RecordBatch.from_pydict({"block": pa.array([], pa.binary()), "n": pa.array([], pa.int64())})
+
+    ordered = files.select("path", "byte_count", "sha256", "executable").repartitionByRange("path").sortWithinPartitions("path")
+    blocks = held(ordered.mapInArrow(spell, "block binary, n long")).rdd
+    state, count = hashing.updated(hashing.started(), (ends[1] + '"files":[').encode()), 0
+
+    def step(state: bytes, fresh: bool):
+        def run(rows):
+            now, done = state, 0
+            for row in rows:
+                block = bytes(row["block"])
+                now, done = hashing.updated(now, block[1:] if fresh and not done else block), done + row["n"]
+            yield now, done
+
+        return run
+
+    for part in range(blocks.getNumPartitions()):
+        state, n = spark.sparkContext.runJob(blocks, step(state, count == 0), [part])[0]
+        count += n
+    digest = hashing.finished(hashing.updated(state, f'],"identityID":{ends[0]},"schemaVersion":{version}}}'.encode()))
+    return spark.createDataFrame([(count, digest)], "file_count long, identity_sha256 string")
 
 
 def chunks(rows: DataFrame, key: list[str], content: Column, size: int) -> DataFrame:

@@ -8,8 +8,9 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.documents import canonical
 from ..functions.numeric import truncated
-
+from ..shipping import ship
 
 #: Ranges that a group's distinct values are cut into, and how many values a range should have at least.
 RANGES, RANGE_ROWS = 256, 4096
@@ -77,15 +78,22 @@ def distribution(rows: DataFrame, groups: list[str]) -> DataFrame:
 
 
 def stable(rows: DataFrame, groups: list[str], fields: list[str]) -> DataFrame:
-    """Per group, whether each field has one value (nulls count as a value)."""
-    return rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("reports"), *((F.count_distinct(F.coalesce(F.col(f).cast("string"), F.lit("\0"))) == 1).alias(f"{f}_stable") for f in fields))
+    """Per group, whether each field has one value (null is a value of its own)."""
+    values = {f: F.count_distinct(F.col(f).cast("string")) + F.max(F.col(f).isNull().cast("int")) for f in fields}
+    return rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("reports"), *((n == 1).alias(f"{f}_stable") for f, n in values.items()))
+
 
+def pair_determinism(rows: DataFrame, key: str, content: Column, expected: int = 2, documents: bool = False) -> DataFrame:
+    """Per key: number of reports, of distinct contents, and whether there are exactly the expected ones and all are equal.
 
-def pair_determinism(rows: DataFrame, key: str, content: Column, expected: int = 2) -> DataFrame:
-    """Per key: number of reports, of distinct contents, and whether there are exactly the expected ones and all are equal."""
-    hashed = rows.select(key, F.sha2(content.cast("binary"), 256).alias("_h"))
-    counted = hashed.groupBy(key).agg(F.count(F.lit(1)).alias("reports"), F.count_distinct("_h").alias("contents"))
-    return counted.withColumn("deterministic", (F.col("reports") == expected) & (F.col("contents") == 1))
+    With ``documents`` contents are JSON and compared in canonical form; one that isn't JSON leaves a key undetermined.
+    """
+    compared = canonical(content.cast("string")) if documents else content
+    if documents:
+        ship(rows.sparkSession)
+    hashed = rows.select(key, F.sha2(compared.cast("binary"), 256).alias("_h"))
+    counted = hashed.groupBy(key).agg(F.count(F.lit(1)).alias("reports"), F.count_distinct("_h").alias("contents"), F.count("_h").alias("_read"))
+    return counted.withColumn("deterministic", (F.col("reports") == expected) & (F.col("contents") == 1) & (F.col("_read") == F.col("reports"))).drop("_read")
 
 
 def budget(value, factor_percent: int, additive: int) -> Column:

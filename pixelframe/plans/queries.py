@@ -411,7 +411,7 @@ def scan_script_parse(spark, sf_dir):
     return joins.scan_script(scripts, ["conv_id", "turn"], "script")
 
 
-@query("""SELECT o_orderpriority, CAST(count(*) AS BIGINT) AS reports, count(DISTINCT coalesce(o_orderstatus, chr(0))) = 1 AS o_orderstatus_stable, count(DISTINCT substr(o_orderpriority, 1, 1)) = 1 AS first_stable FROM orders GROUP BY 1""")
+@query("""SELECT o_orderpriority, CAST(count(*) AS BIGINT) AS reports, count(DISTINCT o_orderstatus) + CAST(bool_or(o_orderstatus IS NULL) AS INTEGER) = 1 AS o_orderstatus_stable, count(DISTINCT substr(o_orderpriority, 1, 1)) = 1 AS first_stable FROM orders GROUP BY 1""")
 def field_stability(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").withColumn("first", F.substring("o_orderpriority", 1, 1))
     return statistics.stable(orders, ["o_orderpriority"], ["o_orderstatus", "first"])
@@ -596,4 +596,4 @@ def _progressive_events(spark, sf_dir) -> DataFrame:
     return chunks.unionByName(ends).unionByName(twice).unionByName(early).unionByName(stops)
 
 
-from . import image_queries, report_queries, storage_queries  # noqa: E402, F401  they register their own
+from . import document_queries, image_queries, report_queries, storage_queries  # noqa: E402, F401  they register their own

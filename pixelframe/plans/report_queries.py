@@ -98,7 +98,7 @@ def optional_summary(spark, sf_dir):
     return reports.optional_summary(rows, ["l_returnflag"], ["quantity", "price"])
 
 
-@query("""SELECT source, CAST(count(*) AS BIGINT) AS reports, count(DISTINCT coalesce(lang, chr(0))) = 1 AS lang_stable, count(DISTINCT coalesce(CAST(n_chars > 0 AS VARCHAR), chr(0))) = 1 AS filled_stable FROM documents GROUP BY 1""")
+@query("""SELECT source, CAST(count(*) AS BIGINT) AS reports, count(DISTINCT lang) + CAST(bool_or(lang IS NULL) AS INTEGER) = 1 AS lang_stable, count(DISTINCT n_chars > 0) + CAST(bool_or(n_chars IS NULL) AS INTEGER) = 1 AS filled_stable FROM documents GROUP BY 1""")
 def cardinality_invariants(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").withColumn("filled", F.col("n_chars") > 0)
     return statistics.stable(rows, ["source"], ["lang", "filled"])

@@ -7,6 +7,7 @@ import platform
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import documents
 from ..shipping import ship
 from . import artifacts, trees
 
@@ -125,14 +126,22 @@ def runtime_facts(spark: SparkSession) -> DataFrame:
 
 
 def canonical_json(rows: DataFrame) -> DataFrame:
-    """Each row as JSON with its columns in name order."""
-    return rows.select(F.to_json(F.struct(*sorted(rows.columns))).alias("json"))
+    """Each row as compact JSON with keys in order at every depth."""
+    return rows.select(documents.of_rows(rows).alias("json"))
 
 
 def write_report(rows: DataFrame, path: str) -> None:
+    """Rows as canonical JSON lines."""
     canonical_json(rows).write.mode("overwrite").text(path)
 
 
+def write_documents(rows: DataFrame, folder: str, name: str, indent: int = 2) -> None:
+    """Each row as a JSON file of its own in a new folder, with keys in order at every depth and lines indented; ``name`` is the column of file names and not written."""
+    body = rows.drop(name)
+    text = F.concat(documents.of_rows(body, indent, ascii_only=True), F.lit("\n"))
+    artifacts.write(rows.select(F.col(name).alias("file"), text.cast("binary").alias("content")), folder)
+
+
 def write_artifacts(images: DataFrame, folder: str, name: str = "file", content: str = "content") -> None:
     """Each row's bytes as a file of a new folder, all or none, wherever Spark and pyarrow can write; names that leave the folder are refused."""
     artifacts.write(images, folder, name, content)
