@@ -5,7 +5,7 @@ non-ASCII characters. Base labels need a phrase's words to stand consecutively.
 allow ``edits`` character edits in the blank-joined words: by the pigeonhole principle one of
 ``edits + 1`` pieces of a notice must occur exactly, so an automaton over all pieces finds the
 places worth a look, and the regex library's bounded-error matching verifies the edits there and
-gives the span. Each seed is looked at in a window of its own, so the work grows with the seeds and
+gives the span. What tells one license from another in a notice (``fixed``) takes no edits and, where it is a word, must be one. Each seed is looked at in a window of its own, so the work grows with the seeds and
 not with how they crowd. Of overlapping matches of a notice the one with the fewest edits, then the
 first, is reported; what it leaves free of a window is searched again, so every match overlaps a
 reported span.
@@ -35,17 +35,36 @@ class Notice:
     text: str
     label: str
     edits: int
+    fixed: tuple[str, ...] = ()
+
+    def parts(self) -> list[tuple[int, int, bool]]:
+        """(begin, end, whether fixed) of the notice's parts in order."""
+        out, at = [], 0
+        for part in self.fixed:
+            begin = self.text.index(part, at)
+            out += [(at, begin, False)] * (begin > at) + [(begin, begin + len(part), True)]
+            at = begin + len(part)
+        return out + [(at, len(self.text), False)] * (at < len(self.text))
+
+    def pattern(self) -> str:
+        """Fixed parts as they are, with blanks or an end beside them where the notice has such; the others with bounded edits."""
+        out = []
+        for begin, end, fixed in self.parts():
+            plain = self.text[begin:end].replace(" ", "[ ]")  # notices hold nothing else that a pattern reads otherwise
+            before, after = begin == 0 or self.text[begin - 1] == " ", end == len(self.text) or self.text[end] == " "
+            out.append(f"{'(?<![^ ])' * before}{plain}{'(?![^ ])' * after}" if fixed else f"(?:{plain}){{e<={self.edits}}}")
+        return "(?b)" + "".join(out)
 
 
 #: Short notices of the fuzzy scan, in normalised words.
 NOTICES = (
-    Notice("under the mit license", "mit", 2),
+    Notice("under the mit license", "mit", 2, ("mit",)),
     Notice("permission is hereby granted free of charge", "mit", 4),
-    Notice("apache license version 2", "apache-2", 2),
-    Notice("licensed under cc by nc", "cc-by-nc", 2),
-    Notice("creative commons attribution noncommercial", "cc-by-nc", 4),
-    Notice("gnu general public license", "gpl", 3),
-    Notice("gnu lesser general public license", "lgpl", 3),
+    Notice("apache license version 2", "apache-2", 2, ("2",)),
+    Notice("licensed under cc by nc", "cc-by-nc", 2, ("nc",)),
+    Notice("creative commons attribution noncommercial", "cc-by-nc", 4, ("non",)),
+    Notice("gnu general public license", "gpl", 3, ("gnu",)),
+    Notice("gnu lesser general public license", "lgpl", 3, ("lesser",)),
     Notice("mozilla public license", "mpl", 2),
     Notice("redistribution and use in source and binary forms", "bsd", 4),
     Notice("all rights reserved", "all-rights-reserved", 2),
@@ -75,8 +94,8 @@ class Scanner:
 
         self.phrases = [(b" " + p.encode() + b" ", label) for p, label in phrases]
         self.notices = notices
-        self.patterns = [regex.compile(rf"(?b)(?:{regex.escape(n.text, literal_spaces=True)}){{e<={n.edits}}}") for n in notices]
-        self.seen: dict[tuple[int, str], tuple[int, int, int] | None] = {}
+        self.patterns = [regex.compile(n.pattern()) for n in notices]
+        self.seen: dict[tuple[int, str, bool, bool], tuple[int, int, int] | None] = {}
         seeds: dict[str, list[tuple[int, int, int]]] = {}
         for number, notice in enumerate(notices):
             for place, piece in pieces(notice.text, notice.edits + 1):
@@ -111,14 +130,26 @@ class Scanner:
     def _best(self, number: int, text: str, low: int, high: int) -> tuple[int, int, int, int, int] | None:
         """(edits, start, end, low, high) of the best match in a window."""
         window = text[low:high]
-        if (number, window) not in self.seen:
+        key = number, window, low == 0 or text[low - 1] == " ", high == len(text) or text[high] == " "
+        if key not in self.seen:
             if len(self.seen) >= REMEMBERED:
                 self.seen = {}
-            match = self.patterns[number].search(window)
-            self.seen[number, window] = match and (sum(match.fuzzy_counts), match.start(), match.end())
-        found = self.seen[number, window]
+            self.seen[key] = self._search(*key)
+        found = self.seen[key]
         return found and (found[0], low + found[1], low + found[2], low, high)
 
+    def _search(self, number: int, window: str, open_left: bool, open_right: bool) -> tuple[int, int, int] | None:
+        """(edits, start, end) in a window, given whether it lies between blanks."""
+        notice = self.notices[number]
+        padded, last = (" " if open_left else "x") + window, len(window) + 1
+        while match := self.patterns[number].search(padded, 1, last):
+            after = open_right if last == len(padded) else padded[last] == " "
+            if match.end() < last or after or not notice.fixed or not notice.text.endswith(notice.fixed[-1]):
+                edits = sum(match.fuzzy_counts)
+                return (edits, match.start() - 1, match.end() - 1) if edits <= notice.edits else None
+            last -= 1  # a fixed word at the end that isn't a whole one here
+        return None
+
     def _spans(self, number: int, text: str, windows: set[tuple[int, int]]) -> list[tuple[int, int, int]]:
         """Spans (start, end, edits) in ascending order; none overlap."""
         notice = self.notices[number]

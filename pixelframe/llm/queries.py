@@ -96,7 +96,7 @@ ORACLE_SQL: dict[str, str] = {
   SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN comps ON id = vec_id LEFT JOIN (SELECT a, count(*) AS n FROM mutual GROUP BY a) ON a = vec_id""",
     "op9_minhash_dedup": f"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
   s AS (SELECT doc_id, shingle, count(*) AS tf FROM (SELECT doc_id, array_to_string(w[i : i + least(5, len(w)) - 1], ' ') AS shingle FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM d WHERE len(w) > 0)) GROUP BY ALL),
-  f AS (SELECT shingle, ln(1 + least(1000.0, (SELECT count(*) FROM documents) / count(*)::DOUBLE)) AS idf FROM s GROUP BY shingle),
+  f AS (SELECT shingle, ln(1 + (SELECT count(*) FROM documents) / count(*)::DOUBLE) AS idf FROM s GROUP BY shingle),
   w AS (SELECT doc_id, s.shingle, tf * pow(idf, 0.125) AS weight FROM s JOIN f ON f.shingle = s.shingle), t AS (SELECT doc_id, sum(weight) AS total FROM w GROUP BY doc_id),
   p AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(least(x.weight, y.weight)) AS common FROM w x JOIN w y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY ALL),
   links AS (SELECT a, b FROM p JOIN t x ON x.doc_id = a JOIN t y ON y.doc_id = b WHERE common / (x.total + y.total - common) >= 0.8 UNION SELECT min(doc_id) OVER (PARTITION BY text), doc_id FROM d),
