@@ -14,6 +14,7 @@ A tree is one that driver and executors mount, since links and modes show nowher
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -113,7 +114,7 @@ def snapshot(spark: SparkSession, root: str, coverage: Coverage = Coverage()) ->
 
 def _first_failure(frame: DataFrame) -> str | None:
     row = frame.where("failure IS NOT NULL").select("path", "failure").orderBy("path").first()
-    return row and f"{row['failure']}: {row['path']}"
+    return row and f"{row['failure']}: {row['path']} ({re.sub('([A-Z])', lambda m: ' ' + m[1].lower(), row['failure'])})"
 
 
 def identity(spark: SparkSession, root: str, coverage: Coverage = Coverage()) -> DataFrame:
