@@ -176,7 +176,7 @@ _SHARD = pa.schema([("part", pa.int32()), ("ids_before", pa.int64()), ("n_ids",
 def write_corpus(docs: DataFrame, path: str, tokenizer_path: str | None = None, end_id: int = END_ID) -> None:
     """Encode ``docs`` in ascending doc_id order into shards under ``path``.
 
-    One range shuffle of the texts; small stretches of ids share a task (TASK_BYTES, but no fewer tasks than cores). A task codes
+    One range shuffle of the texts, in stretches of about TASK_BYTES; small stretches of ids share a task (TASK_BYTES, but no fewer tasks than cores). A task codes
     each of its stretches in bounded shards and notes how many ids of that stretch stand before each.
     """
     spark = prepare(docs.sparkSession)
@@ -217,7 +217,8 @@ def write_corpus(docs: DataFrame, path: str, tokenizer_path: str | None = None,
     total = texts.agg(F.coalesce(F.sum(F.octet_length("raw")), F.lit(0))).first()[0]
     tasks = max(spark.sparkContext.defaultParallelism, total // TASK_BYTES)
     # The texts' first bytes let rows of one id, null among them, stand in several stretches, in the same order.
-    stretches = texts.repartitionByRange("doc_id", F.substring("raw", 1, 16)).withColumn("part", F.spark_partition_id())
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), tasks)  # named, so that a stretch doesn't grow with the table
+    stretches = texts.repartitionByRange(ranges, "doc_id", F.substring("raw", 1, 16)).withColumn("part", F.spark_partition_id())
     ordered = stretches.coalesce(tasks).sortWithinPartitions("part", "doc_id", "raw")
     ordered.mapInArrow(code, "part int, ids_before long, n_ids long, shard binary").write.mode("overwrite").option("compression", "none").parquet(path)
 
