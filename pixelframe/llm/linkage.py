@@ -224,13 +224,17 @@ def pairs_across(members: DataFrame, pairs: int = PAIRS) -> DataFrame:
 # else can split the rows of such a key over tasks, which it can't behind an aggregate in the same stage.
 
 
-def bucket_pivots(work: Workspace, buckets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members (bucket, node, bytes) of buckets with company, distinct pairs (a, b) of each bucket's smallest node a and the others), both written."""
+def bucket_pivots(work: Workspace, buckets: DataFrame, common: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(members (bucket, node, bytes) of buckets with company, distinct pairs (a, b) of each bucket's smallest node a and the others), both written.
+
+    Pairs must meet so in ``common`` buckets.
+    """
     crowded = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("pivot")).where("size > 1")
     crowded = work.write(crowded.select("bucket", "pivot"), "crowded")
     members = work.write(buckets.join(crowded, "bucket"), "members")
     pairs = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-    return members.drop("pivot"), work.write(pairs.distinct(), "pairs")
+    pairs = pairs.distinct() if common == 1 else pairs.groupBy("a", "b").count().where(F.col("count") >= common).select("a", "b")
+    return members.drop("pivot"), work.write(pairs, "pairs")
 
 
 def mixed_members(work: Workspace, members: DataFrame, roots: DataFrame, block: int = MEET_AT_ONCE) -> DataFrame:

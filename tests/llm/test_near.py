@@ -229,21 +229,53 @@ def test_edited_and_cropped_pictures(spark):
     assert image_copies.copies(frame.where("false")).count() == 0
 
 
+def turned(image: np.ndarray, degrees: float) -> np.ndarray:
+    h, w = image.shape[:2]
+    y, x = np.mgrid[:h, :w] - np.array([h / 2, w / 2]).reshape(2, 1, 1)
+    cos, sin = np.cos(np.deg2rad(degrees)), np.sin(np.deg2rad(degrees))
+    return np.stack([image_copies._at(image[:, :, c].astype(float), h / 2 + y * cos + x * sin, w / 2 + x * cos - y * sin) for c in range(3)], axis=2).astype(np.uint8)
+
+
+EDITS = {
+    "turned by 10": lambda m, k: turned(m, 10), "turned by 25": lambda m, k: turned(m, 25), "turned by 45": lambda m, k: turned(m, 45),
+    "halved": lambda m, k: np.stack([image_copies._halved(m[:, :, c].astype(float)) for c in range(3)], axis=2).astype(np.uint8),
+    "cropped": lambda m, k: m[22:127, 28:161],
+    "noisy": lambda m, k: np.clip(m + np.random.default_rng(k).normal(0, 24, m.shape), 0, 255).astype(np.uint8),
+}
+
+
+def accepted(a, b) -> bool:
+    return max(image_copies.agreeing(a, b), image_copies.agreeing(b, a)) >= image_copies.AGREE
+
+
 def test_pictures_by_brute_force(spark):
-    """All pairs that share a bucket, verified one by one."""
-    versions = []
-    for k in range(9):
-        image = picture(50 + k % 6, 90, 110)
-        versions += [image, image[6:82, 8:100], np.clip(image + np.random.default_rng(k).normal(0, 3 + k, image.shape), 0, 255).astype(np.uint8)]
-    described = [image_copies.features(v) for v in versions]
-    packed = [image_copies._unpack(image_copies._pack(*d)) for d in described]
-    buckets = [set(image_copies.keys(w).tolist()) if len(w) >= image_copies.AGREE else set() for _, w in described]
-    blobs = [encode_png(np.ascontiguousarray(v)) for v in versions]
-    links = [(a, b) for a in range(len(versions)) for b in range(a + 1, len(versions)) if blobs[a] == blobs[b] or buckets[a] & buckets[b] and max(image_copies.agreeing(packed[a], packed[b]), image_copies.agreeing(packed[b], packed[a])) >= image_copies.AGREE]
+    """All pairs, verified one by one, whether they share a bucket or not."""
+    pictures = []
+    for k in range(8):
+        image = picture(k)
+        pictures += [("original", k, image)] + [(name, k, edit(image, k)) for name, edit in EDITS.items()]
+    packed = [image_copies._unpack(image_copies._pack(*image_copies.features(m))) for _, _, m in pictures]
+    links = [(a, b) for a in range(len(pictures)) for b in range(a + 1, len(pictures)) if accepted(packed[a], packed[b])]
+    assert all(pictures[a][1] == pictures[b][1] for a, b in links)
+    shared = {pair: len(np.intersect1d(image_copies.keys(packed[pair[0]][1]), image_copies.keys(packed[pair[1]][1]))) for pair in links}
+    for name in EDITS:
+        own = [pair for pair in links if pictures[pair[0]][0] == "original" and pictures[pair[1]][0] == name]
+        assert len(own) >= 4 and sum(shared[pair] >= image_copies.COMMON for pair in own) >= 0.9 * len(own), name
+    assert sum(n >= image_copies.COMMON for n in shared.values()) >= 0.85 * len(links)  # two edited copies of one original are edits of edits
+    blobs = [encode_png(np.ascontiguousarray(m)) for _, _, m in pictures]
     found = {r["image_id"]: r["component_id"] for r in image_copies.copies(spark.createDataFrame(list(enumerate(blobs)), "image_id long, image binary").repartition(3)).collect()}
-    expected = roots(range(len(versions)), links)
-    assert sum(found[i] != expected[i] for i in found) <= 1  # which side of a pair is matched to which may differ
-    assert len(links) > 12
+    expected = roots(range(len(pictures)), links)
+    assert sum(found[i] != expected[i] for i in found) <= 2
+
+
+def test_keys_of_descriptors():
+    rng = np.random.default_rng(6)
+    words = rng.integers(0, 2**63, (5, 4), dtype=np.uint64)
+    assert len(image_copies.keys(words)) == 30 and len(image_copies.keys(np.concatenate((words, words)))) == 30
+    other = words.copy()
+    other.view(np.uint8)[:, [0, 7, 12, 31]] ^= 1  # three of the six pieces differ; the last byte is in none
+    assert len(np.intersect1d(image_copies.keys(words), image_copies.keys(other))) == 15
+    assert len(image_copies.keys(words[:0])) == 0
 
 
 @pytest.mark.parametrize(("dimension", "n"), [(64, 900), (384, 700), (768, 500)])
