@@ -596,4 +596,4 @@ def _progressive_events(spark, sf_dir) -> DataFrame:
     return chunks.unionByName(ends).unionByName(twice).unionByName(early).unionByName(stops)
 
 
-from . import document_queries, image_queries, report_queries, storage_queries  # noqa: E402, F401  they register their own
+from . import document_queries, image_queries, report_queries, storage_queries, validation_queries  # noqa: E402, F401  they register their own
