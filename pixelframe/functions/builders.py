@@ -40,6 +40,25 @@ def exif_block(orientation) -> Column:
     return F.concat(F.unhex(F.lit("49492A0008000000010012010300" + "01000000")), little_endian(orientation, 2), F.unhex(F.lit("000000000000")))
 
 
+def directory(*fields: Column, after=0) -> Column:
+    """A directory of little-endian entries of 12 bytes each, given in one or more columns, and the place of the next."""
+    entries = F.concat(*fields)
+    return F.concat(little_endian(F.octet_length(entries) / 12, 2), entries, little_endian(after, 4))
+
+
+def entry(tag, kind: int, count, value) -> Column:
+    return F.concat(little_endian(tag, 2), little_endian(kind, 2), little_endian(count, 4), little_endian(value, 4))
+
+
+def repeated(content: Column, times) -> Column:
+    return F.unhex(F.repeat(F.hex(content), _column(times).cast("int")))
+
+
+def tiff_block(*rest: Column) -> Column:
+    """A little-endian block whose first directory follows its header."""
+    return F.concat(F.unhex(F.lit("49492A0008000000")), *rest)
+
+
 def png_chunk(kind: str, payload) -> Column:
     body = F.concat(F.lit(kind).cast("binary"), _column(payload))
     return F.concat(big_endian(F.octet_length(_column(payload)), 4), body, big_endian(F.crc32(body), 4))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..contracts import DecodeLimits, EncodeCapabilities, EncodeLimits
-from ..functions import containers, jpeg, pixels
+from ..functions import containers, jpeg, pixels, properties
 from ..shipping import ship
 from .admission import first_failure, probe_failure
 
@@ -24,7 +24,11 @@ _PROBE_DDL = "format string, width long, height long, frame_count long, orientat
 
 
 def probe_bytes(content: bytes | None, limits: DecodeLimits) -> dict:
-    """Probe of one image; sizes are as seen after orientation. A null content is corrupt."""
+    """Probe of one image; sizes are as seen after orientation. A null content is corrupt.
+
+    The metadata count is the container's or that of the properties its blocks stand for, whichever is
+    larger, and null where a limit ends the count; properties that can't be measured are beyond every limit.
+    """
     out: dict = dict.fromkeys(_PROBE.names)
     out["attachment_count"] = 0
     try:
@@ -37,6 +41,13 @@ def probe_bytes(content: bytes | None, limits: DecodeLimits) -> dict:
         size = containers.dimensions(content)
         if size is None:
             raise containers.Corrupt
+        held = properties.properties(content, limits.metadata_bytes)
+        if held.size > limits.metadata_bytes:
+            out["metadata_byte_count"] = None
+            raise containers.Corrupt("metadataLimitExceeded")
+        out |= {"metadata_byte_count": max(seen.metadata_bytes, held.size), "attachment_count": held.attachments}
+        if held.attachments > limits.attachments:
+            raise containers.Corrupt("auxiliaryAttachmentLimitExceeded")
         turned = containers.exif_orientation(content)
         width, height, frames = size
         if turned >= 5:

@@ -1,9 +1,14 @@
 """Container walks, inspection rules and scan boundaries on hand-made bytes."""
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 
+from pixelframe.contracts import DecodeLimits
 from pixelframe.functions import containers as c
+from pixelframe.functions import properties as held
 from pixelframe.functions.pixels import chunk, encode_png, pattern
+from pixelframe.operators.probe import probe_bytes
 
 
 def segment(marker: int, payload: bytes) -> bytes:
@@ -111,3 +116,88 @@ def test_structure():
 
 def test_chunk_helper_has_checksum():
     assert chunk(b"IEND", b"").hex() == "0000000049454e44ae426082"
+
+
+def tiff(*directories: bytes, order: str = "little") -> bytes:
+    return (b"II*\0" if order == "little" else b"MM\0*") + (8).to_bytes(4, order) + b"".join(directories)
+
+
+def directory(*entries: tuple[int, int, int, int], after: int = 0, order: str = "little") -> bytes:
+    body = b"".join(t.to_bytes(2, order) + k.to_bytes(2, order) + n.to_bytes(4, order) + v.to_bytes(4, order) for t, k, n, v in entries)
+    return len(entries).to_bytes(2, order) + body + after.to_bytes(4, order)
+
+
+@pytest.mark.parametrize("order", ["little", "big"])
+def test_fields_that_share_bytes_count_each_time(order):
+    block = tiff(directory(*[(0x9286, 7, 100, 8 + 6 + 36)] * 3, order=order), b"x" * 100, order=order)
+    found, size = held.fields(block)
+    assert [f.length for f in found] == [100] * 3 and size == 8 + 6 + 36 + 300 > len(block)
+    assert held.properties(encode_png(pattern(2, 2), ((b"eXIf", block),))) == (size, 0)
+    both = jpeg(segment(0xE1, b"Exif\0\0" + block), segment(0xE1, b"Exif\0\0" + block), FRAME)
+    assert held.properties(both) == (2 * size, 0)
+    bomb = tiff(directory(*[(0x9286, 7, 60_000, 8 + 6 + 12 * 5_000)] * 5_000, order=order), b"x" * 60_000, order=order)
+    assert held.fields(bomb)[1] == 8 + 6 + 12 * 5_000 + 5_000 * 60_000
+    assert len(held.fields(bomb, 1 << 20)[0]) < 20
+
+
+def test_directories_are_followed_once():
+    inner = directory((1, 3, 1, 7))
+    assert held.fields(tiff(directory((0x8769, 4, 1, 26)), inner))[1] == 8 + 18 + 18
+    assert held.fields(tiff(directory((1, 3, 1, 7), after=26), inner))[1] == 8 + 18 + 18
+    two = directory((0x014A, 4, 2, 26)), (34).to_bytes(4, "little") + (52).to_bytes(4, "little"), inner, inner
+    assert held.fields(tiff(*two))[1] == 8 + 18 + 8 + 18 + 18
+    assert held.fields(tiff(directory((1, 99, 1 << 30, 7))))[1] == 26  # an unknown type is skipped
+    assert held.fields(tiff(directory()))[1] == 14
+
+
+@pytest.mark.parametrize(
+    "block",
+    [
+        b"",
+        b"II*\0",
+        b"XX*\0" + bytes(30),
+        tiff(),
+        tiff(directory((1, 3, 1, 7)))[:-1],
+        tiff(directory((1, 3, 1, 7), after=8)),
+        tiff(directory((1, 3, 1, 7), after=4)),
+        tiff(directory((1, 3, 1, 7), after=999)),
+        tiff(directory((0x8769, 4, 1, 8))),
+        tiff(directory((0x8769, 4, 1, 26), (0x8825, 4, 1, 26)), directory()),
+        tiff(directory((1, 2, 5, 22))),
+        tiff(directory((0x014A, 4, 1 << 29, 8))),
+        tiff(*(directory(after=8 + 6 * (i + 1)) for i in range(held.DIRECTORIES)), directory()),
+    ],
+)
+def test_what_cannot_be_measured_fails_closed(block):
+    with pytest.raises(held.Unmeasurable):
+        held.fields(block)
+    image = jpeg(segment(0xE1, b"Exif\0\0" + block), FRAME)
+    assert held.properties(image).size == held.UNMEASURABLE
+    assert probe_bytes(image, DecodeLimits())["container_failure"] == "metadataLimitExceeded"
+
+
+def test_attachments_come_from_the_index():
+    def index(listed: int, stored: int) -> bytes:
+        return jpeg(segment(0xE2, b"MPF\0" + tiff(directory((0xB001, 4, 1, listed), (0xB002, 7, 16 * stored, 38)), bytes(16 * stored))), FRAME)
+
+    assert held.properties(index(1, 1)) == (8 + 6 + 24 + 16, 0)
+    assert held.properties(index(4, 4)) == (8 + 6 + 24 + 64, 3)
+    for listed, stored in ((3, 4), (4, 3), (0, 1)):
+        assert held.properties(index(listed, stored)).size == held.UNMEASURABLE
+    assert held.properties(jpeg(segment(0xE2, b"MPF\0" + tiff(directory((1, 3, 1, 7)))), FRAME)).size == held.UNMEASURABLE
+    assert probe_bytes(index(4, 4), DecodeLimits())["container_failure"] == "auxiliaryAttachmentLimitExceeded"
+    seen = probe_bytes(index(4, 4), DecodeLimits(attachments=3))
+    assert (seen["container_failure"], seen["attachment_count"], seen["metadata_byte_count"]) == (None, 3, 106)
+    assert held.properties(GIF) == held.properties(jpeg(FRAME)) == (0, 0)
+
+
+@given(st.binary(max_size=200), st.booleans())
+def test_any_block_is_measured_or_refused(body, little):
+    block = (b"II*\0\x08\0\0\0" if little else b"MM\0*\0\0\0\x08") + body
+    try:
+        found, size = held.fields(block)
+    except held.Unmeasurable:
+        return
+    directories = {f.directory for f in found}
+    assert size >= 8 + 12 * len(found) + 6 * len(directories) + sum(f.length for f in found if f.length > 4)
+    assert all(f.at + f.length <= len(block) for f in found)
