@@ -16,8 +16,9 @@ def big_endian(value, size: int) -> Column:
 
 
 def little_endian(value, size: int) -> Column:
-    value = _column(value).cast("long")
-    return F.concat(*(big_endian(F.shiftright(value, 8 * k).bitwiseAND(255), 1) for k in range(size)))
+    """The lowest ``size`` bytes of a number, least significant first. The value is named once, so that nested builders stay small plans."""
+    digits = F.lpad(F.substring(F.hex(_column(value).cast("long")), -2 * size, 2 * size), 2 * size, "0")
+    return F.unhex(F.regexp_replace(F.reverse(digits), "(.)(.)", "$2$1"))
 
 
 def read_big_endian(content, at, size: int) -> Column:
@@ -40,10 +41,9 @@ def exif_block(orientation) -> Column:
     return F.concat(F.unhex(F.lit("49492A0008000000010012010300" + "01000000")), little_endian(orientation, 2), F.unhex(F.lit("000000000000")))
 
 
-def directory(*fields: Column, after=0) -> Column:
-    """A directory of little-endian entries of 12 bytes each, given in one or more columns, and the place of the next."""
-    entries = F.concat(*fields)
-    return F.concat(little_endian(F.octet_length(entries) / 12, 2), entries, little_endian(after, 4))
+def directory(count, *entries: Column, after=0) -> Column:
+    """A directory of ``count`` little-endian entries, given in one or more columns, and the place of the next."""
+    return F.concat(little_endian(count, 2), *entries, little_endian(after, 4))
 
 
 def entry(tag, kind: int, count, value) -> Column:

@@ -87,35 +87,35 @@ def container_parts(spark, sf_dir):
 _PROPERTY_LIMITS = DecodeLimits(encoded_bytes=4_096, metadata_bytes=1_500, attachments=2)
 
 
-@query("""WITH p AS (SELECT p_partkey AS k, p_partkey % 8 AS kind, p_partkey // 8 % 5 + 1 AS f, p_size * 10 AS m FROM part),
+@query("""WITH p AS (SELECT doc_id AS k, doc_id % 8 AS kind, doc_id // 8 % 5 + 1 AS f, n_chars % 50 * 10 + 10 AS m FROM documents),
   s AS (SELECT *, CASE kind WHEN 0 THEN 26 WHEN 3 THEN 32 + 12 * f + f * m WHEN 5 THEN 38 + 16 * f ELSE 14 + 12 * f + f * m END AS held,
     CASE kind WHEN 0 THEN 32 WHEN 3 THEN 38 + 12 * f + m WHEN 5 THEN 42 + 16 * f WHEN 7 THEN 14 + 12 * f + m ELSE 20 + 12 * f + m END AS told, kind IN (2, 6) OR kind = 4 AND f % 2 = 1 AS unmeasurable FROM p),
   r AS (SELECT *, CASE WHEN unmeasurable OR held > 1500 THEN 'metadataLimitExceeded' WHEN kind = 5 AND f > 3 THEN 'auxiliaryAttachmentLimitExceeded' END AS failure FROM s)
   SELECT k, CASE WHEN failure IS DISTINCT FROM 'metadataLimitExceeded' THEN CAST(greatest(held, told) AS BIGINT) END AS metadata_byte_count, CAST(CASE WHEN kind = 5 THEN f - 1 ELSE 0 END AS BIGINT) AS attachment_count, CASE WHEN failure IS NULL THEN 1 END AS orientation, failure FROM r""")
 def property_limits(spark, sf_dir):
     """Images whose EXIF fields share bytes, point at a directory of their own or beyond the block, run in a circle, or list pictures: the larger of two metadata sizes, attachments, and what can't be measured."""
-    key, empty = F.col("p_partkey"), F.unhex(F.lit(""))
+    key, empty = F.col("doc_id"), F.unhex(F.lit(""))
     other = F.floor(key / 8).cast("long")
-    made = table(spark, sf_dir, "part").select(key.alias("k"), (key % 8).alias("kind"), (other % 5 + 1).alias("f"), (F.col("p_size") * 10).cast("long").alias("m"))
+    made = table(spark, sf_dir, "documents").select(key.alias("k"), (key % 8).alias("kind"), (other % 5 + 1).alias("f"), (F.col("n_chars") % 50 * 10 + 10).cast("long").alias("m"))
     f, m = F.col("f"), F.col("m")
     value, note, pointer = b.filled(m, "61"), 0x9286, 8 + 6 + 12
 
     def notes(start, late=0):
-        return b.directory(b.repeated(b.entry(note, 7, m, start + 6 + 12 * f + late), f))
+        return b.directory(f, b.repeated(b.entry(note, 7, m, start + 6 + 12 * f + late), f))
 
     def exif(block):
         return b.jpeg_segment("E1", F.concat(F.lit("Exif").cast("binary"), F.unhex(F.lit("0000")), block))
 
     def index(listed):
-        entries = b.directory(b.entry(0xB001, 4, 1, listed), b.entry(0xB002, 7, 16 * f, 38))
+        entries = b.directory(2, b.entry(0xB001, 4, 1, listed), b.entry(0xB002, 7, 16 * f, 38))
         return b.jpeg_segment("E2", F.concat(F.lit("MPF").cast("binary"), F.unhex(F.lit("00")), b.tiff_block(entries, b.filled(16 * f))))
 
     shared = b.tiff_block(notes(F.lit(8)), value)
     segments = [
         exif(b.exif_block(F.lit(1))),
         exif(shared),
-        exif(b.tiff_block(b.directory(b.entry(note, 7, 4, 0), after=8))),
-        exif(b.tiff_block(b.directory(b.entry(0x8825, 4, 1, pointer)), notes(F.lit(pointer)), value)),
+        exif(b.tiff_block(b.directory(1, b.entry(note, 7, 4, 0), after=8))),
+        exif(b.tiff_block(b.directory(1, b.entry(0x8825, 4, 1, pointer)), notes(F.lit(pointer)), value)),
         exif(b.tiff_block(notes(F.lit(8), f % 2), value)),
         index(f),
         index(f + 1),
