@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import Rows, held_out, identified_texts, prepare, raw_rows
+from .runtime import Rows, Workspace, held_out, identified_texts, prepare, raw_rows
 
 DIMENSIONS = 1 << 18
 PREFIXES = (3, 4, 5, 6, 8)
@@ -215,11 +215,29 @@ def proximal(rows: list[np.ndarray], weight: np.ndarray, slope, l1: float, steps
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("features", pa.binary())])
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, rows_per_class: int, shapes: bool, keep=None) -> list[tuple[int, int, np.ndarray, float]]:
+#: Bytes of features that a sample brings to the driver at most, and the shares of ids that are left out where they'd be more.
+SAMPLE_BYTES, SLOTS = 128 << 20, 1 << 16
+#: Steps in which a class's share of rows is told, so that a few rows of many billions can be.
+RANKS = 1 << 62
+
+
+def shares_within(sizes: dict[int, int], most: int) -> int:
+    """The first share that is left out, so that those before it have at most ``most`` bytes, or only one of them has any."""
+    total = 0
+    for slot in sorted(sizes):
+        if total and total + sizes[slot] > most:
+            return slot
+        total += sizes[slot]
+    return SLOTS
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, rows_per_class: int, shapes: bool, sample_bytes: int = SAMPLE_BYTES) -> list[tuple[int, int, np.ndarray, float]]:
     """(doc_id, label, features, weight) of a bounded sample of labelled documents that aren't held out.
 
     At most about ``rows_per_class`` rows of each label value, chosen by a hash of the id alone and
-    weighted so that the classes keep their share. Whole texts are read. Rows without an id or
+    weighted so that the classes keep their share. Whole texts are read. What the driver gets is at most ``sample_bytes`` of
+    features (or those of the first of SLOTS shares of ids): beyond that whole shares of ids are left
+    out, whatever their label. More than MOST_CLASSES label values are refused by ValueError. Rows without an id or
     label are skipped; of several labels of an id the largest counts, of several texts the first in the order of bytes.
     """
     spark = prepare(docs.sparkSession)
@@ -230,8 +248,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, rows_per_cla
         return []
     if len(counts) > MOST_CLASSES:
         raise ValueError(f"more than {MOST_CLASSES} values of {label}: not a graded label")
-    rank = F.pmod(F.xxhash64("doc_id", F.lit(label)), F.lit(1 << 20))
-    limit = F.coalesce(*(F.when(F.col("label") == value, F.lit(int((1 << 20) * min(1.0, rows_per_class / n)))) for value, n in counts.items()))
+    rank = F.pmod(F.xxhash64("doc_id", F.lit(label)), F.lit(RANKS))
+    limit = F.coalesce(*(F.when(F.col("label") == value, F.lit(min(RANKS, RANKS * rows_per_class // n))) for value, n in counts.items()))
     chosen = known.where(rank < limit)
     picked = identified_texts(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("raw").alias("raw"))  # about rows_per_class rows a class
 
@@ -247,7 +265,12 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, rows_per_cla
             yield rows.batch()
 
     of = {r["doc_id"]: r["label"] for r in chosen.collect()}
-    found = picked.select("doc_id", "raw").mapInArrow(run, "doc_id long, features binary").toArrow()
+    work = Workspace(spark, "sample")
+    featured = work.write(picked.select("doc_id", "raw").mapInArrow(run, "doc_id long, features binary"), "features")
+    slot = F.pmod(F.xxhash64("doc_id", F.lit("share")), F.lit(SLOTS))
+    sizes = featured.groupBy(slot.alias("slot")).agg(F.sum(F.octet_length("features") + 8).alias("size")).collect()
+    found = featured.where(slot < shares_within({r["slot"]: r["size"] for r in sizes}, sample_bytes)).toArrow()
+    work.drop(featured)
     ids = found.column("doc_id").to_pylist()
     sampled = Counter(of[i] for i in ids)
     scale = {value: counts[value] / n for value, n in sampled.items()}

@@ -4,7 +4,7 @@ One hashed-text score is shared by all grades; ordered thresholds turn it into p
 reaching each grade: P(grade > k) = logistic(score - threshold k). Given are the expected grade and
 the probability of reaching the top grades, by which documents are selected.
 
-The sample is bounded (``rows_per_class`` rows of each grade, ROWS_PER_CLASS by default) and spares
+The sample is bounded (``rows_per_class`` rows of each grade, ROWS_PER_CLASS by default, and ``sample_bytes`` of features) and spares
 held-out documents; scoring covers whole texts of all documents, very long ones too. Null and empty texts get the score
 of no features, like any other text. With fewer than two grades there is nothing to tell apart:
 every document is selected with probability 1. Repeated rows are scored once each, null doc_ids
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .hashed_text import DIMENSIONS, LinearScorer, proximal, sigmoid, training_sample
+from .hashed_text import DIMENSIONS, SAMPLE_BYTES, LinearScorer, proximal, sigmoid, training_sample
 from .runtime import Rows, held_out, identified_texts, prepare, raw_rows
 
 ROWS_PER_CLASS = 5000
@@ -73,8 +73,8 @@ def fit(sample, l1: float = L1, steps: int = STEPS) -> OrdinalModel:
     return OrdinalModel(weights, tuple(thresholds.tolist()), grades)
 
 
-def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS) -> OrdinalModel:
-    return fit(training_sample(docs, labels, "quality", rows_per_class, shapes=True))
+def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS, sample_bytes: int = SAMPLE_BYTES) -> OrdinalModel:
+    return fit(training_sample(docs, labels, "quality", rows_per_class, shapes=True, sample_bytes=sample_bytes))
 
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("expected_grade", pa.float64()), ("tail_probability", pa.float64())])

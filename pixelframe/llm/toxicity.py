@@ -5,7 +5,7 @@ identity term, the same text with another term of that group in its place should
 squared change of the log-odds over all such swaps is part of the objective, next to an l1 penalty
 that leaves rare chance words without weight.
 
-The sample is bounded (``rows_per_class`` rows of each label, ROWS_PER_CLASS by default); scoring
+The sample is bounded (``rows_per_class`` rows of each label, ROWS_PER_CLASS by default, and ``sample_bytes`` of features); scoring
 covers whole texts of all documents, very long ones too. Null and empty texts get the base rate. With no usable label
 every score is LOW_RATE. Repeated rows are scored
 once each, null doc_ids stay null and aren't held out, other columns are ignored, an empty table
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .hashed_text import DIMENSIONS, LinearScorer, Offset, proximal, sigmoid, training_sample, word_features
+from .hashed_text import DIMENSIONS, SAMPLE_BYTES, LinearScorer, Offset, proximal, sigmoid, training_sample, word_features
 from .runtime import Rows, held_out, identified_texts, prepare, raw_rows
 
 ROWS_PER_CLASS = 5000
@@ -78,8 +78,8 @@ def fit(sample, counterfactual: float = COUNTERFACTUAL, l1: float = L1, steps: i
     return proximal([f for _, _, f, _ in sample], weight, slope, l1, steps, pairs, counterfactual), float(offset.value)
 
 
-def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS) -> tuple[np.ndarray, float]:
-    return fit(training_sample(docs, labels, "toxic", rows_per_class, shapes=False))
+def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS, sample_bytes: int = SAMPLE_BYTES) -> tuple[np.ndarray, float]:
+    return fit(training_sample(docs, labels, "toxic", rows_per_class, shapes=False, sample_bytes=sample_bytes))
 
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])

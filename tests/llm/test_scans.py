@@ -411,3 +411,22 @@ def test_repeated_ids_give_one_training_row(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(5)] * 3, "doc_id long, toxic int")
     found = hashed_text.training_sample(frame, labels, "toxic", 100, False)
     assert len(found) == len({i for i, *_ in found}) <= 5
+
+
+def test_samples_are_bounded_in_bytes(spark):
+    assert hashed_text.shares_within({}, 10) == hashed_text.shares_within({5: 4, 9: 6}, 10) == hashed_text.SLOTS
+    assert hashed_text.shares_within({9: 6, 5: 4, 11: 1}, 10) == 11 and hashed_text.shares_within({5: 40, 9: 6}, 10) == 9
+    texts = [(i, " ".join(f"w{i}x{k}" for k in range(20 + i))) for i in range(200)]
+    frame, labels = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    whole = hashed_text.training_sample(frame, labels, "toxic", 1_000, False)
+    size = sum(4 * len(f) + 8 for _, _, f, _ in whole)
+    part = hashed_text.training_sample(frame, labels, "toxic", 1_000, False, sample_bytes=size // 3)
+    assert size // 4 < sum(4 * len(f) + 8 for _, _, f, _ in part) <= size // 3
+    features = {i: f.tobytes() for i, _, f, _ in whole}
+    assert all(features[i] == f.tobytes() for i, _, f, _ in part)  # of a document all or nothing
+    for found in (whole, part):  # the classes keep their share
+        shares = [sum(w for _, y, _, w in found if y == c) for c in (0, 1)]
+        known = [sum(1 for _, y, _, _ in whole if y == c) for c in (0, 1)]
+        assert abs(shares[0] / sum(shares) - known[0] / sum(known)) < 1e-9
+    few = hashed_text.training_sample(frame, labels, "toxic", 20, False)
+    assert 15 < len(few) < 70
