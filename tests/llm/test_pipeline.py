@@ -78,6 +78,6 @@ def test_registered():
     import __spark_entry__
 
     found = set(__spark_entry__.queries())
-    assert {q.split("_")[0] for q in queries.queries()} == {f"op{n}" for n in range(1, 11)}
+    assert {q.split("_")[0] for q in queries.queries()} == {f"op{n}" for n in range(1, 14)}
     assert set(queries.queries()) | {"pipeline"} <= found
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality", "near_dedup", "packing"]
