@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..batches import Output, memo
 from ..contracts import DecodeLimits, EncodeCapabilities, EncodeLimits
 from ..functions import containers, jpeg, pixels, properties
 from ..shipping import ship
@@ -164,26 +165,35 @@ def prefix_decodes(images: DataFrame, key: str, content: str = "content") -> Dat
 
     ship(images.sparkSession)
     kind = images.schema[key].dataType.simpleString()
-    names = [key, "scan", "offset", "labels", "available", "pixels_sha256", "is_final", "mse_micro"]
+    fields = [("scan", pa.int32()), ("offset", pa.int64()), ("labels", pa.list_(pa.string())), ("available", pa.bool_()), ("pixels_sha256", pa.string()), ("is_final", pa.bool_()), ("mse_micro", pa.int64())]
+
+    def prefixes(blob: bytes) -> list[tuple]:
+        try:
+            scans, whole = containers.jpeg_scans(blob), jpeg.decode(blob).tobytes()
+        except (containers.Corrupt, pixels.PixelError):
+            return []
+        rows = []
+        for scan in scans:
+            for offset, labels in containers.checkpoints(scan, len(blob)):
+                made, _, _ = jpeg.decode_prefix(blob[:offset])
+                if made is None:
+                    rows.append((scan.scan, offset, labels, False, None, False, None))
+                    continue
+                error = pixels.error_metrics(whole, made.tobytes())["mean_squared_error_micro"]
+                rows.append((scan.scan, offset, labels, True, hashlib.sha256(made.tobytes()).hexdigest(), error == 0, error))
+        return rows
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = memo("prefixes")
         for batch in batches:
-            rows = []
+            out = Output(pa.schema([(key, batch.schema.field(key).type), *fields]))
             for name, blob in zip(batch.column(key).to_pylist(), batch.column("_content").to_pylist()):
-                try:
-                    scans, whole = containers.jpeg_scans(blob or b""), jpeg.decode(blob or b"")
-                except (containers.Corrupt, pixels.PixelError):
-                    continue
-                for scan in scans:
-                    for offset, labels in containers.checkpoints(scan, len(blob)):
-                        made, _, _ = jpeg.decode_prefix(blob[:offset])
-                        if made is None:
-                            rows.append((name, scan.scan, offset, labels, False, None, False, None))
-                            continue
-                        error = pixels.error_metrics(whole.tobytes(), made.tobytes())["mean_squared_error_micro"]
-                        rows.append((name, scan.scan, offset, labels, True, hashlib.sha256(made.tobytes()).hexdigest(), error == 0, error))
-            types = [batch.schema.field(key).type, pa.int32(), pa.int64(), pa.list_(pa.string()), pa.bool_(), pa.string(), pa.bool_(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows) if rows else [[]] * 8, types)], names=names)
+                blob = blob or b""
+                for row in known.get(blob, lambda: prefixes(blob), lambda made: len(blob) + 400 * len(made)):
+                    out.add((name, *row), 200)
+                if out.full:
+                    yield out.batch()
+            yield out.batch()
 
     return images.select(key, F.col(content).cast("binary").alias("_content")).mapInArrow(walk, f"`{key}` {kind}, scan int, offset long, labels array<string>, available boolean, pixels_sha256 string, is_final boolean, mse_micro long")
 
@@ -195,34 +205,37 @@ def previews(images: DataFrame, key: str, thresholds: tuple[int, ...] = (1, 2, 4
     """
     ship(images.sparkSession)
     kind = images.schema[key].dataType.simpleString()
-    names = [key, "generation", "scan", "width", "height", "pixels", "failure"]
+    fields = [("generation", pa.int32()), ("scan", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("pixels", pa.binary()), ("failure", pa.string())]
+
+    def shown(blob: bytes) -> list[tuple]:
+        try:
+            scans, progressive = containers.jpeg_scans(blob), containers.jpeg_structure(blob)["frame_marker"] == "C2"
+            whole = jpeg.decode(blob)
+        except containers.Corrupt as e:
+            return [(None, None, None, None, None, e.failure)]
+        except pixels.PixelError:
+            return [(None, None, None, None, None, "decodeFailed")]
+        if not progressive:
+            return [(None, None, None, None, None, "progressiveDecodingUnsupported")]
+        rows = []
+        for scan in scans[:-1]:
+            if scan.scan in thresholds:
+                made, _, _ = jpeg.decode_prefix(blob[: scan.entropy_end])
+                if made is not None:
+                    rows.append((len(rows) + 1, scan.scan, made.shape[1], made.shape[0], made.tobytes(), None))
+        return [*rows, (None, len(scans), whole.shape[1], whole.shape[0], whole.tobytes(), None)]
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = memo("previews", thresholds)
         for batch in batches:
-            rows = []
+            out = Output(pa.schema([(key, batch.schema.field(key).type), *fields]))
             for name, blob in zip(batch.column(key).to_pylist(), batch.column("_content").to_pylist()):
-                try:
-                    scans, progressive = containers.jpeg_scans(blob or b""), containers.jpeg_structure(blob or b"")["frame_marker"] == "C2"
-                    whole = jpeg.decode(blob)
-                except containers.Corrupt as e:
-                    rows.append((name, None, None, None, None, None, e.failure))
-                    continue
-                except pixels.PixelError:
-                    rows.append((name, None, None, None, None, None, "decodeFailed"))
-                    continue
-                if not progressive:
-                    rows.append((name, None, None, None, None, None, "progressiveDecodingUnsupported"))
-                    continue
-                generation = 0
-                for scan in scans[:-1]:
-                    if scan.scan in thresholds:
-                        made, _, _ = jpeg.decode_prefix(blob[: scan.entropy_end])
-                        if made is not None:
-                            generation += 1
-                            rows.append((name, generation, scan.scan, made.shape[1], made.shape[0], made.tobytes(), None))
-                rows.append((name, None, len(scans), whole.shape[1], whole.shape[0], whole.tobytes(), None))
-            types = [batch.schema.field(key).type, pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows) if rows else [[]] * 7, types)], names=names)
+                blob = blob or b""
+                for row in known.get(blob, lambda: shown(blob), lambda made: len(blob) + sum(200 + len(r[4] or b"") for r in made)):
+                    out.add((name, *row), len(row[4] or b""))
+                if out.full:
+                    yield out.batch()
+            yield out.batch()
 
     return images.select(key, F.col(content).cast("binary").alias("_content")).mapInArrow(walk, f"`{key}` {kind}, generation int, scan int, width int, height int, pixels binary, failure string")
 
@@ -238,29 +251,39 @@ def decode(images: DataFrame, key: str, target: tuple[int, int], mode: str = "fi
     kind = images.schema[key].dataType.simpleString()
 
     timed = ["decode_ns", "render_ns"] if diagnostics else []
+    fields = [("width", pa.int32()), ("height", pa.int32()), ("channels", pa.int32()), ("pixels", pa.binary()), ("failure", pa.string()), *((t, pa.int64()) for t in timed)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(blob: bytes, turned: int) -> tuple:
         from time import perf_counter_ns
 
+        spent = [None, None]
+        began = perf_counter_ns()
+        try:
+            raw = pixels.decode(blob)
+            spent[0] = perf_counter_ns() - began
+            drawn = pixels.rendered(pixels.oriented(raw, turned), *target, mode)
+            spent[1] = perf_counter_ns() - began - spent[0]
+            if mode == "fit" and (drawn.shape[1] > target[0] or drawn.shape[0] > target[1]):
+                raise pixels.PixelError("outside the target")
+            return (drawn.shape[1], drawn.shape[0], drawn.shape[2], drawn.tobytes(), None, *spent[: len(timed)])
+        except pixels.PixelError:
+            return (None, None, None, None, "decodeFailed", *spent[: len(timed)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = memo("decode", target, mode)
         for batch in batches:
-            rows = []
-            for name, blob, turned, failure in zip(*(batch.column(c).to_pylist() for c in (key, "_content", "orientation", "failure"))):
-                shape, data, spent = (None, None, None), None, [None, None]
-                if failure is None:
-                    began = perf_counter_ns()
-                    try:
-                        raw = pixels.decode(blob)
-                        spent[0] = perf_counter_ns() - began
-                        made = pixels.rendered(pixels.oriented(raw, turned), *target, mode)
-                        spent[1] = perf_counter_ns() - began - spent[0]
-                        if mode == "fit" and (made.shape[1] > target[0] or made.shape[0] > target[1]):
-                            raise pixels.PixelError("outside the target")
-                        shape, data = (made.shape[1], made.shape[0], made.shape[2]), made.tobytes()
-                    except pixels.PixelError:
-                        failure = "decodeFailed"
-                rows.append((name, *shape, data, failure, *spent[: len(timed)]))
-            types = [batch.schema.field(key).type, pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string(), *(pa.int64() for _ in timed)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows) if rows else [[]] * len(types), types)], names=[key, "width", "height", "channels", "pixels", "failure", *timed])
+            out = Output(pa.schema([(key, batch.schema.field(key).type), *fields]))
+            for at, (name, turned, failure) in enumerate(zip(*(batch.column(c).to_pylist() for c in (key, "orientation", "failure")))):
+                if failure is not None:
+                    out.add((name, None, None, None, None, failure, *(None for _ in timed)))
+                    continue
+                blob = batch.column("_content")[at].as_py()
+                # What is timed is decoded for each row, so that times are of that row.
+                row = made(blob, turned) if timed else known.get((blob, turned), lambda: made(blob, turned), lambda r: len(blob) + len(r[3] or b""))
+                out.add((name, *row), len(row[3] or b""))
+                if out.full:
+                    yield out.batch()
+            yield out.batch()
 
     probed = probe(images.select(key, content, F.col(content).alias("_copy")), content, limits)
     return probed.select(key, F.col("_copy").cast("binary").alias("_content"), "orientation", "failure").mapInArrow(run, f"`{key}` {kind}, width int, height int, channels int, pixels binary, failure string" + "".join(f", {t} long" for t in timed))
@@ -304,25 +327,28 @@ def encode(rasters: DataFrame, key: str, background: tuple[int, int, int] | None
         (F.col("width").cast("long") * F.col("height") <= limits.pixel_count, "pixelLimitExceeded"),
     )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(data: bytes | None, width: int, height: int, channels: int) -> tuple[bytes | None, str | None]:
         import numpy as np
 
+        if data is None or len(data) != width * height * channels:
+            return None, "encodeFailed"
+        raster = np.frombuffer(data, dtype=np.uint8).reshape(height, width, channels)
+        raster = pixels.flattened(raster, background) if background else raster
+        blob = pixels.encode_png(raster) if format == "png" else jpeg.encode(raster, quality, jpeg.PROGRESSIVE if progressive else None)
+        return (None, "encodedBytesExceeded") if len(blob) > limits.encoded_bytes else (blob, None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = memo("encode", background, limits, format, quality, progressive)
         for batch in batches:
-            names, blobs, failures = [], [], []
-            for name, width, height, channels, data, failure in zip(*(batch.column(c).to_pylist() for c in (key, "width", "height", "channels", "pixels", "failure"))):
+            out = Output(pa.schema([(key, batch.schema.field(key).type), ("content", pa.binary()), ("failure", pa.string())]))
+            for at, (name, width, height, channels, failure) in enumerate(zip(*(batch.column(c).to_pylist() for c in (key, "width", "height", "channels", "failure")))):
                 blob = None
                 if failure is None:
-                    if data is None or len(data) != width * height * channels:
-                        failure = "encodeFailed"
-                    else:
-                        raster = np.frombuffer(data, dtype=np.uint8).reshape(height, width, channels)
-                        raster = pixels.flattened(raster, background) if background else raster
-                        blob = pixels.encode_png(raster) if format == "png" else jpeg.encode(raster, quality, jpeg.PROGRESSIVE if progressive else None)
-                        if len(blob) > limits.encoded_bytes:
-                            blob, failure = None, "encodedBytesExceeded"
-                names.append(name)
-                blobs.append(blob)
-                failures.append(failure)
-            yield pa.RecordBatch.from_arrays([pa.array(names, batch.schema.field(key).type), pa.array(blobs, pa.binary()), pa.array(failures, pa.string())], names=[key, "content", "failure"])
+                    data = batch.column("pixels")[at].as_py()
+                    blob, failure = known.get((data, width, height, channels), lambda: made(data, width, height, channels), lambda r: len(data or b"") + len(r[0] or b""))
+                out.add((name, blob, failure), len(blob or b""))
+                if out.full:
+                    yield out.batch()
+            yield out.batch()
 
     return rasters.select(key, "width", "height", "channels", "pixels", F.coalesce("failure", admitted).alias("failure")).mapInArrow(run, f"`{key}` {kind}, content binary, failure string")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -16,7 +16,7 @@ from ..functions import jpeg
 from ..operators import prepared
 from ..operators.probe import container_parts as parts
 from ..operators.probe import decode, encode, jpeg_structures, prefix_decodes, previews, probe, scan_boundaries
-from ..shipping import ship
+from ..shipping import ship, spread
 from ..sources.files import table
 from .registry import query
 
@@ -190,18 +190,25 @@ _CELL = "((k * 7 + i % w // 8 * 13 + i // w // 8 * 29) % 256)"
 _MEANS = ((None, 0, 0, 0, 4), (None, 0, 0, 4, 3), (None, 0, 0, 3, 2), (None, 0, 0, 2, 1), (None, 0, 0, 1, 0))
 
 
+@lru_cache(maxsize=8192)
+def _cell_file(value: int, across: int, down: int, script) -> bytes:
+    y, x = np.mgrid[: 8 * down, : 8 * across]
+    return jpeg.encode(((value * 7 + x // 8 * 13 + y // 8 * 29) % 256).astype(np.uint8)[:, :, None], 1.0, script)
+
+
+@lru_cache(maxsize=16384)
+def _ink_file(inks: tuple[int, ...]) -> bytes:
+    return jpeg.encode(np.tile(np.array(inks, dtype=np.uint8), (8, 8, 1)), 1.0)
+
+
 def _cell_files(spark, sf_dir, script=None) -> DataFrame:
     """Grey JPEG files of flat cells at quality 1, which keep every value."""
     ship(spark)
 
     def made(keys: pd.Series, sizes: pd.Series) -> pd.Series:
-        out = []
-        for k, size in zip(keys, sizes):
-            y, x = np.mgrid[: 8 * (size % 3 + 1), : 8 * (k % 3 + 1)]
-            out.append(jpeg.encode(((k * 7 + x // 8 * 13 + y // 8 * 29) % 256).astype(np.uint8)[:, :, None], 1.0, script))
-        return pd.Series(out, dtype=object)
+        return pd.Series([_cell_file(k % 256, k % 3 + 1, size % 3 + 1, script) for k, size in zip(keys.tolist(), sizes.tolist())], dtype=object)
 
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), pandas_udf(made, "binary")("p_partkey", "p_size").alias("content"))
+    return spread(table(spark, sf_dir, "part").select("p_partkey", "p_size")).select(F.col("p_partkey").alias("k"), pandas_udf(made, "binary")("p_partkey", "p_size").alias("content"))
 
 
 @query(f"""SELECT k, mode, CAST(w AS INTEGER) AS width, CAST(h AS INTEGER) AS height, 1 AS channels, {_cells_sha(_CELL)} AS pixels_sha256, true AS survives FROM {_CELLS}, (VALUES ('baseline'), ('progressive')) m(mode)""")
@@ -236,10 +243,10 @@ def cmyk_files(spark, sf_dir):
     ship(spark)
 
     def made(keys: pd.Series, sizes: pd.Series) -> pd.Series:
-        inks = [(k % 256, k * 3 % 256, s * 5 % 256, (k + s) * 7 % 256) for k, s in zip(keys, sizes)]
-        return pd.Series([jpeg.encode(np.tile(np.array(i, dtype=np.uint8), (8, 8, 1)), 1.0) for i in inks], dtype=object)
+        inks = [(k % 256, k * 3 % 256, s * 5 % 256, (k + s) * 7 % 256) for k, s in zip(keys.tolist(), sizes.tolist())]
+        return pd.Series([_ink_file(i) for i in inks], dtype=object)
 
-    files = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), pandas_udf(made, "binary")("p_partkey", "p_size").alias("content"))
+    files = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size")).select(F.col("p_partkey").alias("k"), pandas_udf(made, "binary")("p_partkey", "p_size").alias("content"))
     return decode(files, "k", (64, 64)).select("k", "channels", F.sha2("pixels", 256).alias("pixels_sha256"), "failure")
 
 

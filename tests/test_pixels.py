@@ -193,3 +193,26 @@ def test_interlaced_and_small_depths():
     head = struct.pack(">IIBBBBB", 6, 5, 2, 0, 0, 0, 0)
     blob = px.PNG_MAGIC + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
     assert np.array_equal(decode(blob)[:, :, 0], bits * 85)
+
+
+def test_code_tables_are_as_long_as_their_longest_code():
+    counts, symbols = bytes([0, 2, 1, *[0] * 13]), bytes([7, 8, 9])
+    longest, entries = jpeg._lookup(counts, symbols)
+    assert (longest, entries) == (3, [2 << 8 | 7] * 2 + [2 << 8 | 8] * 2 + [3 << 8 | 9] + [0] * 3)
+    with pytest.raises(PixelError):
+        jpeg._lookup(bytes([3, *[0] * 15]), bytes([1, 2, 3]))
+
+
+def test_small_files_are_dealt_over_tasks_and_equal_ones_decoded_once(spark, sf_dir, monkeypatch):
+    from pixelframe import batches
+    from pixelframe.plans import image_queries
+
+    assert image_queries._cell_files(spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    made, known = [], batches.Memo()
+    for key in (1, 2, 1, 1):
+        assert known.get(key, lambda: made.append(key) or (key,), lambda r: 10) == (key,)
+    assert made == [1, 2]
+    monkeypatch.setattr(batches, "MEMO_BYTES", 4_000)
+    for key in range(100):
+        known.get(("x", key), lambda: (key,), lambda r: 500)
+    assert known.bytes <= 4_000
