@@ -12,6 +12,7 @@ from ..contracts import DecodeCapabilities, DecodeLimits, EncodeCapabilities, En
 from ..functions.numeric import ceiled, half_up, micro, ppm, saturated_product, truncated
 from ..functions.pixels import encode_png
 from ..operators import admission, identity, joins, metrics, policy, queueing, statistics
+from ..shipping import ship, spread
 from ..sources.files import table
 from .registry import ORACLE_SQL, QUERIES, query
 
@@ -499,7 +500,7 @@ def decode_and_encode(spark, sf_dir):
     from ..operators.probe import decode, encode
 
     whole = (DecodeLimits().dimension,) * 2
-    first = decode(_page_images(spark, sf_dir), "page_id", whole)
+    first = decode(_page_images(spark, sf_dir), "page_id", whole).repartition("page_id")  # decoded once, and later steps get workers of their own
     again = decode(encode(first, "page_id"), "page_id", whole).select("page_id", F.col("pixels").alias("again"))
     return first.join(again, "page_id").select("page_id", "width", "height", "channels", F.sha2("pixels", 256).alias("pixels_sha256"), (F.col("pixels") == F.col("again")).alias("survives"), "failure")
 
@@ -563,6 +564,7 @@ def simulation_matrix(spark, sf_dir):
 
 def _page_images(spark, sf_dir) -> DataFrame:
     """Pages as pictures of all bytes of their texts, 48 pixels wide and as high as needed (wider above the dimension limit), blanks at the end."""
+    ship(spark)
     highest = DecodeLimits().dimension
 
     def pictures(ids: pd.Series, html: pd.Series) -> pd.Series:
@@ -577,7 +579,7 @@ def _page_images(spark, sf_dir) -> DataFrame:
         return pd.Series(out, dtype=object)
 
     make = pandas_udf(pictures, "binary")
-    return table(spark, sf_dir, "pages").select("page_id", make("page_id", "html").alias("content"))
+    return spread(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", make("page_id", "html").alias("content"))
 
 
 def _progressive_events(spark, sf_dir) -> DataFrame:

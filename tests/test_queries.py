@@ -66,3 +66,17 @@ def test_entry(spark):
     frame = __spark_entry__.entry(spark)
     assert frame.columns == ["event_type", "count", "minimum", "median", "p90", "maximum", "mean"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name", ["decode_and_encode", "probe_agreement"])
+def test_pictures_are_read_once(name, spark, sf_dir):
+    """Both sides of a join read one exchange of what Python made of the table."""
+    frame = QUERIES[name](spark, sf_dir)
+    frame.collect()
+    final = frame._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in final
+
+
+def test_pages_are_dealt_in_bounded_batches(spark, sf_dir):
+    assert _page_images(spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") != "10000"
