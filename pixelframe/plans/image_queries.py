@@ -31,7 +31,7 @@ def _images(spark, sf_dir) -> DataFrame:
     key = F.col("p_partkey")
     other = F.floor(key / 8).cast("long")
     size = F.col("p_size").cast("long")
-    made = table(spark, sf_dir, "part").select(key.alias("k"), (key % 8).alias("kind"), size.alias("p"), (size * 50).alias("n"), (size * 5).alias("m"), (other % 2 + 1).alias("f"), (other % 3 + 1).alias("c"), (other % 5 == 0).alias("gap"), (other % 7 == 0).alias("grey"), (other % 10).alias("o"), (size * 64).alias("w"), (key % 900 * 3 + 7).alias("h"))
+    made = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size")).select(key.alias("k"), (key % 8).alias("kind"), size.alias("p"), (size * 50).alias("n"), (size * 5).alias("m"), (other % 2 + 1).alias("f"), (other % 3 + 1).alias("c"), (other % 5 == 0).alias("gap"), (other % 7 == 0).alias("grey"), (other % 10).alias("o"), (size * 64).alias("w"), (key % 900 * 3 + 7).alias("h"))
     w, h, n = F.col("w"), F.col("h"), F.col("n")
     exif = F.concat(F.lit("Exif").cast("binary"), F.unhex(F.lit("0000")), b.exif_block(F.col("o")))
     empty, tag = F.unhex(F.lit("")), F.concat(F.lit("ICC_PROFILE").cast("binary"), F.unhex(F.lit("00")))
@@ -217,7 +217,7 @@ def jpeg_round_trip(spark, sf_dir):
     whole = (DecodeLimits().dimension,) * 2
     out = []
     for mode, script in (("baseline", None), ("progressive", jpeg.PROGRESSIVE)):
-        first = decode(_cell_files(spark, sf_dir, script), "k", whole)
+        first = decode(_cell_files(spark, sf_dir, script), "k", whole).repartition("k")  # decoded once, and later steps get workers of their own
         again = decode(encode(first, "k", format="jpeg", quality=1.0, progressive=script is not None), "k", whole).select("k", F.col("pixels").alias("again"))
         out.append(first.join(again, "k").select("k", F.lit(mode).alias("mode"), "width", "height", "channels", F.sha2("pixels", 256).alias("pixels_sha256"), (F.col("pixels") == F.col("again")).alias("survives")))
     return out[0].unionByName(out[1])
@@ -296,7 +296,7 @@ def colour_interpretation(spark, sf_dir):
   WHEN greatest(w, h) > 3000 THEN 'dimensionLimitExceeded' WHEN w * h > 6000000 THEN 'pixelLimitExceeded' WHEN kind = 5 AND f > 1 THEN 'frameLimitExceeded' WHEN k % 3 = 0 THEN 'probeMismatch' END AS failure FROM {_IMAGES}""")
 def probe_agreement(spark, sf_dir):
     """Decoding with a given probe: the source is probed again, and every third caller's width is off by one."""
-    fresh = probe(_images(spark, sf_dir), limits=LIMITS)
+    fresh = probe(_images(spark, sf_dir), limits=LIMITS).repartition("k")  # probed once for both sides
     off = F.when(F.col("k") % 3 == 0, F.lit(1)).otherwise(F.lit(0))
     fields = [(F.col(f) + off).alias(f) if f == "width" else F.col(f) for f in prepared.PROBE_FIELDS]
     return prepared.matched(fresh.select("k", F.struct(*fields).alias("given")), fresh, "k").select("k", "failure")
