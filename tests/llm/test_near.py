@@ -447,3 +447,33 @@ def test_links_by_frequencies_of_rare_shingles(spark, docs, monkeypatch):
     monkeypatch.setattr(minhash_dedup, "HEAVY", 0.05)
     frame = spark.createDataFrame([(i, t, None, None, None, 0.0, "") for i, t in texts], docs.schema)
     assert {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(frame, damping=1.0).collect()} == expected
+
+
+def test_dense_buckets_are_cut_by_longer_keys(spark):
+    """Buckets with ever more unlike images don't make ever more pairs; images whose longer keys agree too still meet."""
+    from pixelframe.llm.linkage import pairs_across, sparse_meetings
+    from pixelframe.llm.runtime import Workspace
+
+    def pairs(n):
+        work = Workspace(spark, "dense")
+        rows = spark.range(n).selectExpr("id AS node", "id % 4 AS bucket", "CAST(id / 8 AS LONG) AS step0", "CAST(id % 8 / 4 AS LONG) AS step1")
+        found = sparse_meetings(work, rows.select("bucket", "node"), lambda: rows, ["step0", "step1"], spark.createDataFrame([], "id long, root long"), 0.4)
+        return {(r["a"], r["b"]) for r in pairs_across(found).collect()}
+
+    assert not pairs(400)  # 19,800 pairs by the short keys
+    work = Workspace(spark, "dense")
+    rows = spark.range(400).selectExpr("id AS node", "id % 4 AS bucket", "id % 4 + CAST(id / 8 AS LONG) * 4 AS step0", "0L AS step1")
+    found = sparse_meetings(work, rows.select("bucket", "node"), lambda: rows, ["step0", "step1"], spark.createDataFrame([], "id long, root long"), 0.4)
+    assert {(r["a"], r["b"]) for r in pairs_across(found).collect()} == {(i, i + 4) for i in range(400) if i % 8 < 4}
+
+
+def test_long_keys_extend_short_ones():
+    words = np.random.default_rng(8).integers(0, 2**63, (5, 4), dtype=np.uint64)
+    for order in (0, 1):
+        buckets, steps = image_copies.long_keys(words, order)
+        assert np.array_equal(np.unique(buckets), image_copies.keys(words, order)) and steps.shape == (30, len(image_copies.LONGER))
+    assert not len(np.intersect1d(image_copies.keys(words), image_copies.keys(words, 1)))
+    other = words.copy()
+    other.view(np.uint8)[:, 5] ^= 1  # the byte after the first piece, the first of the second
+    short = np.intersect1d(image_copies.keys(words), image_copies.keys(other))
+    assert len(short) == 25
