@@ -208,7 +208,9 @@ def _cell_files(spark, sf_dir, script=None) -> DataFrame:
     def made(keys: pd.Series, sizes: pd.Series) -> pd.Series:
         return pd.Series([_cell_file(k % 256, k % 3 + 1, size % 3 + 1, script) for k, size in zip(keys.tolist(), sizes.tolist())], dtype=object)
 
-    return spread(table(spark, sf_dir, "part").select("p_partkey", "p_size")).select(F.col("p_partkey").alias("k"), pandas_udf(made, "binary")("p_partkey", "p_size").alias("content"))
+    key, size = F.col("p_partkey"), F.col("p_size")
+    dealt = spread(table(spark, sf_dir, "part").select(key, size), key % 256, key % 3, size % 3)  # equal pictures to one task
+    return dealt.select(key.alias("k"), pandas_udf(made, "binary")(key, size).alias("content"))
 
 
 @query(f"""SELECT k, mode, CAST(w AS INTEGER) AS width, CAST(h AS INTEGER) AS height, 1 AS channels, {_cells_sha(_CELL)} AS pixels_sha256, true AS survives FROM {_CELLS}, (VALUES ('baseline'), ('progressive')) m(mode)""")
@@ -246,7 +248,9 @@ def cmyk_files(spark, sf_dir):
         inks = [(k % 256, k * 3 % 256, s * 5 % 256, (k + s) * 7 % 256) for k, s in zip(keys.tolist(), sizes.tolist())]
         return pd.Series([_ink_file(i) for i in inks], dtype=object)
 
-    files = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size")).select(F.col("p_partkey").alias("k"), pandas_udf(made, "binary")("p_partkey", "p_size").alias("content"))
+    key, size = F.col("p_partkey"), F.col("p_size")
+    dealt = spread(table(spark, sf_dir, "part").select(key, size), key % 256, size % 256)  # equal pictures to one task
+    files = dealt.select(key.alias("k"), pandas_udf(made, "binary")(key, size).alias("content"))
     return decode(files, "k", (64, 64)).select("k", "channels", F.sha2("pixels", 256).alias("pixels_sha256"), "failure")
 
 

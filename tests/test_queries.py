@@ -5,8 +5,10 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from pixelframe.functions.pixels import decode
+from pixelframe.plans import image_queries
 from pixelframe.plans.queries import ORACLE_SQL, QUERIES, _page_images
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -77,6 +79,23 @@ def test_pictures_are_read_once(name, spark, sf_dir):
     assert "ReusedExchange" in final
 
 
+@pytest.fixture(scope="module")
+def many_parts(spark, tmp_path_factory):
+    """6,000 parts whose pictures occur several times, with a key that occurs twice."""
+    folder = f"{tmp_path_factory.mktemp('parts')}"
+    spark.sql("SELECT id AS p_partkey, CAST(id % 7 AS INT) AS p_size FROM range(6000) UNION ALL SELECT 5, 5").coalesce(3).write.parquet(f"{folder}/part.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("script", [None, image_queries._MEANS])
+def test_equal_pictures_go_to_one_task(script, spark, many_parts):
+    """Else every worker makes and decodes every picture."""
+    made = image_queries._cell_files(spark, many_parts, script).select("content", F.spark_partition_id().alias("task"))
+    tasks = made.groupBy("content").agg(F.count_distinct("task").alias("tasks"), F.count("*").alias("n"))
+    seen = tasks.agg(F.max("tasks"), F.max("n"), F.count_distinct("content")).first()
+    assert seen[0] == 1 and seen[1] > 1 and seen[2] > 1000
+
+
 def test_pages_are_dealt_in_bounded_batches(spark, sf_dir):
     assert _page_images(spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") != "10000"
