@@ -96,6 +96,17 @@ def test_equal_pictures_go_to_one_task(script, spark, many_parts):
     assert seen[0] == 1 and seen[1] > 1 and seen[2] > 1000
 
 
+def test_scan_scripts_decode_each_file_once(spark, many_parts):
+    """Also for a part that occurs twice, as its twin has it."""
+    frame = QUERIES["scan_script_corpus"](spark, many_parts)
+    assert frame._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2 * 4
+    found = duckdb.connect()
+    found.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('{many_parts}/part.parquet/*.parquet')")
+    expected = found.execute(ORACLE_SQL["scan_script_corpus"])
+    names = [c[0] for c in expected.description]
+    assert canonical([tuple(r) for r in frame.collect()], frame.columns) == canonical(expected.fetchall(), names)
+
+
 def test_pages_are_dealt_in_bounded_batches(spark, sf_dir):
     assert _page_images(spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") != "10000"
