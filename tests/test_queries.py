@@ -107,6 +107,19 @@ def test_scan_scripts_decode_each_file_once(spark, many_parts):
     assert canonical([tuple(r) for r in frame.collect()], frame.columns) == canonical(expected.fetchall(), names)
 
 
+def test_equal_files_are_probed_once(monkeypatch):
+    """By the worker's memo, with the limits in its key."""
+    from pixelframe.batches import memo
+    from pixelframe.contracts import DecodeLimits
+    from pixelframe.operators import probe
+
+    calls = []
+    monkeypatch.setattr(probe, "probe_bytes", lambda content, limits: calls.append(content) or {"format": "png"})
+    for limits in (DecodeLimits(), DecodeLimits(), DecodeLimits(encoded_bytes=5)):
+        assert [probe.probed(memo("probe", limits), c, limits) for c in (b"a", b"a", None, None, b"")] == [{"format": "png"}] * 5
+    assert calls == [b"a", None, b""] * 2
+
+
 def test_pages_are_dealt_in_bounded_batches(spark, sf_dir):
     assert _page_images(spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") != "10000"
