@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import validation
+from ..shipping import spread
 from ..sources.files import table
 from .registry import query
 
@@ -41,7 +42,7 @@ _PHOTO = f"""to_json(named_struct({_ENVELOPE}, 'encodedByteCount', 5000, 'chunkS
 
 
 def _documents(rows: DataFrame, key: str, document: str) -> DataFrame:
-    return rows.select(F.col(key).alias("k")).select("k", F.when(F.col("k") % 67 == 0, F.lit("no json")).otherwise(F.expr(document)).alias("document"))
+    return spread(rows.select(F.col(key).alias("k"))).select("k", F.when(F.col("k") % 67 == 0, F.lit("no json")).otherwise(F.expr(document)).alias("document"))
 
 
 def _expected(**more: Column) -> dict[str, Column]:

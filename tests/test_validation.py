@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pixelframe.operators import validation
+from pixelframe.plans import queries, validation_queries  # noqa: F401  queries first: it imports the others
 
 VALIDATORS = {"photo": validation.PHOTO_CASE, "scans": validation.SCAN_CHECKPOINTS, "process": validation.PROCESS_TIMELINE, "campaign": validation.CAMPAIGN}
 HUGE = 2**63 - 1
@@ -68,3 +69,11 @@ def test_groups_of_reports(spark):
     frame = spark.createDataFrame([(g, json.dumps(d)) for g, d in rows], "g string, document string").repartition(3)
     found = validation.group_failures(frame, ["g"], "document", validation.PHOTO_CASE, ["caseID", "chunkCount"], 2).collect()
     assert {r["g"]: r["broken"] for r in found} == {"a": "chunkCount", "b": "reports", "c": "caseID", None: None}
+
+
+def test_reports_are_dealt_over_tasks(spark, sf_dir):
+    """A small table's reports are far more work than its one task should do."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    assert orders.rdd.getNumPartitions() == 1
+    made = validation_queries._documents(orders, "o_orderkey", validation_queries._SCANS)
+    assert made.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
