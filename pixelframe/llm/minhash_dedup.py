@@ -500,7 +500,7 @@ def _grouped(documents: DataFrame, similarity: float, damping: float) -> DataFra
     grouped = signed.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first("bands").alias("bands"), F.first("packed").alias("packed"), F.first("bytes").alias("bytes"), F.first("frequency").alias("frequency"))
     classes = work.write(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")  # written once, so a class keeps its number
     buckets = classes.select(F.explode("bands").alias("bucket"), "node", "bytes")
-    members, pairs = bucket_pivots(work, buckets)
+    members, pairs = bucket_pivots(work, [buckets])
     profiles = work.write(_profiles(docs, classes, members.select("node").distinct(), weights), "profiles")
     links = work.write(_verified(pairs, profiles, similarity), "links")
     rest = mixed_members(work, members, components(work, links)).join(profiles, "node").join(classes.select("node", "packed"), "node")

@@ -477,3 +477,38 @@ def test_long_keys_extend_short_ones():
     other.view(np.uint8)[:, 5] ^= 1  # the byte after the first piece, the first of the second
     short = np.intersect1d(image_copies.keys(words), image_copies.keys(other))
     assert len(short) == 25
+
+
+def test_only_members_of_dense_buckets_get_longer_keys(spark):
+    """Keys of all members were lengthened and shuffled, though few buckets are cut."""
+    from pixelframe.llm.linkage import cut_meetings, pairs_across
+    from pixelframe.llm.runtime import Workspace
+
+    told = []
+
+    def longer(members):
+        told.extend((r["bucket"], r["node"]) for r in members.collect())
+        return members.withColumn("step0", F.col("node") % 10)
+
+    sparse = spark.range(100).selectExpr("CAST(id / 2 AS LONG) AS bucket", "id AS node")
+    dense = spark.range(20).selectExpr("-1L AS bucket", "id AS node")
+    found = cut_meetings(Workspace(spark, "cut"), [sparse, dense], longer, ["step0"], spark.createDataFrame([(19, 9)], "id long, root long"), 1.5)
+    assert sorted(told) == [(-1, i) for i in range(20)]
+    expected = {(2 * i, 2 * i + 1) for i in range(50)} | {(i, i + 10) for i in range(9)}  # 9 and 19 are linked already
+    assert {(r["a"], r["b"]) for r in pairs_across(found).collect()} == expected
+
+
+def test_long_keys_of_wanted_buckets():
+    words = np.random.default_rng(9).integers(0, 2**63, (5, 4), dtype=np.uint64)
+    buckets, steps = image_copies.long_keys(words, 1)
+    some, own = image_copies.long_keys(words, 1, buckets[::3])
+    assert np.array_equal(some, buckets[::3]) and np.array_equal(own, steps[::3])
+    assert not len(image_copies.long_keys(words, 0, buckets)[0])
+
+
+def test_described_pictures_hold_no_keys(spark, monkeypatch):
+    """Keys follow from descriptors; written beside them they doubled the table."""
+    columns, write = {}, Workspace.write
+    monkeypatch.setattr(Workspace, "write", lambda self, frame, label: columns.setdefault(label, frame.columns) and write(self, frame, label))
+    assert image_copies.copies(spark.createDataFrame([(i, encode_png(picture(300 + i, 70, 80))) for i in range(3)], "image_id long, image binary")).count() == 3
+    assert columns["described"] == ["image_id", "t1", "t2", "n_corners", "payload", "node"]
