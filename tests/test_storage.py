@@ -174,3 +174,18 @@ def test_equal_base_names(spark, tmp_path):
     manifest = spark.createDataFrame([("a/x.png", 1, hashlib.sha256(b"1").hexdigest()), ("b/x.png", 1, hashlib.sha256(b"1").hexdigest()), ("../z", 1, ""), ("/a/x.png", 1, ""), ("x.png", 1, "")], "file string, byteCount long, sha256 string")
     found = files.verified(files.image_files(spark, str(tmp_path)), manifest, f"file://{tmp_path}").collect()
     assert {r["file"]: r["failure"] for r in found} == {"a/x.png": None, "b/x.png": "content", "../z": "outside", "/a/x.png": "outside", "x.png": "missing"} and len(found) == 5
+
+
+def test_many_small_files_are_read_in_few_tasks(spark, tmp_path):
+    """Spark gives every few small files a task of their own, so tasks grew with files."""
+    most = 8 * spark.sparkContext.defaultParallelism
+    for i in range(most + 5):
+        (tmp_path / f"{i}.ppm").write_bytes(b"x" * (1 + i % 7))
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")
+    try:
+        found = files.image_files(spark, str(tmp_path), cap=3, pattern="*.ppm")
+        assert found.rdd.getNumPartitions() == most
+        assert sorted(r["path"].rpartition("/")[2] for r in found.collect()) == sorted(f"{i}.ppm" for i in range(most + 5) if i % 7 <= 2)
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
