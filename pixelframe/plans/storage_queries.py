@@ -47,7 +47,7 @@ def bounded_files(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumn("content", F.coalesce("text", F.lit("")).cast("binary"))
     pieces = identity.chunk_contents(docs, ["doc_id"], "content", 1024).withColumn("file", F.concat((F.col("doc_id") % 10).cast("string"), F.lit("/"), F.col("doc_id").cast("string")))
     artifacts.write_streams(pieces, path, "file", "chunk_index", "chunk", cap=4000)
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    found = files.binary_files(spark, path)
     return found.select(F.element_at(F.split("path", "/"), -1).cast("long").alias("doc_id"), F.col("length").alias("byte_count"))
 
 
