@@ -3,13 +3,14 @@
 import math
 import random
 import time
+from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pixelframe.functions.pixels import encode_png, resized
+from pixelframe.functions.pixels import encode_pnm, encode_png, resized
 from pixelframe.llm import embedding_dedup, image_copies, minhash_dedup
 from pixelframe.llm.linkage import block_counts, blocked, components
 from pixelframe.llm.runtime import Workspace
@@ -512,3 +513,48 @@ def test_described_pictures_hold_no_keys(spark, monkeypatch):
     monkeypatch.setattr(Workspace, "write", lambda self, frame, label: columns.setdefault(label, frame.columns) and write(self, frame, label))
     assert image_copies.copies(spark.createDataFrame([(i, encode_png(picture(300 + i, 70, 80))) for i in range(3)], "image_id long, image binary")).count() == 3
     assert columns["described"] == ["image_id", "t1", "t2", "n_corners", "payload", "node"]
+
+
+def test_every_pair_with_common_keys_is_verified(spark, monkeypatch):
+    """Pairs in buckets of many unlike images were left out where their longer keys differed."""
+    met, described, write = set(), {}, Workspace.write
+
+    def seen(self, frame, label):
+        out = write(self, frame, label)
+        if label in ("pairs", "shared", "across-pairs"):
+            met.update((min(r["a"], r["b"]), max(r["a"], r["b"])) for r in out.collect())
+        if label == "described":
+            described.update({r["node"]: (r["image_id"], r["payload"]) for r in out.collect()})
+        return out
+
+    monkeypatch.setattr(Workspace, "write", seen)
+    monkeypatch.setattr(image_copies, "MET", 10, raising=False)  # several rounds
+    rng = np.random.default_rng(12)
+    rows = [(i, encode_pnm(image_copies.rendering(rng.normal(size=64)))) for i in range(500)]
+    found = {r["image_id"]: r["component_id"] for r in image_copies.copies(spark.createDataFrame(rows, "image_id long, image binary").repartition(4)).collect()}
+    buckets, common = defaultdict(list), Counter()
+    for node in sorted(described):
+        words = image_copies._unpack(described[node][1])[1]
+        for bucket in np.concatenate([image_copies.keys(words, order) for order in (0, 1)]).tolist() if len(words) >= image_copies.AGREE else ():
+            buckets[bucket].append(node)
+    for members in buckets.values():
+        common.update((a, b) for k, a in enumerate(members) for b in members[k + 1 :])
+    component = {node: found[image_id] for node, (image_id, _) in described.items()}
+    wanted = {pair for pair, n in common.items() if n >= image_copies.COMMON and component[pair[0]] != component[pair[1]]}
+    assert max(map(len, buckets.values())) >= 8 and len(wanted) > 100 and not wanted - met
+
+
+@pytest.mark.parametrize("at_once", [10**9, 2_000])
+def test_rounds_give_every_shared_pair_once(spark, at_once):
+    from pixelframe.llm.linkage import shared_pairs, whole_meetings
+
+    rng = np.random.default_rng(13)
+    members = {(int(b), int(n)) for b, n in zip(rng.integers(0, 12, 2_000), rng.integers(0, 400, 2_000))} | {(99, n) for n in range(300)}
+    roots = {n: n - n % 3 for n in range(90)}
+    frame = spark.createDataFrame(sorted(members), "bucket long, node long")
+    work = Workspace(spark, "rounds")
+    whole = whole_meetings(work, [frame.where("bucket < 6"), frame.where("bucket >= 6")], spark.createDataFrame(list(roots.items()), "id long, root long"), 64)
+    rounds = [[(r["a"], r["b"]) for r in part.collect()] for part in shared_pairs(work, whole, 2, at_once)]
+    common = Counter((a, b) for k in range(100) for own in [sorted(n for b, n in members if b == k)] for i, a in enumerate(own) for b in own[i + 1 :])
+    expected = sorted(p for p, n in common.items() if n >= 2 and roots.get(p[0], p[0]) != roots.get(p[1], p[1]))
+    assert sorted(p for part in rounds for p in part) == expected and (len(rounds) > 3) == (at_once < 10**9)
