@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..batches import Memo, Output, memo
 from ..contracts import DecodeLimits, EncodeCapabilities, EncodeLimits
 from ..functions import containers, jpeg, pixels, properties
-from ..shipping import ship
+from ..shipping import ship, spread
 from .admission import first_failure, probe_failure
 
 _PROBE = pa.schema([
@@ -358,3 +358,13 @@ def encode(rasters: DataFrame, key: str, background: tuple[int, int, int] | None
             yield out.batch()
 
     return rasters.select(key, "width", "height", "channels", "pixels", F.coalesce("failure", admitted).alias("failure")).mapInArrow(run, f"`{key}` {kind}, content binary, failure string")
+
+
+def decoded_again(decoded: DataFrame, by: list[str], **encoding) -> DataFrame:
+    """Decoded rows with ``again``: the pixels after their picture is encoded and decoded once more. Rows equal in ``by`` are of one task, whose workers make equal pictures once.
+
+    A row travels with its picture: joined to it instead, all pixels would be broadcast through the driver where the table's files are small.
+    """
+    dealt = spread(decoded, *(F.col(c) for c in by)).withColumn("_row", F.struct(*decoded.columns))
+    made = decode(encode(dealt, "_row", **encoding), "_row", (DecodeLimits().dimension,) * 2)
+    return made.select("_row.*", F.col("pixels").alias("again"))

@@ -15,7 +15,7 @@ from ..functions import builders as b
 from ..functions import jpeg
 from ..operators import prepared
 from ..operators.probe import container_parts as parts
-from ..operators.probe import decode, encode, jpeg_structures, prefix_decodes, previews, probe, scan_boundaries
+from ..operators.probe import decode, decoded_again, jpeg_structures, prefix_decodes, previews, probe, scan_boundaries
 from ..shipping import ship, spread
 from ..sources.files import table
 from .registry import query
@@ -219,9 +219,8 @@ def jpeg_round_trip(spark, sf_dir):
     whole = (DecodeLimits().dimension,) * 2
     out = []
     for mode, script in (("baseline", None), ("progressive", jpeg.PROGRESSIVE)):
-        first = decode(_cell_files(spark, sf_dir, script), "k", whole).repartition("k")  # decoded once, and later steps get workers of their own
-        again = decode(encode(first, "k", format="jpeg", quality=1.0, progressive=script is not None), "k", whole).select("k", F.col("pixels").alias("again"))
-        out.append(first.join(again, "k").select("k", F.lit(mode).alias("mode"), "width", "height", "channels", F.sha2("pixels", 256).alias("pixels_sha256"), (F.col("pixels") == F.col("again")).alias("survives")))
+        both = decoded_again(decode(_cell_files(spark, sf_dir, script), "k", whole), ["pixels"], format="jpeg", quality=1.0, progressive=script is not None)
+        out.append(both.select("k", F.lit(mode).alias("mode"), "width", "height", "channels", F.sha2("pixels", 256).alias("pixels_sha256"), (F.col("pixels") == F.col("again")).alias("survives")))
     return out[0].unionByName(out[1])
 
 

@@ -502,7 +502,8 @@ def decode_and_encode(spark, sf_dir):
     whole = (DecodeLimits().dimension,) * 2
     first = decode(_page_images(spark, sf_dir), "page_id", whole).repartition("page_id")  # decoded once, and later steps get workers of their own
     again = decode(encode(first, "page_id"), "page_id", whole).select("page_id", F.col("pixels").alias("again"))
-    return first.join(again, "page_id").select("page_id", "width", "height", "channels", F.sha2("pixels", 256).alias("pixels_sha256"), (F.col("pixels") == F.col("again")).alias("survives"), "failure")
+    joined = first.join(again.hint("merge"), "page_id")  # by the files' size Spark would broadcast pixels through the driver
+    return joined.select("page_id", "width", "height", "channels", F.sha2("pixels", 256).alias("pixels_sha256"), (F.col("pixels") == F.col("again")).alias("survives"), "failure")
 
 
 @query(f"""SELECT page_id, mode, CAST(CASE WHEN mode = 'fit' THEN least(tw, 64) ELSE least(tw, 64) END AS INTEGER) AS width, CAST(least(th, 40) AS INTEGER) AS height FROM (

@@ -123,3 +123,19 @@ def test_equal_files_are_probed_once(monkeypatch):
 def test_pages_are_dealt_in_bounded_batches(spark, sf_dir):
     assert _page_images(spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") != "10000"
+
+
+@pytest.mark.parametrize("name", ["jpeg_round_trip", "decode_and_encode"])
+def test_pixels_are_not_broadcast(name, spark, sf_dir):
+    """By the small files of keys Spark took all pixels for small and sent them through the driver."""
+    assert "Broadcast" not in QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_round_trip_of_repeated_keys(spark, many_parts):
+    """A part that occurs twice gives two rows of each mode, as its twin has it, not four."""
+    frame = QUERIES["jpeg_round_trip"](spark, many_parts)
+    found = duckdb.connect()
+    found.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('{many_parts}/part.parquet/*.parquet')")
+    expected = found.execute(ORACLE_SQL["jpeg_round_trip"])
+    names = [c[0] for c in expected.description]
+    assert canonical([tuple(r) for r in frame.collect()], frame.columns) == canonical(expected.fetchall(), names)
