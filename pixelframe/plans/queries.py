@@ -537,6 +537,8 @@ def progressive_sessions(spark, sf_dir):
     return progressive_batch(_progressive_events(spark, sf_dir))
 
 
+#: Lines of which a task sorts the simulated chunks; more would be sorted on disk.
+LINES_A_TASK = 500_000
 _CHUNKS = f"(SELECT stream, row_number() OVER (PARTITION BY stream ORDER BY line, bytes, append_ns) AS line, bytes, append_ns, CASE WHEN line % 2 = 1 THEN line END AS generation FROM (SELECT l_orderkey AS stream, line, cents % 30000 + 1 AS bytes, cents % 9000000 + 1 AS append_ns FROM {_LINES}))"
 _FRAME = 16_666_667
 
@@ -556,8 +558,12 @@ _FRAME = 16_666_667
   any_value(final_generated_ns) AS final_generated_ns, any_value(idle_before_final_ns) AS idle_before_final_ns, any_value(peak_bytes) AS peak_bytes FROM p JOIN t USING (stream, network) JOIN k USING (stream, network) GROUP BY stream, network, policy""")
 def simulation_matrix(spark, sf_dir):
     """Orders as streams, their lines as chunks, under two networks and both presentation policies."""
-    lines = _lines(spark, sf_dir).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(F.col("line").alias("chunk_index"), (F.col("cents") % 30_000 + 1).alias("bytes"), (F.col("cents") % 9_000_000 + 1).alias("append_ns"), F.when(F.col("line") % 2 == 1, F.col("line")).cast("int").alias("generation"), F.lit(20_000).cast("long").alias("handoff_ns")))).alias("chunks"))
-    numbered = F.transform("chunks", lambda c, i: c.withField("chunk_index", (i + 1).cast("long")))  # line numbers may repeat
+    chunk = F.struct(F.col("line"), (F.col("cents") % 30_000 + 1).alias("bytes"), (F.col("cents") % 9_000_000 + 1).alias("append_ns"))
+    rows = _lines(spark, sf_dir)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // LINES_A_TASK))  # the count is read from the files' footers
+    lines = rows.repartition(tasks, "l_orderkey").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(chunk)).alias("chunks"))
+    generation = lambda line: F.when(line % 2 == 1, line).cast("int")
+    numbered = F.transform("chunks", lambda c, i: F.struct((i + 1).cast("long").alias("chunk_index"), c["bytes"].alias("bytes"), c["append_ns"].alias("append_ns"), generation(c["line"]).alias("generation"), F.lit(20_000).cast("long").alias("handoff_ns")))  # line numbers may repeat
     samples = lines.withColumn("chunks", numbered).select(F.col("l_orderkey").alias("stream"), F.lit(1_000_000).cast("long").alias("finish_ns"), F.lit(27_000_000).cast("long").alias("final_decode_ns"), F.lit(20_000).cast("long").alias("final_handoff_ns"), "chunks")
     networks = spark.createDataFrame([("fast", 10_000_000, 80_000_000), ("slow", 20_000_000, 4_000_000)], "network string, first_delay_ns long, bits_per_second long")
     return queueing.simulate(samples, networks)

@@ -139,3 +139,19 @@ def test_round_trip_of_repeated_keys(spark, many_parts):
     expected = found.execute(ORACLE_SQL["jpeg_round_trip"])
     names = [c[0] for c in expected.description]
     assert canonical([tuple(r) for r in frame.collect()], frame.columns) == canonical(expected.fetchall(), names)
+
+
+def test_simulation_is_dealt_once(spark, sf_dir):
+    """Its steps were joined: lines were read, dealt and sorted again for each of them."""
+    plan = QUERIES["simulation_matrix"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("FileScan") == 1
+
+
+def test_simulated_lines_a_task_are_bounded(spark, sf_dir, monkeypatch):
+    """With a fixed number of tasks, these sorted on disk what larger tables gave them."""
+    from pixelframe.plans import queries
+
+    monkeypatch.setattr(queries, "LINES_A_TASK", 100)
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    plan = QUERIES["simulation_matrix"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert f", {-(-lines // 100)}), REPARTITION_BY_NUM" in plan
