@@ -155,3 +155,14 @@ def test_simulated_lines_a_task_are_bounded(spark, sf_dir, monkeypatch):
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
     plan = QUERIES["simulation_matrix"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert f", {-(-lines // 100)}), REPARTITION_BY_NUM" in plan
+
+
+def test_pictures_are_dealt_over_folders(spark, sf_dir, monkeypatch, tmp_path):
+    """Tasks that make files in one folder wait for each other, and the driver lists that folder alone."""
+    from pixelframe.plans import report_queries
+
+    monkeypatch.setattr(report_queries, "PICTURES", 50, raising=False)
+    monkeypatch.setattr(report_queries, "_scratch", lambda spark, name: str(tmp_path / name))
+    found = {r["p_partkey"] for r in QUERIES["image_files_round_trip"](spark, sf_dir).collect()}
+    held = [len([f for f in folder.iterdir() if f.is_file()]) for folder in [tmp_path / "pictures", *(tmp_path / "pictures").iterdir()] if folder.is_dir()]
+    assert max(held) <= 50 and sum(held) == spark.read.parquet(f"{sf_dir}/part.parquet").count() >= len(found) > 0
